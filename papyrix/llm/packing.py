@@ -168,11 +168,11 @@ def cut_pieces(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _piecer(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), encoder(path).encode([t or "" for t in batch.column(1).to_pylist()])):
-                view = memoryview(raw + end)
+                view = memoryview(np.concatenate([raw, end]).tobytes())
                 rows += [(key, i, s, n, zlib.crc32(view[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut_pieces(len(view) // 4, capacity))]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(cols[0], pa.int64()), "piece": pa.array(cols[1], pa.int32())} | {n: pa.array(c, pa.int64()) for n, c in zip(("start", "length", "ids_crc32"), cols[2:])})

@@ -17,11 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetable import SPACE, ByteTable, concat, sums, word_spans
 from .common import Scratch, prepare
 from .tokens import vocabulary
-from .words import SPACES, WORD, WordTable, repeated_window_words, sums
+from .words import SPACES, repeated_window_words
 
 SYMBOLS = "#*$%&|<>"
+_IS_SYMBOL = np.zeros(256, np.int64)
+_IS_SYMBOL[list(SYMBOLS.encode())] = 1
 WINDOW = 5
 #: Base rule: fewer words, or a larger share of repeated-window words in percent, fail.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
@@ -55,10 +58,10 @@ class _Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
-        self.table = WordTable(self._encode)
+        self.table = ByteTable(self._encode, 21)
 
-    def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x, "<i4") for x in self.model.encode(words, num_threads=1)]
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(x, "<i4") for x in self.model.encode([w.decode() for w in words], num_threads=1)]
 
 
 @lru_cache(maxsize=2)
@@ -75,9 +78,9 @@ def duplicate_lines(text: str) -> int:
 def measure_batch(texts: list[str], path: str) -> dict[str, np.ndarray]:
     """All measures of a batch of texts."""
     pieces = _pieces(path)
-    words = [WORD.findall(t) for t in texts]
-    n_words = np.array([len(w) for w in words], np.int64)
-    numbers = pieces.table.numbers(words)
+    data, bounds = concat([t.encode() for t in texts])
+    starts, ends_of, n_words = word_spans(data, bounds)
+    numbers = pieces.table.numbers(data, starts, ends_of)
     ids, per_word = pieces.table.rows(numbers)
     n_tokens = sums(per_word, n_words)
     ends = np.cumsum(n_tokens)
@@ -87,11 +90,12 @@ def measure_batch(texts: list[str], path: str) -> dict[str, np.ndarray]:
             count = np.bincount(ids[end - n : end])
             p = count[count > 0] / n
             entropy[d] = -(p * np.log2(p)).sum()
-    chars = np.array([sum(map(len, w)) for w in words], np.int64)
+    # Code points are bytes that continue no other.
+    chars = sums((~SPACE[data] & ((data & 0xC0) != 0x80)).astype(np.int64), np.diff(bounds))
     least_one = np.maximum(n_tokens, 1)
     return {
         "n_words": n_words, "word_chars": chars,
-        "n_symbols": np.array([sum(map(t.count, SYMBOLS)) for t in texts], np.int64),
+        "n_symbols": sums(_IS_SYMBOL[data], np.diff(bounds)),
         "n_dup_lines": np.array([duplicate_lines(t) for t in texts], np.int64),
         "n_repeat_words": repeated_window_words(numbers, n_words, WINDOW),
         "n_tokens": n_tokens, "chars_per_token": chars / least_one,

@@ -145,7 +145,7 @@ DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def _writer(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, before, docs, ids, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
 
         def closed():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([number], pa.int32()), "before": pa.array([before], pa.int64()), "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "payload": pa.array([pack_shard(docs, ids)], pa.binary())})
@@ -154,7 +154,7 @@ def _writer(path: str, end_id: int, shard_ids: int):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for key, raw in zip(keys, encoder(path).encode(texts)):
                 docs.append(key)
-                ids.append(np.frombuffer(raw + end, "<u4"))
+                ids.append(np.concatenate([raw, end]))
                 held += len(ids[-1])
                 if held >= shard_ids:
                     yield closed()
@@ -179,32 +179,34 @@ def write_shards(docs: DataFrame, to: str, vocab: str | None = None, end_id: int
     shards.write.mode("overwrite").option("compression", "zstd").parquet(to)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for base, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            keys, lengths, ids = unpack_shard(blob)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            raw = memoryview(ids.astype("<u4").tobytes())
-            sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "start": pa.array(base + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(sums, pa.int64())})
+def _reader(bases: dict[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, before, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                keys, lengths, ids = unpack_shard(blob)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "start": pa.array(bases[part] + before + ends - lengths, pa.int64()), "n_tokens": pa.array(lengths.astype(np.int64)), "ids_crc32": pa.array(sums, pa.int64())})
+
+    return run
 
 
-def shard_starts(spark: SparkSession, path: str) -> DataFrame:
-    """Shards with ``base``, the ids of all shards before: part totals (one row a partition) are summed on the driver."""
-    shards = spark.read.parquet(path)
+def part_bases(shards: DataFrame) -> dict[int, int]:
+    """Ids before each part: the totals of parts, one row for each writing task, are summed on the driver."""
     totals = {r.part: r.n for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}
-    bases, run = [], 0
+    bases, run = {}, 0
     for part in sorted(totals):
-        bases.append((part, run))
+        bases[part] = run
         run += totals[part]
-    known = spark.createDataFrame(bases, "part int, part_base long")
-    return shards.join(known, "part").select((F.col("part_base") + F.col("before")).alias("base"), "payload")
+    return bases
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the written shards: doc_id, start, n_tokens (end id included) and the CRC-32 of its ids."""
     prepare(spark)
-    return shard_starts(spark, path).select("base", "payload").mapInArrow(_reader, DOCS)
+    shards = spark.read.parquet(path)
+    return shards.select("part", "before", "payload").mapInArrow(_reader(part_bases(shards)), DOCS)
 
 
 def encode_documents(docs: DataFrame, vocab: str | None = None, end_id: int = 0) -> DataFrame:

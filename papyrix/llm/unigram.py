@@ -7,7 +7,6 @@ text, and decoding turns markers back into spaces and drops the first.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetable import ByteTable, concat, sums
 from .common import prepare
 from .tokens import vocabulary
-from .words import WordTable, sums
 
 MARK = "▁"
 #: What an unknown character costs below the least score (the usual penalty of Unigram models; a fixed value).
 UNKNOWN_PENALTY = 10.0
-#: Pieces hold markers at their start only, so a text falls apart before a marker that follows something else.
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class DoubleArray:
@@ -108,7 +105,8 @@ class UnigramModel:
 
 def build_model(pieces: list[str], scores: list[float], normal: list[bool], byte_ids: list[int], unknown_id: int) -> UnigramModel:
     """A model from its pieces; only ``normal`` ones are matched. Without 256 byte pieces unknown characters give unknown_id."""
-    keys = {p.encode(): i for i, p in enumerate(pieces) if normal[i] and p}
+    # Inside, a marker is a plain space: one byte, and no other character of marked text.
+    keys = {p.replace(MARK, " ").encode(): i for i, p in enumerate(pieces) if normal[i] and p}
     low = min((scores[i] for i in keys.values()), default=0.0)
     return UnigramModel(list(pieces), np.array(scores, np.float64), DoubleArray(keys), np.array(byte_ids, np.int64), unknown_id, low - UNKNOWN_PENALTY, max(map(len, keys), default=1))
 
@@ -193,37 +191,50 @@ def _viterbi(model: UnigramModel, units: list[bytes]) -> list[np.ndarray]:
     return np.split(piece, np.cumsum(np.bincount(who, minlength=n))[:-1])
 
 
-def viterbi_units(model: UnigramModel, units: list[str]) -> list[np.ndarray]:
+def viterbi_units(model: UnigramModel, units: list[bytes]) -> list[np.ndarray]:
     """Ids of each unit; units are grouped by length, so that a long one pads no short ones."""
-    raw = [u.encode() for u in units]
-    order = sorted(range(len(raw)), key=lambda i: len(raw[i]))
-    out: list[np.ndarray] = [None] * len(raw)  # type: ignore[list-item]
+    order = sorted(range(len(units)), key=lambda i: len(units[i]))
+    out: list[np.ndarray] = [None] * len(units)  # type: ignore[list-item]
     at = 0
     while at < len(order):
-        cap = max(1, len(raw[order[at]])) * 1.3 + 2
+        cap = max(1, len(units[order[at]])) * 1.3 + 2
         upto = at
-        while upto < len(order) and len(raw[order[upto]]) <= cap and upto - at < max(1, 4_000_000 // int(cap)):
+        while upto < len(order) and len(units[order[upto]]) <= cap and upto - at < max(1, 4_000_000 // int(cap)):
             upto += 1
         group = order[at:upto]
-        for i, ids in zip(group, _viterbi(model, [raw[i] for i in group])):
+        for i, ids in zip(group, _viterbi(model, [units[i] for i in group])):
             out[i] = ids
         at = upto
     return out
 
 
-def split_units(text: str) -> list[str]:
-    """The text with its marker in front and spaces marked, cut where no piece can cross; none for an empty text."""
-    return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
+def marked(text: str) -> bytes:
+    """The text with its marker in front, markers being plain spaces; nothing for an empty text."""
+    return (" " + text.replace(MARK, " ")).encode() if text else b""
+
+
+def unit_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Pieces hold markers at their start only, so a text falls apart before a marker that follows something else."""
+    first = np.zeros(len(data) + 1, bool)
+    first[bounds] = True
+    mark = data == 32
+    return np.flatnonzero(first[:-1] | (mark & ~np.concatenate([[False], mark[:-1]])))
+
+
+def encode_marked(texts: list[bytes], numbers) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of marked texts end to end, and how many each has; ``numbers`` is a table over units."""
+    data, bounds = concat(texts)
+    if not len(data):
+        return np.zeros(0, "<i4"), np.zeros(len(texts), np.int64)
+    starts = unit_starts(data, bounds[:-1][np.diff(bounds) > 0])
+    ids, per_unit = numbers.rows(numbers.numbers(data, starts, np.append(starts[1:], len(data))))
+    return ids, sums(per_unit, np.diff(np.searchsorted(starts, bounds)))
 
 
 def encode(model: UnigramModel, texts: list[str]) -> list[np.ndarray]:
-    units = [split_units(t) for t in texts]
-    flat = viterbi_units(model, [u for us in units for u in us]) if any(units) else []
-    at, out = 0, []
-    for us in units:
-        out.append(np.concatenate(flat[at : at + len(us)]) if us else np.zeros(0, "<i4"))
-        at += len(us)
-    return out
+    table = ByteTable(lambda units: viterbi_units(model, units), 16)
+    ids, count = encode_marked([marked(t) for t in texts], table)
+    return np.split(ids, np.cumsum(count)[:-1])
 
 
 def decode(model: UnigramModel, ids) -> str:
@@ -233,9 +244,9 @@ def decode(model: UnigramModel, ids) -> str:
 
 
 @lru_cache(maxsize=4)
-def _loaded(path: str, scores: str) -> tuple[UnigramModel, WordTable]:
+def _loaded(path: str, scores: str) -> tuple[UnigramModel, ByteTable]:
     model = load_model(path, scores)
-    return model, WordTable(lambda units: viterbi_units(model, units))
+    return model, ByteTable(lambda units: viterbi_units(model, units), 21)
 
 
 ENCODED = "doc_id long, n_tokens long, n_byte_tokens long, score double, ids_crc32 long, round_trip boolean, ids binary"
@@ -248,9 +259,7 @@ def _coder(path: str, scores: str, with_ids: bool):
         is_byte[model.byte_ids] = 1
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            units = [split_units(t) for t in texts]
-            ids, per_unit = table.rows(table.numbers(units))
-            n_tokens = sums(per_unit, np.array([len(u) for u in units], np.int64))
+            ids, n_tokens = encode_marked([marked(t) for t in texts], table)
             ends = np.cumsum(n_tokens)
             parts = [ids[e - n : e] for e, n in zip(ends.tolist(), n_tokens.tolist())]
             raw = [p.astype("<u4").tobytes() for p in parts]

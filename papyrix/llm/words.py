@@ -1,71 +1,18 @@
-"""Word tables for Python workers: each distinct word is measured once, a batch becomes arrays of word numbers."""
+"""Word patterns and word-window counts."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 
+from .bytetable import sums
+
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = " \t\n\x0b\x0c\r"
 
 
-class WordTable:
-    """Words to numbers and to ragged integer rows that ``measure(new words)`` gives, within a bound of words.
-
-    Beyond ``limit`` words the table starts anew: that costs time and never changes a result, for numbers are only
-    compared within one batch.
-    """
-
-    def __init__(self, measure: Callable[[list[str]], list[np.ndarray]], limit: int = 300_000, dtype="<i4"):
-        self.measure, self.limit, self.dtype = measure, limit, dtype
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.lens, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, self.dtype)
-        self.used = 0
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
-
-    def numbers(self, words: list[list[str]]) -> np.ndarray:
-        """The numbers of all words of a batch of documents, one after the other."""
-        fresh = set().union(*words)
-        if len(self.number) + len(fresh) > self.limit:
-            self._clear()
-        fresh = [w for w in fresh if w not in self.number]
-        if fresh:
-            rows, at = self.measure(fresh), len(self.number)
-            lens = np.array([len(r) for r in rows], np.int64)
-            self.starts, self.lens = self._room(self.starts, at + len(fresh)), self._room(self.lens, at + len(fresh))
-            self.flat = self._room(self.flat, self.used + int(lens.sum()))
-            self.lens[at : at + len(fresh)] = lens
-            self.starts[at : at + len(fresh)] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + int(lens.sum())] = np.concatenate(rows)
-            self.used += int(lens.sum())
-            self.number.update(zip(fresh, range(at, at + len(fresh))))
-        get = self.number.__getitem__
-        return np.fromiter((n for w in words for n in map(get, w)), np.int64)
-
-    def rows(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of these words end to end, and the length of each."""
-        lens = self.lens[numbers]
-        ends = np.cumsum(lens)
-        at = np.repeat(self.starts[numbers] - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return self.flat[at], lens
-
-
-def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Sums of consecutive runs of the given lengths (0 for empty runs)."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    ends = np.cumsum(lengths)
-    return total[ends] - total[ends - lengths]
-
-
 def repeated_window_words(numbers: np.ndarray, lengths: np.ndarray, size: int = 5) -> np.ndarray:
     """Per document: words that stand in a window of ``size`` words found twice or more in it, the first included."""
     n = len(numbers)
