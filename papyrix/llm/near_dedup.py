@@ -1,8 +1,9 @@
 """Operator 9: near-duplicate documents by bottom-k sketches of one hash function.
 
-A document is the set of hashes of its 5-word shingles. Its sketch is the least k of them. Documents meet in inverted
-lists of retained values; a list too long to be compared pairwise is split by lists of several retained values taken
-together. Candidates are estimated from the sketch of their union, and those that may pass are verified on full sets.
+A document is the set of hashes of its 5-word shingles. Its sketch is the least k of them. Documents that share none of
+their least values with another drop out by inverted lists of single values; the others meet in inverted lists of several
+retained values taken together, which a shared passage does not fill. Candidates are estimated from the sketch of their
+union, and those that may pass are verified on full sets.
 
 No group is ever expanded into all its pairs. Documents with equal sets are one class from the start. In a list every
 class is first compared with the list's least class alone; what that links is contracted into components, and only classes
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetable import concat, mix, span_hashes, word_spans
 from .common import Scratch, prepare
 from .components import connected_components
 
@@ -29,31 +31,21 @@ PERCENT = 85
 #: Retained values: for the sketch, and those of them that open inverted lists. At a similarity of 0.85 two documents
 #: share none of ten values with a chance of 0.15 ** 10.
 SKETCH, LISTS = 128, 10
-#: Lists with more classes are split: by BANDS lists of BAND_BINS retained values (the least of as many hash bins).
-LONG_LIST, BINS, BANDS, BAND_BINS = 64, 64, 40, 6
-#: An estimate so far below the threshold rules a pair out (four standard errors of the sketch).
-SLACK = 0.13
+#: Compound lists: each takes BAND_BINS retained values together, the least ones of as many of BINS hash bins.
+BINS, BANDS, BAND_BINS = 64, 32, 6
+#: Retained values that the members of a list are compared by, and the standard errors by which an estimate may fall short.
+WIDE_SKETCH, ERRORS = 256, 4.0
 #: Classes of one list that a task compares with another such block.
 BLOCK = 512
-
 #: Ids of documents (8 bytes each) that are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads every input bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _powers(n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     np.multiply.accumulate(np.full(max(n - 1, 0), _BASE), out=out[1:])
@@ -66,34 +58,25 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     Words are hashed in one pass over the bytes of all texts; a shingle's hash is a mix of its words' hashes. A text with
     fewer than ``size`` words is one shingle of all its words, and one without words has none.
     """
-    joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    lower = _LOWER[joined]
-    space = _IS_SPACE[lower]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    # The polynomial of a word: digits count from its start, so equal words have equal values wherever they stand.
-    lens = ends - starts
-    place = np.arange(len(joined)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(joined)]])))
-    terms = (lower.astype(np.uint64) + np.uint64(1)) * _mix(place.astype(np.uint64) * _ODD + _ODD)
-    word = _mix(np.add.reduceat(np.where(space, np.uint64(0), terms), starts) + lens.astype(np.uint64) * _ODD)
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    first = np.searchsorted(starts, bounds)
+    data, bounds = concat(texts)
+    lower = _LOWER[data]
+    starts, ends, per_text = word_spans(lower, bounds)
+    word = span_hashes(lower, starts, ends)
+    first = np.concatenate([[0], np.cumsum(per_text)])
     out = []
     powers, odd = _powers(size), np.arange(1, size + 1).astype(np.uint64) * _ODD
     n = len(word)
     grams = np.zeros(max(n - size + 1, 0), np.uint64)
     for j in range(size):
-        grams += _mix(word[j : n - size + 1 + j] + odd[j]) * powers[j]
-    grams = _mix(grams)
+        grams += mix(word[j : n - size + 1 + j] + odd[j]) * powers[j]
+    grams = mix(grams)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
             out.append(np.unique(grams[a : b - size + 1]))
         elif b > a:
             h = np.array([b - a], np.uint64)
             for j in range(a, b):
-                h = _mix(h * _BASE + word[j : j + 1] + _ODD)
+                h = mix(h * _BASE + word[j : j + 1] + _ODD)
             out.append(h)
         else:
             out.append(np.zeros(0, np.uint64))
@@ -119,8 +102,8 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     np.minimum.at(least, (kept & np.uint64(BINS - 1)).astype(np.int64), kept)
     keys = np.full(BANDS, 0, np.uint64)
     for j in range(BAND_BINS):
-        keys = _mix(keys * _BASE + least[_BANDS[:, j]] + _ODD)
-    return _mix(keys + np.arange(BANDS).astype(np.uint64) * _ODD)
+        keys = mix(keys * _BASE + least[_BANDS[:, j]] + _ODD)
+    return mix(keys + np.arange(BANDS).astype(np.uint64) * _ODD)
 
 
 SKETCHED = "doc_id long, n_shingles long, digest string, singles array<long>, bands array<long>"
@@ -157,14 +140,18 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(_set_reader, "rep long, hashes binary").dropDuplicates(["rep", "hashes"])
 
 
-def _sketch_of(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)[:SKETCH]
+def least_estimate(percent: int, seen, union):
+    """The least share of ``seen`` values of a union of ``union`` that a linked pair may show: all of it is seen without
+    error, a part of it with that of drawing without replacement."""
+    p = percent / 100
+    return p - ERRORS * np.sqrt(p * (1 - p) / np.maximum(seen, 1) * np.clip(1 - seen / np.maximum(union, 1), 0, 1)) - 1e-9
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity from two sketches: of the least k values of their union, the share that both retain."""
-    union = np.union1d(a, b)[:SKETCH]
-    return np.intersect1d(np.intersect1d(a, b, assume_unique=True), union, assume_unique=True).size / max(len(union), 1)
+def promising(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets may be linked, by the sketch of their union: of its least values the share that both hold."""
+    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
+    both = np.intersect1d(np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True), union, assume_unique=True).size
+    return both >= len(union) * least_estimate(percent, len(union), (len(a) + len(b)) / (1 + percent / 100))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -181,7 +168,7 @@ def _verifier(percent: int):
             keep = []
             for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(estimate(a[:SKETCH], b[:SKETCH]) >= percent / 100 - SLACK and linked(a, b, percent))
+                keep.append(promising(a, b, percent) and linked(a, b, percent))
             chosen = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(chosen) for n in ("a", "b")})
 
@@ -196,40 +183,64 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     return pairs.distinct().join(left, "a").join(right, "b").filter(near).select("a", "b", "ha", "hb").mapInArrow(_verifier(percent), "a long, b long")
 
 
+def list_pairs(reps, comps, side, sizes, sketches: list[bytes], apart: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Of one list (or two blocks of one, on either ``side``): pairs of different components whose estimate may pass."""
+    top = np.iinfo(np.uint64).max
+    values = np.full((len(reps), WIDE_SKETCH), top, np.uint64)
+    for i, raw in enumerate(sketches):
+        values[i, : len(raw) // 8] = np.frombuffer(raw, np.uint64)
+    kept = np.minimum(sizes, WIDE_SKETCH)
+    known = np.arange(WIDE_SKETCH) < kept[:, None]
+    names, number = np.unique(values, return_inverse=True)
+    number = number.reshape(values.shape)
+    # A sketch tells of all values up to its last one, or of all there are if it holds the whole set.
+    reach = np.where(sizes > WIDE_SKETCH, values[np.arange(len(reps)), kept - 1], top)
+    found = []
+    for i in range(len(reps) - 1):
+        js = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (not apart)))
+        js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
+        if not len(js):
+            continue
+        end = np.minimum(reach[js], reach[i])[:, None]
+        mine = np.zeros(len(names), bool)
+        mine[number[i, : kept[i]]] = True
+        theirs = known[js] & (values[js] <= end)
+        both = (mine[number[js]] & theirs).sum(1)
+        either = theirs.sum(1) + (known[i] & (values[i] <= end)).sum(1) - both
+        whole = np.where(end[:, 0] == top, either, (sizes[js] + sizes[i]) / (1 + percent / 100))
+        good = both >= either * least_estimate(percent, either, whole)
+        found += [(min(a, b), max(a, b)) for a, b in zip([int(reps[i])] * int(good.sum()), reps[js[good]].tolist())]
+    return found
+
+
 def _candidates(percent: int):
-    """Within a list (or two blocks of one): pairs of different components whose estimate may pass."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep", kind="stable")
-        reps, comps, side, sizes = (frame[c].to_numpy() for c in ("rep", "comp", "side", "n"))
-        top, apart = np.iinfo(np.uint64).max, bool(key[-1])
-        values = np.full((len(reps), SKETCH), top, np.uint64)
-        for i, raw in enumerate(frame["sketch"]):
-            values[i, : len(raw) // 8] = np.frombuffer(raw, np.uint64)
-        kept = np.minimum(sizes, SKETCH)
-        known = np.arange(SKETCH) < kept[:, None]
-        names, number = np.unique(values, return_inverse=True)
-        number = number.reshape(values.shape)
-        # A sketch tells of all values up to its last one, or of all there are if it holds the whole set.
-        reach = np.where(sizes > SKETCH, values[np.arange(len(reps)), kept - 1], top)
-        found = []
-        for i in range(len(reps)):
-            js = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (not apart)))
-            js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-            if not len(js):
+    """Lists come sorted by their key, so each is whole when the next begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _with_end(batches):
+            rows = held if batch is None else batch.to_pandas() if held is None else pd.concat([held, batch.to_pandas()], ignore_index=True)
+            if rows is None or not len(rows):
                 continue
-            end = np.minimum(reach[js], reach[i])[:, None]
-            mine = np.zeros(len(names), bool)
-            mine[number[i, : kept[i]]] = True
-            theirs = known[js] & (values[js] <= end)
-            both = (mine[number[js]] & theirs).sum(1)
-            either = theirs.sum(1) + (known[i] & (values[i] <= end)).sum(1) - both
-            found += [(reps[i], r) for r in reps[js[both >= (percent / 100 - SLACK) * np.maximum(either, 1)]].tolist()]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            name = rows[["key", "low", "high"]].to_numpy()
+            cuts = np.concatenate([[0], 1 + np.flatnonzero((name[1:] != name[:-1]).any(1)), [len(rows)]])
+            last = len(cuts) - 1 if batch is None else len(cuts) - 2
+            held = None if batch is None else rows.iloc[cuts[last] :]
+            reps, comps, side, sizes, sketches = (rows[c].to_numpy() for c in ("rep", "comp", "side", "n", "sketch"))
+            apart, found = rows["low"].to_numpy() != rows["high"].to_numpy(), set()
+            for a, b in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist()):
+                found.update(list_pairs(reps[a:b], comps[a:b], side[a:b], sizes[a:b], sketches[a:b], apart[a], percent))
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
     return run
 
 
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are not read): doc_id, n_shingles, component_id, kept.
 
@@ -246,33 +257,32 @@ def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = some.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "singles", "bands")
     keyed = scratch.keep(keyed, "keyed")
-    # Inverted lists of single retained values: alone, short or long.
+    # Inverted lists of single retained values, then of several.
     singles = keyed.select("rep", F.explode("singles").alias("key")).distinct()
-    lists = singles.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1")
-    met = scratch.keep(singles.join(lists, "key"), "singles")
-    long_reps = met.filter(F.col("m") > LONG_LIST).select("rep").distinct()
-    bands = keyed.select("rep", "bands").join(long_reps, "rep").select("rep", F.explode("bands").alias("key")).distinct()
-    band_lists = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1")
-    bands = bands.join(band_lists, "key")
-    lists = scratch.keep(met.filter(F.col("m") <= LONG_LIST).unionByName(bands), "lists")
-    # First every class against its list's head, then components of what is linked.
-    heads = lists.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    met = singles.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+    met = singles.join(met, "key").select("rep").distinct()
+    bands = keyed.select("rep", "bands").join(met, "rep").select("rep", F.explode("bands").alias("key")).distinct()
+    lists = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("m > 1")
+    lists = scratch.keep(bands.join(lists, "key"), "lists")
+    # First every class against its list's head and tail, then components of what is linked.
+    ends = lists.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("tail").alias("b")))).alias("p"))
+    heads = ends.select("p.a", "p.b").filter("a < b").distinct()
     involved = lists.select("rep").distinct()
     sets = scratch.keep(full_sets(docs, involved), "sets")
     first = scratch.keep(verify(heads, sets, percent), "links0")
     comps = scratch.keep(connected_components(first, scratch, "first"), "comps0").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # Then the classes of different components that meet in a list.
     rows = lists.join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key", "m")
-    sketches = sets.select("rep", F.expr(f"substring(hashes, 1, {8 * SKETCH})").alias("sketch"), (F.octet_length("hashes") / 8).cast("long").alias("n")).filter("n > 0")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high and m > 3").select("key", "m")  # lists of three are done
+    sketches = sets.select("rep", F.expr(f"substring(hashes, 1, {8 * WIDE_SKETCH})").alias("sketch"), (F.octet_length("hashes") / 8).cast("long").alias("n")).filter("n > 0")
     rows = rows.join(mixed, "key").join(sketches, "rep")
     # A list of more than BLOCK classes is dealt into blocks, and each pair of blocks is one group.
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "rep", "comp", "sketch", "n", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    rows = rows.withColumn("apart", (F.col("low") != F.col("high")).cast("int"))
-    more = rows.groupBy("key", "low", "high", "apart").applyInPandas(_candidates(percent), "a long, b long").distinct()
+    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+    more = rows.mapInArrow(_candidates(percent), "a long, b long").distinct()
     more = scratch.keep(more.join(heads, ["a", "b"], "left_anti"), "more")
     links = first.unionByName(verify(more, sets, percent))
     final = connected_components(scratch.keep(links, "links1"), scratch, "final").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
