@@ -67,13 +67,12 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf(SPANS)
 def _spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": a, "end": b} for a, b in spans(t or "")])
 
 
 def passage_spans(text: Column) -> Column:
-    return _spans(text)
+    return F.pandas_udf(_spans, SPANS)(text)
 
 
 def chunks(documents: DataFrame) -> DataFrame:

@@ -51,7 +51,6 @@ def is_quote(text: str, words: int) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
 def _is_quote(text: pd.Series, words: pd.Series) -> pd.Series:
     return pd.Series([t is not None and is_quote(t, w) for t, w in zip(text, words)], dtype=bool)
 
@@ -59,4 +58,4 @@ def _is_quote(text: pd.Series, words: pd.Series) -> pd.Series:
 def quote_flag(text: Column, words: Column) -> Column:
     """``is_quote`` as a column; Python sees only short texts with a dash or tilde."""
     worth = (words < QUOTE_WORDS) & text.rlike("[~\u2013\u2014-]")
-    return F.when(worth, _is_quote(F.when(worth, text), words)).otherwise(False)
+    return F.when(worth, F.pandas_udf(_is_quote, "boolean")(F.when(worth, text), words)).otherwise(False)

@@ -9,11 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
 def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def tidy(text: Column) -> Column:
     """Line ends, zero-width characters, other spaces, blank-line runs and outer blanks put in order; no composition."""
     x = F.regexp_replace(text, "\r\n?", "\n")
@@ -26,7 +30,7 @@ def tidy(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """NFC (only where a character beyond ASCII makes it matter), then ``tidy``."""
-    return tidy(F.when(text.rlike(r"[^\x00-\x7F]"), _nfc(text)).otherwise(text))
+    return tidy(F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_nfc, "string")(text)).otherwise(text))
 
 
 def content_hash(text: Column) -> Column:
@@ -62,9 +66,13 @@ def shingle_words(text: Column) -> Column:
 
 def shingles(words: Column, size: int = 5) -> Column:
     """The set of runs of ``size`` words; all words as one if there are fewer, nothing if there are none."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    return let(words, of)
 
 
 def indexed_text(title: Column, text: Column) -> Column:

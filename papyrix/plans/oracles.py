@@ -122,6 +122,16 @@ ORACLES: dict[str, str] = {
     "link_hosts": """
         WITH u AS (SELECT page_id, page_id % 3 AS k, regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages)
         SELECT page_id, k <> 0 AS usable, CASE WHEN k <> 0 THEN regexp_replace(lower(h), '^www\\.', '') END AS host FROM u""",
+    "page_meta": """
+        WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS t FROM pages)
+        SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS title FROM t""",
+    "page_text": """
+        WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS t FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)<!--.*?-->|<(script|style|nav|form|noscript)[^>]*>.*?</(script|style|nav|form|noscript)>', '', 'g'), '(?i)</?(p|div|section|article|h[1-6]|li|ul|ol|blockquote|pre|tr|table|br|hr|header|footer|figcaption|dd|dt)(\\s[^>]*)?/?>', chr(10)||chr(10), 'g') AS t FROM a),
+        c AS (SELECT page_id, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM b),
+        d AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&') AS t FROM c),
+        e AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '\\t', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{3,}', chr(10)||chr(10), 'g') AS t FROM d)
+        SELECT page_id, trim(t, ' '||chr(10)) AS text FROM e""",
     "post_records": """
         WITH c AS (SELECT *, 1577836800 + conv_id * 100 + turn AS second FROM conversations)
         SELECT 'your_posts_' || conv_id || '_' || turn || '.json' AS file, second || ':' || substr(sha256(text), 1, 12) AS native_key, text, second FROM c""",

@@ -78,7 +78,7 @@ def _query_vector(spark: SparkSession, sf: str) -> list[float]:
 
 def vector_top(spark: SparkSession, sf: str) -> DataFrame:
     got = vector.cosine_top(vectors(spark, sf), _query_vector(spark, sf), 50)
-    return got.select("doc_id", F.round("score", 4).alias("score"), "rank")
+    return got.select("doc_id", F.round(F.col("score").cast("double"), 4).alias("score"), "rank")
 
 
 def vector_normalise(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +202,7 @@ def link_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def link_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "ftp://x/y").when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?://", "HTTP://me@www.")).otherwise(F.col("url")).alias("u"))
+    rows = table(spark, sf, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "ftp://x/y").when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?://(www\\.)?", "HTTP://me@www.")).otherwise(F.col("url")).alias("u"))
     return rows.select("page_id", text.usable_url(F.col("u")).alias("usable"), F.when(text.usable_url(F.col("u")), text.host(F.col("u"))).alias("host"))
 
 

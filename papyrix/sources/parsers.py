@@ -58,7 +58,6 @@ def parse_text(spark, folder, files: DataFrame, manifest) -> DataFrame:
 _PAGE = "struct<title:string,author:string,url:string,published:timestamp,text:string>"
 
 
-@F.pandas_udf(_PAGE)
 def _page(markup: pd.Series) -> pd.DataFrame:
     rows = []
     for m in markup:
@@ -71,7 +70,7 @@ def _page(markup: pd.Series) -> pd.DataFrame:
 
 def page_struct(markup: Column) -> Column:
     """Metadata and raw content text of a page."""
-    return _page(markup)
+    return F.pandas_udf(_page, _PAGE)(markup)
 
 
 def parse_html(spark, folder, files: DataFrame, manifest) -> DataFrame:
@@ -91,14 +90,13 @@ def _is_site_date(line: str) -> bool:
     return False
 
 
-@F.pandas_udf("struct<title:string,date_line:string,text:string>")
 def _site(markup: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([html.site_page(m or "", _is_site_date) for m in markup], columns=["title", "date_line", "text"])
 
 
 def parse_htmlsite(spark, folder, files: DataFrame, manifest) -> DataFrame:
     """A hand-built site: dates from file names, else from the second heading."""
-    got = files.withColumn("p", _site(_utf8(F.col("content"))))
+    got = files.withColumn("p", F.pandas_udf(_site, "struct<title:string,date_line:string,text:string>")(_utf8(F.col("content"))))
     day = F.coalesce(text.filename_date(F.col("file")), text.heading_date(F.col("p.date_line")))
     title = F.coalesce(F.nullif(F.col("p.title"), F.lit("")), text.slug_title(F.col("file")))
     none = F.lit(None).cast("string")
