@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, near_dedup, packing, quality_classifier, quality_rules, simple8b, unigram, warc
+from . import exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, simple8b, unigram, warc
 from .common import table
 
 
@@ -45,6 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy repeats of every line of all documents."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_dup_components(table(spark, sf_dir, "documents"))
@@ -56,7 +60,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op9_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op8_line_dedup, op9_near_dedup, op10_warc)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
