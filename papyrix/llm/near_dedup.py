@@ -66,9 +66,10 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     out = []
     powers, odd = _powers(size), np.arange(1, size + 1).astype(np.uint64) * _ODD
     n = len(word)
-    grams = np.zeros(max(n - size + 1, 0), np.uint64)
+    m = max(n - size + 1, 0)
+    grams = np.zeros(m, np.uint64)
     for j in range(size):
-        grams += mix(word[j : n - size + 1 + j] + odd[j]) * powers[j]
+        grams += mix(word[j : j + m] + odd[j]) * powers[j]
     grams = mix(grams)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:

@@ -239,6 +239,18 @@ def test_near_dedup(spark, empty):
     assert {r.doc_id for r in near_dedup.drop_near_copies(docs).collect()} == {find(i) for i in ids} | {None}
 
 
+@pytest.mark.parametrize("n", range(8))
+def test_shingles_of_a_batch_of_few_words(n):
+    text = " ".join(f"w{i}" for i in range(n)).encode()
+    alone, beside = near_dedup.shingle_sets([text]), near_dedup.shingle_sets([b"", text, b"more words than a shingle has here"])
+    assert len(alone[0]) == (max(n - 4, 1) if n else 0) and alone[0].tolist() == beside[1].tolist()
+
+
+def test_near_dedup_of_three_words(spark):
+    docs = spark.createDataFrame([(1, "only three words"), (2, None), (3, "")], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.n_shingles, r.kept) for r in near_dedup.near_dup_components(docs).collect()) == [(1, 1, True), (2, 0, True), (3, 0, True)]
+
+
 def test_line_dedup(spark, empty):
     long = "the quick brown fox jumps over the lazy dog and then walks slowly home along the river bank"
     rows = [(1, f"{long}\nunique line of one\n\n"), (2, f"intro line here\n{long}!\n{long}"), (3, long.replace("slowly", "slowlx")), (4, None), (5, "short\nshort"), (6, "other words entirely in this one line")]
