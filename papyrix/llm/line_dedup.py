@@ -2,10 +2,13 @@
 
 Equal lines are one class. A class is signed by one-permutation MinHash: its character shingles are hashed once and sorted,
 and read from evenly spaced points of the circle of hashes. The hashes that follow a point are the minima of one more
-permutation, so a point stands for what a permutation of its own would cost. The minima of a band together open a list. In
-a list every class meets four of its members (the least and greatest id, and the least under two permutations of ids), so
-a list costs a bounded number of comparisons a member.
-Met classes are compared exactly on all their character shingles, and linked ones united.
+permutation, so a point stands for what a permutation of its own would cost. The minima of a band together open a list.
+Lines of many words are signed by the shingles at word starts, lines of few words or with a long unbroken one by all their
+shingles. Short lines meet besides by the rarest of all their shingles, which any two linked ones must share.
+
+Met classes are compared exactly on all their character shingles, and linked ones united. In a list every class first meets
+four of its members (the least and greatest id, and the least under two permutations of ids). What that links is contracted
+into components, and then all classes of different components that share a list are compared, block by block.
 """
 
 from __future__ import annotations
@@ -20,20 +23,28 @@ from .components import connected_components
 
 #: Characters of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 8, 80
-#: Bands and minima of a band: as many hashes in turn after the band's point. Signatures take the shingles at word starts,
-#: which sample all alike in both lines; at a similarity of 0.8 two lines share no band with a chance of about
-#: (1 - 0.8 ** 3) ** 9 = 0.0016. A letter of a script without spaces and a run of punctuation are words of their own.
-BANDS, ROWS = 9, 3
+#: Bands and minima of a band: as many hashes in turn after the band's point. At a similarity of 0.8 of the signed sets two
+#: lines share no band with a chance of about (1 - 0.8 ** 4) ** 16 = 0.0002 where the set is much larger than ROWS * BANDS.
+BANDS, ROWS = 16, 4
+#: Shingles at word starts sample all alike in both lines if there are many. Lines of MANY_WORDS words are signed by them;
+#: those of fewer than FEW_WORDS, or with an unbroken run of LONG_WORD characters, by all shingles, and those between both ways.
+MANY_WORDS, FEW_WORDS, LONG_WORD = 30, 45, 24
+#: Characters of lines among which no link is lost.
+SHORT = 57
 
 #: More lines than a text can have.
 LINES = 1 << 31
 
+#: Classes of one list that are compared with another such block.
+BLOCK = 512
+
 #: Lines (some 40 bytes each) that are broadcast to find their texts again rather than joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 
 _RANDOM = random.Random(8)
 _TURNS = [_RANDOM.getrandbits(40) for _ in range(2)]
 _AT_WORDS = r"(?s)(?=(.{1,%d}))(?:[\x{2E80}-\x{10FFFF}]|[0-9A-Za-z\x{80}-\x{2E7F}]+|[^0-9A-Za-z \t\x{80}-\x{10FFFF}]+)" % SHINGLE
+_LONG = r"[0-9A-Za-z\x{80}-\x{2E7F}]{%d}|[^0-9A-Za-z \t\x{80}-\x{10FFFF}]{%d}" % (LONG_WORD, LONG_WORD)
 _ALL = r"(?s)(?=(.{%d}))" % SHINGLE
 VISIBLE = r"[^\x20\x09-\x0D]"
 
@@ -60,16 +71,60 @@ def points(n: int) -> list[int]:
 
 
 def signed_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with k0, k1 .. (the bands' keys) in place of their text."""
+    """``lines`` with k0, k1 .. (the bands' keys, null where a line is not signed so) in place of their text."""
     at = points(BANDS)
     keep = [c for c in lines.columns if c != "line"]
-    hashed = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_AT_WORDS), F.lit(1)), lambda s: F.xxhash64(s))))
-    rows = lines.select(*keep, hashed.alias("hashes"))
+    starts = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_AT_WORDS), F.lit(1)), lambda s: F.xxhash64(s)))
+    rows = lines.select(*keep, "line", starts.alias("starts"))
+    whole = (F.size("starts") < FEW_WORDS) | F.col("line").rlike(_LONG)
+    none = F.array().cast("array<bigint>")
+    rows = rows.select(*keep, F.when(F.size("starts") >= MANY_WORDS, F.sort_array("starts")).otherwise(none).alias("h0"), F.when(whole, F.sort_array(shingle_set(F.col("line")))).otherwise(none).alias("h1"))
     # Where a point falls among the sorted hashes tells how many are before it.
-    rows = rows.select(*keep, "hashes", F.size("hashes").alias("n"), F.sort_array(F.concat("hashes", F.array(*[F.lit(p) for p in at]))).alias("placed"))
-    rows = rows.select(*keep, "hashes", "n", *[(F.array_position("placed", p) - (i + 1)).cast("int").alias(f"before{i}") for i, p in enumerate(at)])
-    after = lambda i, j: F.get("hashes", (F.col(f"before{i}") + j) % F.col("n"))
-    return rows.select(*keep, *[F.xxhash64(F.lit(b), *[after(b, j) for j in range(ROWS)]).alias(f"k{b}") for b in range(BANDS)])
+    placed = lambda h: F.sort_array(F.concat(h, F.array(*[F.lit(p) for p in at])))
+    rows = rows.select(*keep, "h0", "h1", *[F.when(F.size(h) > 0, placed(h)).alias(f"{h}_placed") for h in ("h0", "h1")])
+    before = lambda h, i: (F.array_position(f"{h}_placed", at[i]) - (i + 1)).cast("int")
+    rows = rows.select(*keep, "h0", "h1", *[before(h, i).alias(f"{h}_before{i}") for h in ("h0", "h1") for i in range(BANDS)])
+    after = lambda h, b, j: F.get(h, (F.col(f"{h}_before{b}") + j) % F.size(h))
+    key = lambda h, k, b: F.when(F.size(h) > 0, F.xxhash64(F.lit(k), *[after(h, b, j) for j in range(ROWS)])).alias(f"k{k}")
+    return rows.select(*keep, *[key(h, n * BANDS + b, b) for n, h in enumerate(("h0", "h1")) for b in range(BANDS)])
+
+
+def short_keys(lines: DataFrame, percent: int) -> DataFrame:
+    """Rows (digest, key) of the distinct lines of SHORT characters or fewer: of n shingles, rarest first, as many as must
+    hold one that a linked line shares among its own (n less the least intersection, and one)."""
+    short = lines.filter(F.length("line") <= SHORT).select("line").distinct().select(digest(F.col("line")).alias("digest"), shingle_set(F.col("line")).alias("s"))
+    parts = short.select("digest", F.explode("s").alias("h"))
+    often = parts.groupBy("h").agg(F.count("*").alias("m"))
+    rows = parts.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("s"))
+    prefix = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
+    rows = rows.select("digest", F.explode(F.slice("s", F.lit(1), prefix)).alias("p")).filter("p.m > 1")
+    return rows.select("digest", F.xxhash64(F.lit(2 * BANDS), "p.h").alias("key"))
+
+
+def compared(met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``met`` that are linked by all shingles of their ``texts``."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
+    # Texts, not their sets, are brought together: they are a tenth in size. Lengths rule pairs out before sets are made.
+    span = lambda c: F.greatest(F.length(c) - (SHINGLE - 1), F.lit(1))
+    near = (100 * span("la") >= percent * F.size("sb")) & (100 * span("lb") >= percent * F.size("sa"))
+    pairs = met.join(left, "a").join(right, "b").select("a", "b", "la", "lb", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb")).filter(near)
+    pairs = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return pairs.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def apart(bands: DataFrame, components: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) of nodes of different components that share a list of ``bands`` (node, key)."""
+    found = components.select("node", F.col("component").alias("comp"))
+    rows = bands.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most and m > 3").select("key", "m")  # lists of three are done
+    # A list of more than BLOCK classes is dealt into blocks, and each pair of blocks is one group.
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = rows.join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "comp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
+    left = rows.select("key", "low", "high", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("side").alias("sa"))
+    right = rows.select("key", "low", "high", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("side").alias("sb"))
+    return left.join(right, ["key", "low", "high"]).filter("a < b and ca <> cb and (low = high or sa <> sb)").select("a", "b").distinct()
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -83,10 +138,11 @@ def line_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")
     seen = signed_lines(lines.select(digest(F.col("line")).alias("digest"), "doc_id", place.alias("place"), "line"))
     first_no = F.pmod(F.min("place"), F.lit(LINES).cast("decimal(10,0)")).cast("int").alias("first_no")
-    signed = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), first_no, (F.count("*") > 1).alias("repeated"), *[F.max(f"k{b}").alias(f"k{b}") for b in range(BANDS)])
-    keys = F.array(*[f"k{b}" for b in range(BANDS)])
+    signed = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), first_no, (F.count("*") > 1).alias("repeated"), *[F.max(f"k{b}").alias(f"k{b}") for b in range(2 * BANDS)])
+    keys = F.array_compact(F.array(*[f"k{b}" for b in range(2 * BANDS)]))
     classes = scratch.keep(signed.select(F.monotonically_increasing_id().alias("node"), "digest", "first_doc", "first_no", "repeated", keys.alias("keys")), "classes")
-    bands = classes.select("node", F.explode("keys").alias("key"))
+    rare = classes.select("node", "digest").join(short_keys(lines, percent), "digest").select("node", "key")
+    bands = scratch.keep(classes.select("node", F.explode("keys").alias("key")).union(rare), "keys")
     # Most lists hold one class, so their keys are counted first and only shared ones go on.
     shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared")
     bands = scratch.keep(bands.join(shared, "key"), "bands")
@@ -100,13 +156,9 @@ def line_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame,
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
     texts = lines.withColumn("digest", digest(F.col("line"))).join(wanted, "digest").groupBy("node").agg(F.max("line").alias("line"))
     texts = scratch.keep(texts, "texts")
-    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    # Texts, not their sets, are brought together: they are a tenth in size. Lengths rule pairs out before sets are made.
-    span = lambda c: F.greatest(F.length(c) - (SHINGLE - 1), F.lit(1))
-    near = (100 * span("la") >= percent * F.size("sb")) & (100 * span("lb") >= percent * F.size("sa"))
-    pairs = met.join(left, "a").join(right, "b").select("a", "b", "la", "lb", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb")).filter(near)
-    pairs = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    links = pairs.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    links = scratch.keep(compared(met, texts, percent), "links0")
+    rest = apart(bands, connected_components(links, scratch, "first")).join(met, ["a", "b"], "left_anti")
+    links = links.union(compared(scratch.keep(rest, "rest"), texts, percent))
     found = connected_components(scratch.keep(links, "links"), scratch, "lines")
     mine = classes.select("node", "digest", "first_doc", "first_no", "repeated").join(found, "node", "left").select("digest", "first_doc", "first_no", "repeated", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
     # Only lines with company need to know of it; least of a component by document, then digest.

@@ -262,6 +262,54 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def line_links(lines):
+    """Brute force: components of lines by Jaccard of all 8-character shingles, each by its least number."""
+    sets = [{x[i : i + 8] for i in range(max(len(x) - 7, 1))} for x in lines]
+    root = list(range(len(lines)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(lines)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(i) for i in range(len(lines))]
+
+
+def kept_lines(spark, lines):
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(2)
+    return [k for _, k in sorted((r.doc_id, r.keep_doc_id) for r in line_dedup.line_dedup(docs).collect())]
+
+
+def sparse_lines():
+    """Lines without spaces, and short lines one word apart."""
+    rng = np.random.default_rng(5)
+    thai = "".join(chr(0xE01 + c) for c in rng.integers(0, 46, 120))
+    code = "".join("0123456789abcdef"[c] for c in rng.integers(0, 16, 200))
+    lines = [thai, "\u0e2e" + thai[1:], code, "f" + code, "=" * 40 + "+-" * 20, "#" + "=" * 39 + "+-" * 20]
+    for n in [*range(4, 14)] * 4:
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(n)]
+        lines += [" ".join(words), " ".join(words[:-1] + ["".join(chr(97 + c) for c in rng.integers(0, 26, 2))])]
+    return lines
+
+
+def template_lines(n=120):
+    """Variants of one template with a near copy of each."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    shared = [word() for _ in range(60)]
+    lines = []
+    for _ in range(n):
+        own = [word() for _ in range(8)]
+        lines += [" ".join(shared + own), " ".join(shared + own[:-1] + [word()])]
+    return lines
+
+
+@pytest.mark.parametrize("make", [sparse_lines, template_lines])
+def test_line_dedup_loses_no_link(spark, make):
+    lines = make()
+    assert kept_lines(spark, lines) == line_links(lines)
+
+
 def test_warc(spark, tmp_path):
     page = "<html>" + "ü" * 100
     pages = spark.createDataFrame([(1, "http://a", page), (2, "http://b", page), (3, None, None), (4, "http://c", "tiny"), (5, "http://d", "tiny"), (None, "u", page)], "page_id long, url string, html string")
