@@ -3,7 +3,8 @@
 Beside the base rules each document is measured with a public vocabulary: characters per token, share of byte-fallback
 tokens, and entropy of its tokens. A language (or, where none is named, a script) has a band for each measure and length
 class (powers of two of the tokens), taken from the medians and median absolute deviations of all its documents, and a
-document outside a band is rejected.
+document outside a band is rejected. A class of few documents takes its band from the language's nearest larger one,
+widened by what a straight line through the medians of its classes adds on the way.
 """
 
 from __future__ import annotations
@@ -29,11 +30,11 @@ WINDOW = 5
 #: Base rule: fewer words, or a larger share of repeated-window words in percent, fail.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Band half-width in robust standard deviations of the language and length class.
-BAND_SIGMAS = 6.0
+BAND_SIGMAS = 4.0
 #: Least half-widths: a class whose documents hardly differ does not reject on noise.
 LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy_loss": 0.3}
-#: A class of n documents has a band wider by the factor 1 + FEW / n, for its own median is uncertain.
-FEW = 10
+#: A class of fewer documents does not tell its own band.
+ENOUGH = 30
 
 _SCRIPTS = ["Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai"]
 _SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in _SCRIPTS]
@@ -133,12 +134,36 @@ def fertility_metrics(docs: DataFrame, vocab: str | None = None) -> DataFrame:
 
 
 def fertility_bands(metrics: DataFrame) -> DataFrame:
-    """Per band key and measure: the median, and the robust deviation of all documents that have words."""
+    """Per band key and measure: the median, and the robust deviation of all documents that have words.
+
+    Where fewer than ENOUGH documents share a band, both come from the nearest larger class of the language (or script), or
+    from all its classes if none is larger. How medians change with the length class is a line through them, and the band
+    reaches from the nearest class's median to where the line would lead (slack: half of that way).
+    """
     names = list(LEAST)
     some = metrics.filter("n_tokens > 0").select("band", *names)
     mid = some.groupBy("band").agg(F.count("*").alias("n_docs"), *[F.percentile_approx(n, 0.5, 1000).alias(f"{n}_mid") for n in names])
     off = some.join(mid, "band").groupBy("band").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"{n}_mid")), 0.5, 1000).alias(f"{n}_mad") for n in names])
-    return mid.join(off, "band")
+    own = mid.join(off, "band").withColumn("named", F.regexp_extract("band", "(?s)^(.*)/", 1)).withColumn("x", F.regexp_extract("band", r"(\d+)$", 1).cast("double"))
+    # From here on a row is a class.
+    weight = F.when((F.col("n_docs") >= ENOUGH) | (F.col("most") < ENOUGH), F.col("n_docs")).otherwise(F.lit(0)).cast("double")
+    rows = own.join(own.groupBy("named").agg(F.max("n_docs").alias("most")), "named").withColumn("w", weight)
+    mean = lambda c: F.sum(F.col("w") * c) / F.sum("w")
+    x = F.col("x")
+    line = rows.groupBy("named").agg(
+        mean(x).alias("mx"), mean(x * x).alias("mxx"),
+        *[f for n in names for f in (mean(F.col(f"{n}_mid")).alias(f"{n}_my"), mean(x * F.col(f"{n}_mid")).alias(f"{n}_mxy"), mean(F.col(f"{n}_mad")).alias(f"{n}_spread"))],
+    )
+    across = F.col("mxx") - F.col("mx") * F.col("mx")
+    slope = lambda n: F.when(across > 1e-9, (F.col(f"{n}_mxy") - F.col("mx") * F.col(f"{n}_my")) / across).otherwise(F.lit(0.0))
+    # Every class beside its nearest one that tells a band: itself, if it does.
+    given = rows.filter("w > 0").select("named", F.col("x").alias("at"), *[F.col(f"{n}_{k}").alias(f"at_{n}_{k}") for n in names for k in ("mid", "mad")])
+    near = own.select("band", "named", "n_docs", "x").join(given, "named").groupBy("band", "named", "n_docs", "x")
+    near = near.agg(F.min_by(F.struct(*[c for c in given.columns if c != "named"]), F.struct(F.abs(x - F.col("at")), "at")).alias("g")).join(line, "named")
+    away = x - F.col("g.at")
+    mids = [(F.col(f"g.at_{n}_mid") + slope(n) * away / 2).alias(f"{n}_mid") for n in names]
+    mads = [F.when(away == 0, F.col(f"g.at_{n}_mad")).otherwise(F.greatest(F.col(f"g.at_{n}_mad"), F.col(f"{n}_spread"))).alias(f"{n}_mad") for n in names]
+    return near.select("band", "n_docs", *mids, *mads, *[F.abs(slope(n) * away / 2).alias(f"{n}_slack") for n in names])
 
 
 def quality_verdicts(docs: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -152,7 +177,7 @@ def quality_verdicts(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     judged = metrics.join(fertility_bands(metrics), "band", "left")
     inside = F.lit(True)
     for name, least in LEAST.items():
-        width = F.greatest(F.lit(least), BAND_SIGMAS * 1.4826 * F.col(f"{name}_mad")) * (1 + FEW / F.col("n_docs"))
+        width = F.greatest(F.lit(least), BAND_SIGMAS * 1.4826 * F.col(f"{name}_mad")) + F.col(f"{name}_slack")
         away = F.col(name) - F.col(f"{name}_mid")
         # Few byte-fallback tokens are no fault; the other measures reject on either side.
         inside &= F.coalesce((away if name == "byte_share" else F.abs(away)) <= width, F.lit(True))

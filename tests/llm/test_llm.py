@@ -117,6 +117,17 @@ def test_quality_rules(docs, empty):
     assert quality_rules.drop_rejected(docs).columns == docs.columns
 
 
+def test_a_long_document_alone_in_its_class_is_judged(spark):
+    rng = np.random.default_rng(3)
+    words = ["tea", "house", "river", "stone", "light", "walk", "green", "often", "the", "and", "winter", "morning"] + [f"{a}{b}" for a in "abcdefgh" for b in ("and", "ing", "ter", "al")]
+    text = lambda n: " ".join(rng.choice(words, n))
+    odd = " ".join("".join(chr(0x13000 + c) for c in rng.integers(0, 900, 3)) for _ in range(900))
+    docs = spark.createDataFrame([(i, text(n), "xx") for i, n in enumerate([90] * 40 + [180] * 40 + [360] * 40)] + [(900, odd, "xx"), (901, text(4000), "xx")], "doc_id long, text string, lang string")
+    got = by_id(quality_rules.quality_rules(docs))
+    assert not got[900].base_failed and not got[900].kept
+    assert sum(got[i].kept for i in range(120)) >= 114
+
+
 def test_unigram_matches_the_library(docs, empty):
     """The public file's model type is switched from BPE to unigram, and its own scores are used."""
     import sentencepiece
