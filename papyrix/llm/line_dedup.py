@@ -1,58 +1,54 @@
 """Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions alone.
 
-Equal lines are one class. A class is signed by one-permutation MinHash: its character shingles are hashed once and sorted,
+Equal lines are one class, and a class is signed once by one-permutation MinHash: its character shingles are hashed and sorted,
 and read from evenly spaced points of the circle of hashes. The hashes that follow a point are the minima of one more
 permutation, so a point stands for what a permutation of its own would cost. The minima of a band together open a list.
-Lines of many words are signed by the shingles at word starts, lines of few words or with a long unbroken one by all their
-shingles. Short lines meet besides by the rarest of all their shingles, which any two linked ones must share.
+Lines of many words are signed by the shingles that follow a space, lines of few or long words by all their shingles, and short
+lines besides by more and shorter bands.
 
-Met classes are compared exactly on all their character shingles, and linked ones united. In a list every class first meets
-four of its members (the least and greatest id, and the least under two permutations of ids). What that links is contracted
-into components, and then all classes of different components that share a list are compared, block by block.
+Classes that met are compared exactly, on all their character shingles. First each class meets the least class of the list
+heads that it shares most lists with. What that links is contracted into components, and of the classes of different components
+that share a list each meets the one it shares most lists with. What is then still apart is compared pair by pair; in long
+lists a sketch of the union tells which pairs can be linked at all.
 """
 
 from __future__ import annotations
 
-import random
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .candidates import list_blocks, mixed_lists, small_pairs
 from .common import Scratch, prepare
 from .components import connected_components
 
 #: Characters of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 8, 80
 #: Bands and minima of a band: as many hashes in turn after the band's point. At a similarity of 0.8 of the signed sets two
-#: lines share no band with a chance of about (1 - 0.8 ** 4) ** 16 = 0.0002 where the set is much larger than ROWS * BANDS.
-BANDS, ROWS = 16, 4
-#: Shingles at word starts sample all alike in both lines if there are many. Lines of MANY_WORDS words are signed by them;
-#: those of fewer than FEW_WORDS, or with an unbroken run of LONG_WORD characters, by all shingles, and those between both ways.
-MANY_WORDS, FEW_WORDS, LONG_WORD = 30, 45, 24
-#: Characters of lines among which no link is lost.
-SHORT = 57
-
-#: More lines than a text can have.
-LINES = 1 << 31
-
-#: Classes of one list that are compared with another such block.
-BLOCK = 512
-
-#: Lines (some 40 bytes each) that are broadcast to find their texts again rather than joined by a shuffle.
-BROADCAST_LINES = 1_000_000
-
-_RANDOM = random.Random(8)
-_TURNS = [_RANDOM.getrandbits(40) for _ in range(2)]
-_AT_WORDS = r"(?s)(?=(.{1,%d}))(?:[\x{2E80}-\x{10FFFF}]|[0-9A-Za-z\x{80}-\x{2E7F}]+|[^0-9A-Za-z \t\x{80}-\x{10FFFF}]+)" % SHINGLE
-_LONG = r"[0-9A-Za-z\x{80}-\x{2E7F}]{%d}|[^0-9A-Za-z \t\x{80}-\x{10FFFF}]{%d}" % (LONG_WORD, LONG_WORD)
-_ALL = r"(?s)(?=(.{%d}))" % SHINGLE
+#: lines share no band with a chance of about (1 - 0.8 ** 3) ** 12 = 0.0002 where the set is much larger than ROWS * BANDS.
+BANDS, ROWS = 12, 3
+#: Sets of so many shingles are signed twice more, with bands of SHORT_ROWS.
+SHORT, SHORT_ROWS = 50, 2
+#: Shingles after spaces sample all alike in both lines if there are many. Lines of MANY_WORDS distinct ones are signed by them;
+#: those of fewer than FEW_WORDS, or of more than LONG_WORDS characters to each, by all shingles, and those between both ways.
+MANY_WORDS, FEW_WORDS, LONG_WORDS = 30, 45, 10
+#: Members up to which all pairs of a list are compared exactly. Those of longer lists are estimated by the least SKETCH hashes
+#: of both first, and compared if the estimate falls short of the threshold by at most ERRORS standard errors.
+SMALL, SKETCH, ERRORS = 16, 48, 4.0
+#: Ids of classes (8 bytes each) that are broadcast to find their lines again rather than joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+_AFTER_SPACE = r"(?s) (?=(.{1,%d}))" % SHINGLE
 VISIBLE = r"[^\x20\x09-\x0D]"
+_NO_DOC = (1 << 63) - 1
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, line_no, line) of the lines of ``docs`` that hold more than white space; null texts have none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.filter(F.col("line").rlike(VISIBLE))
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Rows (row, doc_id, line_no, line) of the lines of ``rows`` (row, doc_id, text) that hold more than white space; null
+    texts have none."""
+    lines = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    return lines.filter(F.col("line").rlike(VISIBLE)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def digest(line) -> F.Column:
@@ -60,9 +56,12 @@ def digest(line) -> F.Column:
 
 
 def shingle_set(line) -> F.Column:
-    """Hashes of all character shingles of a line; the line itself if it is shorter than one."""
-    parts = F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
-    return F.array_distinct(F.transform(parts, lambda s: F.xxhash64(s)))
+    """Hashes of all character shingles of a line; the line itself if it is shorter than one.
+
+    Four bytes a character make a shingle a slice of bytes, found without counting characters from the start."""
+    last = F.greatest(4 * (F.length(line) - SHINGLE) + 1, F.lit(1))
+    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, 4 * SHINGLE))))
+    return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
 def points(n: int) -> list[int]:
@@ -70,123 +69,140 @@ def points(n: int) -> list[int]:
     return [((2 * i + 1) << 63) // n - (1 << 63) for i in range(n)]
 
 
-def signed_lines(lines: DataFrame) -> DataFrame:
-    """``lines`` with k0, k1 .. (the bands' keys, null where a line is not signed so) in place of their text."""
+def band_keys(classes: DataFrame) -> DataFrame:
+    """Rows (node, key): the BANDS keys of each set that signs a class of ``classes`` (node, line)."""
     at = points(BANDS)
-    keep = [c for c in lines.columns if c != "line"]
-    starts = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_AT_WORDS), F.lit(1)), lambda s: F.xxhash64(s)))
-    rows = lines.select(*keep, "line", starts.alias("starts"))
-    whole = (F.size("starts") < FEW_WORDS) | F.col("line").rlike(_LONG)
-    none = F.array().cast("array<bigint>")
-    rows = rows.select(*keep, F.when(F.size("starts") >= MANY_WORDS, F.sort_array("starts")).otherwise(none).alias("h0"), F.when(whole, F.sort_array(shingle_set(F.col("line")))).otherwise(none).alias("h1"))
-    # Where a point falls among the sorted hashes tells how many are before it.
-    placed = lambda h: F.sort_array(F.concat(h, F.array(*[F.lit(p) for p in at])))
-    rows = rows.select(*keep, "h0", "h1", *[F.when(F.size(h) > 0, placed(h)).alias(f"{h}_placed") for h in ("h0", "h1")])
-    before = lambda h, i: (F.array_position(f"{h}_placed", at[i]) - (i + 1)).cast("int")
-    rows = rows.select(*keep, "h0", "h1", *[before(h, i).alias(f"{h}_before{i}") for h in ("h0", "h1") for i in range(BANDS)])
-    after = lambda h, b, j: F.get(h, (F.col(f"{h}_before{b}") + j) % F.size(h))
-    key = lambda h, k, b: F.when(F.size(h) > 0, F.xxhash64(F.lit(k), *[after(h, b, j) for j in range(ROWS)])).alias(f"k{k}")
-    return rows.select(*keep, *[key(h, n * BANDS + b, b) for n, h in enumerate(("h0", "h1")) for b in range(BANDS)])
-
-
-def short_keys(lines: DataFrame, percent: int) -> DataFrame:
-    """Rows (digest, key) of the distinct lines of SHORT characters or fewer: of n shingles, rarest first, as many as must
-    hold one that a linked line shares among its own (n less the least intersection, and one)."""
-    short = lines.filter(F.length("line") <= SHORT).select("line").distinct().select(digest(F.col("line")).alias("digest"), shingle_set(F.col("line")).alias("s"))
-    parts = short.select("digest", F.explode("s").alias("h"))
-    often = parts.groupBy("h").agg(F.count("*").alias("m"))
-    rows = parts.join(often, "h").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("m", "h"))).alias("s"))
-    prefix = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
-    rows = rows.select("digest", F.explode(F.slice("s", F.lit(1), prefix)).alias("p")).filter("p.m > 1")
-    return rows.select("digest", F.xxhash64(F.lit(2 * BANDS), "p.h").alias("key"))
-
-
-def compared(met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ``met`` that are linked by all shingles of their ``texts``."""
+    spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
+    starts = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_AFTER_SPACE), F.lit(1)), lambda s: F.xxhash64(s)))
+    rows = classes.select("node", "line", F.when(spaces >= MANY_WORDS, starts).alias("starts")).withColumn("n", F.coalesce(F.size("starts"), F.lit(0)))
+    whole = (F.col("n") < FEW_WORDS) | (F.length("line") > LONG_WORDS * F.col("n"))
+    rows = rows.select("node", F.when(F.col("n") >= MANY_WORDS, F.col("starts")).alias("starts"), F.when(whole, shingle_set(F.col("line"))).alias("all"))
+    short = F.when(F.size("all") <= SHORT, F.col("all"))
+    sets = [F.col("starts"), F.col("all"), short, F.transform(short, lambda x: F.xxhash64(x))]
+    rows = rows.select("node", F.explode(F.array(*[F.when(h.isNotNull(), F.struct(F.lit(k).alias("kind"), F.sort_array(h).alias("h"))) for k, h in enumerate(sets)])).alias("s"))
+    rows = rows.filter("s is not null").select("node", "s.kind", "s.h")
+    # Where a point falls among the sorted hashes tells how many are before it. One set a row keeps the compiled code small.
+    rows = rows.select("node", "kind", "h", F.sort_array(F.concat("h", F.array(*[F.lit(p) for p in at]))).alias("placed"))
+    rows = rows.select("node", "kind", "h", F.size("h").alias("n"), *[(F.array_position("placed", p) - (i + 1)).cast("int").alias(f"before{i}") for i, p in enumerate(at)])
+    after = lambda b, j: F.get("h", (F.col(f"before{b}") + j) % F.col("n"))
+    held = lambda b, j: after(b, j) if j < SHORT_ROWS else F.when(F.col("kind") < 2, after(b, j))
+    return rows.select("node", F.explode(F.array(*[F.xxhash64(F.col("kind"), F.lit(b), *[held(b, j) for j in range(ROWS)]) for b in range(BANDS)])).alias("key"))
+
+
+def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose lines in ``texts`` (node, line) are linked by all their shingles."""
     left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    # Texts, not their sets, are brought together: they are a tenth in size. Lengths rule pairs out before sets are made.
-    span = lambda c: F.greatest(F.length(c) - (SHINGLE - 1), F.lit(1))
-    near = (100 * span("la") >= percent * F.size("sb")) & (100 * span("lb") >= percent * F.size("sa"))
-    pairs = met.join(left, "a").join(right, "b").select("a", "b", "la", "lb", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb")).filter(near)
-    pairs = pairs.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return pairs.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def apart(bands: DataFrame, components: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) of nodes of different components that share a list of ``bands`` (node, key)."""
-    found = components.select("node", F.col("component").alias("comp"))
-    rows = bands.join(found, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most and m > 3").select("key", "m")  # lists of three are done
-    # A list of more than BLOCK classes is dealt into blocks, and each pair of blocks is one group.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.join(mixed, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "node", "comp", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"))
-    left = rows.select("key", "low", "high", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("side").alias("sa"))
-    right = rows.select("key", "low", "high", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("side").alias("sb"))
-    return left.join(right, ["key", "low", "high"]).filter("a < b and ca <> cb and (low = high or sa <> sb)").select("a", "b").distinct()
-
-
-def line_components(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(lines, classes): the lines of ``docs`` with their digest, and per digest with company the document, number and digest
-    of the line that stays for its component: the one met in the least doc_id, of those the one with the least digest."""
-    spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "line-dedup")
-    lines = lines_of(docs)
-    # Equal lines have equal signatures, so a class needs no shuffle of texts. Its first place is one number, document before
-    # line, so that hash aggregation can hold it.
-    place = F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(LINES).cast("decimal(10,0)") + F.col("line_no")
-    seen = signed_lines(lines.select(digest(F.col("line")).alias("digest"), "doc_id", place.alias("place"), "line"))
-    first_no = F.pmod(F.min("place"), F.lit(LINES).cast("decimal(10,0)")).cast("int").alias("first_no")
-    signed = seen.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), first_no, (F.count("*") > 1).alias("repeated"), *[F.max(f"k{b}").alias(f"k{b}") for b in range(2 * BANDS)])
-    keys = F.array_compact(F.array(*[f"k{b}" for b in range(2 * BANDS)]))
-    classes = scratch.keep(signed.select(F.monotonically_increasing_id().alias("node"), "digest", "first_doc", "first_no", "repeated", keys.alias("keys")), "classes")
-    rare = classes.select("node", "digest").join(short_keys(lines, percent), "digest").select("node", "key")
-    bands = scratch.keep(classes.select("node", F.explode("keys").alias("key")).union(rare), "keys")
-    # Most lists hold one class, so their keys are counted first and only shared ones go on.
-    shared = scratch.keep(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared")
-    bands = scratch.keep(bands.join(shared, "key"), "bands")
-    turn = lambda c, m: F.col(c).bitwiseXOR(F.lit(m))
-    lists = bands.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), *[F.min(turn("node", t)).bitwiseXOR(F.lit(t)).alias(f"n{i + 2}") for i, t in enumerate(_TURNS)])
-    met = bands.join(lists, "key").select("node", F.explode(F.array_distinct(F.array("n0", "n1", "n2", "n3"))).alias("other")).filter("node <> other")
-    met = scratch.keep(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "met")
-    # Exact comparison on all shingles of the classes met.
-    nodes = met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.keep(classes.select("node", "digest").join(nodes, "node"), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_LINES else wanted
-    texts = lines.withColumn("digest", digest(F.col("line"))).join(wanted, "digest").groupBy("node").agg(F.max("line").alias("line"))
-    texts = scratch.keep(texts, "texts")
-    links = scratch.keep(compared(met, texts, percent), "links0")
-    rest = apart(bands, connected_components(links, scratch, "first")).join(met, ["a", "b"], "left_anti")
-    links = links.union(compared(scratch.keep(rest, "rest"), texts, percent))
-    found = connected_components(scratch.keep(links, "links"), scratch, "lines")
-    mine = classes.select("node", "digest", "first_doc", "first_no", "repeated").join(found, "node", "left").select("digest", "first_doc", "first_no", "repeated", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
-    # Only lines with company need to know of it; least of a component by document, then digest.
-    linked = mine.filter("linked")
-    best = linked.groupBy("component").agg(F.min(F.struct(F.coalesce("first_doc", F.lit((1 << 63) - 1)).alias("d"), "digest", "first_doc", "first_no")).alias("k"))
-    linked = linked.join(best, "component").select("digest", F.col("k.first_doc").alias("keep_doc_id"), F.col("k.first_no").alias("keep_no"), F.col("k.digest").alias("keep_digest"))
-    alone = mine.filter("not linked and repeated").select("digest", F.col("first_doc").alias("keep_doc_id"), F.col("first_no").alias("keep_no"), F.col("digest").alias("keep_digest"))
-    return lines.select("doc_id", "line_no", digest(F.col("line")).alias("digest")), scratch.keep(linked.unionByName(alone), "company")
+    # Texts, not their sets, are brought together: they are a tenth in size.
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
+    met = met.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+    return met.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def promising(na, nb, sa, sb, percent: int) -> F.Column:
+    """Whether two sets of ``na`` and ``nb`` hashes with the sketches ``sa`` and ``sb`` may be linked: by their sizes, and by the
+    share of the least hashes of the union that both hold. Sets that fit into their sketches are known whole, without error."""
+    p = percent / 100
+    union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, SKETCH)
+    both = F.size(F.array_intersect(union, F.array_intersect(sa, sb)))
+    least = F.when(F.greatest(na, nb) <= SKETCH, p - 1e-9).otherwise(p - ERRORS * math.sqrt(p * (1 - p) / SKETCH))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (both >= least * F.least(F.lit(SKETCH), F.greatest(na, nb)))
+
+
+def long_pairs(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of different components in the lists of ``mixed`` whose estimate may pass, block by block."""
+    sets = texts.join(mixed.select(F.col("rep").alias("node")).distinct(), "node").select(F.col("node").alias("rep"), F.sort_array(shingle_set(F.col("line"))).alias("s"))
+    sets = sets.select("rep", F.size("s").alias("n"), F.slice("s", 1, SKETCH).alias("sketch"))
+    rows = list_blocks(mixed.join(sets, "rep"), "n", "sketch")
+    side = lambda s: rows.select("key", "low", "high", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "sketch", "side")])
+    near = promising(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
+    pairs = side("a").join(side("b"), ["key", "low", "high"]).filter("rep_a < rep_b and comp_a <> comp_b and (low = high or side_a <> side_b)").filter(near)
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
+def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose ends are in different components."""
+    comp = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rows = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    return rows.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
+
+
+def line_links(lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes, components) of ``lines`` (row, doc_id, line_no, line): classes (node, digest, first, repeated, line), ``first``
+    being the document, line, digest and row where it is met first; components (node, component) of the linked ones."""
+    place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "row")
+    seen = lines.select(digest(F.col("line")).alias("digest"), place.alias("place"), "line").groupBy("digest")
+    seen = seen.agg(F.min("place").alias("p"), (F.count("*") > 1).alias("repeated"), F.any_value("line").alias("line"))
+    first = F.struct("p.doc", "p.line_no", "digest", "p.row").alias("first")
+    classes = scratch.keep(seen.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "line"), "classes")
+    # Most lists hold one class. Members are dealt out by key once, counted, and joined with the counts where they lie.
+    dealt = band_keys(classes).repartition("key")
+    lists = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1").select("key", "head")
+    bands = scratch.keep(dealt.join(lists.hint("shuffle_hash"), "key"), "bands")
+    met = scratch.keep(bands.select("node").distinct(), "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
+    texts = scratch.keep(classes.select("node", "line").join(met, "node"), "texts")
+    # Of the heads of its lists, the one with which a class shares most of them.
+    shared = bands.filter("head < node").groupBy("node", "head").agg(F.count("*").alias("n")).groupBy("node")
+    tried = scratch.keep(shared.agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b")), "first")
+    links = scratch.keep(linked(tried, texts, percent), "links0")
+    comps = connected_components(links, scratch, "cc0").select("node", "component")
+    members = bands.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    mixed = scratch.keep(mixed_lists(members), "mixed")
+    some = small_pairs(mixed, SMALL)
+    some = some.unionByName(long_pairs(mixed.filter(F.col("m") > SMALL), texts, percent).withColumn("shared", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    rest = scratch.keep(some.join(tried, ["a", "b"], "left_anti"), "rest")
+    # Of those still apart, for each class the one with which it shares most lists.
+    best = lambda c: rest.groupBy(c).agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+    second = scratch.keep(best("a").union(best("b")).distinct(), "second")
+    links = scratch.keep(links.union(linked(second, texts, percent)), "links1")
+    third = still_apart(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), connected_components(links, scratch, "cc1"))
+    links = scratch.keep(links.union(linked(scratch.keep(third, "third"), texts, percent)), "links2")
+    return classes, connected_components(links, scratch, "cc2")
+
+
+def _decided(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Per visible line of ``rows`` (row, doc_id, text): row, doc_id, line_no, digest, kept (a struct as ``first``, null for a
+    line without company) and whether it is that line."""
+    lines = lines_of(rows)
+    classes, found = line_links(lines, scratch, percent)
+    mine = classes.select("node", "digest", "first", "repeated").join(found, "node", "left").select("digest", "first", "repeated", "component")
+    together = mine.filter("component is not null")
+    best = together.groupBy("component").agg(F.min("first").alias("kept"))
+    company = together.join(best, "component").select("digest", "kept").unionByName(mine.filter("component is null and repeated").select("digest", F.col("first").alias("kept")))
+    marked = lines.select("row", "doc_id", "line_no", digest(F.col("line")).alias("digest")).join(scratch.keep(company, "company"), "digest", "left")
+    here = F.col("kept").isNull() | ((F.col("kept.row") == F.col("row")) & (F.col("kept.line_no") == F.col("line_no")))
+    return marked.select("row", "doc_id", "line_no", "digest", "kept", here.alias("stays"))
+
+
+def _row_id(docs: DataFrame) -> F.Column:
+    """Tells rows apart by doc_id and text, and by nothing more, for a table may be read twice in any order."""
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per visible line of ``docs`` (doc_id, text): doc_id, line_no (from 0), keep_doc_id and keep_digest of the line that
-    stays for it, and whether it is that line. Of the kept line's repeats in its document the first stays.
+    """Per visible line of ``docs`` (doc_id, text): doc_id, line_no (from 0), keep_doc_id, keep_line_no and keep_digest of the
+    line that stays for it, and whether it is that line.
 
-    Lines without visible characters are no lines here. A null doc_id comes after all others. Documents that share a
-    doc_id may keep one line each. An empty table gives no rows; other columns are not read.
+    Of a component of linked lines one line stays: that of the least doc_id (null after all others), in it the first. Rows
+    that share a doc_id are told apart by their text; rows alike in both have results alike. Lines without visible characters
+    are no lines here, and null texts have none. Lines of any length are compared whole. An empty table gives no rows; other
+    columns are not read.
     """
-    lines, company = line_components(docs, percent)
-    rows = lines.join(company, "digest", "left")
-    alone = F.col("keep_digest").isNull()
-    chosen = F.col("keep_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keep_no") == F.col("line_no")) & (F.col("keep_digest") == F.col("digest"))
-    keep_doc = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_doc_id")).alias("keep_doc_id")
-    return rows.select("doc_id", "line_no", keep_doc, F.lower(F.hex(F.coalesce("keep_digest", "digest"))).alias("keep_digest"), (alone | chosen).alias("kept"))
+    spark = prepare(docs.sparkSession)
+    rows = _decided(docs.select(_row_id(docs).alias("row"), "doc_id", "text"), percent, Scratch(spark, "line-dedup"))
+    doc = F.when(F.col("kept").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("kept.doc"), F.lit(_NO_DOC)))
+    return rows.select("doc_id", "line_no", doc.alias("keep_doc_id"), F.coalesce("kept.line_no", "line_no").alias("keep_line_no"), F.lower(F.hex(F.coalesce("kept.digest", "digest"))).alias("keep_digest"), F.col("stays").alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with the lines that do not stay taken out of their texts; blank lines and other columns are as before."""
-    gone = line_dedup(docs, percent).filter("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))  # a document's lines
-    rows = docs.join(gone, "doc_id", "left")
-    parts = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col("__gone"), i), F.lit(False)))
+    """``docs`` with the lines that do not stay taken out of their texts; blank lines, null texts and other columns are as
+    before. Rows are told apart by their place in the table, which is written to the shared folder first, so rows that share
+    a doc_id, or repeat a text, or have no id lose their own lines alone."""
+    spark = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "line-dedup")
+    stored = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    gone = _decided(stored.select(F.col("__row").alias("row"), "doc_id", "text"), percent, scratch).filter("not stays")
+    gone = gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("line_no").alias("__gone"))  # a text's lines
+    rows = stored.join(gone, "__row", "left")
+    parts = F.filter(F.split("text", "\n"), lambda line, i: ~F.coalesce(F.array_contains(F.col("__gone"), i.cast("long")), F.lit(False)))
     return rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(parts, "\n"))).select(*docs.columns)
