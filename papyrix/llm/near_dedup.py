@@ -1,13 +1,13 @@
 """Operator 9: near-duplicate documents by bottom-k sketches of one hash function.
 
-A document is the set of hashes of its 5-word shingles. Its sketch is the least k of them. Documents that share none of
-their least values with another drop out by inverted lists of single values; the others meet in inverted lists of several
-retained values taken together, which a shared passage does not fill. Candidates are estimated from the sketch of their
-union, and those that may pass are verified on full sets.
-
-No group is ever expanded into all its pairs. Documents with equal sets are one class from the start. In a list every
-class is first compared with the list's least class alone; what that links is contracted into components, and only classes
-of different components are compared further, block by block.
+A document is the set of hashes of its 5-word shingles. Its sketch is the least k of them. Inverted lists of the least retained
+values generate overlaps: how many of them two documents both hold. A value that many documents hold (a shared passage, a huge
+group of copies) has too long a list for that, so it is split: its documents meet in lists of several retained values taken
+together. Candidates are estimated from the sketch of their union, and those that may pass are verified on full sets.
+
+No long list is expanded into all its pairs. Documents with equal sets are one class from the start. Every class is first
+compared with the least class of the list that it shares most lists with; what that links is contracted into components, and
+only classes of different components are compared further.
 """
 
 from __future__ import annotations
@@ -16,27 +16,25 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetable import concat, mix, span_hashes, word_spans
+from .candidates import compared_lists, mixed_lists, promising, small_pairs
 from .common import Scratch, prepare
 from .components import connected_components
 
 WORDS = 5
 #: Link when PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Retained values: for the sketch, and those of them that open inverted lists. At a similarity of 0.85 two documents
-#: share none of ten values with a chance of 0.15 ** 10.
-SKETCH, LISTS = 128, 10
+#: Retained values: for the sketch, and those of them that open inverted lists. Of the least LISTS values of a union at a
+#: similarity of 0.85 both documents hold fewer than SHARED with a chance of 7e-8 (at 0.8: 5e-6), and such pairs are passed over.
+SKETCH, LISTS, SHARED = 256, 12, 3
+#: Members up to which an inverted list generates overlaps; documents with SHARED values in longer ones meet in compound lists.
+LONG = 32
 #: Compound lists: each takes BAND_BINS retained values together, the least ones of as many of BINS hash bins.
 BINS, BANDS, BAND_BINS = 64, 32, 6
-#: Retained values that the members of a list are compared by, and the standard errors by which an estimate may fall short.
-WIDE_SKETCH, ERRORS = 256, 4.0
-#: Classes of one list that a task compares with another such block.
-BLOCK = 512
 #: Ids of documents (8 bytes each) that are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -141,20 +139,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(_set_reader, "rep long, hashes binary").dropDuplicates(["rep", "hashes"])
 
 
-def least_estimate(percent: int, seen, union):
-    """The least share of ``seen`` values of a union of ``union`` that a linked pair may show: all of it is seen without
-    error, a part of it with that of drawing without replacement."""
-    p = percent / 100
-    return p - ERRORS * np.sqrt(p * (1 - p) / np.maximum(seen, 1) * np.clip(1 - seen / np.maximum(union, 1), 0, 1)) - 1e-9
-
-
-def promising(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets may be linked, by the sketch of their union: of its least values the share that both hold."""
-    union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
-    both = np.intersect1d(np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True), union, assume_unique=True).size
-    return both >= len(union) * least_estimate(percent, len(union), (len(a) + len(b)) / (1 + percent / 100))
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact rule on whole sets."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -163,83 +147,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return bool(both) and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verifier(percent: int):
+def _estimator(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(promising(a, b, percent) and linked(a, b, percent))
-            chosen = pa.array(keep, pa.bool_())
+            rows = zip(*(batch.column(n).to_pylist() for n in ("xa", "xb", "na", "nb")))
+            chosen = pa.array([promising(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, percent, SKETCH) for x, y, n, m in rows], pa.bool_())
             yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(chosen) for n in ("a", "b")})
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The distinct pairs (a, b) whose sets are linked: estimated from the sketches first, then exactly."""
-    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
-    near = (100 * F.least(F.octet_length("ha"), F.octet_length("hb"))) >= percent * F.greatest(F.octet_length("ha"), F.octet_length("hb"))
-    return pairs.distinct().join(left, "a").join(right, "b").filter(near).select("a", "b", "ha", "hb").mapInArrow(_verifier(percent), "a long, b long")
-
-
-def list_pairs(reps, comps, side, sizes, sketches: list[bytes], apart: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Of one list (or two blocks of one, on either ``side``): pairs of different components whose estimate may pass."""
-    top = np.iinfo(np.uint64).max
-    values = np.full((len(reps), WIDE_SKETCH), top, np.uint64)
-    for i, raw in enumerate(sketches):
-        values[i, : len(raw) // 8] = np.frombuffer(raw, np.uint64)
-    kept = np.minimum(sizes, WIDE_SKETCH)
-    known = np.arange(WIDE_SKETCH) < kept[:, None]
-    names, number = np.unique(values, return_inverse=True)
-    number = number.reshape(values.shape)
-    # A sketch tells of all values up to its last one, or of all there are if it holds the whole set.
-    reach = np.where(sizes > WIDE_SKETCH, values[np.arange(len(reps)), kept - 1], top)
-    found = []
-    for i in range(len(reps) - 1):
-        js = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (not apart)))
-        js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-        if not len(js):
-            continue
-        end = np.minimum(reach[js], reach[i])[:, None]
-        mine = np.zeros(len(names), bool)
-        mine[number[i, : kept[i]]] = True
-        theirs = known[js] & (values[js] <= end)
-        both = (mine[number[js]] & theirs).sum(1)
-        either = theirs.sum(1) + (known[i] & (values[i] <= end)).sum(1) - both
-        whole = np.where(end[:, 0] == top, either, (sizes[js] + sizes[i]) / (1 + percent / 100))
-        good = both >= either * least_estimate(percent, either, whole)
-        found += [(min(a, b), max(a, b)) for a, b in zip([int(reps[i])] * int(good.sum()), reps[js[good]].tolist())]
-    return found
-
-
-def _candidates(percent: int):
-    """Lists come sorted by their key, so each is whole when the next begins."""
-
+def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _with_end(batches):
-            rows = held if batch is None else batch.to_pandas() if held is None else pd.concat([held, batch.to_pandas()], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            name = rows[["key", "low", "high"]].to_numpy()
-            cuts = np.concatenate([[0], 1 + np.flatnonzero((name[1:] != name[:-1]).any(1)), [len(rows)]])
-            last = len(cuts) - 1 if batch is None else len(cuts) - 2
-            held = None if batch is None else rows.iloc[cuts[last] :]
-            reps, comps, side, sizes, sketches = (rows[c].to_numpy() for c in ("rep", "comp", "side", "n", "sketch"))
-            apart, found = rows["low"].to_numpy() != rows["high"].to_numpy(), set()
-            for a, b in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist()):
-                found.update(list_pairs(reps[a:b], comps[a:b], side[a:b], sizes[a:b], sketches[a:b], apart[a], percent))
-            pairs = sorted(found)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        for batch in batches:
+            pairs = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist())
+            chosen = pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(chosen) for n in ("a", "b")})
 
     return run
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+def sketches_of(sets: DataFrame) -> DataFrame:
+    """Rows (rep, n, sketch) of ``full_sets``."""
+    return sets.select("rep", F.expr("octet_length(hashes) div 8").alias("n"), F.expr(f"substring(hashes, 1, {8 * SKETCH})").alias("sketch")).filter("n > 0")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets are linked. Sketches meet first, and full sets only where the estimate may pass."""
+    side = lambda c, s: sketches_of(sets).select(F.col("rep").alias(c), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"x{s}"))
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").filter(near).select("a", "b", "xa", "xb", "na", "nb")
+    met = scratch.keep(met.mapInArrow(_estimator(percent), "a long, b long"), f"{name}-promising")
+    left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
+    right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
+    return scratch.keep(met.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(_verifier(percent), "a long, b long"), name)
 
 
 def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -258,34 +199,32 @@ def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = scratch.keep(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keyed = some.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "singles", "bands")
     keyed = scratch.keep(keyed, "keyed")
-    # Inverted lists of single retained values, then of several.
-    singles = keyed.select("rep", F.explode("singles").alias("key")).distinct()
-    met = singles.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    met = singles.join(met, "key").select("rep").distinct()
-    bands = keyed.select("rep", "bands").join(met, "rep").select("rep", F.explode("bands").alias("key")).distinct()
-    lists = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head"), F.max("rep").alias("tail")).filter("m > 1")
-    lists = scratch.keep(bands.join(lists, "key"), "lists")
-    # First every class against its list's head and tail, then components of what is linked.
-    ends = lists.select(F.explode(F.array(F.struct(F.col("head").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("tail").alias("b")))).alias("p"))
-    heads = ends.select("p.a", "p.b").filter("a < b").distinct()
-    involved = lists.select("rep").distinct()
-    sets = scratch.keep(full_sets(docs, involved), "sets")
-    first = scratch.keep(verify(heads, sets, percent), "links0")
-    comps = scratch.keep(connected_components(first, scratch, "first"), "comps0").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    # Then the classes of different components that meet in a list.
-    rows = lists.join(comps, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high and m > 3").select("key", "m")  # lists of three are done
-    sketches = sets.select("rep", F.expr(f"substring(hashes, 1, {8 * WIDE_SKETCH})").alias("sketch"), (F.octet_length("hashes") / 8).cast("long").alias("n")).filter("n > 0")
-    rows = rows.join(mixed, "key").join(sketches, "rep")
-    # A list of more than BLOCK classes is dealt into blocks, and each pair of blocks is one group.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "rep", "comp", "sketch", "n", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
-    more = rows.mapInArrow(_candidates(percent), "a long, b long").distinct()
+    # Inverted lists of retained values; those of long ones are split by several values.
+    singles = keyed.select("rep", F.explode("singles").alias("key")).repartition("key")
+    counts = singles.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1")
+    held = scratch.keep(singles.join(counts.hint("shuffle_hash"), "key"), "singles")
+    short = held.filter(F.col("m") <= LONG).select("key", "rep", "head", F.lit(True).alias("short"))
+    dense = scratch.keep(held.filter(F.col("m") > LONG).groupBy("rep").agg(F.count("*").alias("long")), "dense")
+    bands = keyed.select("rep", "bands").join(dense.filter(F.col("long") >= SHARED).select("rep"), "rep").select("rep", F.explode("bands").alias("key")).repartition("key")
+    compound = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1").select("key", "head")
+    compound = bands.join(compound.hint("shuffle_hash"), "key").select("key", "rep", "head", F.lit(False).alias("short"))
+    lists = scratch.keep(short.unionByName(compound), "lists")
+    # First every class against the head that it shares most lists with, then components of what is linked.
+    shared = lists.filter("head < rep").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep")
+    heads = scratch.keep(shared.agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("a")).select("a", F.col("rep").alias("b")), "heads")
+    sets = scratch.keep(full_sets(docs, lists.select("rep").distinct()), "sets")
+    first = verify(heads, sets, scratch, "links0", percent)
+    comps = connected_components(first, scratch, "first").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    # Then the classes of different components that meet in a list: overlaps in short lists, estimates in long ones.
+    members = lists.join(comps, "rep", "left").select("key", "short", "rep", F.coalesce("comp", "rep").alias("comp"))
+    overlaps = small_pairs(mixed_lists(members.filter("short")), LONG)
+    longs = lambda c: dense.select(F.col("rep").alias(c), F.col("long").alias(f"long_{c}"))
+    reach = F.col("shared") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    overlaps = overlaps.join(longs("a"), "a", "left").join(longs("b"), "b", "left").filter(reach >= SHARED).select("a", "b")
+    mixed = scratch.keep(mixed_lists(members.filter("not short")), "mixed")
+    more = overlaps.union(compared_lists(mixed.join(sketches_of(sets), "rep"), percent, SKETCH)).distinct()
     more = scratch.keep(more.join(heads, ["a", "b"], "left_anti"), "more")
-    links = first.unionByName(verify(more, sets, percent))
+    links = first.unionByName(verify(more, sets, scratch, "links", percent))
     final = connected_components(scratch.keep(links, "links1"), scratch, "final").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     final = classes.join(final, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(final, "digest", "left")
