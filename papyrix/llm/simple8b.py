@@ -170,13 +170,13 @@ def write_shards(docs: DataFrame, to: str, vocab: str | None = None, end_id: int
 
     Null texts count as empty, null doc_ids come first, equal doc_ids are ordered by text. The table's rows are shards
     in the binary format above, written through Spark's committer, so a retried task leaves no half-written file and any
-    store that Spark reaches will do. (part, shard) is the order of shards: parts are ascending ranges of doc_id.
+    store that Spark reaches will do. The column is stored as it is, for compression over it would hide the blocks' offsets. (part, shard) is the order of shards: parts are ascending ranges of doc_id.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     shards = ordered.mapInArrow(_writer(vocab or vocabulary("byte_bpe_50k.json"), end_id, shard_ids), SHARDS)
-    shards.write.mode("overwrite").option("compression", "zstd").parquet(to)
+    shards.write.mode("overwrite").option("compression", "uncompressed").parquet(to)
 
 
 def _reader(bases: dict[int, int]):
@@ -210,7 +210,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, vocab: str | None = None, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` as shards in the shared folder and read them back. An empty table gives no rows."""
+    """Write ``docs`` as shards in the shared folder and read them back.
+
+    Null texts hold the end id alone, repeated rows and null ids are written like others, and texts of any length are encoded
+    whole (a shard is closed after the document that fills it). An empty table gives no rows.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simple8b")
     write_shards(docs, scratch.path("shards"), vocab, end_id)

@@ -3,7 +3,7 @@
 The vocabulary's split pattern never joins a non-space run to what follows it, and takes at most one space from before
 it. Hence a text may be cut into chunks ``[ ]?non-spaces`` and white-space runs, encoded apart and joined, with the ids
 of the whole text. Chunks repeat, so most are known. Cuts are made on UTF-8 bytes at ASCII spaces; texts with other white
-space of the pattern's ``\\s`` are encoded whole.
+space of the pattern's ``\\s``, or with an added token in them, are encoded whole.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings inside a text are ordinary text
+        # The library cuts a text at added tokens before it splits it, so texts that hold one are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.table = ByteTable(self._measure, slots_log2, "<u4")
         (self.line_feed,) = self._ids("\n")
 
@@ -83,7 +84,7 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = {i: self._ids(t) for i, t in enumerate(texts) if not t.isascii() and _OTHER_SPACE.search(t)}
+        odd = {i: self._ids(t) for i, t in enumerate(texts) if any(a in t for a in self.added) or not t.isascii() and _OTHER_SPACE.search(t)}
         data, bounds = concat([b"" if i in odd else t.encode() for i, t in enumerate(texts)])
         if not len(data):
             return [odd.get(i, np.zeros(0, "<u4")) for i in range(len(texts))]
