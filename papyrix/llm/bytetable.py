@@ -37,25 +37,45 @@ def concat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ascending spans that do not overlap: sums of bytes weighted by their place in the span."""
-    lens = ends - starts
-    total = int(lens.sum())
-    if total == 0:
-        return mix(lens.astype(np.uint64) * _ODD)
+#: Bytes that are hashed at once: bounds the working memory, some thirty bytes for each.
+HASHED_AT_ONCE = 1 << 21
+
+
+def _span_sums(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """For each span the sum of its bytes weighted by their place."""
+    sums, total = np.zeros(len(lens), np.uint64), int(lens.sum())
+    if not total:
+        return sums
     first = np.cumsum(lens) - lens
     if total == len(data):
         inside = data
     else:
-        cover = np.zeros(len(data) + 1, np.int8)
-        cover[starts[lens > 0]] += 1
-        np.subtract.at(cover, ends[lens > 0], 1)
+        cover, some = np.zeros(len(data) + 1, np.int8), lens > 0
+        cover[starts[some]] += 1
+        np.subtract.at(cover, (starts + lens)[some], 1)
         inside = data[np.cumsum(cover[:-1], dtype=np.int8).astype(bool)]
     place = np.arange(total) - np.repeat(first, lens)
     terms = (inside.astype(np.uint64) + np.uint64(1)) * _multipliers(place)
-    sums = np.zeros(len(lens), np.uint64)
     some = np.flatnonzero(lens)
     sums[some] = np.add.reduceat(terms, first[some])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ascending spans that do not overlap: sums of bytes weighted by their place in the span."""
+    lens = ends - starts
+    sums, at = np.zeros(len(lens), np.uint64), 0
+    while at < len(lens):
+        if lens[at] > HASHED_AT_ONCE:  # a span of its own, by parts
+            for off in range(0, int(lens[at]), HASHED_AT_ONCE):
+                part = data[starts[at] + off : min(starts[at] + off + HASHED_AT_ONCE, ends[at])].astype(np.uint64) + np.uint64(1)
+                sums[at : at + 1] += (part * _multipliers(off + np.arange(len(part)))).sum(dtype=np.uint64)
+            at += 1
+            continue
+        upto = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED_AT_ONCE, side="right")))
+        low = int(starts[at])
+        sums[at:upto] = _span_sums(data[low : int(ends[upto - 1])], starts[at:upto] - low, lens[at:upto])
+        at = upto
     return mix(sums + lens.astype(np.uint64) * _ODD)
 
 
@@ -63,15 +83,19 @@ class ByteTable:
     """``measure(spans)`` gives an integer row for each distinct span; ``numbers`` and ``rows`` serve whole batches.
 
     When ``limit`` spans are known the table starts anew: that costs time and never changes a result, for numbers are
-    only compared within one batch.
+    only compared within one batch. A batch of more spans than that makes the table grow until it starts anew.
     """
 
+    #: Spans that are measured at once.
+    PART = 1 << 18
+
     def __init__(self, measure: Callable[[list[bytes]], list[np.ndarray]], slots_log2: int = 22, dtype="<i4"):
-        self.measure, self.slots, self.dtype = measure, 1 << slots_log2, dtype
-        self.limit = int(self.slots * 0.6)
+        self.measure, self.least, self.dtype = measure, 1 << slots_log2, dtype
+        self.limit = int(self.least * 0.6)
         self._clear()
 
     def _clear(self) -> None:
+        self.slots = self.least
         self.keys, self.number = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
         self.check = np.zeros(self.slots, np.uint32)
         self.starts, self.lens, self.flat = np.zeros(4096, np.int64), np.zeros(4096, np.int32), np.zeros(1 << 14, self.dtype)
@@ -129,14 +153,28 @@ class ByteTable:
                 out[still] = self._find(keys[still], check[still])
         return out
 
+    def _grow(self, n: int) -> None:
+        """Room for ``n`` spans, those known being put in their new places."""
+        used = np.flatnonzero(self.number >= 0)
+        held = self.keys[used], self.check[used], self.number[used]
+        while n > 0.6 * self.slots:
+            self.slots *= 2
+        self.keys, self.number = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.check = np.zeros(self.slots, np.uint32)
+        self._insert(*held)
+
     def _learn(self, data, starts, ends, keys, check, which) -> None:
+        if len(which) > self.PART:
+            for at in range(0, len(which), self.PART):
+                self._learn(data, starts, ends, keys, check, which[at : at + self.PART])
+            return
         raw = data.tobytes() if len(which) > 64 else data
         spans = [bytes(raw[s:e]) for s, e in zip(starts[which].tolist(), ends[which].tolist())]
         rows = self.measure(spans)
         lens = np.array([len(r) for r in rows], np.int64)
         total, n = int(lens.sum()), len(which)
         if self.count + n > 0.9 * self.slots:
-            raise ValueError("a batch has more distinct spans than the table holds")
+            self._grow(self.count + n)
         self.starts, self.lens, self.flat = self._room(self.starts, self.count + n), self._room(self.lens, self.count + n), self._room(self.flat, self.used + total)
         self.lens[self.count : self.count + n] = lens
         self.starts[self.count : self.count + n] = self.used + np.cumsum(lens) - lens
