@@ -31,6 +31,8 @@ WRITE_SCHEMA = "record_type string, record_id string, target_uri string, date st
 _HEADER_OF = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "content_type": "content-type", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: Compressed bytes after which a writer opens another file: bounds what one reading task gets.
 ROLL_BYTES = 64 << 20
+#: Lengths above this are left out of a member's header, which has 32 bits for them.
+MOST_STATED = 0xFFFFFFFF
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed value: every record written here carries this date, so equal input gives equal files.
 _DATE = "2000-01-01T00:00:00Z"
@@ -43,11 +45,14 @@ def _store(path: str):
 
 
 def member(record: bytes) -> bytes:
-    """One gzip member with the skip length (compressed and raw) in its header."""
+    """One gzip member with the skip length (compressed and raw) in its header, where 32 bits can state both."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = packer.compress(record) + packer.flush()
     size = 12 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\x02\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    stated = max(size, len(record)) <= MOST_STATED
+    head = b"\x1f\x8b\x08" + (b"\x04" if stated else b"\0") + b"\0" * 4 + b"\x02\xff"
+    if stated:
+        head += struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(record))
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -91,7 +96,7 @@ class Files(InputPartition):
 
 
 class _Input:
-    """A file read by pieces, with a byte count and a push-back buffer."""
+    """A file read by pieces, with a push-back buffer."""
 
     def __init__(self, stream):
         self.stream, self.held = stream, b""
@@ -115,62 +120,86 @@ class _Input:
             self.stream.seek(self.stream.tell() + n - got)
 
 
-def _gzip_records(f: _Input, wants) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and blocks of a member-per-record file; blocks only where ``wants(headers)``."""
-    while start := f.exactly(12):
-        if len(start) < 12 or start[:3] != b"\x1f\x8b\x08":
+class _Member:
+    """What a gzip member of ``source`` holds, read by pieces like a file; ``source`` stands after it once ``close`` is called.
+
+    ``size`` and ``raw`` are the member's compressed and plain lengths, if its header states them.
+    """
+
+    def __init__(self, source: _Input):
+        self.source, self.inflate, self.held = source, zlib.decompressobj(-15), b""
+        self.size = self.raw = None
+        start = source.exactly(10)
+        if len(start) < 10 or start[:3] != b"\x1f\x8b\x08":
             raise ValueError("not a gzip member")
-        used, size = 12, None
-        if start[3] & 4:
-            (n,) = struct.unpack("<H", start[10:12])
-            extra = f.exactly(n)
-            used += n
+        self.used, flags = 10, start[3]
+        if flags & 4:
+            (n,) = struct.unpack("<H", source.exactly(2))
+            extra = source.exactly(n)
+            self.used += 2 + n
             while len(extra) >= 4:
                 (m,) = struct.unpack("<H", extra[2:4])
                 if extra[:2] == b"sl" and m == 8:
-                    size = struct.unpack("<I", extra[4:8])[0]
+                    self.size, self.raw = struct.unpack("<II", extra[4:12])
                 extra = extra[4 + m :]
-        else:
-            f.back(start[10:])
-            used = 10
         for bit in (8, 16):
-            if start[3] & bit:
-                while f.exactly(1) not in (b"\0", b""):
-                    used += 1
-                used += 1
-        if start[3] & 2:
-            f.exactly(2)
-            used += 2
-        inflate, text, fed = zlib.decompressobj(-15), b"", 0
-        while b"\r\n\r\n" not in text and not inflate.eof:
-            data = inflate.unconsumed_tail or f.exactly(2048 if size is None else min(2048, size - used - fed))
-            if not data:
-                raise ValueError("a WARC record ends within its header")
-            fed += 0 if inflate.unconsumed_tail else len(data)
-            text += inflate.decompress(data, 4096)
-        head, _, rest = text.partition(b"\r\n\r\n")
-        headers = parse_headers(head)
-        if not wants(headers) and size is not None:
-            f.skip(size - used - fed)
-            yield headers, None
-            continue
-        parts = [rest]
-        while not inflate.eof:
-            data = inflate.unconsumed_tail or f.exactly(1 << 16 if size is None else min(1 << 16, size - used - fed))
+            while flags & bit:
+                self.used += 1
+                if source.exactly(1) in (b"\0", b""):
+                    break
+        if flags & 2:
+            source.exactly(2)
+            self.used += 2
+
+    def more(self, n: int = 1 << 16) -> bytes:
+        got, self.held = self.held, b""
+        while not got and not self.inflate.eof:
+            data = self.inflate.unconsumed_tail
             if not data:
-                raise ValueError("a WARC record ends within its block")
-            fed += 0 if inflate.unconsumed_tail else len(data)
-            parts.append(inflate.decompress(data))
-        f.back(inflate.unused_data)
-        f.exactly(8)
-        yield headers, b"".join(parts)[: int(headers.get("content-length", 0))] if wants(headers) else None
+                data = self.source.exactly(n if self.size is None else min(n, self.size - self.used))
+                self.used += len(data)
+                if not data:
+                    raise ValueError("a gzip member ends too early")
+            got = self.inflate.decompress(data, 1 << 20)
+        return got
 
+    def back(self, data: bytes) -> None:
+        self.held = data + self.held
+
+    def exactly(self, n: int) -> bytes:
+        parts, left = [], n
+        while left and (data := self.more(min(left, 1 << 16))):
+            parts.append(data[:left])
+            self.back(data[left:])
+            left -= len(parts[-1])
+        return b"".join(parts)
 
-def _plain_records(f: _Input, wants) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    def skip(self, n: int) -> None:
+        while n and (data := self.more()):
+            self.back(data[n:])
+            n -= min(n, len(data))
+
+    def holds_only(self, plain: int) -> bool:
+        """Whether the member is known to hold one record of ``plain`` bytes and its two line ends."""
+        return self.size is not None and self.raw == plain + 4
+
+    def close(self) -> None:
+        """Go to the member's end: at once where its length is stated, else through what is left of it."""
+        if self.size is not None and not self.inflate.eof:
+            return self.source.skip(self.size - self.used)
+        self.held = b""
+        while self.more():
+            pass
+        self.source.back(self.inflate.unused_data)
+        self.source.exactly(8)
+
+
+def _plain_records(f, wants) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and blocks of the records of a file or member; blocks only where ``wants(headers)``."""
     while True:
         text = b""
         while b"\r\n\r\n" not in text:
-            if not (data := f.more()):
+            if not (data := f.more(2048)):
                 if text.strip():
                     raise ValueError("a WARC record ends within its header")
                 return
@@ -180,10 +209,24 @@ def _plain_records(f: _Input, wants) -> Iterator[tuple[dict[str, str], bytes | N
         headers = parse_headers(head)
         n = int(headers.get("content-length", 0))
         if wants(headers):
-            yield headers, f.exactly(n)
-        else:
-            f.skip(n)
-            yield headers, None
+            block = f.exactly(n)
+            if len(block) < n:
+                raise ValueError("a WARC record ends within its block")
+            yield headers, block
+            continue
+        yield headers, None
+        if isinstance(f, _Member) and f.holds_only(len(head) + 4 + n):
+            return
+        f.skip(n)
+
+
+def _gzip_records(f: _Input, wants) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """The records of all members, however many a member holds."""
+    while start := f.exactly(1):
+        f.back(start)
+        member = _Member(f)
+        yield from _plain_records(member, wants)
+        member.close()
 
 
 def read_records(stream, wants=lambda headers: True) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -227,9 +270,12 @@ class WarcReader(DataSourceReader):
             return [Files(self.path, [""])]
         infos = store.get_file_info(fs.FileSelector(root))
         sizes = {i.base_name: i.size or 0 for i in infos if i.type == fs.FileType.File}
-        if "_files.json" in sizes:  # what the writer committed, and nothing else
-            with store.open_input_stream(f"{root}/_files.json") as f:
-                listed = json.loads(f.read())
+        # What writers committed, each in a listing of its own, and nothing else; all archives where there is no listing.
+        if listings := [n for n in sizes if n.startswith("_files") and n.endswith(".json")]:
+            listed = []
+            for name in listings:
+                with store.open_input_stream(f"{root}/{name}") as f:
+                    listed += json.loads(f.read())
         else:
             listed = [n for n in sizes if n.endswith((".warc", ".warc.gz"))]
         out: list[list[str]] = []
@@ -268,10 +314,11 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task attempt writes files of its own; the commit lists those that count, so retries leave no doubles."""
+    """Each task attempt writes files of its own; a commit lists those that count, so retries leave no doubles. Listings add
+    up: a folder holds what all its commits list, or after an overwrite what that one does."""
 
-    def __init__(self, options):
-        self.path = options["path"]
+    def __init__(self, options, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
@@ -294,9 +341,15 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs
+
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/_files.json") as f:
+        if self.overwrite:  # what was there before counts no more
+            for i in store.get_file_info(fs.FileSelector(root)):
+                if i.base_name.startswith("_files") and i.base_name.endswith(".json"):
+                    store.delete_file(i.path)
+        with store.open_output_stream(f"{root}/_files-{uuid.uuid4().hex[:16]}.json") as f:
             f.write(json.dumps(sorted(n for m in messages if m for n in m.names)).encode())
 
     def abort(self, messages) -> None:
@@ -320,7 +373,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -335,7 +388,8 @@ LEAST_SHARED = 100
 
 def archive_rows(pages: DataFrame) -> DataFrame:
     """Records of ``pages`` (page_id, url, html): of equal payloads of at least LEAST_SHARED bytes the one with the least
-    page_id is a response and the others revisit it. Null html is an empty payload, null page_ids never revisit."""
+    page_id is a response and the others revisit it. Null html is an empty payload, null page_ids never revisit. A hot payload
+    reaches the join as one row of its digest, against which adaptive execution splits its pages."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("large", F.octet_length("payload") >= LEAST_SHARED)
     shared = rows.filter("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
