@@ -180,21 +180,81 @@ def _viterbi(model: UnigramModel, units: list[bytes]) -> list[np.ndarray]:
     who, piece, start, end = (np.concatenate(x[::-1]) for x in zip(*steps)) if steps else (np.zeros(0, np.int64),) * 4
     order = np.argsort(who, kind="stable")  # steps were turned round, so each text's own run from its start
     who, piece, start, end = who[order], piece[order], start[order], end[order]
-    lone = piece < 0
+    piece, times = _with_bytes(model, piece, start, end, lambda w, i: text[who[w], i])
+    return np.split(piece, np.cumsum(np.bincount(who, weights=times, minlength=n).astype(np.int64))[:-1])
+
+
+def _with_bytes(model: UnigramModel, piece: np.ndarray, start: np.ndarray, end: np.ndarray, byte_at) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of path steps and how many each has, -1 being an unknown character: its byte pieces, or the unknown id."""
+    times, lone = np.ones(len(piece), np.int64), piece < 0
     if lone.any() and len(model.byte_ids):
         times = np.where(lone, end - start, 1)
-        first = np.cumsum(times) - times
-        within = np.arange(int(times.sum())) - np.repeat(first, times)
-        who, piece, lone = np.repeat(who, times), np.repeat(piece, times), np.repeat(lone, times)
-        piece[lone] = model.byte_ids[text[who[lone], (np.repeat(start, times) + within)[lone]]]
-    piece = np.where(piece < 0, model.unknown_id, piece).astype("<i4")
-    return np.split(piece, np.cumsum(np.bincount(who, minlength=n))[:-1])
+        within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        step, piece, lone = np.repeat(np.arange(len(times)), times), np.repeat(piece, times), np.repeat(lone, times)
+        piece[lone] = model.byte_ids[byte_at(step[lone], (start[step] + within)[lone])]
+    return np.where(piece < 0, model.unknown_id, piece).astype("<i4"), times
+
+
+#: Bytes of a unit from which it is searched alone, and those whose matches are found at once.
+LONG_UNIT, MATCHED = 96, 1 << 16
+
+
+def _matches(model: UnigramModel, text: np.ndarray, width: np.ndarray, first: int, last: int):
+    """Steps (start, end, piece or -1) that begin at the bytes from ``first`` to ``last``, by start, short pieces first."""
+    base, check, value = model.trie.base, model.trie.check, model.trie.value
+    starts = first + np.flatnonzero(width[first:last] > 0)
+    rows, state, single = starts, np.zeros(len(starts), np.int64), np.zeros(last - first, bool)
+    found = []
+    for d in range(model.longest):
+        on = rows + d < len(text)
+        rows, state = rows[on], state[on]
+        to = base[state] + text[rows + d]
+        ok = check[to] == state
+        rows, state = rows[ok], to[ok]
+        if not len(rows):
+            break
+        hit = value[state] >= 0
+        at = rows[hit]
+        found.append((at, np.full(len(at), d + 1), value[state[hit]]))
+        single[at[width[at] == d + 1] - first] = True
+    lone = starts[~single[starts - first]]
+    found.append((lone, np.minimum(width[lone], len(text) - lone), np.full(len(lone), -1)))
+    start, length, piece = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(start, kind="stable")
+    return start[order], start[order] + length[order], piece[order]
+
+
+def _long_path(model: UnigramModel, unit: bytes) -> np.ndarray:
+    """The best path of one long unit, as of a script without spaces: matches are found for many places at once, and each is
+    looked at once, so the time grows with the length alone."""
+    text = np.frombuffer(unit, "u1").astype(np.int64)
+    n = len(text)
+    width = np.select([text < 0x80, text < 0xC0, text < 0xE0, text < 0xF0], [1, 0, 2, 3], 4)
+    best, back, by = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+    best[0] = 0.0
+    scores = np.append(model.scores, model.unknown_score)  # -1 is the last
+    for first in range(0, n, MATCHED):
+        last = min(n, first + MATCHED)
+        start, end, piece = _matches(model, text, width, first, last)
+        reach = min(n, last + max(model.longest, 4)) + 1
+        top, came, what = best[first:reach].tolist(), back[first:reach].tolist(), by[first:reach].tolist()
+        for s, e, p, score in zip((start - first).tolist(), (end - first).tolist(), piece.tolist(), scores[piece].tolist()):
+            got = top[s] + score
+            if got > top[e]:
+                top[e], came[e], what[e] = got, s + first, p
+        best[first:reach], back[first:reach], by[first:reach] = top, came, what
+    ends, at, before = [], n, memoryview(back)
+    while at > 0:
+        ends.append(at)
+        at = before[at]
+    end = np.array(ends[::-1], np.int64)
+    return _with_bytes(model, by[end].astype(np.int64), back[end].astype(np.int64), end, lambda step, i: text[i])[0]
 
 
 def viterbi_units(model: UnigramModel, units: list[bytes]) -> list[np.ndarray]:
-    """Ids of each unit; units are grouped by length, so that a long one pads no short ones."""
-    order = sorted(range(len(units)), key=lambda i: len(units[i]))
-    out: list[np.ndarray] = [None] * len(units)  # type: ignore[list-item]
+    """Ids of each unit; short units are grouped by length, so that a long one pads no short ones."""
+    out: list[np.ndarray] = [_long_path(model, u) if len(u) > LONG_UNIT else None for u in units]  # type: ignore[list-item]
+    order = sorted((i for i, u in enumerate(units) if len(u) <= LONG_UNIT), key=lambda i: len(units[i]))
     at = 0
     while at < len(order):
         cap = max(1, len(units[order[at]])) * 1.3 + 2
