@@ -35,6 +35,8 @@ BAND_SIGMAS = 4.0
 LEAST = {"chars_per_token": 0.1, "byte_share": 0.05, "entropy_loss": 0.3}
 #: A class of fewer documents does not tell its own band.
 ENOUGH = 30
+#: Bands (a hundred bytes each) that are broadcast to the documents; more, as of a column with endless languages, are shuffled.
+BROADCAST_BANDS = 100_000
 
 _SCRIPTS = ["Latin", "Cyrillic", "Greek", "Arabic", "Hebrew", "Devanagari", "Han", "Hiragana", "Katakana", "Hangul", "Thai"]
 _SCRIPT = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in _SCRIPTS]
@@ -133,7 +135,12 @@ def fertility_metrics(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     return rows.mapInArrow(_measurer(vocab or vocabulary("piece_bpe_32k.model")), METRICS)
 
 
-def fertility_bands(metrics: DataFrame) -> DataFrame:
+def _small(bands: DataFrame) -> DataFrame:
+    """A stored table of bands, broadcast if it is known to be small."""
+    return F.broadcast(bands) if bands.count() <= BROADCAST_BANDS else bands
+
+
+def fertility_bands(metrics: DataFrame, scratch: Scratch) -> DataFrame:
     """Per band key and measure: the median, and the robust deviation of all documents that have words.
 
     Where fewer than ENOUGH documents share a band, both come from the nearest larger class of the language (or script), or
@@ -143,7 +150,8 @@ def fertility_bands(metrics: DataFrame) -> DataFrame:
     names = list(LEAST)
     some = metrics.filter("n_tokens > 0").select("band", *names)
     mid = some.groupBy("band").agg(F.count("*").alias("n_docs"), *[F.percentile_approx(n, 0.5, 1000).alias(f"{n}_mid") for n in names])
-    off = some.join(mid, "band").groupBy("band").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"{n}_mid")), 0.5, 1000).alias(f"{n}_mad") for n in names])
+    mid = scratch.keep(mid, "medians")
+    off = some.join(_small(mid), "band").groupBy("band").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"{n}_mid")), 0.5, 1000).alias(f"{n}_mad") for n in names])
     own = mid.join(off, "band").withColumn("named", F.regexp_extract("band", "(?s)^(.*)/", 1)).withColumn("x", F.regexp_extract("band", r"(\d+)$", 1).cast("double"))
     # From here on a row is a class.
     weight = F.when((F.col("n_docs") >= ENOUGH) | (F.col("most") < ENOUGH), F.col("n_docs")).otherwise(F.lit(0)).cast("double")
@@ -170,11 +178,13 @@ def quality_verdicts(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     """Measures and verdicts of every row of ``docs``; other columns than doc_id, text and lang are not read.
 
     Null texts have no words and fail the base rule. Documents without lang are banded by script. Repeated rows get
-    repeated verdicts. An empty table gives no rows.
+    repeated verdicts, and count repeatedly in their band. Texts of any length are measured whole. A document on the edge of
+    its band is inside. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     metrics = scratch.keep(fertility_metrics(docs, vocab), "metrics")
-    judged = metrics.join(fertility_bands(metrics), "band", "left")
+    # A band holds up to all documents, so they are not dealt out by it: the bands go to them.
+    judged = metrics.join(_small(scratch.keep(fertility_bands(metrics, scratch), "bands")), "band", "left")
     inside = F.lit(True)
     for name, least in LEAST.items():
         width = F.greatest(F.lit(least), BAND_SIGMAS * 1.4826 * F.col(f"{name}_mad")) + F.col(f"{name}_slack")
