@@ -41,6 +41,13 @@ TEMPLATES = {
     "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "lgpl": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "agpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"],
+    "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
+    "bsl": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
+    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
     "as-is": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"],
 }
 
@@ -82,7 +89,8 @@ def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] =
 
     ``spans`` is an array of (label, template, first, last, votes, cover): a run of neighbouring diagonals, from its first
     to its last document word, with the votes it got and the share of the template's words that its matches cover. Rows
-    are told apart by doc_id and text, so repeated rows give repeated results. Null texts have no words.
+    have results of their own, so repeated rows give repeated results. Null texts have no words. Texts of any length are
+    scanned whole; other columns, whatever their names, are not read. Spans come in the order of label, template and place.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
@@ -102,11 +110,14 @@ def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] =
     votes = met.select("row", "doc_id", first.alias("doc"), F.when(F.col("p") >= 0, F.col("template")).alias("template"), "label", "t_words", vote.alias("diagonal"), "p", "t")
     # Votes of one diagonal; one template position counts once a diagonal by nature.
     lines = votes.groupBy("row", "doc_id", "template", "label", "t_words", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"), F.collect_set("t").alias("ts"), F.max("doc").alias("doc"))
-    by = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    # Merging: a line joins the one before if the diagonals are near and the document words between are few.
-    near = (F.abs(F.col("diagonal") - F.lag("diagonal").over(by)) <= NEIGHBOURS) & (F.col("first") - F.lag("last").over(by) <= k + NEIGHBOURS) & (F.col("template").isNotNull())
-    runs = lines.withColumn("opens", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1))
-    runs = runs.withColumn("span", F.sum("opens").over(by))
+    # Merging: diagonals in turn with small gaps are one family, and in a family the lines with few document words between them
+    # are one span, whatever lines of other families stand there.
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    runs = lines.withColumn("family", F.sum(F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= NEIGHBOURS, 0).otherwise(1)).over(by))
+    along = Window.partitionBy("row", "template", "family").orderBy("first", "diagonal")
+    reached = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("opens", F.when(F.col("first") - reached <= k + NEIGHBOURS, 0).otherwise(1))
+    runs = runs.withColumn("span", F.struct("family", F.sum("opens").over(along).alias("part")))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ts")), lambda t: F.sequence(t, t + k - 1)))))
     spans = runs.groupBy("row", "doc_id", "template", "span").agg(F.max("label").alias("label"), F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"), covered.alias("covered"), F.max("t_words").alias("t_words"), F.max("doc").alias("doc"))
     spans = spans.withColumn("cover", F.col("covered") / F.col("t_words"))
