@@ -38,7 +38,8 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = SALTS) -> DataFrame
     """Every row of ``docs`` (doc_id, text, any further columns) with keep_id, group_size, kept and text_sha256 added.
 
     Texts are equal when their normalised forms are; null is empty. The smallest doc_id of a group stays (nulls count
-    as largest); of repeated rows with that doc_id all are marked kept. Columns of ``docs`` that bear one of the added
+    as largest); of repeated rows with that doc_id all are marked kept. Texts of any length are compared whole. A hot text
+    reaches the last join as one row of its digest, against which adaptive execution splits its documents. Columns of ``docs`` that bear one of the added
     names are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -66,11 +67,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were; of repeated rows one stays.
 
     Rows that share both the text group and the winning doc_id are copies of each other, so one of them is enough; it is
-    the one with the least struct of its columns.
+    the one whose columns come first as JSON, which orders columns of any type. Null ids count as one id, the largest.
     """
     marked = exact_dedup(docs).filter("kept")
     twice = marked.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
     if twice.isEmpty():
         return marked.select(*docs.columns)
-    least = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("r")
-    return marked.groupBy("doc_id", "text_sha256").agg(least).select("r.*")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    return marked.groupBy("doc_id", "text_sha256").agg(F.min_by(row, F.to_json(row)).alias("r")).select("r.*")
