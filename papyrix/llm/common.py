@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,17 +15,22 @@ ARROW_BYTES = "16777216"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Set the Arrow batch bounds that keep Python workers small, and return the session."""
+    """Set the Arrow batch bounds that keep Python workers small, and return the session. Results are computed after the
+    operators return, so the bounds stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` if the session names one, else a local one for tests."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir`` if the session names one, else that of ``setCheckpointDir``.
+
+    A session that has neither gets a local one if it runs on this machine alone, as in tests, and an error on a cluster."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="papyrix-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     return f"file://{made}"

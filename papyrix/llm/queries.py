@@ -59,13 +59,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base scan of op3 alone, which SQL can express."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op4 alone, which SQL can express."""
+    return op4_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op8_line_dedup, op9_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (license_base, quality_base, op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op8_line_dedup, op9_near_dedup, op10_warc)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
+_WORDS4 = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLES = {
+    "license_base": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, len(w) AS n, list_filter(range(len(w)), lambda i: w[i+1] = 'mit' AND w[i+2] = 'license') AS m,
+              list_filter(range(len(w)), lambda i: w[i+1] = 'apache' AND w[i+2] = 'license') AS a,
+              list_filter(range(len(w)), lambda i: w[i+1] = 'general' AND w[i+2] = 'public' AND w[i+3] = 'license') AS g FROM t),
+        q AS (SELECT *, list_concat(list_concat(m, a), g) AS x FROM p)
+        SELECT doc_id, n AS n_words, len(x) AS n_base, list_min(x) AS first_word, list_max(x) AS last_word,
+               concat_ws(',', CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END) AS base_labels FROM q""",
+    "quality_base": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS4} AS w FROM documents),
+        l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM t WHERE len(w) >= 5),
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i+4]) AS c FROM g),
+        r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM h WHERE c > 1) GROUP BY 1),
+        f AS (SELECT t.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+              len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+              FROM t JOIN l ON t.doc_id = l.doc_id LEFT JOIN r ON t.doc_id = r.doc_id)
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f""",
     "op2_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_NORM} AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
