@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of documents.
+
+Null and empty texts fail the base rules and go in the first stage. Rows that repeat a doc_id and text are one copy in the third.
+Of equal texts the least doc_id stays, of near duplicates the least of their component; null ids count as largest and are near
+duplicates of nothing. Texts of any length are taken whole, extra columns are carried along, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import UTC, datetime
 from html.parser import HTMLParser
 
 #: Elements whose text is never content, elements set off by blank lines, elements without an end.
 DROPPED = set("script style head noscript template svg nav form button select iframe".split())
 BLOCKS = set("p div section article h1 h2 h3 h4 h5 h6 li ul ol blockquote pre tr table br hr header footer figcaption dd dt".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_META_TITLE, _META_URL = {"og:title", "twitter:title"}, {"og:url"}
-_META_AUTHOR = {"author", "article:author", "og:article:author"}
-_META_DATE = {"article:published_time", "og:article:published_time", "date", "pubdate", "publish_date"}
+#: What the head of a page may hold, and elements whose insides are not HTML.
+HEAD_ONLY = set("base basefont bgsound link meta title noscript noframes style script template head html".split())
+FOREIGN = {"svg", "math"}
+#: The metadata keys of each field.
+META = {
+    "title": ("og:title", "twitter:title"),
+    "author": ("author", "article:author", "og:article:author"),
+    "url": ("og:url",),
+    "date": ("article:published_time", "og:article:published_time", "date", "pubdate", "publish_date"),
+}
+_FIELD = {key: name for name, keys in META.items() for key in keys}
 
 
 @dataclass(eq=False)
@@ -42,29 +51,48 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.depth: Counter = Counter()  # open elements by tag, so that no event walks up the tree in vain
 
-    def handle_starttag(self, tag, attrs):
+    def _add(self, tag, attrs) -> Node:
         named: dict[str, str] = {}
         for name, value in attrs:
             named.setdefault(name, value or "")
+        if tag not in HEAD_ONLY and self._inside("head") and not self._inside("noscript", "template"):
+            self.handle_endtag("head")  # anything else ends a head that was left open
         node = Node(tag, named)
         self.open[-1].children.append(node)
+        return node
+
+    def _inside(self, *tags: str) -> bool:
+        return any(self.depth[t] for t in tags)
+
+    def handle_starttag(self, tag, attrs):
+        node = self._add(tag, attrs)
         if tag not in VOID:
             self.open.append(node)
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        """A slash at the end closes foreign elements; on others it means nothing."""
+        if tag in FOREIGN or self._inside(*FOREIGN):
+            self._add(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in ("p", "br") and not any(n.tag == tag for n in self.open):
-            self.open[-1].children.append(Node(tag))
+        if not self.depth[tag]:
+            if tag in ("p", "br"):
+                self.open[-1].children.append(Node(tag))
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
+        while True:
+            closed = self.open.pop().tag
+            self.depth[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self.handle_endtag("head")
         self.open[-1].children.append(data)
 
 
@@ -99,46 +127,28 @@ def unwrap(text: str) -> str:
     return re.sub(r"[ \t\n\r\v\f]+", lambda m: "\n\n" if m.group().count("\n") > 1 else " ", text)
 
 
-#: The date layouts accepted, in order.
-_LAYOUTS = ["%Y-%m-%dT%H:%M:%S%z", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%Y/%m/%d", "%a, %d %b %Y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S %Z", "%B %d, %Y", "%b %d, %Y", "%d %B %Y"]
-
-
-def strict_date(text: str) -> datetime | None:
-    """The first layout that fits, in UTC; never a guess. Two-digit parts must have two digits."""
-    text = text.strip()
-    plain = re.sub(r"(T\d\d:\d\d:\d\d)\.\d+", r"\1", text)
-    for layout in _LAYOUTS:
-        if layout.startswith("%Y") and not re.match(r"\d{4}[-/]\d\d[-/]\d\d(\Z|[T ]\d\d:\d\d:\d\d)", plain):
-            continue
-        try:
-            got = datetime.strptime(plain, layout)
-        except ValueError:
-            continue
-        return got.astimezone(UTC) if got.tzinfo else got.replace(tzinfo=UTC)
-    return None
+def _stated(node: Node) -> Iterator[tuple[str, str]]:
+    """What an element states of its page, as (field, value)."""
+    attrs = node.attrs
+    if node.tag == "title":
+        yield "page_title", node.own_text()
+    elif node.tag == "meta":
+        yield _FIELD.get((attrs.get("property") or attrs.get("name") or "").lower(), ""), attrs.get("content", "")
+    elif node.tag == "link" and attrs.get("rel", "").lower() == "canonical":
+        yield "url", attrs.get("href", "")
+    elif node.tag == "time":
+        yield "date", attrs.get("datetime", "")
 
 
 def metadata(root: Node) -> dict:
-    """Title, author, url and date of a page; the first of each that its head or body states."""
-    found: dict = {"title": "", "author": "", "url": "", "published": None}
-    page_title = ""
-    for n in root.walk():
-        if n.tag == "title":
-            page_title = page_title or n.own_text()
-        elif n.tag == "meta" and (value := n.attrs.get("content")):
-            key = (n.attrs.get("property") or n.attrs.get("name") or "").lower()
-            for name, keys in (("title", _META_TITLE), ("author", _META_AUTHOR), ("url", _META_URL)):
-                if key in keys:
-                    found[name] = found[name] or value
-            if key in _META_DATE:
-                found["published"] = found["published"] or strict_date(value)
-        elif n.tag == "link" and n.attrs.get("rel", "").lower() == "canonical":
-            found["url"] = found["url"] or n.attrs.get("href", "")
-        elif n.tag == "time" and n.attrs.get("datetime"):
-            found["published"] = found["published"] or strict_date(n.attrs["datetime"])
-    found["title"] = (found["title"] or page_title).strip()
-    found["author"] = found["author"].strip()
-    return found
+    """Title, author and url of a page, each as first stated, and all its dates in order (the first that can be read counts)."""
+    stated: dict[str, list[str]] = {}
+    for node in root.walk():
+        for name, value in _stated(node):
+            if value:
+                stated.setdefault(name, []).append(value)
+    first = lambda *names: next((v for n in names for v in stated.get(n, [])), "")
+    return {"title": first("title", "page_title").strip(), "author": first("author").strip(), "url": first("url"), "dates": stated.get("date", [])}
 
 
 def site_page(markup: str, is_date) -> dict:

@@ -1,61 +1,34 @@
-"""Whether a short text is a quotation with its attribution."""
+"""Whether a short text is a quotation with its attribution, as one Catalyst expression.
 
-from __future__ import annotations
+Texts are normalised, so blanks are plain spaces and line feeds, and each condition is one anchored pattern on the last line.
+"""
 
-import re
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Word limits of a quotation and of its attribution (any, after a dash, with a link).
+#: Word limits of a quotation and of its attribution (after a tilde, after a dash, with a link).
 QUOTE_WORDS, ATTRIBUTION_WORDS, DASH_WORDS, LINKED_WORDS = 100, 10, 6, 6
-_CREDIT = re.compile(r"\s*(?:https?://\S+|(?:RT|via)\s+@[0-9A-Za-z_]+)\s*\Z", re.ASCII)
-_DASHES, _CLOSING = "-\u2013\u2014", ".!?\"'\u201d\u2019"
-_BLANK = " \t\n\v\f\r\x85\xa0"
+#: What may follow a quotation (links and re-share credits), closing marks, and dashes.
+CREDITS = r"(?:\s*(?:https?://\S+|(?:RT|via)\s+@[0-9A-Za-z_]+))+\s*\z"
+CLOSING, DASHES = "[.!?\"'\u201d\u2019]", "[-\u2013\u2014]"
 
 
-def _names_someone(text: str, most: int, capital: bool) -> bool:
-    text = text.strip(_BLANK)
-    if not text or "?" in text or "!" in text:
-        return False
-    return (text[0].isupper() if capital else text[0].isalpha()) and len(text.split()) <= most
+def attribution(first: str, never: str, words: int) -> str:
+    """The pattern of at most ``words`` words up to the end that begin with ``first`` and hold none of ``never``."""
+    return rf" *{first}[^ {never}]*(?: +[^ {never}]+){{0,{words - 1}}} *\z"
 
 
-def is_quote(text: str, words: int) -> bool:
-    """A tilde before a name in the last line, or a dash after closing punctuation before a capitalised one.
+def quote_flag(text: Column, words: Column) -> Column:
+    """A tilde before a name at the end of the last line, or a dash there between a closing mark and a capitalised name.
 
-    Links and re-share credits at the end are set aside first; with a link only the tilde counts, and fewer words.
+    Links and credits at the end are set aside first; with a link only the tilde counts, and fewer words. A line with a tilde is
+    judged by its last tilde alone, and a dash needs its closing mark on the same line.
     """
-    if words >= QUOTE_WORDS:
-        return False
-    body, linked = text.strip(_BLANK), False
-    while (credit := _CREDIT.search(body)) is not None:
-        linked |= "http" in credit.group()
-        body = body[: credit.start()]
-    head, newline, line = body.rpartition("\n")
-    _, tilde, name = line.rpartition("~")
-    if tilde:
-        return _names_someone(name, LINKED_WORDS if linked else ATTRIBUTION_WORDS, capital=False)
-    if linked:
-        return False
-    end = len(line)
-    while (at := max(line.rfind(d, 0, end) for d in _DASHES)) >= 0:
-        start = at
-        while start and line[start - 1] == "-":
-            start -= 1
-        before = (head + newline + line[:start]).rstrip(" ")
-        if before[-1:] and before[-1] in _CLOSING and _names_someone(line[at + 1 :], DASH_WORDS, capital=True):
-            return True
-        end = start
-    return False
-
-
-def _is_quote(text: pd.Series, words: pd.Series) -> pd.Series:
-    return pd.Series([t is not None and is_quote(t, w) for t, w in zip(text, words)], dtype=bool)
-
-
-def quote_flag(text: Column, words: Column) -> Column:
-    """``is_quote`` as a column; Python sees only short texts with a dash or tilde."""
-    worth = (words < QUOTE_WORDS) & text.rlike("[~\u2013\u2014-]")
-    return F.when(worth, F.pandas_udf(_is_quote, "boolean")(F.when(worth, text), words)).otherwise(False)
+    body = F.trim(F.regexp_replace(F.trim(text), CREDITS, ""))
+    linked = F.contains(F.regexp_extract(F.trim(text), CREDITS, 0), F.lit("http"))
+    line = F.substring_index(body, "\n", -1)
+    named = F.when(linked, line.rlike("~" + attribution(r"\p{L}", "~?!", LINKED_WORDS))).otherwise(line.rlike("~" + attribution(r"\p{L}", "~?!", ATTRIBUTION_WORDS)))
+    dashed = ~linked & line.rlike(CLOSING + " *-*" + DASHES + attribution(r"\p{Lu}", "?!", DASH_WORDS))
+    return F.when((words < QUOTE_WORDS) & text.rlike("[~\u2013\u2014-]"), F.when(F.contains(line, F.lit("~")), named).otherwise(dashed)).otherwise(False)

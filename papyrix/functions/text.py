@@ -126,6 +126,7 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(authority, "^.*@", "")), r"^www\.", "")
 
 
+#: Fixed value: the date that a file name may start with.
 DATE_PREFIX = r"^(\d{4})[.\-_](\d{1,2})[.\-_](\d{1,2})[.\-_]*"
 
 
@@ -175,7 +176,7 @@ LAYOUTS = [
     (r"^\d{4}-\d\d-\d\d$", "yyyy-MM-dd"),
     (r"^\d{4}/\d\d/\d\d$", "yyyy/MM/dd"),
     (r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d [+-]\d{4}$", "dd MMM yyyy HH:mm:ss Z"),
-    (r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d (GMT|UTC)$", "dd MMM yyyy HH:mm:ss"),
+    (r"^[A-Z][a-z]{2}, \d\d [A-Z][a-z]{2} \d{4} \d\d:\d\d:\d\d ([A-Z]{3}|[A-Z]{3,4}T)$", "dd MMM yyyy HH:mm:ss"),
     (r"^[A-Z][a-z]+ \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{1,2} [A-Z][a-z]+ \d{4}$", "d MMMM yyyy"),
@@ -183,11 +184,11 @@ LAYOUTS = [
 
 
 def strict_timestamp(text: Column) -> Column:
-    """The first layout that fits, in UTC; null where none does."""
+    """The first layout that fits, in UTC; null where none does. A zone by name alone counts as UTC."""
     t = F.trim(text)
     tries = []
     for shape, layout in LAYOUTS:
-        value = F.regexp_replace(t, "^[A-Z][a-z]{2}, |(?<=:\\d\\d) (GMT|UTC)$", "") if layout.startswith("dd MMM") else t
+        value = F.regexp_replace(t, "^[A-Z][a-z]{2}, |(?<=:\\d\\d) ([A-Z]{3}|[A-Z]{3,4}T)$", "") if layout.startswith("dd MMM") else t
         tries.append(F.try_to_timestamp(F.when(t.rlike(shape), value), F.lit(layout)))
     return F.coalesce(*tries)
 

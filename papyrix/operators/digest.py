@@ -1,19 +1,25 @@
-"""The write path: parse, build, chunk, embed or reuse, store, report."""
+"""The write path: parse, build, chunk, embed or reuse, index, store, report."""
 
 from __future__ import annotations
 
 import hashlib
+import json
+import logging
+import urllib.request
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import durable
 from ..functions import chunk, text
 from ..sources import manifests, parsers, store
-from . import documents, vector
+from . import documents, lexical, vector
 
+LOG = logging.getLogger("papyrix")
 #: Texts handed to an embedder at a time.
 BATCH = 16
 #: A source is quiet when this share of its records (or files) held no text.
@@ -23,12 +29,15 @@ QUIET = 0.8
 class Embedder(Protocol):
     name: str
     dimensions: int
+    digest: str
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
 class HashEmbedder:
-    """Deterministic vectors from hashes of the text; for tests and for machines without a model."""
+    """Deterministic vectors from hashes of the text; for tests and for machines without a model. Like texts are no nearer."""
+
+    digest = ""
 
     def __init__(self, dimensions: int = 64):
         self.name, self.dimensions = "hash-embedder", dimensions
@@ -41,6 +50,36 @@ class HashEmbedder:
         return out
 
 
+class HttpEmbedder:
+    """A local embedding server: GET api/tags lists its models, POST api/embed embeds a list of texts in order."""
+
+    #: Seconds that a cold model may take.
+    TIMEOUT = 300
+
+    def __init__(self, base_url: str, model: str):
+        self.base_url = base_url.rstrip("/")
+        served = {m["name"]: m.get("digest", "") for m in self._ask("api/tags").get("models", [])}
+        named = next((n for n in (model, f"{model}:latest") if n in served), None)
+        if named is None:
+            raise ValueError(f"{self.base_url} serves no model {model!r}, but {', '.join(sorted(served)) or 'none'}")
+        self.name, self.digest = model, served[named]
+        self.dimensions = len(self.embed(["probe"])[0])
+
+    def _ask(self, path: str, body: dict | None = None) -> dict:
+        data = None if body is None else json.dumps(body).encode()
+        asked = urllib.request.Request(f"{self.base_url}/{path}", data, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(asked, timeout=self.TIMEOUT) as got:
+            return json.load(got)
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._ask("api/embed", {"model": self.name, "input": texts})["embeddings"]
+
+
+def embedder_of(config: manifests.EmbedConfig) -> Embedder:
+    """The configured embedder; there is no fallback from a server that fails."""
+    return HttpEmbedder(config.base_url, config.model) if config.base_url else HashEmbedder()
+
+
 def _embed(embedder: Embedder):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -69,35 +108,54 @@ def embed_chunks(docs: DataFrame, chunks: DataFrame, stored: DataFrame | None, e
     return rows.select("chunk_id", "embed_key").join(every, "embed_key").select("chunk_id", "embed_key", "embedding")
 
 
+def passages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What retrievers see: (source, doc_id, index, indexed) of ``chunks``, with their document's title."""
+    titles = docs.select(F.col("id").alias("doc_id"), "title")
+    return chunks.join(titles, "doc_id", "left").select("source", "doc_id", "index", text.indexed_text(F.coalesce("title", F.lit("")), F.col("text")).alias("indexed"))
+
+
 def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedder | None = None, force: bool = False) -> dict:
     """Digest one source folder into the store at ``base`` and return its report."""
     embedder = embedder or HashEmbedder()
     manifest = manifests.load_source(folder, parsers.types())
     held = manifests.load_store_manifest(base)
     held.check_chunking(chunk.TARGET, chunk.LONGEST, chunk.SHORTEST)
-    held.check_embed(embedder.name, embedder.dimensions, "")
+    held.check_embed(embedder.name, embedder.dimensions, embedder.digest)
+    scratch, version = durable.Scratch(spark, "digest"), held.version_after(manifest.name)
     raw, files = parsers.parse_source(spark, folder, manifest)
-    raw = raw.persist()
-    good = raw.filter("error is null")
-    built = documents.build(good, manifest.name, manifest.type, manifest.author)
-    docs = documents.unique_ids(built)
-    pieces = chunk.chunks(docs)
+    raw = scratch.keep(raw, "raw")
+    built = scratch.keep(documents.build(raw.filter("error is null"), manifest.name, manifest.type, manifest.author), "built")
+    docs = scratch.keep(documents.unique_ids(built), "documents")
+    pieces = scratch.keep(chunk.chunks(docs), "chunks")
     old = None if force else store.read(spark, base, "vectors", manifest.name)
     vectors = embed_chunks(docs, pieces, old, embedder)
-    store.write(spark, base, manifest.name, docs, pieces, vectors)
+    kept = store.write(spark, base, manifest.name, version, documents=docs, chunks=pieces, vectors=vectors, postings=lexical.postings(passages(docs, pieces)))
+    store.check(kept["chunks"], kept["vectors"])
     n = files.agg(F.count("*").alias("walked"), F.count_if("too_large").alias("large")).first()
     parsed = raw.agg(F.countDistinct("file").alias("parsed"), F.count_if(F.col("error").isNull()).alias("seen"), F.count_if(F.col("error").isNull() & (text.tidy(F.coalesce("text", F.lit(""))) == "")).alias("blank")).first()
     errors = [r.error for r in raw.filter("error is not null").select("error").distinct().orderBy("error").limit(1000).collect()]
-    stored = store.read(spark, base, "documents", manifest.name).count()
-    total = store.read(spark, base, "chunks", manifest.name).count()
-    keys = store.read(spark, base, "vectors", manifest.name).select("embed_key").distinct().count()
-    report = {"source": manifest.name, "walked": n.walked, "parsed": parsed.parsed, "too_large": n.large, "documents": stored, "chunks": total, "texts": keys, "duplicates": built.count() - stored, "records_seen": parsed.seen, "records_empty": parsed.blank, "errors": errors}
+    stored, total = kept["documents"].count(), kept["chunks"].count()
+    keys = kept["vectors"].select("embed_key").distinct()
+    reused = 0 if old is None else keys.join(old.select("embed_key").distinct(), "embed_key", "left_semi").count()
+    report = {"source": manifest.name, "walked": n.walked, "parsed": parsed.parsed, "too_large": n.large, "documents": stored, "chunks": total, "texts": keys.count(), "reused": reused, "duplicates": built.count() - stored, "records_seen": parsed.seen, "records_empty": parsed.blank, "errors": errors}
+    report["embedded"] = report["texts"] - reused
     report["quiet"] = is_quiet(parsed.seen, parsed.blank)
-    raw.unpersist()
-    held.set_source(manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder))
+    if report["quiet"]:
+        LOG.warning("%s: %d of %d records held no text; is its type right?", manifest.name, parsed.blank, parsed.seen)
+    for error in errors:
+        LOG.warning("%s: %s", manifest.name, error)
+    tokens = kept["postings"].agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first().n
+    held.set_source(manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder, datetime.now(UTC).isoformat(timespec="seconds"), version, tokens))
     manifests.save_store_manifest(base, held)
+    store.remove_older(spark, base, manifest.name, version)
     return report
 
 
+def totals(reports: list[dict]) -> dict:
+    """The sums of several sources' reports, and how many of their files or records failed."""
+    out = {k: sum(r[k] for r in reports) for k in ("walked", "parsed", "too_large", "documents", "chunks", "texts", "embedded", "reused", "duplicates", "records_seen", "records_empty")}
+    return {"sources": len(reports)} | out | {"errors": sum(len(r["errors"]) for r in reports), "quiet": [r["source"] for r in reports if r["quiet"]]}
+
+
 def is_quiet(seen: int, empty: int) -> bool:
     return seen > 0 and empty / seen >= QUIET

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import Scratch
 from ..functions import text
 
 #: Days on either side, least similarity, words of a shingle.
@@ -18,30 +19,46 @@ def check_options(window: int, threshold: float) -> None:
         raise ValueError("the window is not negative")
 
 
-def candidates(documents: DataFrame) -> DataFrame:
-    """Dated documents as (id, source, day, size, shingles as 64-bit hashes of runs of words)."""
-    rows = documents.filter("published is not null").select("id", "source", text.day_number(F.col("published")).alias("day"), text.shingles(text.shingle_words(F.col("text"))).alias("s"))
-    return rows.select("id", "source", "day", F.size("s").alias("size"), "s")
+def shingle_table(documents: DataFrame) -> DataFrame:
+    """Documents as (id, source, day, size, h): their shingles as sorted 64-bit hashes of runs of words, day null if undated."""
+    hashes = F.transform(text.shingles(text.shingle_words(F.col("text"))), lambda x: F.xxhash64(x))
+    rows = documents.select("id", "source", text.day_number(F.col("published")).alias("day"), F.array_sort(hashes).alias("h"))
+    return rows.select("id", "source", "day", F.size("h").alias("size"), "h")
 
 
 def pairs(documents: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (a, b, score) of different sources, at most ``window`` days apart, with Jaccard at least ``threshold``.
+    """Pairs (a, b, score) of different sources, at most ``window`` days apart, with Jaccard at least ``threshold``."""
+    check_options(window, threshold)
+    return set_pairs(Scratch(documents.sparkSession, "dupes").keep(shingle_table(documents), "sets"), window, threshold)
+
+
+def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """``pairs`` of a stored ``shingle_table``. Exact.
 
-    Exact. A pair at the threshold t must share one of the first n - ceil(t * n) + 1 shingles of either side in any fixed
-    order, so only those are joined, on (day, shingle); the order is by hash, which makes no common phrase come first for
-    all. Candidates are cut by set size before their sets meet.
+    A pair at the threshold t must share one of the first n - ceil(t * n) + 1 shingles of either side in any fixed order. They
+    are taken rarest first, by how many documents hold them, so common phrases come last, and those of one document alone take
+    up places and join with nothing. A document is met in its bucket of ``window`` days and waits in that and the next one.
     """
-    check_options(window, threshold)
-    sets = candidates(documents).withColumn("h", F.array_sort(F.transform("s", lambda x: F.xxhash64(x)))).select("id", "source", "day", "size", "h")
-    sets = sets.filter("size > 0")
-    prefix = F.slice("h", 1, F.greatest(F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int")))
-    keys = sets.select("id", "source", "day", "size", F.explode(prefix).alias("k"))
-    left = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), "k", F.explode(F.sequence(F.col("day") - window, F.col("day") + window)).alias("day"))
-    right = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), "k", "day")
-    near = left.join(right, ["day", "k"]).filter((F.col("sa") < F.col("sb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
-    met = near.select("a", "b").distinct()
-    score = similarity(met, sets)
-    return score.filter(F.col("score") >= threshold)
+    sets = stored.filter("day is not null and size > 0")
+    held = sets.select("id", "size", F.explode("h").alias("k"))
+    often = held.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
+    common = held.join(often, "k")
+    # Places in the whole order: shingles of one document come before all others.
+    by = Window.partitionBy("id").orderBy("m", "k")
+    all_of = Window.partitionBy("id")
+    place = F.col("size") - F.count("*").over(all_of) + F.row_number().over(by)
+    prefix = F.greatest(F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int"))
+    keys = common.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "k")
+    keys = keys.join(sets.select("id", "source", "day", "size"), "id")
+    width = max(window, 1)
+    bucket = F.floor(F.col("day") / width)
+    late = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), F.col("day").alias("db"), "k", bucket.alias("bucket"))
+    waits = F.array(bucket, bucket + 1) if window else F.array(bucket)
+    early = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), F.col("day").alias("da"), "k", F.explode(waits).alias("bucket"))
+    near = early.join(late, ["bucket", "k"]).filter((F.col("sa") != F.col("sb")) & (F.col("db") - F.col("da")).between(0, window) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
+    first = F.col("sa") < F.col("sb")
+    met = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    return similarity(met, sets).filter(F.col("score") >= threshold)
 
 
 def similarity(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -53,43 +70,36 @@ def similarity(met: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.select("a", "b", F.when(F.col("both") == 0, 0.0).otherwise(F.col("both") / whole).alias("score"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): the smallest id of each connected component of ``edges`` (a, b).
 
     Labels move to the least of their neighbours and then to their label's label, so rounds grow with the logarithm of a
-    component's length. Each round is checkpointed in the cluster's shared folder.
+    component's length. Each round is a table in the cluster's shared folder.
     """
-    spark = edges.sparkSession
-    ensure_checkpoints(spark)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root").checkpoint()
+    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "labels0")
+    step = 0
     while True:
+        step += 1
         least = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(least.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("old"))
-        jump = step.select(F.col("id").alias("next"), F.col("next").alias("further"))
-        after = step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("root"), "old").checkpoint()
+        moved = labels.join(least.withColumnRenamed("a", "id"), "id").select("id", F.least("root", "near").alias("next"), F.col("root").alias("old"))
+        jump = moved.select(F.col("id").alias("next"), F.col("next").alias("further"))
+        after = scratch.keep(moved.join(jump, "next", "left").select("id", F.least("next", F.coalesce("further", "next")).alias("root"), "old"), f"labels{step}")
         if after.filter("root <> old").isEmpty():
             return after.select("id", "root")
         labels = after.select("id", "root")
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the session's shared checkpoint folder; only a session that names none (as in tests) gets a local one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        given = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="papyrix-"))
-
-
 def members(documents: DataFrame, priorities: DataFrame | None = None, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
     """Members of all duplicate groups: group_id, id, source, priority, winner, score, published, words, title.
 
     The winner has the highest priority, then the least source, then the least id. A member's score is its similarity to
     the winner, also where only a third document linked them.
     """
-    found = pairs(documents, window, threshold)
-    roots = components(found)
+    check_options(window, threshold)
+    scratch = Scratch(documents.sparkSession, "dupes")
+    stored = scratch.keep(shingle_table(documents), "sets")
+    roots = components(set_pairs(stored, window, threshold), scratch)
     rows = documents.select("id", "source", "published", "words", "title").join(roots, "id")
     if priorities is not None:
         rows = rows.join(priorities.select("source", "priority"), "source", "left")
@@ -98,7 +108,7 @@ def members(documents: DataFrame, priorities: DataFrame | None = None, window: i
     rows = rows.withColumn("priority", F.coalesce("priority", F.lit(0)))
     first = Window.partitionBy("root").orderBy(F.col("priority").desc(), "source", "id")
     rows = rows.withColumn("winner_id", F.first("id").over(first))
-    sets = documents.select("id", F.transform(text.shingles(text.shingle_words(F.col("text"))), lambda x: F.xxhash64(x)).alias("h")).join(roots.select("id"), "id", "left_semi")
+    sets = stored.select("id", "h").join(roots.select("id"), "id", "left_semi")
     scores = similarity(rows.filter("id <> winner_id").select(F.col("winner_id").alias("a"), F.col("id").alias("b")), sets).select(F.col("b").alias("id"), "score")
     rows = rows.join(scores, "id", "left")
     return rows.select(F.col("root").alias("group_id"), "id", "source", "priority", (F.col("id") == F.col("winner_id")).alias("winner"), F.when(F.col("id") == F.col("winner_id"), 1.0).otherwise(F.col("score")).alias("score"), "published", "words", "title", "winner_id")
@@ -108,3 +118,12 @@ def groups(member_rows: DataFrame) -> DataFrame:
     """One row a group: winner, its date, members and the lowest score of a member against the winner."""
     by = member_rows.groupBy("group_id", "winner_id")
     return by.agg(F.max(F.when(F.col("winner"), F.col("published"))).alias("published"), F.count("*").alias("members"), F.min(F.when(~F.col("winner"), F.col("score"))).alias("lowest")).orderBy("published", "winner_id")
+
+
+def summary(documents: DataFrame, member_rows: DataFrame) -> DataFrame:
+    """How many documents were compared (the dated ones, if there are two sources or more), and how many are in a group."""
+    none = F.lit(0).cast("long")
+    held = documents.agg(F.countDistinct("source").alias("sources"), F.count("published").alias("dated"))
+    held = held.select(F.when(F.col("sources") > 1, F.col("dated")).otherwise(none).alias("compared"), none.alias("duplicated"), none.alias("groups"))
+    found = member_rows.agg(F.countDistinct("id").alias("duplicated"), F.countDistinct("group_id").alias("groups")).select(none.alias("compared"), "duplicated", "groups")
+    return held.union(found).agg(*[F.sum(c).alias(c) for c in ("compared", "duplicated", "groups")])

@@ -36,15 +36,16 @@ def roll_up(fused: DataFrame, hits: int = HITS) -> DataFrame:
     return best.orderBy(*order).limit(hits if hits > 0 else HITS).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def search(passages: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", hits: int = HITS, depth: int = DEPTH, source: str | None = None) -> DataFrame:
-    """Search ``passages`` (source, doc_id, index, indexed); with ``source`` all statistics are of that source alone."""
+def search(postings: DataFrame | None, sizes: tuple[int, int], vectors: DataFrame | None, query: str, query_vector: list[float] | None, mode: str = "hybrid", hits: int = HITS, depth: int = DEPTH, source: str | None = None) -> DataFrame:
+    """Search stored ``postings`` and ``vectors`` (source, doc_id, index, embedding); with ``source`` both are of that source
+    alone, and ``sizes`` (passages and their tokens) must be too."""
     mode, depth = parse_mode(mode), depth if depth > 0 else DEPTH
     if not query.strip():
         raise ValueError("an empty query")
     if source is not None:
-        passages = passages.filter(F.col("source") == source)
+        postings = None if postings is None else postings.filter(F.col("source") == source)
         vectors = None if vectors is None else vectors.filter(F.col("source") == source)
-    lex = lexical.bm25(passages, query, depth) if mode != "vector" else None
+    lex = lexical.bm25(postings, sizes, query, depth) if mode != "vector" and postings is not None else None
     vec = vector.cosine_top(vectors, query_vector, depth) if mode != "lexical" and vectors is not None and query_vector else None
     if lex is None and vec is None:
         raise ValueError("this mode needs vectors and a query vector")

@@ -28,8 +28,13 @@ def domains(shares: DataFrame) -> DataFrame:
     return shares.groupBy(text.host(F.col("url")).alias("domain")).agg(F.count("*").alias("count")).orderBy(F.col("count").desc(), "domain")
 
 
-def summary(shares: DataFrame) -> DataFrame:
-    return shares.agg(F.count("*").alias("links"), F.countDistinct("url").alias("unique"), F.min("published").alias("earliest"), F.max("published").alias("latest"))
+def summary(links: DataFrame) -> DataFrame:
+    """One row on all extracted ``links``: shares after deduplication, distinct URLs, the span, and non-empty ones dropped."""
+    none = F.lit(None).cast("timestamp")
+    kept = unique_shares(links).agg(F.count("*").alias("links"), F.countDistinct("url").alias("unique"), F.min("published").alias("earliest"), F.max("published").alias("latest"))
+    zero = F.lit(0).cast("long")
+    rows = kept.withColumn("dropped", zero).unionByName(dropped(links).select(zero.alias("links"), zero.alias("unique"), none.alias("earliest"), none.alias("latest"), "dropped"))
+    return rows.agg(F.sum("links").alias("links"), F.sum("unique").alias("unique"), F.max("earliest").alias("earliest"), F.max("latest").alias("latest"), F.sum("dropped").alias("dropped"))
 
 
 def newest_first(shares: DataFrame) -> DataFrame:

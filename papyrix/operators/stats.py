@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 ALL = "all"
+#: Ranges of values that a source is dealt into.
+RANGES = 1000
 
 
 def _label() -> F.Column:
@@ -28,20 +30,27 @@ def by_source(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def spread(values: DataFrame, column: str) -> DataFrame:
     """min, p50, p90, p99, max and whole mean of a column (small integers) by source and over all.
 
-    Exact: values are counted first, so what meets in a group is one row a distinct value, and the p-th percentile is the
-    value at the 0-based place n * p div 100 of the sorted values.
+    Exact: values are counted first, and the p-th percentile is the value at the 0-based place n * p div 100 of the sorted
+    values, the least one with more values up to it.
     """
     kinds = values.groupBy("source", F.col(column).cast("long").alias("v")).agg(F.count("*").alias("n"))
     kinds = kinds.unionByName(kinds.withColumn("source", F.lit(ALL)).groupBy("source", "v").agg(F.sum("n").alias("n")))
-    by = kinds.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("h"), F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    # A source's distinct values are dealt into ranges; only ranges are walked, each from the count of those before it.
+    total = kinds.groupBy("source").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("sum"))
+    width = F.greatest(F.lit(1), F.call_function("div", F.col("max") - F.col("min"), F.lit(RANGES)) + 1)
+    rows = kinds.join(total, "source").withColumn("range", F.call_function("div", F.col("v") - F.col("min"), width))
+    sizes = rows.groupBy("source", "range").agg(F.sum("n").alias("held"))  # at most RANGES + 1 a source
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select("source", "range", before.alias("before")), ["source", "range"])
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("source", "range").orderBy("v"))
+    rows = rows.withColumn("upto", upto)
 
     def at(p: int) -> F.Column:
         place = F.call_function("div", F.col("total") * p, F.lit(100))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v"))
-        step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["v"].isNull() & (s["seen"] + x["n"] > place), x["v"]).otherwise(s["v"]).alias("v"))
-        return F.aggregate("h", start, step)["v"]
+        return F.min(F.when(F.col("upto") > place, F.col("v"))).alias(f"p{p}")
 
-    return by.select("source", F.element_at("h", 1)["v"].alias("min"), at(50).alias("p50"), at(90).alias("p90"), at(99).alias("p99"), F.element_at("h", -1)["v"].alias("max"), F.call_function("div", F.col("sum"), F.col("total")).alias("mean"))
+    found = rows.groupBy("source", "min", "max", "total", "sum").agg(at(50), at(90), at(99))
+    return found.select("source", "min", "p50", "p90", "p99", "max", F.call_function("div", F.col("sum"), F.col("total")).alias("mean"))
 
 
 def years(documents: DataFrame) -> DataFrame:

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import argparse
 import json
+import logging
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import digest, dupes, fusion, links, stats, timeline
+from .. import durable
+from ..operators import digest, documents, dupes, fusion, stats, timeline
 from ..sources import manifests, parsers, store
 from . import render, serve
 
-VERSION = "0.1.0"
+VERSION = "0.2.0"
+#: Groups that a table shows; JSON holds all.
+TABLE_ROWS = 1000
 
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="papyrix")
     out.add_argument("--config")
+    out.add_argument("--verbose", action="store_true")
     sub = out.add_subparsers(dest="command", required=True)
 
     def add(name: str, *options: tuple, positional: str | None = None) -> None:
@@ -31,11 +36,11 @@ def parser() -> argparse.ArgumentParser:
 
     base, source = ("--digested", {}), ("--source", {})
     add("digest", base, source, ("--force", {"action": "store_true"}))
-    add("search", base, source, ("--mode", {"default": "hybrid"}), ("--hits", {"type": int}), ("--json", {"action": "store_true"}), positional="query")
+    add("search", base, source, ("--mode", {}), ("--hits", {"type": int}), ("--json", {"action": "store_true"}), positional="query")
     add("dupes", base, ("--window", {"type": int, "default": dupes.WINDOW_DAYS}), ("--threshold", {"type": float, "default": dupes.THRESHOLD}), ("--json", {"action": "store_true"}))
     add("export", base, ("--format", {"choices": ["json", "html"], "default": "json"}), ("--out", {}))
     add("serve", base, ("--port", {"type": int, "default": 8080}))
-    add("stats", base, source)
+    add("stats", base, source, ("--sample", {"type": int, "help": "list so many documents at even steps instead"}))
     add("links", ("--source", {"required": True}), ("--json", {"action": "store_true"}))
     add("sources", base)
     add("initsource", ("--dir", {"default": "."}), ("--name", {}), ("--type", {"default": "text"}))
@@ -58,14 +63,17 @@ def _tables(spark: SparkSession, base: str, source: str | None = None):
 
 def _search(spark, base, args, config) -> str:
     docs, chunks = _tables(spark, base, args.source)
-    query = " ".join(args.query)
-    titles = docs.select(F.col("id").alias("doc_id"), "title")
-    passages = chunks.join(titles, "doc_id", "left").select("source", "doc_id", "index", text.indexed_text(F.coalesce("title", F.lit("")), F.col("text")).alias("indexed"))
-    vectors = store.read(spark, base, "vectors").join(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "index"), "chunk_id").select("source", "doc_id", "index", "embedding")
-    asked = digest.HashEmbedder().embed([query])[0]
-    found = fusion.search(passages, vectors, query, asked, args.mode, args.hits or config.defaults.hits)
+    query, held = " ".join(args.query), manifests.load_store_manifest(base)
+    hashed = held.embed.get("model") == digest.HashEmbedder().name
+    # Ranks of hashed vectors say nothing, so they are fused only if asked for.
+    mode = fusion.parse_mode(args.mode or ("lexical" if hashed else "hybrid"))
+    vectors = asked = None
+    if mode != "lexical":
+        vectors = store.read(spark, base, "vectors").drop("source").join(chunks.select(F.col("id").alias("chunk_id"), "source", "doc_id", "index"), "chunk_id").select("source", "doc_id", "index", "embedding")
+        asked = digest.embedder_of(config.embed).embed([query])[0]
+    found = fusion.search(store.read(spark, base, "postings", args.source), held.sizes(args.source), vectors, query, asked, mode, args.hits or config.defaults.hits)
     rows = render.search_rows(found, docs, chunks, render.JSON_SNIPPET if args.json else render.TABLE_SNIPPET)
-    return render.search_json(query, fusion.parse_mode(args.mode), rows) if args.json else render.search_table(rows)
+    return render.search_json(query, mode, rows) if args.json else render.search_table(rows)
 
 
 def _members(spark, base, window=dupes.WINDOW_DAYS, threshold=dupes.THRESHOLD):
@@ -74,8 +82,20 @@ def _members(spark, base, window=dupes.WINDOW_DAYS, threshold=dupes.THRESHOLD):
     return docs, dupes.members(docs, order, window, threshold)
 
 
+def log(verbose: bool) -> None:
+    """Messages go to the error stream, so that output stays clean."""
+    logging.basicConfig(stream=sys.stderr, format="%(asctime)s %(levelname)s %(message)s", force=True)
+    digest.LOG.setLevel(logging.DEBUG if verbose else logging.INFO)
+
+
 def run(argv: list[str], spark: SparkSession | None = None) -> str:
-    """One command; its output as text. An explicit option goes before the configuration, and that before the default."""
+    """``command`` as one text."""
+    return "".join(command(argv, spark))
+
+
+def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterable[str]:
+    """One command; its output as text, or a long one by parts. An explicit option goes before the configuration, and that
+    before the default."""
     args = parser().parse_args(argv)
     if args.command == "version":
         return VERSION
@@ -88,12 +108,15 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         manifests.write_config_starter(args.path)
         return f"wrote {args.path}"
     config = manifests.load_config(args.config)
+    log(args.verbose or config.defaults.verbose)
     base = getattr(args, "digested", None) or config.defaults.digested
     if args.command == "sources":
         return "\n".join(f"{s['name']}  {s['type']}  {render.comma(s['documents'])} documents" for s in manifests.load_store_manifest(base).sources)
     spark = spark or SparkSession.builder.appName("papyrix").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "digest":
-        return "\n".join(json.dumps(digest.digest_source(spark, folder, base, force=args.force)) for folder in manifests.discover(args.source or config.defaults.source))
+        embedder = digest.embedder_of(config.embed)
+        reports = [digest.digest_source(spark, folder, base, embedder, args.force) for folder in manifests.discover(args.source or config.defaults.source)]
+        return "\n".join(json.dumps(r) for r in [*reports, digest.totals(reports)])
     if args.command == "search":
         return _search(spark, base, args, config)
     if args.command == "dupes":
@@ -101,20 +124,25 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         docs, members = _members(spark, base, args.window, args.threshold)
         if docs.select("source").distinct().count() < 2:
             raise ValueError("duplicates are looked for between two sources or more")
-        found = dupes.groups(members)
-        return json.dumps([r.asDict() for r in found.collect()], default=str) if args.json else render.table(found)
+        members = durable.Scratch(spark, "members").keep(members, "members")
+        found, held = dupes.groups(members), dupes.summary(docs, members).first()
+        if args.json:
+            return "".join(render.groups_json(held, found))
+        return f"{render.comma(held.compared)} documents compared, {render.comma(held.duplicated)} in {render.plural(held.groups, 'group', 'groups')}\n{render.table(found.limit(TABLE_ROWS))}"
     if args.command == "stats":
         docs, chunks = _tables(spark, base, args.source)
+        if args.sample:
+            return render.table(documents.even_sample(docs.select("id", "source", "title", "words"), args.sample))
         return "\n\n".join(render.table(t) for t in (stats.by_source(docs, chunks), stats.spread(docs, "words"), stats.years(docs), stats.vocabulary(chunks)))
     if args.command == "links":
         manifest = manifests.load_source(args.source, parsers.types())
         kind = parsers.parser_of(manifest.type)
         if kind.links is None:
             raise ValueError(f"sources of type {manifest.type} list no links")
-        shares = links.unique_shares(kind.links(parsers.enumerate_files(spark, args.source, manifest, kind.include)))
-        return json.dumps([r.asDict() for r in links.newest_first(shares).collect()], default=str) if args.json else "\n".join(render.links_markdown(shares))
+        shared = durable.Scratch(spark, "links").keep(kind.links(parsers.enumerate_files(spark, args.source, manifest, kind.include)[0]), "links")
+        return "".join(render.links_json(shared)) if args.json else "\n".join(render.links_markdown(shared))
     docs, members = _members(spark, base)
-    entries = timeline.entries(docs, members)
+    entries = durable.Scratch(spark, "timeline").keep(timeline.entries(docs, members), "entries")
     if args.command == "serve":
         for name, lines in (("json", render.timeline_json(entries)), ("html", render.timeline_html(entries))):
             with open(f"{base}/timeline.{name}", "w", encoding="utf-8") as f:
@@ -125,12 +153,13 @@ def run(argv: list[str], spark: SparkSession | None = None) -> str:
         with open(args.out, "w", encoding="utf-8") as f:
             f.writelines(lines)
         return f"wrote {args.out}"
-    return "".join(lines)
+    return lines
 
 
 def main() -> int:
     try:
-        print(run(sys.argv[1:]))
+        sys.stdout.writelines(command(sys.argv[1:]))
+        print()
     except (ValueError, OSError) as e:
         print(f"papyrix: {e}", file=sys.stderr)
         return 1

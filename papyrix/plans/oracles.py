@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import ENDINGS
+
 _TIDY = "trim(regexp_replace(regexp_replace(text, ' +(\\n|$)', '\\1', 'g'), '\\n{3,}', chr(10)||chr(10), 'g'), ' '||chr(10))"
 _WORDS = "len(list_filter(string_split_regex(t, '[ \\n]+'), lambda w: w <> ''))"
 _TOKENS = "regexp_extract_all(lower(translate(replace(replace(text, '''', ''), '’', ''), 'Σİ', 'σi')), '[\\p{L}\\p{Nd}]+')"
@@ -30,30 +32,49 @@ _ENTRIES = """
     entries AS (SELECT d.*, coalesce(g.n, 0) AS copies FROM docs d LEFT JOIN gone g ON g.winner_id = d.id WHERE d.id NOT IN (SELECT id FROM members WHERE id <> winner_id))"""
 _LENGTH = "CASE WHEN words < 250 THEN 'short' WHEN words < 1000 THEN 'medium' ELSE 'long' END"
 _DUPES = f"WITH RECURSIVE {_CORPUS}, {_SHINGLES}, {_PAIRS}, {_GROUPS}"
+_LINES = "SELECT * FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS index FROM documents WHERE {where}) WHERE text <> ''"
 _QUERY = ["and", "reason", "stable", "the", "thing"]
 
 
 def _bm25(where: str = "true") -> str:
     terms = ", ".join(f"'{t}'" for t in _QUERY)
     return f"""
-    pt AS (SELECT source, doc_id, {_TOKENS} AS tk FROM documents WHERE {where}),
+    ps AS ({_LINES.format(where=where)}),
+    pt AS (SELECT source, doc_id, index, {_TOKENS} AS tk FROM ps),
     st AS (SELECT count(*) AS n, avg(len(tk)) AS mean FROM pt),
-    tf AS (SELECT source, doc_id, len(tk) AS ln, q.term, len(list_filter(tk, lambda x: x = q.term)) AS f FROM pt, (SELECT unnest([{terms}]) AS term) q),
+    tf AS (SELECT source, doc_id, index, len(tk) AS ln, q.term, len(list_filter(tk, lambda x: x = q.term)) AS f FROM pt, (SELECT unnest([{terms}]) AS term) q),
     df AS (SELECT term, count(*) AS df FROM tf WHERE f > 0 GROUP BY 1),
-    sc0 AS (SELECT source, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * ln / mean))) AS score
-           FROM tf JOIN df USING (term), st WHERE f > 0 GROUP BY 1, 2),
-    lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id) AS rank FROM sc0)"""
+    sc0 AS (SELECT source, doc_id, index, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * ln / mean)) ORDER BY term)) AS score
+           FROM tf JOIN df USING (term), st WHERE f > 0 GROUP BY 1, 2, 3),
+    lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id, index) AS rank FROM sc0)"""
 
 
 _SRC3 = "source = 'src3'"
 _VEC = """
     qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
-    vs AS (SELECT d.source, d.doc_id, list_dot_product(e.embedding, q) AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, qv),
+    vs AS (SELECT d.source, d.doc_id, 0 AS index, list_dot_product(e.embedding, q) AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, qv),
     vec AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id) AS rank FROM vs)"""
 _FUSED = """
-    fused AS (SELECT coalesce(l.source, v.source) AS source, coalesce(l.doc_id, v.doc_id) AS doc_id, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score,
+    fused AS (SELECT coalesce(l.source, v.source) AS source, coalesce(l.doc_id, v.doc_id) AS doc_id, CAST(coalesce(l.index, v.index) AS BIGINT) AS index, coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score,
               coalesce(l.rank, 0) AS lexical_rank, coalesce(v.rank, 0) AS vector_rank
-              FROM (SELECT * FROM lex WHERE rank <= 200) l FULL OUTER JOIN (SELECT * FROM vec WHERE rank <= 200) v ON l.doc_id = v.doc_id AND l.source = v.source)"""
+              FROM (SELECT * FROM lex WHERE rank <= 200) l FULL OUTER JOIN (SELECT * FROM vec WHERE rank <= 200) v ON l.doc_id = v.doc_id AND l.source = v.source AND l.index = v.index)"""
+_ROLLED = """
+    best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, source, index) = 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id, index) AS place FROM best)"""
+
+
+def _quoted(text: str) -> str:
+    """Whether ``text``, with its words in ``words``, is a quotation."""
+    credits = r"(?:\s*(?:https?://\S+|(?:RT|via)\s+@[0-9A-Za-z_]+))+\s*$"
+    named = lambda first, never, n: f" *{first}[^ {never}]*(?: +[^ {never}]+){{{{0,{n - 1}}}}} *$".replace("{{", "{").replace("}}", "}")
+    name = lambda n: named(r"\p{L}", "~?!", n)
+    closing, dashes = "[.!?\"''\u201d\u2019]", "[-\u2013\u2014]"
+    x = f"trim({text})"
+    line = f"string_split(trim(regexp_replace({x}, '{credits}', '')), chr(10))[-1]"
+    linked = f"contains(regexp_extract({x}, '{credits}'), 'http')"
+    return f"""(words < 100 AND regexp_matches({text}, '[~\u2013\u2014-]') AND CASE WHEN contains({line}, '~')
+        THEN CASE WHEN {linked} THEN regexp_matches({line}, '~{name(6)}') ELSE regexp_matches({line}, '~{name(10)}') END
+        ELSE NOT {linked} AND regexp_matches({line}, '{closing} *-*{dashes}{named(r'\p{Lu}', '?!', 6)}') END)"""
 
 
 def _spread(rows: str) -> str:
@@ -78,20 +99,32 @@ ORACLES: dict[str, str] = {
     "even_sample": """
         WITH r AS (SELECT doc_id, substr(sha256(source || chr(0) || doc_id), 1, 16) AS id FROM documents), n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () // 37 AS step FROM r)
         SELECT doc_id, id FROM n WHERE k % step = 0 AND k // step < 37""",
-    "quote_flags": f"WITH a AS (SELECT doc_id, {_TIDY} AS t FROM documents), b AS (SELECT doc_id, {_WORDS} < 100 AS q FROM a) SELECT doc_id, q AS tilde, q AS dash, false AS asks FROM b",
+    "quote_flags": f"WITH a AS (SELECT doc_id, {_TIDY} AS t FROM documents), b AS (SELECT doc_id, t, {_WORDS} AS words FROM a) SELECT doc_id, " + ", ".join(f"{_quoted('t || ' + chr(39) + end + chr(39))} AS {name}" for name, end in ENDINGS.items()) + " FROM b",
+    "documents_build": """
+        SELECT substr(sha256('chat' || chr(0) || conv_id || ':' || turn), 1, 16) AS id, 'a.json' AS file, role AS title, 'Someone' AS author, sha256(text) AS content_hash,
+               CAST(len(list_filter(string_split_regex(text, '[ \n]+'), lambda w: w <> '')) AS BIGINT) AS words FROM conversations WHERE text <> ''""",
+    "dupes_summary": f"{_DUPES} SELECT (SELECT count(*) FROM docs) AS compared, count(*) AS duplicated, count(DISTINCT root) AS groups FROM members",
+    "timeline_order": f"""
+        WITH {_CORPUS}, r AS (SELECT id, source, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE published END AS p FROM docs), o AS (SELECT id, row_number() OVER (ORDER BY p DESC NULLS LAST, source, id) AS place FROM r)
+        SELECT id, place FROM o WHERE place <= 100""",
+    "post_link_summary": """
+        WITH p AS (SELECT url, 1577836800 + page_id % 40 AS second, page_id % 5 = 0 AS bad FROM pages WHERE page_id % 5 = 0 OR page_id % 7 <> 0), s AS (SELECT DISTINCT url, second FROM p WHERE NOT bad)
+        SELECT (SELECT count(*) FROM s) AS links, (SELECT count(DISTINCT url) FROM s) AS unique, (SELECT min(second) FROM s) AS earliest, (SELECT max(second) FROM s) AS latest, (SELECT 2 * count(*) FROM p WHERE bad) AS dropped""",
     "chunk_invariants": f"""
         WITH a AS (SELECT doc_id, {_TIDY} AS t FROM documents)
         SELECT doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS covered, true AS bounded, CAST(0 AS BIGINT) AS first, CAST(octet_length(encode(t)) AS BIGINT) AS last FROM a WHERE t <> ''""",
     "token_frequencies": f"WITH t AS (SELECT unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY 1",
-    "postings": f"WITH t AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1",
-    "bm25_top": f"WITH {_bm25()} SELECT source, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 50",
+    "postings": f"WITH ps AS ({_LINES.format(where='true')}), t AS (SELECT doc_id, index, unnest({_TOKENS}) AS term FROM ps) SELECT term, count(DISTINCT (doc_id, index)) AS df, count(*) AS cf FROM t GROUP BY 1",
+    "bm25_top": f"WITH {_bm25()} SELECT source, doc_id, CAST(index AS BIGINT) AS index, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 50",
     "vector_top": f"WITH {_VEC} SELECT doc_id, round(CAST(score AS DOUBLE), 4) AS score, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= 50",
     "vector_normalise": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
         SELECT vec_id, 1.0 AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 4) AS head FROM e""",
-    "hybrid_rrf": f"WITH {_bm25()}, {_VEC}, {_FUSED} SELECT source, doc_id, round(score, 9) AS score, lexical_rank, vector_rank FROM fused",
-    "hybrid_rollup": f"WITH {_bm25()}, {_VEC}, {_FUSED}, o AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id) AS place FROM fused) SELECT source, doc_id, round(score, 9) AS score, place FROM o WHERE place <= 10",
-    "source_filtered_search": f"WITH {_bm25(_SRC3)} SELECT doc_id, rank AS lexical_rank, rank AS place FROM lex WHERE rank <= 10",
+    "hybrid_rrf": f"WITH {_bm25()}, {_VEC}, {_FUSED} SELECT source, doc_id, index, round(score, 9) AS score, lexical_rank, vector_rank FROM fused",
+    "hybrid_rollup": f"WITH {_bm25()}, {_VEC}, {_FUSED}, {_ROLLED} SELECT source, doc_id, index, round(score, 9) AS score, place FROM o WHERE place <= 10",
+    "source_filtered_search": f"""
+        WITH {_bm25(_SRC3)}, fused AS (SELECT source, doc_id, index, 1.0 / (60 + rank) AS score, rank AS lexical_rank FROM lex WHERE rank <= 200), {_ROLLED}
+        SELECT doc_id, CAST(index AS BIGINT) AS index, lexical_rank, place FROM o WHERE place <= 10""",
     "reuse_plan": """
         WITH o AS (SELECT DISTINCT sha256(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS k FROM documents WHERE doc_id % 3 <> 0)
         SELECT doc_id, sha256(text) IN (SELECT k FROM o) AS reused FROM documents""",
@@ -102,7 +135,7 @@ ORACLES: dict[str, str] = {
     "timeline_entries": f"{_DUPES}, {_ENTRIES} SELECT id, source, CAST(words AS BIGINT) AS words, {_LENGTH} AS length, CAST(copies AS BIGINT) AS copies FROM entries",
     "timeline_sources": f"{_DUPES}, {_ENTRIES} SELECT source, count(*) AS entries FROM entries GROUP BY 1",
     "timeline_months": f"{_DUPES}, {_ENTRIES} SELECT year(published) AS year, month(published) AS month, count(*) AS entries FROM entries GROUP BY 1, 2",
-    "event_months": "SELECT year(ts) AS year, month(ts) AS month, day(ts) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL",
+    "event_months": "SELECT year(ts) AS year, month(ts) AS month, count(*) AS entries FROM events GROUP BY ALL",
     "stats_by_source": f"""
         WITH {_CORPUS}, r AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE published END AS p, CASE WHEN length(t) > 20 THEN 1 ELSE 0 END AS c FROM docs)
         SELECT coalesce(source, 'all') AS source, count(*) AS documents, CAST(sum(c) AS BIGINT) AS chunks, CAST(sum(words) AS BIGINT) AS words, count(*) FILTER (p IS NULL) AS undated, count(*) FILTER (c = 0) AS empty,
@@ -148,10 +181,11 @@ ORACLES: dict[str, str] = {
     "path_matcher": """
         SELECT page_id, page_id % 11 IN (0, 2, 3, 5, 6, 8) AS file_rule, page_id % 11 IN (9, 10) AS folder_rule FROM pages""",
     "snippets": """
-        WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g'), '\\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en'),
-        b AS (SELECT doc_id, t, substr(t, 1, 150) AS s, substr(t, 1, 500) AS p FROM a),
-        c AS (SELECT *, length(s) - strpos(reverse(s), ' ') AS i, length(p) - strpos(reverse(p), ' ') AS j FROM b)
-        SELECT doc_id, CASE WHEN length(t) <= 150 THEN t WHEN strpos(s, ' ') > 0 AND i > 130 THEN substr(s, 1, i) || '...' ELSE s || '...' END AS snippet,
-               sha256(CASE WHEN length(t) <= 1000 THEN t ELSE rtrim(CASE WHEN strpos(p, ' ') > 0 AND j > 250 THEN substr(p, 1, j) ELSE p END, ' ,.;:-') || '…' END) AS preview FROM c""",
+        WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
+        b AS (SELECT doc_id, t, octet_length(encode(t)) AS n, list_max(list_filter(range(0, 151), lambda k: octet_length(encode(substr(t, 1, k))) <= 150)) AS k, substr(t, 1, 500) AS p FROM a),
+        c AS (SELECT *, substr(t, 1, k) || CASE WHEN n > 150 AND octet_length(encode(substr(t, 1, k))) < 150 THEN chr(65533) ELSE '' END AS s FROM b),
+        d AS (SELECT *, length(s) - strpos(reverse(s), ' ') AS i, length(p) - strpos(reverse(p), ' ') AS j FROM c)
+        SELECT doc_id, CASE WHEN n <= 150 THEN t WHEN strpos(s, ' ') > 0 AND octet_length(encode(substr(s, 1, i))) > 130 THEN substr(s, 1, i) || '...' ELSE s || '...' END AS snippet,
+               sha256(CASE WHEN length(t) <= 1000 THEN t ELSE rtrim(CASE WHEN strpos(p, ' ') > 0 AND j > 250 THEN substr(p, 1, j) ELSE p END, ' ,.;:-') || '…' END) AS preview FROM d""",
     "viewer_filter": f"WITH {_CORPUS} SELECT id, source, {_LENGTH} AS length FROM docs WHERE source IN ('src1', 'src2', 'src3') AND words < 1000 AND contains(lower(t), 'the ')",
 }

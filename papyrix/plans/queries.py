@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import Scratch
 from ..functions import chunk, quote, text
-from ..operators import documents, dupes, fusion, lexical, links, stats, timeline, vector
+from ..operators import digest, documents, dupes, fusion, lexical, links, stats, timeline, vector
 from ..sources import parsers
 from ..sources.matcher import NOISE, Matcher
 from ..sources.tables import corpus, events, passages, table, vectors
@@ -37,10 +38,16 @@ def even_sample(spark: SparkSession, sf: str) -> DataFrame:
     return documents.even_sample(rows, 37)
 
 
+#: What is put after each text, by the column that tells whether it is then a quotation.
+ENDINGS = {
+    "as_is": "", "tilde": " ~ Name Surname", "dash": '." - Name Surname', "asks": " ~ who?", "linked": " ~ Ann https://x.y/z via @someone", "long_link": " ~ Ann of the old and the new town https://x.y",
+    "dash_link": ". - Ann https://x.y", "long_dash": ". - One Two Three Four Five Six Seven", "small": ". - ann", "own_line": ".\n- Ann", "open": " - Ann",
+}
+
+
 def quote_flags(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").select("doc_id", "source", text.tidy(F.col("text")).alias("t")).withColumn("words", text.word_count(F.col("t")))
-    tilde, dash, asks = F.concat("t", F.lit(" ~ Name "), "source"), F.concat("t", F.lit('." - Name '), "source"), F.concat("t", F.lit(" ~ who?"))
-    return rows.select("doc_id", quote.quote_flag(tilde, F.col("words")).alias("tilde"), quote.quote_flag(dash, F.col("words")).alias("dash"), quote.quote_flag(asks, F.col("words")).alias("asks"))
+    rows = table(spark, sf, "documents").select("doc_id", text.tidy(F.col("text")).alias("t")).withColumn("words", text.word_count(F.col("t")))
+    return rows.select("doc_id", *[quote.quote_flag(F.concat("t", F.lit(end)), F.col("words")).alias(name) for name, end in ENDINGS.items()])
 
 
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,14 +69,31 @@ def token_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("n"))
 
 
+_INDEXES: dict = {}
+
+
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """Stored postings of the passages, made once a session as a digest makes them, and the passages and tokens by source."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        scratch, rows = Scratch(spark, "index"), passages(spark, sf)
+        stored = scratch.keep(lexical.postings(rows).repartitionByRange("term").sortWithinPartitions("term", "doc_id", "index"), "postings")
+        n = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
+        tokens = {r.source: r.n for r in stored.groupBy("source").agg(F.sum("tf").alias("n")).collect()}
+        sizes = {source: (n[source], tokens.get(source, 0)) for source in n}
+        sizes[stats.ALL] = (sum(n.values()), sum(tokens.values()))
+        _INDEXES[key] = stored, sizes
+    return _INDEXES[key]
+
+
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    got = lexical.postings(passages(spark, sf).select("source", "doc_id", "index", F.col("text").alias("indexed")))
-    return got.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, sf)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    got = lexical.bm25(passages(spark, sf), QUERY, 50)
-    return got.select("source", "doc_id", F.round("score", 6).alias("score"), "rank")
+    stored, sizes = _index(spark, sf)
+    got = lexical.bm25(stored, sizes[stats.ALL], QUERY, 50)
+    return got.select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 6).alias("score"), "rank")
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -87,26 +111,58 @@ def vector_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    lex, vec = lexical.bm25(passages(spark, sf), QUERY, fusion.DEPTH), vector.cosine_top(vectors(spark, sf), _query_vector(spark, sf), fusion.DEPTH)
-    return fusion.fuse(lex, vec).select("source", "doc_id", F.round("score", 9).alias("score"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("vector_rank").cast("long").alias("vector_rank"))
+    stored, sizes = _index(spark, sf)
+    lex, vec = lexical.bm25(stored, sizes[stats.ALL], QUERY, fusion.DEPTH), vector.cosine_top(vectors(spark, sf), _query_vector(spark, sf), fusion.DEPTH)
+    return fusion.fuse(lex, vec).select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 
 def hybrid_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    got = fusion.search(passages(spark, sf), vectors(spark, sf), QUERY, _query_vector(spark, sf))
-    return got.select("source", "doc_id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
+    stored, sizes = _index(spark, sf)
+    got = fusion.search(stored, sizes[stats.ALL], vectors(spark, sf), QUERY, _query_vector(spark, sf))
+    return got.select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def source_filtered_search(spark: SparkSession, sf: str) -> DataFrame:
-    got = fusion.search(passages(spark, sf), None, QUERY, None, mode="lexical", source="src3")
-    return got.select("doc_id", F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("place").cast("long").alias("place"))
+    stored, sizes = _index(spark, sf)
+    got = fusion.search(stored, sizes.get("src3", (0, 0)), None, QUERY, None, mode="lexical", source="src3")
+    return got.select("doc_id", F.col("index").cast("long").alias("index"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("place").cast("long").alias("place"))
+
+
+def passage_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Search over passages as a digest cuts them, several of a document rolled up."""
+    docs = corpus(spark, sf)
+    pieces = chunk.chunks(docs)
+    scratch = Scratch(spark, "passages")
+    stored = scratch.keep(lexical.postings(digest.passages(docs, pieces)), "postings")
+    sizes = (pieces.count(), stored.agg(F.sum("tf").alias("n")).first().n or 0)
+    got = fusion.search(stored, sizes, None, QUERY, None, mode="lexical", hits=50)
+    return got.select("doc_id", "index", F.round("score", 6).alias("score"), "lexical_rank", "place")
+
+
+class _Marked(digest.HashEmbedder):
+    """An embedder whose vectors differ from those that the query puts into its store."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[0.0, 1.0] for _ in texts]
 
 
 def reuse_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages whose embedding key is known from a store of earlier texts, and those that are not."""
-    rows = table(spark, sf, "documents").select("doc_id", text.content_hash(F.col("text")).alias("key"))
-    old = table(spark, sf, "documents").filter("doc_id % 3 <> 0").select(text.content_hash(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))).alias("key")).distinct()
-    marked = rows.join(old.withColumn("hit", F.lit(True)), "key", "left")
-    return marked.select("doc_id", F.coalesce("hit", F.lit(False)).alias("reused"))
+    """Which passages take their vector from a store of earlier texts, and which are embedded."""
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    earlier = rows.filter("doc_id % 3 <> 0").select(text.content_hash(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise(""))).alias("embed_key")).distinct()
+    stored = earlier.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>"))
+    docs = rows.select(F.col("doc_id").alias("id"), F.lit("").alias("title"))
+    got = digest.embed_chunks(docs, rows.select(F.col("doc_id").alias("id"), "doc_id", "text"), stored, _Marked(2))
+    return got.select(F.col("chunk_id").cast("long").alias("doc_id"), (F.get("embedding", F.lit(0)) == 1.0).alias("reused"))
+
+
+def documents_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations built into documents, each turn met in two files, of which the first stays."""
+    rows = table(spark, sf, "conversations")
+    none = F.lit(None).cast("string")
+    raw = rows.select(F.concat_ws(":", "conv_id", "turn").alias("native_key"), F.explode(F.array(F.lit("b.json"), F.lit("a.json"))).alias("file"), F.col("role").alias("title"), none.alias("author"), none.alias("url"), F.lit(None).cast("timestamp").alias("published"), "text")
+    got = documents.unique_ids(documents.build(raw, "chat", "posts", " Someone "))
+    return got.select("id", "file", "title", "author", "content_hash", F.col("words").cast("long").alias("words"))
 
 
 def shingle_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,6 +190,10 @@ def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return dupes.groups(_members(spark, sf)).select("group_id", "winner_id", "members", F.round("lowest", 6).alias("lowest"))
 
 
+def dupes_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return dupes.summary(corpus(spark, sf), _members(spark, sf))
+
+
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.entries(corpus(spark, sf), _members(spark, sf))
 
@@ -151,9 +211,9 @@ def timeline_months(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_months(spark: SparkSession, sf: str) -> DataFrame:
-    """Year and month grouping over real timestamps, with a field of their JSON properties counted."""
-    rows = events(spark, sf)
-    return rows.groupBy(F.year("ts").cast("long").alias("year"), F.month("ts").cast("long").alias("month"), F.dayofmonth("ts").cast("long").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    """Year and month grouping over real timestamps."""
+    got = timeline.months(events(spark, sf).withColumn("published", F.col("ts")))
+    return got.select(F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "entries")
 
 
 def _dated(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,6 +221,13 @@ def _dated(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("published", F.when(F.expr(UNDATED.replace("doc_id", "cast(id as long)")), None).otherwise(F.col("published")))
 
 
+def timeline_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest entries of a timeline with their place."""
+    first = timeline.newest_first(_dated(spark, sf)).limit(100)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("published").desc_nulls_last(), "source", "id")
+    return first.select("id", F.row_number().over(order).cast("long").alias("place"))
+
+
 def stats_by_source(spark: SparkSession, sf: str) -> DataFrame:
     one = corpus(spark, sf).filter("length(text) > 20").select(F.col("id").alias("doc_id"))
     got = stats.by_source(_dated(spark, sf), one)
@@ -206,6 +273,16 @@ def link_hosts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", text.usable_url(F.col("u")).alias("usable"), F.when(text.usable_url(F.col("u")), text.host(F.col("u"))).alias("host"))
 
 
+def post_link_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of a posts export made of pages: some unusable, some empty, each shared twice in one second."""
+    url = F.when(F.col("page_id") % 5 == 0, F.lit("not a link")).when(F.col("page_id") % 7 == 0, F.lit(" ")).otherwise(F.col("url"))
+    context = F.struct(F.struct(url.alias("url"), F.lit("n").alias("name"), F.lit("s").alias("source")).alias("external_context"))
+    record = F.struct((F.lit(1577836800) + F.col("page_id") % 40).alias("timestamp"), F.array(F.struct(F.lit("c").alias("post"))).alias("data"), F.array(F.struct(F.array(context, context).alias("data"))).alias("attachments"))
+    files = table(spark, sf, "pages").select(F.concat(F.lit("your_posts_"), F.col("page_id").cast("string"), F.lit(".json")).alias("file"), F.to_json(F.array(record)).cast("binary").alias("content"))
+    got = links.summary(parsers.post_links(files))
+    return got.select("links", "unique", F.unix_seconds("earliest").alias("earliest"), F.unix_seconds("latest").alias("latest"), "dropped")
+
+
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     got = table(spark, sf, "pages").select("page_id", parsers.page_struct(F.col("html")).alias("p"))
     return got.select("page_id", text.normalise(F.col("p.text")).alias("text"))
@@ -230,12 +307,15 @@ def post_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sidecar_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Bodies against a table of posts that lacks every seventh: subtitles, drafts and errors."""
-    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
-    side = rows.filter("doc_id % 7 <> 0").select("doc_id", F.concat(F.lit("About "), "source").alias("subtitle"), (F.col("doc_id") % 5 == 0).alias("draft"))
-    got = rows.join(side, "doc_id", "left").filter("not coalesce(draft, false)")
-    body = text.tidy(F.col("text"))
-    return got.select("doc_id", F.when(F.col("subtitle").isNull(), "missing").otherwise("found").alias("status"), text.content_hash(F.when((F.coalesce("subtitle", F.lit("")) != "") & (body != ""), F.concat("subtitle", F.lit("\n\n"), body)).otherwise(body)).alias("hash"))
+    """A newsletter export whose table of posts lacks every seventh: subtitles, drafts and errors."""
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source")
+    folder = Scratch(spark, "newsletter").root
+    side = rows.filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("post_id"), F.lit("2021-01-02").alias("post_date"), F.when(F.col("doc_id") % 5 == 0, "false").otherwise("true").alias("is_published"), F.lit("").alias("title"), F.concat(F.lit("About "), "source").alias("subtitle"))
+    side.write.mode("overwrite").csv(f"{folder}/posts.csv", header=True)
+    escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    files = rows.select(F.concat(F.lit("posts/"), F.col("doc_id").cast("string"), F.lit(".html")).alias("file"), F.concat(F.lit("<p>"), escaped).cast("binary").alias("content"))
+    got = parsers.parse_newsletter(spark, folder, files, None)
+    return got.select(F.col("native_key").cast("long").alias("doc_id"), F.when(F.col("error").isNull(), "found").otherwise("missing").alias("status"), text.content_hash(F.col("text")).alias("hash"))
 
 
 def review_titles(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,8 +348,8 @@ def path_matcher(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Result snippets and timeline previews of ASCII texts."""
-    rows = table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", text.squeeze(F.regexp_replace("text", r"[^\x00-\x7F]", "?")).alias("t"))
+    """Result snippets, cut by bytes, and timeline previews, cut by characters, of all texts."""
+    rows = table(spark, sf, "documents").select("doc_id", text.squeeze(F.col("text")).alias("t"))
     return rows.select("doc_id", text.snippet(F.col("t"), 150).alias("snippet"), text.content_hash(text.preview(F.col("t"))).alias("preview"))
 
 
@@ -279,9 +359,10 @@ def viewer_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = [
-    normalise_text, document_identity, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, vector_top, vector_normalise, hybrid_rrf, hybrid_rollup,
-    source_filtered_search, reuse_plan, shingle_sets, near_duplicate_pairs, duplicate_members, duplicate_groups, timeline_entries, timeline_sources, timeline_months, event_months, stats_by_source, stats_spread,
-    stats_years, stats_vocabulary, order_spread, link_domains, link_dedupe, link_hosts, page_text, page_meta, post_records, sidecar_join, review_titles, site_dates, slug_titles, mojibake_repair, path_matcher, snippets, viewer_filter,
+    normalise_text, document_identity, documents_build, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, vector_top, vector_normalise, hybrid_rrf,
+    hybrid_rollup, source_filtered_search, passage_search, reuse_plan, shingle_sets, near_duplicate_pairs, duplicate_members, duplicate_groups, dupes_summary, timeline_entries, timeline_sources, timeline_months,
+    timeline_order, event_months, stats_by_source, stats_spread, stats_years, stats_vocabulary, order_spread, link_domains, link_dedupe, link_hosts, post_link_summary, page_text, page_meta, post_records, sidecar_join,
+    review_titles, site_dates, slug_titles, mojibake_repair, path_matcher, snippets, viewer_filter,
 ]
 
 

@@ -51,20 +51,33 @@ def search_table(rows: DataFrame) -> str:
 
 
 def timeline_json(entries: DataFrame) -> Iterable[str]:
-    """The timeline as JSON, an entry a line, without gathering it."""
-    rows = line_ops.newest_first(entries).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()
-    yield "["
+    """The timeline as JSON, an entry a line, without gathering it: counts, sources, then entries newest first."""
+    counts = line_ops.counts(entries).first().asDict()
+    sources = [r.asDict() for r in line_ops.counts_by_source(entries).collect()]  # a row a source
+    yield json.dumps({"counts": counts | {"documents": counts["entries"] + counts["folded"]}, "sources": sources}, ensure_ascii=False)[:-1] + ', "entries": ['
     first = True
-    for r in rows:
-        yield ("" if first else ",") + r.j
+    for r in line_ops.newest_first(entries).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        yield ("\n" if first else ",\n") + r.j
         first = False
-    yield "]"
+    yield "]}"
+
+
+def _filters(sources: list[dict]) -> str:
+    """Boxes whose state hides entries by style alone: one a source and a length, and one for quotations."""
+    boxes = [(f"s{i}", f"{r['source']} ({comma(r['entries'])})", f".s{i}") for i, r in enumerate(sources)] + [(n, n, f".{n}") for n in ("short", "medium", "long")] + [("quote", "quotations", ".quote"), ("plain", "other texts", ".plain")]
+    style = "".join(f"#{box}:not(:checked)~main {which}{{display:none}}" for box, _, which in boxes)
+    return f"<style>{style}</style>" + "".join(f"<input type=checkbox checked id={box}><label for={box}>{html.escape(name)}</label>" for box, name, _ in boxes)
 
 
 def timeline_html(entries: DataFrame, title: str = "Writing") -> Iterable[str]:
-    """A page on its own: undated entries first, then years and months, newest first; sources filter by style alone."""
+    """A page on its own: undated entries first, then years and months, newest first; sources, lengths and quotations are
+    filtered by style alone."""
+    sources = [r.asDict() for r in line_ops.counts_by_source(entries).collect()]  # a row a source
+    counts = line_ops.counts(entries).first()
+    place = {r["source"]: f"s{i}" for i, r in enumerate(sources)}
     rows = entries.withColumn("preview", text.preview(F.col("text"))).orderBy(F.col("published").desc_nulls_first(), "source", "id")
     yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><style>body{{font:16px serif;max-width:40em;margin:auto}}.copies{{color:#666}}</style><h1>{html.escape(title)}</h1>"
+    yield f"<p>{plural(counts.entries, 'entry', 'entries')}, {plural(counts.folded, 'copy', 'copies')} folded away</p>{_filters(sources)}<main>"
     year = month = None
     for r in rows.toLocalIterator():
         y, m = (r.published.year, r.published.month) if r.published else ("Undated", None)
@@ -75,14 +88,17 @@ def timeline_html(entries: DataFrame, title: str = "Writing") -> Iterable[str]:
             yield f"<h3>{r.published:%B}</h3>"
         month = m
         copies = ", ".join(html.escape(c.source) for c in r.copies)
-        yield f"<article class='{html.escape(r.length)}'><h4>{html.escape(r.title or '')}</h4><p>{html.escape(r.preview)}</p>" + (f"<p class=copies>also in {copies}</p>" if copies else "") + "</article>"
+        yield f"<article class='{place[r.source]} {html.escape(r.length)} {'quote' if r.quote else 'plain'}'><h4>{html.escape(r.title or '')}</h4><p>{html.escape(r.preview)}</p>" + (f"<p class=copies>also in {copies}</p>" if copies else "") + "</article>"
+    yield "</main>"
 
 
-def links_markdown(shares: DataFrame) -> Iterable[str]:
-    """Links newest first under year headings, after the domains shared most."""
-    yield "# Links\n\n## Domains\n"
+def links_markdown(links: DataFrame) -> Iterable[str]:
+    """All extracted links: how many and over what time, the domains shared most, then shares newest first under years."""
+    shares, held = link_ops.unique_shares(links), link_ops.summary(links).first()
+    span = f" from {held.earliest:%Y-%m-%d} to {held.latest:%Y-%m-%d}" if held.earliest else ""
+    yield f"# Links\n\n{plural(held.links, 'link', 'links')} to {plural(held.unique, 'page', 'pages')}{span}; {comma(held.dropped)} unusable\n\n## Domains\n"
     for r in link_ops.domains(shares).limit(TOP_DOMAINS).collect():
-        yield f"- {r.domain}: {comma(r['count'])}"
+        yield f"- {r.domain}: {comma(r['count'])} ({percent(r['count'], held.links)})"
     year = None
     for r in link_ops.newest_first(shares).toLocalIterator():
         y = r.published.year if r.published else "Undated"
@@ -92,6 +108,28 @@ def links_markdown(shares: DataFrame) -> Iterable[str]:
         yield f"- [{(r.title or r.url).replace('[', '(').replace(']', ')')}]({r.url})" + "".join(f"\n  > {line}" for line in (r.comment or "").splitlines())
 
 
+def links_json(links: DataFrame) -> Iterable[str]:
+    """The same as JSON, a share a line."""
+    held = link_ops.summary(links).first().asDict()
+    domains = [r.asDict() for r in link_ops.domains(link_ops.unique_shares(links)).limit(TOP_DOMAINS).collect()]
+    yield json.dumps(held | {"domains": domains}, default=str, ensure_ascii=False)[:-1] + ', "shares": ['
+    first = True
+    for r in link_ops.newest_first(link_ops.unique_shares(links)).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        yield ("\n" if first else ",\n") + r.j
+        first = False
+    yield "]}"
+
+
+def groups_json(held, groups: DataFrame) -> Iterable[str]:
+    """Duplicate groups as JSON, a group a line, after the counts."""
+    yield json.dumps(held.asDict())[:-1] + ', "found": ['
+    first = True
+    for r in groups.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        yield ("\n" if first else ",\n") + r.j
+        first = False
+    yield "]}"
+
+
 def table(rows: DataFrame) -> str:
     """A small report as aligned text."""
     got = [rows.columns, *[["" if v is None else comma(v) if isinstance(v, int) and not isinstance(v, bool) else str(v) for v in r] for r in rows.collect()]]

@@ -93,6 +93,8 @@ class Defaults:
 
 @dataclass
 class EmbedConfig:
+    """Without ``base_url`` texts are embedded by hashing, which finds equal texts and no like ones."""
+
     base_url: str = ""
     model: str = "hash-embedder"
 
@@ -127,6 +129,8 @@ class StoredSource:
     chunks: int = 0
     source_dir: str = ""
     digested_at: str = ""
+    version: int = 0
+    tokens: int = 0
 
 
 @dataclass
@@ -140,6 +144,15 @@ class StoreManifest:
         kept = [s for s in self.sources if s["name"] != source.name]
         self.sources = sorted([*kept, asdict(source)], key=lambda s: s["name"])
 
+    def version_after(self, name: str) -> int:
+        """The version that a new digest of a source writes."""
+        return 1 + max((s.get("version", 0) for s in self.sources if s["name"] == name), default=0)
+
+    def sizes(self, source: str | None = None) -> tuple[int, int]:
+        """Passages and their tokens, of one source or all: what ranking needs to know of a corpus."""
+        some = [s for s in self.sources if source is None or s["name"] == source]
+        return sum(s["chunks"] for s in some), sum(s.get("tokens", 0) for s in some)
+
     def check_embed(self, model: str, dimensions: int, digest: str) -> None:
         """Vectors of different models never meet in one store."""
         want = {"model": model, "dimensions": dimensions, "digest": digest}

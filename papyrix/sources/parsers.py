@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -17,6 +20,8 @@ from .matcher import Matcher
 
 #: Larger files are an error of their own, found before their bytes are read.
 LARGEST_FILE = 64 << 20
+#: File names (some hundred bytes each) that are broadcast to the files.
+BROADCAST_NAMES = 100_000
 #: Columns of raw documents.
 RAW = ["file", "native_key", "title", "author", "url", "published", "text"]
 
@@ -28,17 +33,36 @@ class Parser:
     links: Callable[[DataFrame], DataFrame] | None = None
 
 
-def enumerate_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...]) -> DataFrame:
-    """Rows (file, length, content) of the files a source holds: included, not excluded, in no excluded folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+FILES = "file string, length long, content binary"
+
+
+def list_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...]) -> DataFrame:
+    """Rows (path, file, length) of the files a source holds: included, not excluded, in no excluded folder. No file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     root = os.path.abspath(folder) if "://" not in folder else folder
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), "^\\Q" + root.rstrip("/") + "\\E/", "")
+    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), "^\\Q" + re.sub("^[a-z]+:/*(?=/)", "", root).rstrip("/") + "\\E/", "")
     out, wanted = manifest.matcher(), Matcher(manifest.include or list(include))
-    files = files.select(rel.alias("file"), "length", "content")
     path = F.col("file")
+    files = files.select("path", rel.alias("file"), "length")
     return files.filter(wanted.file_column(path) & ~out.file_column(path) & ~out.inside_excluded(path) & (text.base_name(path) != "corpus.yaml"))
 
 
+def enumerate_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(files, large): rows (file, length, content) of a source's files, and (file, length) of those above the ceiling.
+
+    Paths are listed and filtered first, as the driver holds them for any scan, and only the files that are left are read. A
+    file that vanishes or cannot be read is passed over.
+    """
+    listed = list_files(spark, folder, manifest, include)
+    wanted = {r.path: r.file for r in listed.filter(F.col("length") <= LARGEST_FILE).select("path", "file").toLocalIterator()}
+    large = listed.filter(F.col("length") > LARGEST_FILE).select("file", "length")
+    if not wanted:
+        return spark.createDataFrame([], FILES), large
+    read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in sorted(wanted)])
+    names = listed.select("path", "file")
+    return read.join(F.broadcast(names) if len(wanted) <= BROADCAST_NAMES else names, "path").select("file", "length", "content"), large
+
+
 def _utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
@@ -55,7 +79,7 @@ def parse_text(spark, folder, files: DataFrame, manifest) -> DataFrame:
     )
 
 
-_PAGE = "struct<title:string,author:string,url:string,published:timestamp,text:string>"
+_PAGE = "struct<title:string,author:string,url:string,dates:array<string>,text:string>"
 
 
 def _page(markup: pd.Series) -> pd.DataFrame:
@@ -63,14 +87,14 @@ def _page(markup: pd.Series) -> pd.DataFrame:
     for m in markup:
         root = html.parse(m or "")
         rows.append({**html.metadata(root), "text": html.raw_text(html.content(root))})
-    out = pd.DataFrame(rows, columns=["title", "author", "url", "published", "text"])
-    out["published"] = pd.to_datetime(out["published"], utc=True).dt.tz_localize(None)
-    return out
+    return pd.DataFrame(rows, columns=["title", "author", "url", "dates", "text"])
 
 
 def page_struct(markup: Column) -> Column:
-    """Metadata and raw content text of a page."""
-    return F.pandas_udf(_page, _PAGE)(markup)
+    """Metadata and raw content text of a page; its date is the first that a known layout fits."""
+    page = F.pandas_udf(_page, _PAGE)(markup)
+    dates = F.filter(F.transform(page["dates"], text.strict_timestamp), lambda d: d.isNotNull())
+    return F.struct(page["title"].alias("title"), page["author"].alias("author"), page["url"].alias("url"), F.get(dates, F.lit(0)).alias("published"), page["text"].alias("text"))
 
 
 def parse_html(spark, folder, files: DataFrame, manifest) -> DataFrame:
@@ -159,23 +183,36 @@ def parse_newsletter(spark, folder, files: DataFrame, manifest) -> DataFrame:
     return got.select("file", F.col("post_id").alias("native_key"), F.coalesce(F.nullif(F.col("m.title"), F.lit("")), slug).alias("title"), none.alias("author"), none.alias("url"), text.strict_timestamp(F.col("m.post_date")).alias("published"), whole.alias("text"), error.alias("error"))
 
 
+REVIEW_COLUMNS = ["Book Id", "Title", "Author", "My Rating", "My Review", "Date Read"]
+_REVIEWS = "file string, book string, title string, author string, rating string, review string, read string, error string"
+
+
+def _reviews(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with a review of each library table; a table that cannot be used is one row with the error."""
+    names = ["file", "book", "title", "author", "rating", "review", "read", "error"]
+    for frame in frames:
+        rows = []
+        for file, content in zip(frame["file"], frame["content"]):
+            table = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""))
+            heads = {(h or "").strip(): h for h in table.fieldnames or []}
+            if missing := [c for c in REVIEW_COLUMNS if c not in heads]:
+                rows.append([file, *[None] * 6, f"reviews: {file}: missing column {', '.join(missing)}"])
+                continue
+            got = [[file, *[(r[heads[c]] or "").strip() for c in ("Book Id", "Title", "Author", "My Rating", "My Review", "Date Read")], None] for r in table]
+            got = [r for r in got if r[5]]
+            if any(not r[1] for r in got):
+                got = [[file, *[None] * 6, f"reviews: {file} has a review with no Book Id"]]
+            rows += got
+        yield pd.DataFrame(rows, columns=names)
+
+
 def parse_reviews(spark, folder, files: DataFrame, manifest) -> DataFrame:
-    """A book-library table: reviews only; one without an id fails its whole file; undated ones count as 2012-01-01."""
-    names = [r.file for r in files.select("file").collect()]  # a handful of exports
-    out = None
-    for name in sorted(names):
-        rows = read_csv(spark, os.path.join(folder, name), ["Book Id", "Title", "Author", "My Rating", "My Review", "Date Read"]).filter("`My Review` <> ''")
-        lost = F.max(F.when(F.col("Book Id") == "", 1).otherwise(0)).over(Window.partitionBy(F.lit(name))) == 1
-        page = page_struct(F.col("My Review"))
-        none = F.lit(None).cast("string")
-        part = rows.withColumn("lost", lost).select(
-            F.lit(name).alias("file"), F.col("Book Id").alias("native_key"), text.review_title(F.col("Title"), F.col("Author"), F.col("My Rating")).alias("title"), none.alias("author"), none.alias("url"),
-            F.coalesce(text.strict_timestamp(F.col("Date Read")), F.lit("2012-01-01").cast("timestamp")).alias("published"), page["text"].alias("text"), F.when(F.col("lost"), F.lit(f"reviews: {name} has a review with no Book Id")).alias("error"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = parse_text(spark, folder, files.limit(0), manifest)
-    return out
+    """A book-library table: reviews only; a table without a needed column, or with a review without an id, is an error of its
+    own; undated reviews count as 2012-01-01."""
+    rows = files.select("file", "content").mapInPandas(_reviews, _REVIEWS)
+    page, none = page_struct(F.col("review")), F.lit(None).cast("string")
+    read = F.coalesce(text.strict_timestamp(F.col("read")), F.lit("2012-01-01").cast("timestamp"))
+    return rows.select("file", F.col("book").alias("native_key"), text.review_title(F.col("title"), F.col("author"), F.col("rating")).alias("title"), none.alias("author"), none.alias("url"), read.alias("published"), page["text"].alias("text"), "error")
 
 
 #: Source types by name.
@@ -200,8 +237,11 @@ def parser_of(kind: str) -> Parser:
 
 
 def parse_source(spark: SparkSession, folder: str, manifest: SourceManifest) -> tuple[DataFrame, DataFrame]:
-    """Raw documents (RAW columns and error) of a source, and its files (file, length, too_large)."""
+    """Raw documents (RAW columns and error) of a source, and its files (file, length, too_large). A file above the ceiling is
+    not read and gives an error of its own."""
     parser = parser_of(manifest.type)
-    found = enumerate_files(spark, folder, manifest, parser.include)
-    files = found.select("file", "length", (F.col("length") > LARGEST_FILE).alias("too_large"))
-    return parser.parse(spark, folder, found.filter(F.col("length") <= LARGEST_FILE), manifest), files
+    found, large = enumerate_files(spark, folder, manifest, parser.include)
+    files = found.select("file", "length", F.lit(False).alias("too_large")).unionByName(large.withColumn("too_large", F.lit(True)))
+    none = F.lit(None).cast("string")
+    lost = large.select("file", none.alias("native_key"), none.alias("title"), none.alias("author"), none.alias("url"), F.lit(None).cast("timestamp").alias("published"), none.alias("text"), F.concat(F.lit(f"{manifest.type}: "), "file", F.lit(" is too large")).alias("error"))
+    return parser.parse(spark, folder, found, manifest).unionByName(lost), files

@@ -1,53 +1,64 @@
-"""The digested store: Parquet tables by source, and the vector file for interchange."""
+"""The digested store: Parquet tables by source and version, and the vector file for interchange.
+
+A digest writes a new version of a source's tables, and the store's manifest, which is replaced in one step, says which version
+counts. So a reader never sees half a source, and a digest that dies leaves the one before.
+"""
 
 from __future__ import annotations
 
 import struct
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("documents", "chunks", "vectors")
+from .. import durable
+from . import manifests
+
+TABLES = ("documents", "chunks", "vectors", "postings")
+#: How rows are ordered within files, so that a reader of few keys passes over row groups.
+ORDER = {"documents": ["id"], "chunks": ["doc_id", "index"], "vectors": ["chunk_id"], "postings": ["term", "doc_id", "index"]}
 #: Fixed value: how a vector file begins.
 MAGIC = b"CORVEC1\0"
 WIDEST = 65536
 
 
-def path(base: str, name: str, source: str) -> str:
-    return f"{base.rstrip('/')}/{name}/source={source}"
+def path(base: str, name: str, source: str, version: int) -> str:
+    return f"{base.rstrip('/')}/{name}/source={source}/version={version}"
+
 
+def write(spark: SparkSession, base: str, source: str, version: int, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Write ``version`` of a source's tables, and return them as read back. They count once the manifest names the version.
 
-def write(spark: SparkSession, base: str, source: str, docs: DataFrame, chunks: DataFrame, vectors: DataFrame) -> None:
-    """Replace a source's tables, sorted by key within files. All three are written beside first, then moved in."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    order = {"documents": ["id"], "chunks": ["doc_id", "index"], "vectors": ["chunk_id"]}
-    for name, rows in zip(TABLES, (docs, chunks, vectors)):
-        rows.drop("source").sortWithinPartitions(*order[name]).write.mode("overwrite").parquet(f"{base.rstrip('/')}/_new/{name}/{source}")
+    Postings are dealt out by ranges of terms, so that the terms of a query are in few files.
+    """
+    out = {}
     for name in TABLES:
-        new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{base.rstrip('/')}/_new/{name}/{source}", path(base, name, source)))
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.mkdirs(old.getParent())
-        fs.rename(new, old)
+        rows = tables[name].drop("source")
+        rows = rows.repartitionByRange("term") if name == "postings" else rows
+        rows.sortWithinPartitions(*ORDER[name]).write.mode("overwrite").parquet(path(base, name, source, version))
+        out[name] = spark.read.schema(rows.schema).parquet(path(base, name, source, version)).withColumn("source", F.lit(source))
+    return out
 
 
 def read(spark: SparkSession, base: str, name: str, source: str | None = None) -> DataFrame | None:
-    """A table of the store, of one source (its partition alone is read) or all; None if there is none."""
-    try:
-        got = spark.read.parquet(f"{base.rstrip('/')}/{name}") if source is None else spark.read.parquet(path(base, name, source)).withColumn("source", F.lit(source))
-    except AnalysisException:
+    """A table of the store, of one source (its files alone are read) or all; None if there is none. Tables that the manifest
+    names and that cannot be read are an error."""
+    held = manifests.load_store_manifest(base).sources
+    paths = [path(base, name, s["name"], s["version"]) for s in held if source is None or s["name"] == source]
+    if not paths:
         return None
-    return got
+    return spark.read.option("basePath", f"{base.rstrip('/')}/{name}").parquet(*paths).drop("version")
 
 
-def remove(spark: SparkSession, base: str, source: str) -> None:
-    jvm = spark.sparkContext._jvm
+def remove_older(spark: SparkSession, base: str, source: str, version: int) -> None:
+    """Delete the versions of a source that no longer count."""
     for name in TABLES:
-        where = jvm.org.apache.hadoop.fs.Path(path(base, name, source))
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, folder = durable.file_system(spark, f"{base.rstrip('/')}/{name}/source={source}")
+        if fs.exists(folder):
+            for status in fs.listStatus(folder):
+                if status.getPath().getName() != f"version={version}":
+                    fs.delete(status.getPath(), True)
 
 
 def check(chunks: DataFrame, vectors: DataFrame) -> None:

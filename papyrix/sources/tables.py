@@ -21,13 +21,19 @@ def corpus(spark: SparkSession, base: str) -> DataFrame:
 
 
 def passages(spark: SparkSession, base: str) -> DataFrame:
-    """One passage a document: source, doc_id, index, text and what retrievers index."""
+    """One passage a line that is not empty: source, doc_id, index (the line's number), text and what retrievers index."""
+    rows = table(spark, base, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("index", "text")).filter("text <> ''")
+    return rows.withColumn("indexed", text.indexed_text(F.lit(""), F.col("text")))
+
+
+def whole_passages(spark: SparkSession, base: str) -> DataFrame:
+    """One passage a document."""
     rows = table(spark, base, "documents").select("source", "doc_id", F.lit(0).alias("index"), "text")
     return rows.withColumn("indexed", text.indexed_text(F.lit(""), F.col("text")))
 
 
 def vectors(spark: SparkSession, base: str) -> DataFrame:
-    """Vectors of passages, by vec_id = doc_id; documents without one are absent."""
+    """Vectors of first passages, by vec_id = doc_id; documents without one are absent."""
     rows = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return rows.join(table(spark, base, "documents").select("doc_id", "source"), "doc_id").select("source", "doc_id", F.lit(0).alias("index"), "embedding")
 

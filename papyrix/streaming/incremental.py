@@ -19,15 +19,14 @@ def arriving_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def digest_stream(spark: SparkSession, folder: str, source: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append arriving documents to ``out``; each micro-batch is deduplicated by id and against what is stored."""
+    """Write arriving documents below ``out``, one folder a micro-batch, each id once.
+
+    Ids that were met are kept in the query's state, so no batch reads what is stored. A batch that is run again replaces its
+    folder, so a failure leaves neither doubles nor gaps.
+    """
+    made = documents.build(arriving_texts(spark, folder), source, "text").dropDuplicates(["id"])
 
     def each(batch: DataFrame, number: int) -> None:
-        made = documents.unique_ids(documents.build(batch, source, "text"))
-        try:
-            made = made.join(spark.read.parquet(out).select("id"), "id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        made.write.mode("append").parquet(out)
-
-    return arriving_texts(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return made.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

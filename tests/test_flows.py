@@ -1,10 +1,15 @@
 import json
 import os
+import threading
+import urllib.error
+import urllib.request
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 
-from papyrix.plans import cli
-from papyrix.sources import manifests
+from papyrix.operators import digest
+from papyrix.plans import cli, serve
+from papyrix.sources import manifests, parsers, store
 from papyrix.streaming import incremental
 
 
@@ -17,7 +22,7 @@ def sources(tmp_path):
     (tmp_path / "notes/a.md").write_text("# Title\nplain body of a note")
     (tmp_path / "notes/logo.png").write_bytes(b"x")
     (tmp_path / "site/2020-01-02-my_page.html").write_text(f"<body><h1>title</h1><p>{same}</p></body>")
-    (tmp_path / "posts/your_posts_1.json").write_text(json.dumps([{"timestamp": 1577923200, "data": [{"post": same}], "attachments": [{"data": [{"external_context": {"url": "https://www.x.org/a", "name": "X"}}]}]}, {"timestamp": 5}]))
+    (tmp_path / "posts/your_posts_1.json").write_text(json.dumps([{"timestamp": 1577923200, "data": [{"post": same}], "attachments": [{"data": [{"external_context": {"url": "https://www.x.org/a", "name": "X"}}, {"external_context": {"url": "nowhere"}}]}]}, {"timestamp": 5}]))
     (tmp_path / "books/goodreads_library_export.csv").write_text('Book Id,Title,Author,My Rating,My Review,Date Read\n7,T,A,4,"<p>good, ""very""</p>",\n8,U,B,1,,2020/01/01\n')
     os.makedirs(tmp_path / "letters/posts")
     (tmp_path / "letters/posts.csv").write_text("post_id,post_date,is_published,title,subtitle\n1.hello,2021-01-01T00:00:00Z,true,,Sub\n2.draft,,false,D,\n")
@@ -28,24 +33,129 @@ def sources(tmp_path):
 
 def test_digest_search_dupes_export(spark, sources):
     base = str(sources / "digested")
-    reports = {r["source"]: r for r in map(json.loads, cli.run(["digest", "--source", str(sources), "--digested", base], spark).splitlines())}
+    lines = [json.loads(x) for x in cli.run(["digest", "--source", str(sources), "--digested", base], spark).splitlines()]
+    reports = {r["source"]: r for r in lines[:-1]}
     assert {k: v["documents"] for k, v in reports.items()} == {"notes": 1, "site": 1, "posts": 1, "books": 1, "letters": 1}
-    assert reports["letters"]["errors"] == ["letters: posts/3.lost.html has no row in posts.csv".replace("letters", "newsletter", 1)]
-    again = [json.loads(r) for r in cli.run(["digest", "--source", str(sources), "--digested", base], spark).splitlines()]
-    assert sorted(map(str, again)) == sorted(map(str, reports.values()))
-    found = json.loads(cli.run(["search", "--digested", base, "--mode", "lexical", "--json", "seven", "eight"], spark))
-    assert {r["source"] for r in found["results"]} == {"site", "posts"} and found["results"][0]["place"] == 1
-    assert "site" in cli.run(["search", "--digested", base, "eleven"], spark)
+    assert reports["letters"]["errors"] == ["newsletter: posts/3.lost.html has no row in posts.csv"]
+    total = lines[-1]
+    assert (total["sources"], total["documents"], total["embedded"], total["reused"], total["errors"]) == (5, 5, 5, 0, 1)
+    again = [json.loads(x) for x in cli.run(["digest", "--source", str(sources), "--digested", base], spark).splitlines()]
+    assert [(r["documents"], r["embedded"], r["reused"]) for r in again[:-1]] == [(1, 0, 1)] * 5
+    held = manifests.load_store_manifest(base)
+    assert {s["version"] for s in held.sources} == {2} and all(s["digested_at"] for s in held.sources) and held.sizes() == (5, sum(s["tokens"] for s in held.sources))
+    assert sorted(os.listdir(f"{base}/documents/source=notes")) == ["version=2"]
+    found = json.loads(cli.run(["search", "--digested", base, "--json", "seven", "eight"], spark))  # hashed vectors are not fused unasked
+    assert found["mode"] == "lexical" and {r["source"] for r in found["results"]} == {"site", "posts"} and found["results"][0]["place"] == 1
+    assert "site" in cli.run(["search", "--digested", base, "--mode", "hybrid", "eleven"], spark)
+    only = json.loads(cli.run(["search", "--digested", base, "--source", "posts", "--json", "seven"], spark))
+    assert [r["source"] for r in only["results"]] == ["posts"]
     groups = json.loads(cli.run(["dupes", "--digested", base, "--json"], spark))
-    assert len(groups) == 1 and groups[0]["members"] == 2 and groups[0]["lowest"] == 1.0
-    entries = json.loads(cli.run(["export", "--digested", base], spark))
-    assert len(entries) == 4 and sum(len(e["copies"]) for e in entries) == 1
-    assert "<article" in cli.run(["export", "--digested", base, "--format", "html"], spark)
-    assert "all" in cli.run(["stats", "--digested", base], spark)
-    assert "https://www.x.org/a" in cli.run(["links", "--source", str(sources / "posts")], spark)
+    assert (groups["compared"], groups["duplicated"], groups["groups"]) == (4, 2, 1) and groups["found"][0]["members"] == 2 and groups["found"][0]["lowest"] == 1.0
+    assert "4 documents compared, 2 in 1 group" in cli.run(["dupes", "--digested", base], spark)
+    line = json.loads(cli.run(["export", "--digested", base], spark))
+    assert len(line["entries"]) == 4 and sum(len(e["copies"]) for e in line["entries"]) == 1 and line["counts"]["documents"] == 5 and len(line["sources"]) == 4
+    page = cli.run(["export", "--digested", base, "--format", "html"], spark)
+    assert page.count("<article") == 4 and "1 copy folded away" in page and "#short:not(:checked)~main .short{display:none}" in page
+    assert "all" in cli.run(["stats", "--digested", base], spark) and len(cli.run(["stats", "--digested", base, "--sample", "2"], spark).splitlines()) == 3
+    text = cli.run(["links", "--source", str(sources / "posts")], spark)
+    assert "https://www.x.org/a" in text and "1 link to 1 page from 2020-01-02 to 2020-01-02; 1 unusable" in text
+    assert json.loads(cli.run(["links", "--source", str(sources / "posts"), "--json"], spark))["dropped"] == 1
     assert "notes" in cli.run(["sources", "--digested", base], spark)
     with pytest.raises(ValueError):
         cli.run(["dupes", "--digested", base, "--threshold", "0"], spark)
+    with pytest.raises(ValueError, match="nope"):
+        cli.run(["search", "--digested", base, "--source", "nope", "x"], spark)
+
+
+def test_one_bad_file_costs_no_other(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(parsers, "LARGEST_FILE", 200)
+    os.makedirs(tmp_path / "books/drafts")
+    manifests.write_source_starter(str(tmp_path / "books"), "books", "goodreads")
+    head = "Book Id,Title,Author,My Rating,My Review,Date Read\n"
+    (tmp_path / "books/goodreads_library_export1.csv").write_text(head + '7,T,A,4,"<p>a good\nbook</p>",2020/01/02\n')
+    (tmp_path / "books/goodreads_library_export2.csv").write_text("Book Id,Title\n1,T\n")
+    (tmp_path / "books/goodreads_library_export3.csv").write_text(head + ",T,A,4,lost,\n8,U,B,1,kept no more,\n")
+    (tmp_path / "books/goodreads_library_export4.csv").write_text(head + "9,T,A,4," + "long " * 100 + ",\n")
+    (tmp_path / "books/goodreads_library_export[5].csv").write_text(head + "5,T,A,4,odd name,\n")
+    manifest = manifests.load_source(str(tmp_path / "books"), parsers.types())
+    raw, files = parsers.parse_source(spark, str(tmp_path / "books"), manifest)
+    got = raw.collect()
+    assert {(r.native_key, r.text.strip(), str(r.published)[:10]) for r in got if r.error is None} == {("7", "a good\nbook", "2020-01-02"), ("5", "odd name", "2012-01-01")}
+    assert sorted(r.error for r in got if r.error) == [
+        "goodreads: goodreads_library_export4.csv is too large", "reviews: goodreads_library_export2.csv: missing column Author, My Rating, My Review, Date Read", "reviews: goodreads_library_export3.csv has a review with no Book Id",
+    ]
+    assert files.count() == 5 and files.filter("too_large").count() == 1
+
+
+def test_a_failed_digest_leaves_the_store(spark, sources, monkeypatch):
+    base = str(sources / "digested")
+    digest.digest_source(spark, str(sources / "notes"), base)
+
+    class Broken(digest.HashEmbedder):
+        def embed(self, texts):
+            return []
+
+    (sources / "notes/b.md").write_text("another note")
+    with pytest.raises(Exception, match="wrong number"):
+        digest.digest_source(spark, str(sources / "notes"), base, Broken())
+    assert store.read(spark, base, "documents").count() == 1 and store.read(spark, base, "vectors", "notes").count() == 1
+    assert store.read(spark, base, "documents", "site") is None
+
+
+class _Server(BaseHTTPRequestHandler):
+    def do_GET(self):
+        self._send({"models": [{"name": "tiny:latest", "digest": "abc"}]})
+
+    def do_POST(self):
+        texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+        self._send({"embeddings": [[float(len(t)), 1.0, 0.0] for t in texts]})
+
+    def _send(self, body):
+        raw = json.dumps(body).encode()
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(raw)))
+        self.end_headers()
+        self.wfile.write(raw)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_embedding_server(spark, sources):
+    server = ThreadingHTTPServer(("127.0.0.1", 0), _Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        with pytest.raises(ValueError, match="no model"):
+            digest.HttpEmbedder(url, "other")
+        made = digest.embedder_of(manifests.EmbedConfig(url, "tiny"))
+        assert (made.name, made.digest, made.dimensions) == ("tiny", "abc", 3)
+        base = str(sources / "digested")
+        report = digest.digest_source(spark, str(sources / "notes"), base, made)
+        vector = store.read(spark, base, "vectors").first().embedding
+        assert report["embedded"] == 1 and abs(sum(x * x for x in vector) - 1) < 1e-5
+        (sources / "config.yaml").write_text(f"embed: {{base_url: '{url}', model: tiny}}")
+        found = json.loads(cli.run(["--config", str(sources / "config.yaml"), "search", "--digested", base, "--json", "plain"], spark))
+        assert found["mode"] == "hybrid" and found["results"][0]["vector_rank"] == 1
+    finally:
+        server.shutdown()
+
+
+def test_serve(tmp_path):
+    (tmp_path / "t.json").write_text("[]")
+    (tmp_path / "t.html").write_text("<p>page")
+    server = serve.server(str(tmp_path / "t.json"), str(tmp_path / "t.html"))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        with urllib.request.urlopen(url + "/") as got:
+            assert got.read() == b"<p>page" and "default-src" in got.headers["Content-Security-Policy"]
+        assert urllib.request.urlopen(url + "/api/writing.json").read() == b"[]"
+        for path, host in (("/other", "127.0.0.1"), ("/", "evil.example")):
+            with pytest.raises(urllib.error.HTTPError):
+                urllib.request.urlopen(urllib.request.Request(url + path, headers={"Host": host}))
+    finally:
+        server.shutdown()
 
 
 def test_manifest_rules(tmp_path):
@@ -66,4 +176,4 @@ def test_stream(spark, tmp_path):
     for part in ("first", "second"):
         (tmp_path / f"in/{part}.txt").write_text(f"the {part} text")
         incremental.digest_stream(spark, str(tmp_path / "in"), "s", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert {r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"the first text", "the second text"}
+    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["the first text", "the second text"]

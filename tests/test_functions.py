@@ -4,7 +4,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyrix.functions import chunk, html, quote, text
-from papyrix.sources import store
+from papyrix.operators import digest, dupes, fusion, lexical, stats
+from papyrix.sources import parsers, store
 from papyrix.sources.matcher import NOISE, Matcher
 
 
@@ -37,7 +38,7 @@ def test_small_rules(spark):
     assert one(spark, text.review_title(F.lit("T"), F.lit("A"), F.lit("2.5"))) == "T by A ★★★☆☆"
     assert one(spark, text.day_number(F.expr("timestamp_seconds(-1)"))) == 0
     assert one(spark, text.snippet(F.lit("aa bb cc dd"), 7)) == "aa bb..."
-    for value, want in (("2020-01-02", "2020-01-02 00:00:00"), ("Mon, 02 Jan 2006 15:04:05 -0700", "2006-01-02 22:04:05"), ("January 2, 2006", "2006-01-02 00:00:00"), ("2006-01-02T15:04:05.5Z", "2006-01-02 15:04:05.500000"), ("soon", None)):
+    for value, want in (("2020-01-02", "2020-01-02 00:00:00"), ("Mon, 02 Jan 2006 15:04:05 -0700", "2006-01-02 22:04:05"), ("January 2, 2006", "2006-01-02 00:00:00"), ("2006-01-02T15:04:05.5Z", "2006-01-02 15:04:05.500000"), ("2006-01-02T15:04:05.123456+02:00", "2006-01-02 13:04:05.123456"), ("Mon, 02 Jan 2006 15:04:05 MST", "2006-01-02 15:04:05"), ("Mon, 02 Jan 2006 15:04:05 GMT", "2006-01-02 15:04:05"), ("2006/01/02", "2006-01-02 00:00:00"), ("2006-1-2", None), ("soon", None)):
         got = one(spark, text.strict_timestamp(F.lit(value)))
         assert (None if got is None else str(got)) == want, value
 
@@ -46,12 +47,13 @@ def test_small_rules(spark):
     ("body", "want"),
     [
         ("Be well. - Ann Lee", True), ("be well ~ ann", True), ("Be well - Ann Lee", False), ("Well.\n- Ann", False), ("Well?\n~ ann", True), ("Be. - ann", False), ("x ~ who?", False),
+        ("Well.\n~ Ann", True), ("Be well. ~ Ann RT @me https://x.y via @you", True), ("Be. ~ a b c d e f g https://x.y", False), ("Be. ~ a b c d e f g", True), ("Be well.” — Émile Zola", True), ("Say ~ no. - Ann", True), ("Say ~ 5. - Ann", False),
         ("Be well. ~ Ann https://x.y", True), ("Be well. - Ann https://x.y", False), ("Be well. -- Ann", True), ("", False), ("One. - A B C D E F G", False),
     ],
 )
-def test_quotes(body, want):
-    assert quote.is_quote(body, len(body.split())) is want
-    assert not quote.is_quote(body, 100)
+def test_quotes(spark, body, want):
+    assert one(spark, quote.quote_flag(F.lit(body), F.lit(len(body.split())))) is want
+    assert not one(spark, quote.quote_flag(F.lit(body), F.lit(100)))
 
 
 @settings(max_examples=60, deadline=None)
@@ -73,6 +75,12 @@ def test_chunk_limits():
 def test_html():
     root = html.parse("<html><head><title> T </title><meta property='og:url' content='u'></head><body><nav>no</nav><article><h1>H</h1><p>a<br>b<script>x</script><!-- c --></article>after")
     assert html.metadata(root)["title"] == "T" and html.metadata(root)["url"] == "u"
+    assert html.raw_text(html.content(html.parse("<p>a<svg/>hello</p>"))).split() == ["ahello"]
+    assert html.raw_text(html.content(html.parse("<head><title>T</title><p>text"))).split() == ["text"]
+    assert html.raw_text(html.content(html.parse("<head><title>T</title>plain words"))).split() == ["plain", "words"]
+    assert html.raw_text(html.parse("<svg><path/><g/><text>x</text></svg>out</nope>")).split() == ["out"]
+    meta = html.metadata(html.parse("<meta property='date' content='soon'><meta NAME='author' content=' A '><title> </title><title>P</title><link rel=Canonical href=c><meta property='og:url' content=u><time datetime=2020-01-02>"))
+    assert meta == {"title": "P", "author": "A", "url": "c", "dates": ["soon", "2020-01-02"]}
     assert html.raw_text(html.content(root)).split() == ["H", "a", "b"]
     page = html.site_page("<body><h1>Title</h1><h2>1.2.2003</h2><p>one\ntwo\n\nthree", lambda s: s == "1.2.2003")
     assert page["title"] == "" and page["date_line"] == "1.2.2003" and "one two\n\nthree" in page["text"]
@@ -90,3 +98,82 @@ def test_vector_file():
     for bad in (blob[:-1], b"x" + blob[1:], blob + b"0"):
         with pytest.raises(ValueError):
             store.unpack_vectors(bad)
+
+
+def test_page_dates(spark):
+    page = "<head><meta property='article:published_time' content='soon'><meta name=date content='Mon, 02 Jan 2006 15:04:05 -0700'></head><body>x"
+    got = spark.createDataFrame([(page,), ("no date",), (None,)], "m string").select(parsers.page_struct(F.col("m")).alias("p")).collect()
+    assert [str(r.p.published) for r in got] == ["2006-01-02 22:04:05", "None", "None"] and got[0].p.text == "x"
+
+
+def brute_pairs(rows, window, threshold):
+    sets = {}
+    for i, source, day, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    out = {}
+    for i, s, d, _ in rows:
+        for j, t, e, _ in rows:
+            both = len(sets[i] & sets[j])
+            if s < t and d is not None and e is not None and abs(d - e) <= window and both and both / len(sets[i] | sets[j]) >= threshold:
+                out[(i, j)] = round(both / len(sets[i] | sets[j]), 9)
+    return out
+
+
+@pytest.mark.parametrize(("window", "threshold"), [(2, 0.5), (0, 0.5), (1, 0.9), (5, 0.2), (3, 1.0)])
+def test_pairs_by_hand(spark, window, threshold):
+    import random
+
+    rng = random.Random(window)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(3, 40))] for _ in range(12)]
+    rows = []
+    for n in range(90):
+        words = [w if rng.random() > 0.04 else f"x{rng.randrange(9)}" for w in rng.choice(base)]
+        rows.append((f"d{n:03d}", f"s{rng.randrange(3)}", rng.choice([None, *range(-4, 5)]), " ".join(words)))
+    docs = spark.createDataFrame(rows, "id string, source string, day int, text string").withColumn("published", F.timestamp_seconds(F.col("day") * 86400))
+    got = {(r.a, r.b): round(r.score, 9) for r in dupes.pairs(docs, window, threshold).collect()}
+    assert got == brute_pairs(rows, window, threshold)
+
+
+def test_spread_by_hand(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(3)}", rng.choice([rng.randrange(10), rng.randrange(10**9)])) for _ in range(400)] + [("one", 5)]
+    got = {r.source: tuple(r)[1:] for r in stats.spread(spark.createDataFrame(rows, "source string, v long"), "v").collect()}
+    for source in ("s0", "s1", "s2", "one", "all"):
+        v = sorted(x for s, x in rows if source in (s, "all"))
+        assert got[source] == (v[0], v[len(v) * 50 // 100], v[len(v) * 90 // 100], v[len(v) * 99 // 100], v[-1], sum(v) // len(v))
+
+
+def test_bm25_and_roll_up_by_hand(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    docs = [(f"d{n:02d}", f"s{n % 2}", "\n\n".join(" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(20, 260))) for _ in range(rng.randrange(1, 5))), rng.choice(["", "w3 Title"])) for n in range(30)]
+    table = spark.createDataFrame(docs, "id string, source string, text string, title string")
+    rows = digest.passages(table, chunk.chunks(table))
+    held = [(r.source, r.doc_id, r["index"], r.indexed.lower().split()) for r in rows.collect()]
+    stored = lexical.postings(rows)
+    for source in (None, "s1"):
+        some = [h for h in held if source in (None, h[0])]
+        mean, terms = sum(len(h[3]) for h in some) / len(some), ["w1", "w3", "w7"]
+        score = {}
+        for s, d, i, w in some:
+            for t in terms:
+                df = sum(t in h[3] for h in some)
+                f = w.count(t)
+                if f:
+                    score[(s, d, i)] = score.get((s, d, i), 0) + math.log(1 + (len(some) - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        ranked = sorted(score, key=lambda k: (-score[k], k))[:200]
+        best, want = set(), []
+        for n, (s, d, i) in enumerate(ranked):
+            if d not in best:
+                best.add(d)
+                want.append((d, i, n + 1))
+        sizes = (len(some), sum(len(h[3]) for h in some))
+        got = fusion.search(stored, sizes, None, "w7 W3, w1 w1", None, "lexical", 10, source=source)
+        assert [(r.doc_id, r["index"], r.lexical_rank) for r in got.orderBy("place").collect()] == want[:10]
+    assert len({h[1] for h in held}) < len(held) and lexical.sizes_of(stored) == (len(held), sum(len(h[3]) for h in held))
+    assert lexical.bm25(stored, (5, 50), "nothing here").count() == 0
