@@ -200,14 +200,15 @@ def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = some.join(classes, "digest").filter("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "singles", "bands")
     keyed = scratch.keep(keyed, "keyed")
     # Inverted lists of retained values; those of long ones are split by several values.
-    singles = keyed.select("rep", F.explode("singles").alias("key")).repartition("key")
+    # Lists are counted by partial sums first, and joins against the counts may split a hot key.
+    singles = keyed.select("rep", F.explode("singles").alias("key"))
     counts = singles.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1")
-    held = scratch.keep(singles.join(counts.hint("shuffle_hash"), "key"), "singles")
+    held = scratch.keep(singles.join(counts, "key"), "singles")
     short = held.filter(F.col("m") <= LONG).select("key", "rep", "head", F.lit(True).alias("short"))
     dense = scratch.keep(held.filter(F.col("m") > LONG).groupBy("rep").agg(F.count("*").alias("long")), "dense")
-    bands = keyed.select("rep", "bands").join(dense.filter(F.col("long") >= SHARED).select("rep"), "rep").select("rep", F.explode("bands").alias("key")).repartition("key")
+    bands = keyed.select("rep", "bands").join(dense.filter(F.col("long") >= SHARED).select("rep"), "rep").select("rep", F.explode("bands").alias("key"))
     compound = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("head")).filter("m > 1").select("key", "head")
-    compound = bands.join(compound.hint("shuffle_hash"), "key").select("key", "rep", "head", F.lit(False).alias("short"))
+    compound = bands.join(compound, "key").select("key", "rep", "head", F.lit(False).alias("short"))
     lists = scratch.keep(short.unionByName(compound), "lists")
     # First every class against the head that it shares most lists with, then components of what is linked.
     shared = lists.filter("head < rep").groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep")
