@@ -134,10 +134,12 @@ def line_links(lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tu
     seen = seen.agg(F.min("place").alias("p"), (F.count("*") > 1).alias("repeated"), F.any_value("line").alias("line"))
     first = F.struct("p.doc", "p.line_no", "digest", "p.row").alias("first")
     classes = scratch.keep(seen.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "line"), "classes")
-    # Most lists hold one class. Members are dealt out by key once, counted, and joined with the counts where they lie.
-    dealt = band_keys(classes).repartition("key")
-    lists = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1").select("key", "head")
-    bands = scratch.keep(dealt.join(lists.hint("shuffle_hash"), "key"), "bands")
+    # Most lists hold one class, so their keys are counted first, by partial sums, and only members of shared ones go on. A join
+    # against the counts may split a hot key.
+    signed = scratch.keep(band_keys(classes), "signed")
+    lists = scratch.keep(signed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1").select("key", "head"), "lists")
+    bands = scratch.keep(signed.join(lists, "key"), "bands")
+    scratch.drop("signed")
     met = scratch.keep(bands.select("node").distinct(), "met")
     met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
     texts = scratch.keep(classes.select("node", "line").join(met, "node"), "texts")
