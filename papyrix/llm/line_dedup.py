@@ -1,197 +1,321 @@
-"""Operator 8: fuzzy line deduplication by MinHash, with DataFrame functions alone.
-
-Equal lines are one class, and a class is signed once by one-permutation MinHash: its character shingles are hashed and sorted,
-and read from evenly spaced points of the circle of hashes. The hashes that follow a point are the minima of one more
-permutation, so a point stands for what a permutation of its own would cost. The minima of a band together open a list.
-Lines of many words are signed by the shingles that follow a space, lines of few or long words by all their shingles, and short
-lines besides by more and shorter bands.
-
-Classes that met are compared exactly, on all their character shingles. First each class meets the least class of the list
-heads that it shares most lists with. What that links is contracted into components, and of the classes of different components
-that share a list each meets the one it shares most lists with. What is then still apart is compared pair by pair; in long
-lists a sketch of the union tells which pairs can be linked at all.
+"""Operator 8: fuzzy line deduplication by MinHash.
+
+Equal lines are one class. A class is signed by the minima of its character shingles' hashes: short lines under permutations of
+their own, long ones by one permutation whose hashes are dealt into bins. The minima of a band together open a list. Each
+class is first compared with the hubs that it shares most lists with, a list having three; what that links is contracted into
+components, and then the classes of different components that share a list are compared. Linked means a Jaccard similarity of
+all character shingles at the threshold, which is always computed exactly.
+
+Signing and comparing run in Arrow batches. A form of DataFrame functions alone was tried and measured (see the README): it took
+well over twice the budget, and did not end where one group of near copies is large. Lists, counts and union-find are DataFrame
+operations.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .candidates import list_blocks, mixed_lists, small_pairs
+from .bytetable import mix, sums
+from .candidates import compared_lists, mixed_lists, small_pairs
 from .common import Scratch, prepare
 from .components import connected_components
 
 #: Characters of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 8, 80
-#: Bands and minima of a band: as many hashes in turn after the band's point. At a similarity of 0.8 of the signed sets two
-#: lines share no band with a chance of about (1 - 0.8 ** 3) ** 12 = 0.0002 where the set is much larger than ROWS * BANDS.
+#: Bands and minima of a band. At a similarity of 0.8 two lines share no band with a chance of (1 - 0.8 ** 3) ** 12 = 0.0002.
 BANDS, ROWS = 12, 3
-#: Sets of so many shingles are signed twice more, with bands of SHORT_ROWS.
-SHORT, SHORT_ROWS = 50, 2
-#: Shingles after spaces sample all alike in both lines if there are many. Lines of MANY_WORDS distinct ones are signed by them;
-#: those of fewer than FEW_WORDS, or of more than LONG_WORDS characters to each, by all shingles, and those between both ways.
-MANY_WORDS, FEW_WORDS, LONG_WORDS = 30, 45, 10
-#: Members up to which all pairs of a list are compared exactly. Those of longer lists are estimated by the least SKETCH hashes
-#: of both first, and compared if the estimate falls short of the threshold by at most ERRORS standard errors.
-SMALL, SKETCH, ERRORS = 16, 48, 4.0
-#: Ids of classes (8 bytes each) that are broadcast to find their lines again rather than joined by a shuffle.
-BROADCAST_IDS = 500_000
-
-_AFTER_SPACE = r"(?s) (?=(.{1,%d}))" % SHINGLE
-VISIBLE = r"[^\x20\x09-\x0D]"
+#: Lines of at most OWN shingles are signed by permutations of their own, those of at least BINNED by bins of one; lines of either
+#: kind that may be linked share one, for 100 * BINNED is no more than 80 * OWN.
+OWN, BINNED = 127, 101
+#: Hubs that a class is compared with at first.
+HUBS = 3
+#: Members up to which all pairs of a list are compared exactly; those of longer lists are estimated by their least SKETCH
+#: hashes first.
+SMALL, SKETCH = 4, 64
+#: Characters that a worker signs or compares at once, and lines it remembers having signed.
+CHUNK, KNOWN = 1 << 18, 200_000
+
+_SPACES = b" \t\n\x0b\x0c\r"
+_MINIMA = BANDS * ROWS
+_TOP = np.iinfo(np.uint64).max
 _NO_DOC = (1 << 63) - 1
-
-
-def lines_of(rows: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, line_no, line) of the lines of ``rows`` (row, doc_id, text) that hold more than white space; null
-    texts have none."""
-    lines = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.filter(F.col("line").rlike(VISIBLE)).withColumn("line_no", F.col("line_no").cast("long"))
-
-
-def digest(line) -> F.Column:
-    return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
-
-
-def shingle_set(line) -> F.Column:
-    """Hashes of all character shingles of a line; the line itself if it is shorter than one.
-
-    Four bytes a character make a shingle a slice of bytes, found without counting characters from the start."""
-    last = F.greatest(4 * (F.length(line) - SHINGLE) + 1, F.lit(1))
-    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(F.sequence(F.lit(1), last, F.lit(4)), lambda i: F.xxhash64(F.substring(b, i, 4 * SHINGLE))))
-    return F.array_distinct(F.get(hashes, F.lit(0)))
-
-
-def points(n: int) -> list[int]:
-    """``n`` evenly spaced points of the circle of 64-bit hashes, ascending."""
-    return [((2 * i + 1) << 63) // n - (1 << 63) for i in range(n)]
-
-
-def band_keys(classes: DataFrame) -> DataFrame:
-    """Rows (node, key): the BANDS keys of each set that signs a class of ``classes`` (node, line)."""
-    at = points(BANDS)
-    spaces = F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    starts = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(_AFTER_SPACE), F.lit(1)), lambda s: F.xxhash64(s)))
-    rows = classes.select("node", "line", F.when(spaces >= MANY_WORDS, starts).alias("starts")).withColumn("n", F.coalesce(F.size("starts"), F.lit(0)))
-    whole = (F.col("n") < FEW_WORDS) | (F.length("line") > LONG_WORDS * F.col("n"))
-    rows = rows.select("node", F.when(F.col("n") >= MANY_WORDS, F.col("starts")).alias("starts"), F.when(whole, shingle_set(F.col("line"))).alias("all"))
-    short = F.when(F.size("all") <= SHORT, F.col("all"))
-    sets = [F.col("starts"), F.col("all"), short, F.transform(short, lambda x: F.xxhash64(x))]
-    rows = rows.select("node", F.explode(F.array(*[F.when(h.isNotNull(), F.struct(F.lit(k).alias("kind"), F.sort_array(h).alias("h"))) for k, h in enumerate(sets)])).alias("s"))
-    rows = rows.filter("s is not null").select("node", "s.kind", "s.h")
-    # Where a point falls among the sorted hashes tells how many are before it. One set a row keeps the compiled code small.
-    rows = rows.select("node", "kind", "h", F.sort_array(F.concat("h", F.array(*[F.lit(p) for p in at]))).alias("placed"))
-    rows = rows.select("node", "kind", "h", F.size("h").alias("n"), *[(F.array_position("placed", p) - (i + 1)).cast("int").alias(f"before{i}") for i, p in enumerate(at)])
-    after = lambda b, j: F.get("h", (F.col(f"before{b}") + j) % F.col("n"))
-    held = lambda b, j: after(b, j) if j < SHORT_ROWS else F.when(F.col("kind") < 2, after(b, j))
-    return rows.select("node", F.explode(F.array(*[F.xxhash64(F.col("kind"), F.lit(b), *[held(b, j) for j in range(ROWS)]) for b in range(BANDS)])).alias("key"))
-
-
-def linked(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose lines in ``texts`` (node, line) are linked by all their shingles."""
+_K = mix(np.arange(1, 4 + _MINIMA, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Fixed choice: what node ids are turned by for a list's third hub.
+_TURN = 0x5A17_93C6_4E
+
+
+def _of_eight(wide: np.ndarray) -> np.ndarray:
+    """The hash of the eight characters from each place on: pairs and fours are made once, and three steps lead to eight."""
+    two = (wide[..., :-1] << np.uint64(21)) | wide[..., 1:]
+    four = two[..., :-2] * _K[0] + two[..., 2:]
+    left = (four ^ (four >> np.uint64(29))) * _K[1]
+    return mix(left[..., :-4] + four[..., 4:] * _K[2])
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all character shingles of lines (without line feeds) end to end, and how many each has; a line that is
+    shorter than a shingle is one of its own."""
+    wide = np.frombuffer(("\n".join(lines) + "\n" * SHINGLE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    lens = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(lens + 1) - lens - 1
+    count = np.maximum(lens - SHINGLE + 1, 1)
+    first = np.cumsum(count) - count
+    flat = _of_eight(wide)[np.repeat(starts - first, count) + np.arange(int(count.sum()))]
+    short = np.flatnonzero(lens < SHINGLE)
+    if len(short):
+        window = np.arange(SHINGLE)
+        held = np.where(window < lens[short, None], wide[starts[short, None] + window], np.uint64(0))
+        flat[first[short]] = mix(_of_eight(held)[:, 0] + lens[short].astype(np.uint64) * _K[2])
+    return flat, count
+
+
+def _pieces(line: str) -> list[str]:
+    """A very long line as overlapping parts that have its shingles together."""
+    return [line[i : i + CHUNK + SHINGLE - 1] for i in range(0, max(len(line) - SHINGLE + 1, 1), CHUNK)]
+
+
+def _keys(minima: np.ndarray, kind: int) -> np.ndarray:
+    """One key a band from rows of minima."""
+    bands = minima.reshape(len(minima), BANDS, ROWS)
+    out = np.full((len(minima), BANDS), np.uint64(kind * BANDS)) + np.arange(BANDS, dtype=np.uint64)
+    for j in range(ROWS):
+        out = mix(out * _K[0] + bands[:, :, j])
+    return out.view(np.int64)
+
+
+def _filled(minima: np.ndarray) -> np.ndarray:
+    """Empty bins take the minimum of the next one that has any, mixed with how far away it is."""
+    out, empty, step = minima, minima == _TOP, 0
+    while empty.any() and step < _MINIMA:
+        step += 1
+        near = np.roll(minima, -step, axis=1)
+        take = empty & (near != _TOP)
+        out = np.where(take, mix(near + np.uint64(step)), out)
+        empty &= ~take
+    return out
+
+
+def _binned(flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per line the least hash of each bin."""
+    out = np.full(len(count) * _MINIMA, _TOP)
+    bins = ((flat >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
+    # Hashes are compared by their lower half first, which does not tell the bin.
+    np.minimum.at(out, np.repeat(np.arange(len(count)) * _MINIMA, count) + bins, (flat << np.uint64(32)) | (flat >> np.uint64(32)))
+    return out.reshape(len(count), _MINIMA)
+
+
+def band_keys(lines: list[str]) -> list[np.ndarray]:
+    """The keys of each line's bands: BANDS of them, or twice as many for lines signed both ways. Memory is bounded by CHUNK."""
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    at = 0
+    while at < len(lines):
+        if len(lines[at]) > CHUNK:
+            total = np.full((1, _MINIMA), _TOP)
+            for piece in _pieces(lines[at]):
+                total = np.minimum(total, _binned(*shingle_hashes([piece])))
+            out[at].append(_keys(_filled(total), 1)[0])
+            at += 1
+            continue
+        end, held = at, 0
+        while end < len(lines) and held + len(lines[end]) <= CHUNK:
+            held += len(lines[end]) + 1
+            end += 1
+        flat, count = shingle_hashes(lines[at:end])
+        first = np.cumsum(count) - count
+        for kind, which in ((0, np.flatnonzero(count <= OWN)), (1, np.flatnonzero(count >= BINNED))):
+            if not len(which):
+                continue
+            n = count[which]
+            some = flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            minima = _filled(_binned(some, n)) if kind else np.column_stack([np.minimum.reduceat(some * _K[3 + j], np.cumsum(n) - n) for j in range(_MINIMA)])
+            for i, row in zip(which.tolist(), _keys(minima, kind)):
+                out[at + i].append(row)
+        at = end
+    return [np.concatenate(x) for x in out]
+
+
+SIGNED = "row long, doc_id long, line_no long, digest binary, line string, keys array<long>"
+
+
+def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: set[bytes] = set()
+
+    def made(rows, docs, numbers, digests, lines):
+        new = [i for i, x in enumerate(lines) if x is not None]
+        keys: list = [None] * len(lines)
+        for i, k in zip(new, band_keys([lines[i] for i in new])):
+            keys[i] = k
+        return pa.RecordBatch.from_pydict({
+            "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "line_no": pa.array(numbers, pa.int64()), "digest": pa.array(digests, pa.binary()),
+            "line": pa.array(lines, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())),
+        })
+
+    held: tuple = ([], [], [], [], [])
+    size = 0
+    for batch in batches:
+        for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for number, line in enumerate((text or "").encode().split(b"\n")):
+                if not line.strip(_SPACES):
+                    continue
+                digest = hashlib.blake2b(line, digest_size=16).digest()
+                new = digest not in known
+                for column, value in zip(held, (row, doc, number, digest, line.decode() if new else None)):
+                    column.append(value)
+                if new:
+                    known.add(digest)
+                    size += len(line)
+                if size >= 4 * CHUNK or len(held[0]) >= 20_000:
+                    yield made(*held)
+                    held, size = ([], [], [], [], []), 0
+                    if len(known) > KNOWN:
+                        known.clear()
+    if held[0]:
+        yield made(*held)
+
+
+def signed_lines(rows: DataFrame) -> DataFrame:
+    """The lines of ``rows`` (row, doc_id, text) that hold more than white space: row, doc_id, line_no, digest; and text and
+    keys where a task meets a line first."""
+    prepare(rows.sparkSession)
+    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signer, SIGNED)
+
+
+def distinct_parts(line: str, parts: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of a line, in ``parts`` ranges of hashes one after the other."""
+    pieces = _pieces(line)
+    for p in range(parts):
+        some = []
+        for piece in pieces:
+            h, _ = shingle_hashes([piece])
+            some.append(np.unique(h if parts == 1 else h[((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) == p]))
+        yield some[0] if len(some) == 1 else np.unique(np.concatenate(some))
+
+
+def _parts(*lines: str) -> int:
+    return 1 + max(map(len, lines)) // (8 * CHUNK)
+
+
+def _enough(na: int, nb: int, both: int, percent: int) -> bool:
+    return 100 * both >= percent * (na + nb - both)
+
+
+def linked(a: str, b: str, percent: int = PERCENT) -> bool:
+    """The exact rule on all shingles of two lines of any length."""
+    na = nb = both = 0
+    for x, y in zip(*(distinct_parts(line, _parts(a, b)) for line in (a, b))):
+        na, nb, both = na + len(x), nb + len(y), both + np.intersect1d(x, y, assume_unique=True).size
+    return _enough(na, nb, both, percent)
+
+
+def _sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted sets of lines that are not very long."""
+    flat, count = shingle_hashes(lines)
+    ends = np.cumsum(count)
+    for e, n in zip(ends.tolist(), count.tolist()):
+        flat[e - n : e].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[ends - count] = True
+    return np.split(flat[new], np.cumsum(sums(new.astype(np.int64), count))[:-1])
+
+
+def _verifier(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right, keep = batch.column("la").to_pylist(), batch.column("lb").to_pylist(), []
+            for at in range(0, len(left), 128):
+                xs, ys = left[at : at + 128], right[at : at + 128]
+                if max(map(len, xs + ys)) > CHUNK:
+                    keep += [linked(x, y, percent) for x, y in zip(xs, ys)]
+                    continue
+                sets = _sets(xs + ys)
+                for x, y in zip(sets, sets[len(xs) :]):
+                    near = min(len(x), len(y)) * 100 >= percent * max(len(x), len(y))
+                    keep.append(near and _enough(len(x), len(y), np.intersect1d(x, y, assume_unique=True).size, percent))
+            chosen = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(chosen) for n in ("a", "b")})
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose lines in ``texts`` (node, line) are linked."""
     left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    # Texts, not their sets, are brought together: they are a tenth in size.
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", shingle_set(F.col("la")).alias("sa"), shingle_set(F.col("lb")).alias("sb"))
-    met = met.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return met.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-
-
-def promising(na, nb, sa, sb, percent: int) -> F.Column:
-    """Whether two sets of ``na`` and ``nb`` hashes with the sketches ``sa`` and ``sb`` may be linked: by their sizes, and by the
-    share of the least hashes of the union that both hold. Sets that fit into their sketches are known whole, without error."""
-    p = percent / 100
-    union = F.slice(F.sort_array(F.array_union(sa, sb)), 1, SKETCH)
-    both = F.size(F.array_intersect(union, F.array_intersect(sa, sb)))
-    least = F.when(F.greatest(na, nb) <= SKETCH, p - 1e-9).otherwise(p - ERRORS * math.sqrt(p * (1 - p) / SKETCH))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (both >= least * F.least(F.lit(SKETCH), F.greatest(na, nb)))
-
-
-def long_pairs(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of different components in the lists of ``mixed`` whose estimate may pass, block by block."""
-    sets = texts.join(mixed.select(F.col("rep").alias("node")).distinct(), "node").select(F.col("node").alias("rep"), F.sort_array(shingle_set(F.col("line"))).alias("s"))
-    sets = sets.select("rep", F.size("s").alias("n"), F.slice("s", 1, SKETCH).alias("sketch"))
-    rows = list_blocks(mixed.join(sets, "rep"), "n", "sketch")
-    side = lambda s: rows.select("key", "low", "high", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "comp", "n", "sketch", "side")])
-    near = promising(F.col("n_a"), F.col("n_b"), F.col("sketch_a"), F.col("sketch_b"), percent)
-    pairs = side("a").join(side("b"), ["key", "low", "high"]).filter("rep_a < rep_b and comp_a <> comp_b and (low = high or side_a <> side_b)").filter(near)
-    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
-
-
-def still_apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose ends are in different components."""
-    comp = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rows = pairs.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
-    return rows.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
-
-
-def line_links(lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes, components) of ``lines`` (row, doc_id, line_no, line): classes (node, digest, first, repeated, line), ``first``
-    being the document, line, digest and row where it is met first; components (node, component) of the linked ones."""
-    place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "row")
-    seen = lines.select(digest(F.col("line")).alias("digest"), place.alias("place"), "line").groupBy("digest")
-    seen = seen.agg(F.min("place").alias("p"), (F.count("*") > 1).alias("repeated"), F.any_value("line").alias("line"))
-    first = F.struct("p.doc", "p.line_no", "digest", "p.row").alias("first")
-    classes = scratch.keep(seen.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "line"), "classes")
-    # Most lists hold one class, so their keys are counted first, by partial sums, and only members of shared ones go on. A join
-    # against the counts may split a hot key.
-    signed = scratch.keep(band_keys(classes), "signed")
-    lists = scratch.keep(signed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("head")).filter("m > 1").select("key", "head"), "lists")
-    bands = scratch.keep(signed.join(lists, "key"), "bands")
-    scratch.drop("signed")
-    met = scratch.keep(bands.select("node").distinct(), "met")
-    met = F.broadcast(met) if met.count() <= BROADCAST_IDS else met
-    texts = scratch.keep(classes.select("node", "line").join(met, "node"), "texts")
-    # Of the heads of its lists, the one with which a class shares most of them.
-    shared = bands.filter("head < node").groupBy("node", "head").agg(F.count("*").alias("n")).groupBy("node")
-    tried = scratch.keep(shared.agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head")).select(F.col("head").alias("a"), F.col("node").alias("b")), "first")
-    links = scratch.keep(linked(tried, texts, percent), "links0")
-    comps = connected_components(links, scratch, "cc0").select("node", "component")
-    members = bands.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
-    mixed = scratch.keep(mixed_lists(members), "mixed")
-    some = small_pairs(mixed, SMALL)
-    some = some.unionByName(long_pairs(mixed.filter(F.col("m") > SMALL), texts, percent).withColumn("shared", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    rest = scratch.keep(some.join(tried, ["a", "b"], "left_anti"), "rest")
-    # Of those still apart, for each class the one with which it shares most lists.
-    best = lambda c: rest.groupBy(c).agg(F.max_by(F.struct("a", "b"), F.struct("shared", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-    second = scratch.keep(best("a").union(best("b")).distinct(), "second")
-    links = scratch.keep(links.union(linked(second, texts, percent)), "links1")
-    third = still_apart(rest.select("a", "b").join(second, ["a", "b"], "left_anti"), connected_components(links, scratch, "cc1"))
-    links = scratch.keep(links.union(linked(scratch.keep(third, "third"), texts, percent)), "links2")
-    return classes, connected_components(links, scratch, "cc2")
-
-
-def _decided(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Per visible line of ``rows`` (row, doc_id, text): row, doc_id, line_no, digest, kept (a struct as ``first``, null for a
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verifier(percent), "a long, b long")
+
+
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, sketches = [], []
+        for line in batch.column(1).to_pylist():
+            n, least = 0, np.zeros(0, np.uint64)
+            for part in distinct_parts(line, _parts(line)):
+                n, least = n + len(part), np.concatenate([least, part[: SKETCH - len(least)]])
+            sizes.append(n)
+            sketches.append(least.tobytes())
+        yield pa.RecordBatch.from_pydict({"rep": batch.column(0), "n": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+
+
+def line_links(signed: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes, components) of stored ``signed_lines``: classes (node, digest, first, repeated), ``first`` being the document,
+    line, digest and row where it is met first; components (node, component) of the linked ones."""
+    place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "digest", "row")
+    classes = signed.groupBy("digest").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("repeated"), F.any_value("keys", True).alias("keys"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "repeated", "keys"), "classes")
+    # Most lists hold one class, so their keys are counted first, by partial sums, and only members of shared ones go on.
+    members = classes.select("node", F.explode("keys").alias("key"))
+    turned = lambda c: c.bitwiseXOR(F.lit(_TURN))
+    lists = members.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("n0"), F.max("node").alias("n1"), turned(F.min(turned(F.col("node")))).alias("n2")).filter("m > 1").drop("m")
+    bands = scratch.keep(members.join(lists, "key"), "bands")
+    met = classes.select("node", "digest").join(bands.select("node").distinct(), "node")
+    texts = signed.filter("line is not null").select("digest", "line").join(met, "digest").groupBy("node").agg(F.any_value("line").alias("line"))
+    texts = scratch.keep(texts, "texts")
+    # Of the hubs of its lists, those with which a class shares most of them.
+    hubs = bands.select("node", F.explode(F.array_distinct(F.array("n0", "n1", "n2"))).alias("hub")).filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = hubs.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))).filter(F.col("place") <= HUBS)
+    first = scratch.keep(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "first")
+    links = scratch.keep(verified(first, texts, percent), "links0")
+    comps = connected_components(links, scratch, "cc").select("node", "component")
+    rows = bands.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    mixed = scratch.keep(mixed_lists(rows), "mixed")
+    long = mixed.filter(F.col("m") > SMALL)
+    sketches = texts.join(long.select(F.col("rep").alias("node")).distinct(), "node").select("node", "line").mapInArrow(_sketcher, "rep long, n long, sketch binary")
+    pairs = small_pairs(mixed, SMALL).select("a", "b").union(compared_lists(long.join(sketches, "rep"), percent, SKETCH)).distinct()
+    rest = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"), "rest")
+    links = scratch.keep(links.union(verified(rest, texts, percent)), "links1")
+    return classes, connected_components(links, scratch, "lines")
+
+
+def _decided(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Per visible line of ``docs`` (row, doc_id, text): row, doc_id, line_no, digest, kept (a struct as ``first``, null for a
     line without company) and whether it is that line."""
-    lines = lines_of(rows)
-    classes, found = line_links(lines, scratch, percent)
+    signed = scratch.keep(signed_lines(docs), "signed")
+    classes, found = line_links(signed, scratch, percent)
     mine = classes.select("node", "digest", "first", "repeated").join(found, "node", "left").select("digest", "first", "repeated", "component")
     together = mine.filter("component is not null")
     best = together.groupBy("component").agg(F.min("first").alias("kept"))
     company = together.join(best, "component").select("digest", "kept").unionByName(mine.filter("component is null and repeated").select("digest", F.col("first").alias("kept")))
-    marked = lines.select("row", "doc_id", "line_no", digest(F.col("line")).alias("digest")).join(scratch.keep(company, "company"), "digest", "left")
+    rows = signed.select("row", "doc_id", "line_no", "digest").join(scratch.keep(company, "company"), "digest", "left")
     here = F.col("kept").isNull() | ((F.col("kept.row") == F.col("row")) & (F.col("kept.line_no") == F.col("line_no")))
-    return marked.select("row", "doc_id", "line_no", "digest", "kept", here.alias("stays"))
-
-
-def _row_id(docs: DataFrame) -> F.Column:
-    """Tells rows apart by doc_id and text, and by nothing more, for a table may be read twice in any order."""
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    return rows.select("row", "doc_id", "line_no", "digest", "kept", here.alias("stays"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per visible line of ``docs`` (doc_id, text): doc_id, line_no (from 0), keep_doc_id, keep_line_no and keep_digest of the
     line that stays for it, and whether it is that line.
 
-    Of a component of linked lines one line stays: that of the least doc_id (null after all others), in it the first. Rows
-    that share a doc_id are told apart by their text; rows alike in both have results alike. Lines without visible characters
-    are no lines here, and null texts have none. Lines of any length are compared whole. An empty table gives no rows; other
-    columns are not read.
+    Of a component of linked lines one line stays: that of the least doc_id (null after all others), in it the first. Rows that
+    repeat a doc_id are told apart, so still one line stays. Lines without visible characters are no lines here, and null
+    texts have none. Lines of any length are compared whole. An empty table gives no rows; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    rows = _decided(docs.select(_row_id(docs).alias("row"), "doc_id", "text"), percent, Scratch(spark, "line-dedup"))
+    rows = _decided(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), percent, Scratch(spark, "line-dedup"))
     doc = F.when(F.col("kept").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("kept.doc"), F.lit(_NO_DOC)))
     return rows.select("doc_id", "line_no", doc.alias("keep_doc_id"), F.coalesce("kept.line_no", "line_no").alias("keep_line_no"), F.lower(F.hex(F.coalesce("kept.digest", "digest"))).alias("keep_digest"), F.col("stays").alias("kept"))
 
