@@ -2,7 +2,7 @@
 
 Equal lines are one class. A class is signed by the minima of its character shingles' hashes: short lines under permutations of
 their own, long ones by one permutation whose hashes are dealt into bins. The minima of a band together open a list. Each
-class is first compared with the hubs that it shares most lists with, a list having three; what that links is contracted into
+class is first compared with the hubs that it shares most lists with, a list having two; what that links is contracted into
 components, and then the classes of different components that share a list are compared. Linked means a Jaccard similarity of
 all character shingles at the threshold, which is always computed exactly.
 
@@ -28,8 +28,9 @@ from .components import connected_components
 
 #: Characters of a shingle, and the least Jaccard similarity in percent.
 SHINGLE, PERCENT = 8, 80
-#: Bands and minima of a band. At a similarity of 0.8 two lines share no band with a chance of (1 - 0.8 ** 3) ** 12 = 0.0002.
-BANDS, ROWS = 12, 3
+#: Bands and minima of a band. Two lines share no band with a chance of (1 - 0.8 ** 3) ** 8 = 0.003 at a similarity of 0.8, and
+#: of 0.00003 at 0.9.
+BANDS, ROWS = 8, 3
 #: Lines of at most OWN shingles are signed by permutations of their own, those of at least BINNED by bins of one; lines of either
 #: kind that may be linked share one, for 100 * BINNED is no more than 80 * OWN.
 OWN, BINNED = 127, 101
@@ -38,6 +39,10 @@ HUBS = 3
 #: Members up to which all pairs of a list are compared exactly; those of longer lists are estimated by their least SKETCH
 #: hashes first.
 SMALL, SKETCH = 4, 64
+#: Hashes that a bin holds on average when the least of a long line's are looked at first.
+LEAST = 8
+#: Classes whose digests (16 bytes each) are broadcast to fetch their lines; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Characters that a worker signs or compares at once, and lines it remembers having signed.
 CHUNK, KNOWN = 1 << 18, 200_000
 
@@ -46,8 +51,6 @@ _MINIMA = BANDS * ROWS
 _TOP = np.iinfo(np.uint64).max
 _NO_DOC = (1 << 63) - 1
 _K = mix(np.arange(1, 4 + _MINIMA, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Fixed choice: what node ids are turned by for a list's third hub.
-_TURN = 0x5A17_93C6_4E
 
 
 def _of_eight(wide: np.ndarray) -> np.ndarray:
@@ -101,13 +104,33 @@ def _filled(minima: np.ndarray) -> np.ndarray:
     return out
 
 
+def _least(place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """The least value at each place. What is written last stays, so only lesser values are written again, until none is left."""
+    out = np.full(size, _TOP)
+    while len(place):
+        out[place] = value
+        lower = value < out[place]
+        place, value = place[lower], value[lower]
+    return out
+
+
 def _binned(flat: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Per line the least hash of each bin."""
-    out = np.full(len(count) * _MINIMA, _TOP)
-    bins = ((flat >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
+    """Per line the least hash of each bin: found among the least hashes of a line, or among all where these leave a bin empty."""
+    share = _MINIMA * LEAST / count
+    limit = np.where(share < 1, share * (1 << 32), (1 << 32) - 1).astype(np.uint32)
     # Hashes are compared by their lower half first, which does not tell the bin.
-    np.minimum.at(out, np.repeat(np.arange(len(count)) * _MINIMA, count) + bins, (flat << np.uint64(32)) | (flat >> np.uint64(32)))
-    return out.reshape(len(count), _MINIMA)
+    low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    few = np.flatnonzero(low <= np.repeat(limit, count))
+    line, some = np.repeat(np.arange(len(count)), count)[few], flat[few]
+    bins = ((some >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
+    out = _least(line * _MINIMA + bins, (some << np.uint64(32)) | (some >> np.uint64(32)), len(count) * _MINIMA).reshape(-1, _MINIMA)
+    again = (share < 1) & (out == _TOP).any(1)
+    if again.any():
+        n, every = count[again], flat[np.repeat(again, count)]
+        bins = ((every >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
+        place = np.repeat(np.arange(len(n)) * _MINIMA, n) + bins
+        out[again] = _least(place, (every << np.uint64(32)) | (every >> np.uint64(32)), len(n) * _MINIMA).reshape(-1, _MINIMA)
+    return out
 
 
 def band_keys(lines: list[str]) -> list[np.ndarray]:
@@ -127,12 +150,11 @@ def band_keys(lines: list[str]) -> list[np.ndarray]:
             held += len(lines[end]) + 1
             end += 1
         flat, count = shingle_hashes(lines[at:end])
-        first = np.cumsum(count) - count
-        for kind, which in ((0, np.flatnonzero(count <= OWN)), (1, np.flatnonzero(count >= BINNED))):
+        for kind, chosen in ((0, count <= OWN), (1, count >= BINNED)):
+            which = np.flatnonzero(chosen)
             if not len(which):
                 continue
-            n = count[which]
-            some = flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            n, some = count[which], flat[np.repeat(chosen, count)]
             minima = _filled(_binned(some, n)) if kind else np.column_stack([np.minimum.reduceat(some * _K[3 + j], np.cumsum(n) - n) for j in range(_MINIMA)])
             for i, row in zip(which.tolist(), _keys(minima, kind)):
                 out[at + i].append(row)
@@ -265,19 +287,20 @@ def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_links(signed: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(classes, components) of stored ``signed_lines``: classes (node, digest, first, repeated), ``first`` being the document,
     line, digest and row where it is met first; components (node, component) of the linked ones."""
-    place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "digest", "row")
+    place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "row")
     classes = signed.groupBy("digest").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("repeated"), F.any_value("keys", True).alias("keys"))
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "first", "repeated", "keys"), "classes")
+    first = F.struct("first.doc", "first.line_no", "digest", "first.row").alias("first")
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "keys"), "classes")
     # Most lists hold one class, so their keys are counted first, by partial sums, and only members of shared ones go on.
     members = classes.select("node", F.explode("keys").alias("key"))
-    turned = lambda c: c.bitwiseXOR(F.lit(_TURN))
-    lists = members.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("n0"), F.max("node").alias("n1"), turned(F.min(turned(F.col("node")))).alias("n2")).filter("m > 1").drop("m")
+    lists = members.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 < n1")
     bands = scratch.keep(members.join(lists, "key"), "bands")
-    met = classes.select("node", "digest").join(bands.select("node").distinct(), "node")
+    met = scratch.keep(classes.select("node", "digest").join(bands.select("node").distinct(), "node"), "met")
+    met = F.broadcast(met) if met.count() <= BROADCAST else met
     texts = signed.filter("line is not null").select("digest", "line").join(met, "digest").groupBy("node").agg(F.any_value("line").alias("line"))
     texts = scratch.keep(texts, "texts")
     # Of the hubs of its lists, those with which a class shares most of them.
-    hubs = bands.select("node", F.explode(F.array_distinct(F.array("n0", "n1", "n2"))).alias("hub")).filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    hubs = bands.select("node", F.explode(F.array("n0", "n1")).alias("hub")).filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = hubs.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))).filter(F.col("place") <= HUBS)
     first = scratch.keep(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "first")
     links = scratch.keep(verified(first, texts, percent), "links0")
