@@ -251,13 +251,20 @@ def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, keep = batch.column("la").to_pylist(), batch.column("lb").to_pylist(), []
-            for at in range(0, len(left), 128):
-                xs, ys = left[at : at + 128], right[at : at + 128]
-                if max(map(len, xs + ys)) > CHUNK:
-                    keep += [linked(x, y, percent) for x, y in zip(xs, ys)]
+            while len(keep) < len(left):
+                # Pairs come sorted by one side, so a line of many pairs is hashed once for those that are looked at together.
+                at = end = len(keep)
+                lines: dict[str, None] = {}
+                size = 0
+                while end < len(left) and size < CHUNK:
+                    new = {x: None for x in (left[end], right[end]) if x not in lines}
+                    size, end = size + sum(map(len, new)), end + 1
+                    lines |= new
+                if max(map(len, lines)) > CHUNK:
+                    keep += [linked(x, y, percent) for x, y in zip(left[at:end], right[at:end])]
                     continue
-                sets = _sets(xs + ys)
-                for x, y in zip(sets, sets[len(xs) :]):
+                sets = dict(zip(lines, _sets(list(lines))))
+                for x, y in ((sets[x], sets[y]) for x, y in zip(left[at:end], right[at:end])):
                     near = min(len(x), len(y)) * 100 >= percent * max(len(x), len(y))
                     keep.append(near and _enough(len(x), len(y), np.intersect1d(x, y, assume_unique=True).size, percent))
             chosen = pa.array(keep, pa.bool_())
