@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, line_dedup, near_dedup, packing, quality_classifier, quality_rules, simple8b, unigram, warc
+from . import exact_dedup, license_scan, line_dedup, mtree, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, simple8b, unigram, warc, whitening
 from .common import table
 
 
@@ -59,6 +59,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth embedding with all others."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact columns of op13 alone, which SQL can express."""
+    return op13_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base scan of op3 alone, which SQL can express."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -70,7 +90,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (license_base, quality_base, op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op8_line_dedup, op9_near_dedup, op10_warc)}
+    return {f.__name__: f for f in (license_base, quality_base, op1_token_output, op2_exact_dedup, op3_license_scan, op4_quality_rules, op5_sentencepiece, op6_quality_classifier, op7_packing, op8_line_dedup, op9_near_dedup, op10_warc, op11_topk_search, op12_prefix_trie, op13_whitening, whitening_deviation)}
 
 
 _NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -108,4 +128,33 @@ ORACLES = {
                CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
         FROM u""",
+    "op11_topk_search": """
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+              FROM x q JOIN x c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+    "op12_prefix_trie": """
+        WITH o AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(role)), ':', role, text))) AS turns,
+              xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                  lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda e, z: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295) % 9 AS h
+              FROM o GROUP BY conv_id),
+        r AS (SELECT c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN c f ON f.conv_id = c.conv_id - c.conv_id % 5),
+        m AS (SELECT conv_id, d, len(turns) = d AS ends, turns[1:d] AS k FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+        n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(octet_length(encode(k[d].text)), 0) AS saved,
+              sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY k, d),
+        p AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+        v AS (SELECT n.*, coalesce(p.n_children, 0) AS n_children, n.k[1:n.d - 1] AS up FROM n LEFT JOIN p ON n.k = p.k),
+        a AS (SELECT k[1:e] AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+              FROM (SELECT k, n_children, saved, unnest(range(0, d + 1)) AS e FROM v) GROUP BY 1)
+        SELECT v.conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN u.conv_id END AS parent_conv_id, v.n_convs, v.n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+        FROM v JOIN a ON v.k = a.k JOIN n u ON u.k = v.up""",
+    "whitening_deviation": """
+        WITH x AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        e AS (SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM (SELECT DISTINCT x FROM x)),
+        t AS (SELECT list(s ORDER BY i) AS s, max(n) AS n FROM (SELECT i, sum(v) AS s, count(*) AS n FROM e GROUP BY i))
+        SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM x, t""",
 }
