@@ -2,7 +2,8 @@
 
 Every rolling word k-gram hash of every document meets the k-grams of the license templates in a Spark join. A match of
 document position p with template position t votes for the diagonal p - t. Votes are counted by diagonal,
-neighbouring diagonals are merged into spans, and spans are verified by the share of template words they cover.
+neighbouring diagonals are merged into spans, and spans are verified: by the share of template words they cover, by the words
+that tell the template from its sisters, and against better spans of the same place.
 """
 
 from __future__ import annotations
@@ -61,13 +62,19 @@ def words(text) -> F.Column:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES, k: int = K) -> DataFrame:
-    """Rows (gram_hash, gram, template, label, t, t_words): a few hundred, by the templates given."""
+    """Rows (gram_hash, gram, template, label, t, t_words, sisters, tells): a few hundred, by the templates given.
+
+    Sisters of a template are those of other labels that share a k-gram with it and lack a word of it; ``tells`` are the sisters
+    that lack a word of the gram.
+    """
+    texts = {f"{label}/{i}": (label, text.split()) for label, given in templates.items() for i, text in enumerate(given)}
+    grams = {name: [tuple(w[t : t + k]) for t in range(len(w) - k + 1)] for name, (_, w) in texts.items()}
     rows = []
-    for label, texts in templates.items():
-        for i, text in enumerate(texts):
-            w = text.split()
-            rows += [(w[t : t + k], f"{label}/{i}", label, t, len(w)) for t in range(len(w) - k + 1)]
-    made = spark.createDataFrame(rows, "gram array<string>, template string, label string, t int, t_words int")
+    for name, (label, w) in texts.items():
+        sisters = {s: set(w) - set(v) for s, (other, v) in texts.items() if other != label and set(grams[s]) & set(grams[name])}
+        sisters = {s: own for s, own in sorted(sisters.items()) if own}
+        rows += [(list(g), name, label, t, len(w), list(sisters), [s for s, own in sisters.items() if own & set(g)]) for t, g in enumerate(grams[name])]
+    made = spark.createDataFrame(rows, "gram array<string>, template string, label string, t int, t_words int, sisters array<string>, tells array<string>")
     return made.withColumn("gram_hash", F.xxhash64("gram"))
 
 
@@ -84,12 +91,22 @@ def _base_starts(w) -> F.Column:
     return F.when(F.array_contains(w, "license"), F.concat(*found)).otherwise(none)
 
 
+def _best_apart(ranked) -> F.Column:
+    """Of spans, best first, those that no better one of them stands in the place of: shares half of the shorter one's words with."""
+    words_of = lambda s: s["last"] - s["first"] + 1
+    shared = lambda a, b: F.least(a["last"], b["last"]) - F.greatest(a["first"], b["first"]) + 1
+    taken = lambda kept, s: F.exists(kept, lambda o: 2 * shared(o, s) >= F.least(words_of(o), words_of(s)))
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, s: F.when(taken(kept, s), kept).otherwise(F.concat(kept, F.array(s))))
+
+
 def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, base (array of start and label) and spans.
 
     ``spans`` is an array of (label, template, first, last, votes, cover): a run of neighbouring diagonals, from its first
-    to its last document word, with the votes it got and the share of the template's words that its matches cover. Rows
-    have results of their own, so repeated rows give repeated results. Null texts have no words. Texts of any length are
+    to its last document word, with the votes it got and the share of the template's words that its matches cover. A span
+    stands if it covers COVER of them, and of the words that each sister of its template lacks one at least. Of spans in one
+    place that of the best cover stands (then of most votes, of the longer template, of the label and template first by name).
+    Rows have results of their own, so repeated rows give repeated results. Null texts have no words. Texts of any length are
     scanned whole; other columns, whatever their names, are not read. Spans come in the order of label, template and place.
     """
     spark = docs.sparkSession
@@ -107,9 +124,9 @@ def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] =
     met = met.filter(sure | (F.col("p") == -1))
     vote = F.when(F.col("p") >= 0, F.col("p") - F.col("t"))
     first = F.when(F.col("p") == -1, F.struct("n_words", "base"))
-    votes = met.select("row", "doc_id", first.alias("doc"), F.when(F.col("p") >= 0, F.col("template")).alias("template"), "label", "t_words", vote.alias("diagonal"), "p", "t")
+    votes = met.select("row", "doc_id", first.alias("doc"), F.when(F.col("p") >= 0, F.col("template")).alias("template"), "label", "t_words", vote.alias("diagonal"), "p", "t", "sisters", "tells")
     # Votes of one diagonal; one template position counts once a diagonal by nature.
-    lines = votes.groupBy("row", "doc_id", "template", "label", "t_words", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"), F.collect_set("t").alias("ts"), F.max("doc").alias("doc"))
+    lines = votes.groupBy("row", "doc_id", "template", "label", "t_words", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("first"), F.max("p").alias("last"), F.collect_set("t").alias("ts"), F.collect_set(F.when(F.size("tells") > 0, F.col("tells"))).alias("tells"), F.first("sisters").alias("sisters"), F.max("doc").alias("doc"))
     # Merging: diagonals in turn with small gaps are one family, and in a family the lines with few document words between them
     # are one span, whatever lines of other families stand there.
     by = Window.partitionBy("row", "template").orderBy("diagonal")
@@ -119,10 +136,17 @@ def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] =
     runs = runs.withColumn("opens", F.when(F.col("first") - reached <= k + NEIGHBOURS, 0).otherwise(1))
     runs = runs.withColumn("span", F.struct("family", F.sum("opens").over(along).alias("part")))
     covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("ts")), lambda t: F.sequence(t, t + k - 1)))))
-    spans = runs.groupBy("row", "doc_id", "template", "span").agg(F.max("label").alias("label"), F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"), covered.alias("covered"), F.max("t_words").alias("t_words"), F.max("doc").alias("doc"))
-    spans = spans.withColumn("cover", F.col("covered") / F.col("t_words"))
-    one = F.when(F.col("template").isNotNull() & (F.col("cover") >= COVER), F.struct("label", "template", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "votes", F.round("cover", 6).alias("cover")))
-    out = spans.groupBy("row", "doc_id").agg(F.max("doc").alias("doc"), F.array_sort(F.collect_list(one)).alias("spans"))
+    unmet = F.array_except(F.first("sisters"), F.flatten(F.flatten(F.collect_list("tells"))))
+    spans = runs.groupBy("row", "doc_id", "template", "span").agg(F.max("label").alias("label"), F.sum("votes").alias("votes"), F.min("first").cast("long").alias("first"), (F.max("last") + k - 1).cast("long").alias("last"), covered.alias("covered"), F.max("t_words").alias("t_words"), unmet.alias("unmet"), F.max("doc").alias("doc"))
+    spans = spans.withColumn("cover", F.col("covered") / F.col("t_words")).filter(F.col("template").isNull() | ((F.col("cover") >= COVER) & (F.size("unmet") == 0)))
+    # Choosing: spans that share a word are one cluster, and each cluster is settled by itself. The document's own row is alone in its.
+    over = Window.partitionBy("row").orderBy(F.col("first").asc_nulls_first(), "last", "template", "span")
+    clear = F.when(F.col("first") <= F.max("last").over(over.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    spans = spans.withColumn("cluster", clear).withColumn("cluster", F.sum("cluster").over(over))
+    one = F.struct((-F.col("cover")).alias("less"), (-F.col("votes")).alias("fewer"), (-F.col("t_words")).alias("shorter"), "label", "template", "first", "last", "votes", F.round("cover", 6).alias("cover"))
+    settled = spans.groupBy("row", "doc_id", "cluster").agg(F.max("doc").alias("doc"), F.array_sort(F.collect_list(F.when(F.col("template").isNotNull(), one))).alias("ranked"))
+    settled = settled.withColumn("spans", F.transform(_best_apart(F.col("ranked")), lambda s: F.struct(*[s[c].alias(c) for c in ("label", "template", "first", "last", "votes", "cover")])))
+    out = settled.groupBy("row", "doc_id").agg(F.max("doc").alias("doc"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     return out.select("doc_id", "doc.n_words", "doc.base", "spans")
 
 
