@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetable import concat, span_hashes, word_spans
-from .common import prepare
+from .common import prepare, row_digest
 from .words import SPACES, WORD
 
 #: The classifier is fitted on at most so many labelled rows (those with the smallest hash of doc_id).
@@ -253,7 +253,7 @@ def _scorer(model: Ranker):
 
 
 def _row_key() -> F.Column:
-    return F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"), 256)
+    return row_digest(F.col("doc_id"), F.col("text"))
 
 
 def score_documents(docs: DataFrame, model: Ranker) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetable import SPACE, ByteTable, concat, sums, word_spans
-from .common import Scratch, prepare
+from .common import Scratch, prepare, row_digest
 from .tokens import vocabulary
 from .words import SPACES, repeated_window_words
 
@@ -122,16 +122,19 @@ def _measurer(path: str):
     return run
 
 
-def _row_key() -> F.Column:
-    """Equal for rows alike in doc_id and text, which have equal results."""
-    return F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).cast("binary"), 256)
+def _lang(docs: DataFrame) -> F.Column:
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
+def _row_key(docs: DataFrame) -> F.Column:
+    """Equal for rows alike in doc_id and in all that a verdict depends on, text and lang: they have one verdict."""
+    return row_digest(F.col("doc_id"), F.col("text"), _lang(docs))
 
 
 def fertility_metrics(docs: DataFrame, vocab: str | None = None) -> DataFrame:
     """The measures of every row of ``docs`` (doc_id, text and, if there is one, lang)."""
     prepare(docs.sparkSession)
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(_row_key().alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text", lang.alias("lang"))
+    rows = docs.select(_row_key(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "text", _lang(docs).alias("lang"))
     return rows.mapInArrow(_measurer(vocab or vocabulary("piece_bpe_32k.model")), METRICS)
 
 
@@ -203,4 +206,4 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, repeated rows included, with their columns as they were."""
     kept = quality_verdicts(docs).filter("kept").select(F.col("row_key").alias("__row"))
-    return docs.withColumn("__row", _row_key()).join(kept, "__row", "left_semi").select(*docs.columns)
+    return docs.withColumn("__row", _row_key(docs)).join(kept, "__row", "left_semi").select(*docs.columns)
