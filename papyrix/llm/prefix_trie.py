@@ -78,13 +78,13 @@ def _hashed(parts) -> F.Column:
     return F.unhex(F.sha2(parts, 256))
 
 
-def prefix_digests(rows: DataFrame, scratch: Scratch, level: int = 0) -> tuple[DataFrame, F.Column]:
+def prefix_digests(rows: DataFrame, most: int, scratch: Scratch, level: int = 0) -> tuple[DataFrame, F.Column]:
     """``rows`` (conv_id, d, digest, ...) with the digest of the prefix up to d (key) and up to d - 1 (parent); and that of no turn.
+    ``most`` is the largest d.
 
     A prefix is its whole runs, digested likewise one level up, and the digests of the rest: equal prefixes have equal keys, and
     a window holds one run. Levels are as many for all conversations.
     """
-    most = rows.agg(F.max("d")).first()[0] or 0
     run, place = F.floor((F.col("d") - 1) / RUN), (F.col("d") - 1) % RUN + 1
     rows = rows.withColumn("run", run)
     far = Window.partitionBy("conv_id", "run").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -94,7 +94,7 @@ def prefix_digests(rows: DataFrame, scratch: Scratch, level: int = 0) -> tuple[D
     else:
         rows = scratch.keep(rows, f"runs{level}")
         ends = rows.groupBy("conv_id", "run").agg(F.max_by("seen", "d").alias("seen"))
-        upper, none = prefix_digests(ends.select("conv_id", (F.col("run") + 1).alias("d"), _hashed(_joined("seen")).alias("digest")), scratch, level + 1)
+        upper, none = prefix_digests(ends.select("conv_id", (F.col("run") + 1).alias("d"), _hashed(_joined("seen")).alias("digest")), -(-most // RUN), scratch, level + 1)
         rows = rows.join(upper.select("conv_id", (F.col("d") - 1).alias("run"), F.col("parent").alias("below"), F.col("key").alias("above")), ["conv_id", "run"])
         below, above = F.col("below"), F.col("above")
     mine = F.when(place < RUN, _hashed(F.concat(below, _joined("seen")))).otherwise(_hashed(above))
@@ -191,7 +191,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     placed = ranked(turn_table(conversations), ["conv_id"], [F.col("turn").asc_nulls_first(), F.col("digest")], scratch, "turns")
     turns = scratch.keep(placed.select("conv_id", "pos", "digest", "n_bytes"), "placed")
     rows, convs = rebuild(turns, scratch)
-    prefixes, none = prefix_digests(rows, scratch)
+    deepest = convs.agg(F.max("n_turns")).first()[0] or 0
+    prefixes, none = prefix_digests(rows, deepest, scratch)
     prefixes = scratch.keep(prefixes, "prefixes")
     inner = prefixes.groupBy("key").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.first("parent").alias("parent"), F.first("d").alias("depth"), F.first("n_bytes").alias("n_bytes"))
     root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
