@@ -30,6 +30,16 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: names, lengths and times of a file or of all files below a folder."""
+    fs, where = file_system(spark, path)
+    files, found = fs.listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, where = file_system(spark, path)
     fs.delete(where, True)

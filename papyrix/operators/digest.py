@@ -129,7 +129,8 @@ def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedde
     pieces = scratch.keep(chunk.chunks(docs), "chunks")
     old = None if force else store.read(spark, base, "vectors", manifest.name)
     vectors = embed_chunks(docs, pieces, old, embedder)
-    kept = store.write(spark, base, manifest.name, version, documents=docs, chunks=pieces, vectors=vectors, postings=lexical.postings(passages(docs, pieces)))
+    index = lexical.build_index(passages(docs, pieces), scratch)
+    kept = store.write(spark, base, manifest.name, version, documents=docs, chunks=pieces, vectors=vectors, postings=index.blocks, terms=index.terms)
     store.check(kept["chunks"], kept["vectors"])
     n = files.agg(F.count("*").alias("walked"), F.count_if("too_large").alias("large")).first()
     parsed = raw.agg(F.countDistinct("file").alias("parsed"), F.count_if(F.col("error").isNull()).alias("seen"), F.count_if(F.col("error").isNull() & (text.tidy(F.coalesce("text", F.lit(""))) == "")).alias("blank")).first()
@@ -144,7 +145,7 @@ def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedde
         LOG.warning("%s: %d of %d records held no text; is its type right?", manifest.name, parsed.blank, parsed.seen)
     for error in errors:
         LOG.warning("%s: %s", manifest.name, error)
-    tokens = kept["postings"].agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n")).first().n
+    tokens = kept["terms"].agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n")).first().n
     held.set_source(manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder, datetime.now(UTC).isoformat(timespec="seconds"), version, tokens))
     manifests.save_store_manifest(base, held)
     store.remove_older(spark, base, manifest.name, version)

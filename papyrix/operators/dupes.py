@@ -19,6 +19,14 @@ def check_options(window: int, threshold: float) -> None:
         raise ValueError("the window is not negative")
 
 
+def least_overlap(size, threshold: float) -> F.Column:
+    """The fewest common shingles with which a set of ``size`` can reach ``threshold``: the least n with n / size >= threshold.
+
+    The product may be off by a rounding, so the whole number below it is tried by the division that scores are compared by."""
+    near = F.ceil(size * threshold)
+    return F.greatest(F.lit(1), F.when((near - 1) / size >= threshold, near - 1).otherwise(near)).cast("int")
+
+
 def shingle_table(documents: DataFrame) -> DataFrame:
     """Documents as (id, source, day, size, h): their shingles as sorted 64-bit hashes of runs of words, day null if undated."""
     hashes = F.transform(text.shingles(text.shingle_words(F.col("text"))), lambda x: F.xxhash64(x))
@@ -35,8 +43,7 @@ def pairs(documents: DataFrame, window: int = WINDOW_DAYS, threshold: float = TH
 def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` of a stored ``shingle_table``. Exact.
 
-    A pair at the threshold t must share one of the first n - ceil(t * n) + 1 shingles of either side in any fixed order. They
-    are taken rarest first, by how many documents hold them, so common phrases come last, and those of one document alone take
+    A pair must share one of the first n - least_overlap(n) + 1 shingles of either side in any fixed order. They are taken rarest first, by how many documents hold them, so common phrases come last, and those of one document alone take
     up places and join with nothing. A document is met in its bucket of ``window`` days and waits in that and the next one.
     """
     sets = stored.filter("day is not null and size > 0")
@@ -47,7 +54,7 @@ def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = T
     by = Window.partitionBy("id").orderBy("m", "k")
     all_of = Window.partitionBy("id")
     place = F.col("size") - F.count("*").over(all_of) + F.row_number().over(by)
-    prefix = F.greatest(F.lit(1), (F.col("size") - F.ceil(F.col("size") * threshold) + 1).cast("int"))
+    prefix = F.col("size") - least_overlap(F.col("size"), threshold) + 1
     keys = common.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "k")
     keys = keys.join(sets.select("id", "source", "day", "size"), "id")
     width = max(window, 1)
@@ -55,7 +62,7 @@ def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = T
     late = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), F.col("day").alias("db"), "k", bucket.alias("bucket"))
     waits = F.array(bucket, bucket + 1) if window else F.array(bucket)
     early = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), F.col("day").alias("da"), "k", F.explode(waits).alias("bucket"))
-    near = early.join(late, ["bucket", "k"]).filter((F.col("sa") != F.col("sb")) & (F.col("db") - F.col("da")).between(0, window) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9))
+    near = early.join(late, ["bucket", "k"]).filter((F.col("sa") != F.col("sb")) & (F.col("db") - F.col("da")).between(0, window) & (F.least("na", "nb") / F.greatest("na", "nb") >= threshold))
     first = F.col("sa") < F.col("sb")
     met = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
     return similarity(met, sets).filter(F.col("score") >= threshold)

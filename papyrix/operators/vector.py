@@ -1,14 +1,22 @@
-"""Unit vectors and the exact cosine scan."""
+"""Unit vectors and the exact cosine scan, of one query or of a table of them."""
 
 from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import top
+from .lexical import ORDER, top, top_each
+
+#: Bytes of the query vectors of one round, which are sent to all tasks.
+ROUND_BYTES = 1 << 23
+#: Scores that a task holds at a time.
+SCORES = 1 << 22
 
 
 def unit(vector: Column) -> Column:
@@ -24,17 +32,90 @@ def unit_list(vector: list[float]) -> list[float]:
     return [struct.unpack("f", struct.pack("f", x / norm))[0] for x in vector] if norm else list(vector)
 
 
-def dot(vector: Column, query: list[float]) -> Column:
-    """The single-precision dot product with a fixed vector."""
-    q = F.array(*[F.lit(float(x)).cast("float") for x in query])
-    return F.aggregate(F.zip_with(vector, q, lambda a, b: (a * b).cast("float")), F.lit(0.0).cast("float"), lambda s, x: (s + x).cast("float"))
+def dots(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Single-precision dot products of all rows with all queries, each summed from the first entry to the last."""
+    out = np.zeros((len(rows), len(queries)), np.float32)
+    for d in range(rows.shape[1]):
+        out += rows[:, d, None] * queries[None, :, d]
+    return out
+
+
+class _Heaps:
+    """Of each query the best ``limit`` hits met so far."""
+
+    def __init__(self, n: int, limit: int):
+        self.limit, self.least = limit, np.full(n, -np.inf, np.float32)
+        self.held: list[list[tuple]] = [[] for _ in range(n)]
+
+    def take(self, scores: np.ndarray, keys: list[tuple]) -> None:
+        for q in np.flatnonzero((scores >= self.least).any(0)).tolist():
+            column = scores[:, q]
+            good = np.flatnonzero(column >= self.least[q])
+            if len(good) > 2 * self.limit:  # of equal scores all stay until they are ordered
+                good = good[column[good] >= np.partition(column[good], -self.limit)[-self.limit]]
+            held = self.held[q]
+            held += [(-s, keys[i]) for s, i in zip(column[good].tolist(), good.tolist())]
+            if len(held) >= 2 * self.limit:
+                held.sort()
+                del held[self.limit :]
+                self.least[q] = -held[-1][0]
+
+    def best(self) -> Iterator[tuple[int, float, tuple]]:
+        for q, held in enumerate(self.held):
+            yield from ((q, -s, key) for s, key in sorted(held)[: self.limit])
+
+
+def _scan(queries: np.ndarray, limit: int, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heaps, step = _Heaps(len(queries), limit), max(1, SCORES // len(queries))
+        for batch in batches:
+            rows = np.asarray(batch.column(3).flatten(), np.float32).reshape(batch.num_rows, queries.shape[1])
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            for at in range(0, len(rows), step):
+                heaps.take(dots(rows[at : at + step], queries), keys[at : at + step])
+        found = list(heaps.best())
+        columns = [[q for q, _, _ in found], *([key[i] for _, _, key in found] for i in range(3)), [s for _, s, _ in found]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def _scanned(vectors: DataFrame, queries: np.ndarray, limit: int) -> DataFrame:
+    """Per task the nearest ``limit`` of ``vectors`` to each query: its number, source, doc_id, index, score."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import FloatType, LongType, StructField, StructType
+
+    whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = vectors.filter((F.size("embedding") == queries.shape[1]) & whole).select(*ORDER, F.col("embedding").cast("array<float>").alias("embedding"))
+    schema = StructType([StructField("query", LongType()), *rows.select(*ORDER).schema.fields, StructField("score", FloatType())])
+    return rows.mapInArrow(_scan(queries, limit, to_arrow_schema(schema)), schema)
 
 
 def cosine_top(vectors: DataFrame, query: list[float], limit: int) -> DataFrame:
     """The nearest ``limit`` passages of ``vectors`` (source, doc_id, index, embedding), any sign of score, with rank.
 
-    Missing vectors and vectors of another width are passed over.
+    Missing vectors, vectors of another width and those with a missing entry are passed over.
+    """
+    return top(_scanned(vectors, np.array([unit_list(query)], np.float32), max(limit, 1)).drop("query"), limit)
+
+
+def cosine_many(vectors: DataFrame, queries: DataFrame, limit: int, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """``cosine_top`` of each of ``queries`` (query_id, embedding), a table of any size: query_id, source, doc_id, index, score, rank.
+
+    Queries go to the tasks in rounds of ``round_bytes``, a round as one matrix against batches of vectors; a task gives the best
+    ``limit`` of what it has seen. Queries without a vector find nothing; those of another width than the first are an error.
+    Ids are unique and not null.
     """
-    rows = vectors.filter(F.size("embedding") == len(query))
-    scored = rows.select("source", "doc_id", "index", dot(F.col("embedding"), unit_list(query)).alias("score")).filter("score is not null")
-    return top(scored, limit)
+    asking = queries.filter("query_id is not null and size(embedding) > 0").select("query_id", unit(F.col("embedding").cast("array<float>")).alias("embedding"))
+    widths = asking.agg(F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"), F.count("*").alias("n")).first()
+    if widths.least != widths.most:
+        raise ValueError("query vectors of several widths")
+    none = vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *ORDER, F.lit(0.0).cast("float").alias("score")).limit(0)
+    found, rounds = None, -(-widths.n * 4 * (widths.most or 0) // round_bytes)
+    for number in range(rounds):
+        here = asking.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number).collect()  # a round's bytes, about
+        if here:
+            names = vectors.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(here)], f"query long, query_id {queries.schema['query_id'].dataType.simpleString()}")
+            got = _scanned(vectors, np.array([r.embedding for r in here], np.float32), limit).join(F.broadcast(names), "query").select("query_id", *ORDER, "score")
+            found = got if found is None else found.union(got)
+    return top_each(none if found is None else found, limit)

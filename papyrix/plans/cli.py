@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .. import durable
-from ..operators import digest, documents, dupes, fusion, stats, timeline
+from ..operators import digest, documents, dupes, fusion, lexical, stats, timeline
 from ..sources import manifests, parsers, store
 from . import render, serve
 
@@ -71,7 +71,8 @@ def _search(spark, base, args, config) -> str:
     if mode != "lexical":
         vectors = store.read(spark, base, "vectors").drop("source").join(chunks.select(F.col("id").alias("chunk_id"), "source", "doc_id", "index"), "chunk_id").select("source", "doc_id", "index", "embedding")
         asked = digest.embedder_of(config.embed).embed([query])[0]
-    found = fusion.search(store.read(spark, base, "postings", args.source), held.sizes(args.source), vectors, query, asked, mode, args.hits or config.defaults.hits)
+    tables = [store.read(spark, base, name, args.source) for name in ("postings", "terms")]
+    found = fusion.search(None if None in tables else lexical.Index(*tables), held.sizes(args.source), vectors, query, asked, mode, args.hits or config.defaults.hits)
     rows = render.search_rows(found, docs, chunks, render.JSON_SNIPPET if args.json else render.TABLE_SNIPPET)
     return render.search_json(query, mode, rows) if args.json else render.search_table(rows)
 

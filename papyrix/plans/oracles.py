@@ -49,6 +49,20 @@ def _bm25(where: str = "true") -> str:
     lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id, index) AS rank FROM sc0)"""
 
 
+_MANY = f"""
+    ps AS ({_LINES.format(where='true')}),
+    pt AS (SELECT source, doc_id, index, {_TOKENS} AS tk FROM ps),
+    st AS (SELECT count(*) AS n, avg(len(tk)) AS mean FROM pt),
+    tf AS (SELECT source, doc_id, index, ln, term, count(*) AS f FROM (SELECT source, doc_id, index, len(tk) AS ln, unnest(tk) AS term FROM pt) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    qt AS (SELECT DISTINCT query_id, unnest({_TOKENS}) AS term FROM (SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS text FROM documents WHERE doc_id % 50 = 0)),
+    sc0 AS (SELECT query_id, source, doc_id, index, list_sum(list(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * ln / mean)) ORDER BY term)) AS score
+            FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2, 3, 4),
+    lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id, index) AS rank FROM sc0)"""
+_VECS = """
+    vq AS (SELECT d.source, d.doc_id, 0 AS index, e.embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id),
+    vs AS (SELECT q.vec_id AS query_id, v.source, v.doc_id, v.index, list_dot_product(v.embedding, q.embedding) AS score FROM embeddings q, vq v WHERE {where}),
+    vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id) AS rank FROM vs)"""
 _SRC3 = "source = 'src3'"
 _VEC = """
     qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7),
@@ -116,6 +130,16 @@ ORACLES: dict[str, str] = {
     "token_frequencies": f"WITH t AS (SELECT unnest({_TOKENS}) AS term FROM documents) SELECT term, count(*) AS n FROM t GROUP BY 1",
     "postings": f"WITH ps AS ({_LINES.format(where='true')}), t AS (SELECT doc_id, index, unnest({_TOKENS}) AS term FROM ps) SELECT term, count(DISTINCT (doc_id, index)) AS df, count(*) AS cf FROM t GROUP BY 1",
     "bm25_top": f"WITH {_bm25()} SELECT source, doc_id, CAST(index AS BIGINT) AS index, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 50",
+    "query_table": f"WITH {_MANY} SELECT query_id, source, doc_id, CAST(index AS BIGINT) AS index, round(score, 6) AS score, rank FROM lex WHERE rank <= 20",
+    "query_table_hybrid": f"""
+        WITH {_MANY}, {_VECS.format(where="q.vec_id IN (SELECT query_id FROM qt)")},
+        fused AS (SELECT coalesce(l.query_id, v.query_id) AS query_id, coalesce(l.source, v.source) AS source, coalesce(l.doc_id, v.doc_id) AS doc_id, CAST(coalesce(l.index, v.index) AS BIGINT) AS index,
+                  coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + v.rank), 0) AS score, coalesce(l.rank, 0) AS lexical_rank, coalesce(v.rank, 0) AS vector_rank
+                  FROM (SELECT * FROM lex WHERE rank <= 200) l FULL OUTER JOIN (SELECT * FROM vec WHERE rank <= 200) v ON l.query_id = v.query_id AND l.doc_id = v.doc_id AND l.source = v.source AND l.index = v.index),
+        best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, source, index) = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id, index) AS place FROM best)
+        SELECT query_id, source, doc_id, index, round(score, 9) AS score, lexical_rank, vector_rank, place FROM o WHERE place <= 10""",
+    "vector_table": f"WITH {_VECS.format(where='true')} SELECT query_id, doc_id, round(CAST(score AS DOUBLE), 4) AS score, rank FROM vec WHERE rank <= 5",
     "vector_top": f"WITH {_VEC} SELECT doc_id, round(CAST(score AS DOUBLE), 4) AS score, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= 50",
     "vector_normalise": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)

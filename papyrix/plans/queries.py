@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import durable
 from ..durable import Scratch
 from ..functions import chunk, quote, text
 from ..operators import digest, documents, dupes, fusion, lexical, links, stats, timeline, vector
@@ -72,30 +73,60 @@ def token_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 _INDEXES: dict = {}
 
 
-def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    """Stored postings of the passages, made once a session as a digest makes them, and the passages and tokens by source."""
-    key = (spark.sparkContext.applicationId, sf)
+def _index(spark: SparkSession, sf: str) -> tuple[lexical.Index, dict[str, tuple[int, int]]]:
+    """The stored index of the passages, made once a session and state of the table, and the passages and tokens by source."""
+    key = (spark.sparkContext.applicationId, sf, durable.state_of(spark, f"{sf}/documents.parquet"))
     if key not in _INDEXES:
         scratch, rows = Scratch(spark, "index"), passages(spark, sf)
-        stored = scratch.keep(lexical.postings(rows).repartitionByRange("term").sortWithinPartitions("term", "doc_id", "index"), "postings")
+        made = lexical.build_index(rows, scratch)
+        blocks = scratch.keep(made.blocks.repartitionByRange("term", "slot").sortWithinPartitions("term", "slot"), "blocks")
+        index = lexical.Index(blocks, scratch.keep(made.terms.sortWithinPartitions("term"), "terms"))
+        scratch.drop("postings")
         n = {r.source: r.n for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row a source
-        tokens = {r.source: r.n for r in stored.groupBy("source").agg(F.sum("tf").alias("n")).collect()}
+        tokens = {r.source: r.n for r in index.terms.groupBy("source").agg(F.sum("cf").alias("n")).collect()}
         sizes = {source: (n[source], tokens.get(source, 0)) for source in n}
         sizes[stats.ALL] = (sum(n.values()), sum(tokens.values()))
-        _INDEXES[key] = stored, sizes
+        _INDEXES[key] = index, sizes
     return _INDEXES[key]
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    return _index(spark, sf)[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, sf)[0].terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def bm25_top(spark: SparkSession, sf: str) -> DataFrame:
-    stored, sizes = _index(spark, sf)
-    got = lexical.bm25(stored, sizes[stats.ALL], QUERY, 50)
+    index, sizes = _index(spark, sf)
+    got = lexical.bm25(index, sizes[stats.ALL], QUERY, 50)
     return got.select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 6).alias("score"), "rank")
 
 
+def _asking(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of queries: the first line of every fiftieth document, with its vector if it has one."""
+    rows = table(spark, sf, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.element_at(F.split("text", "\n"), 1).alias("text"))
+    return rows.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding"), "query_id", "left")
+
+
+def query_table(spark: SparkSession, sf: str) -> DataFrame:
+    """BM25 for a table of queries at once."""
+    index, sizes = _index(spark, sf)
+    got = lexical.bm25_many(index, sizes[stats.ALL], _asking(spark, sf), 20, Scratch(spark, "queries"))
+    return got.select("query_id", "source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def query_table_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    """Both retrievers, fused and rolled up to documents, for a table of queries at once."""
+    index, sizes = _index(spark, sf)
+    got = fusion.search_many(index, sizes[stats.ALL], vectors(spark, sf), _asking(spark, sf), Scratch(spark, "queries"))
+    return got.select("query_id", "source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 9).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("lexical_rank", "vector_rank", "place")])
+
+
+def vector_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a query against all."""
+    asking = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = vector.cosine_many(vectors(spark, sf), asking, 5)
+    return got.select("query_id", "doc_id", F.round(F.col("score").cast("double"), 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
     return table(spark, sf, "embeddings").filter("vec_id = 7").first().embedding
 
@@ -111,20 +142,20 @@ def vector_normalise(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    stored, sizes = _index(spark, sf)
-    lex, vec = lexical.bm25(stored, sizes[stats.ALL], QUERY, fusion.DEPTH), vector.cosine_top(vectors(spark, sf), _query_vector(spark, sf), fusion.DEPTH)
+    index, sizes = _index(spark, sf)
+    lex, vec = lexical.bm25(index, sizes[stats.ALL], QUERY, fusion.DEPTH), vector.cosine_top(vectors(spark, sf), _query_vector(spark, sf), fusion.DEPTH)
     return fusion.fuse(lex, vec).select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 9).alias("score"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("vector_rank").cast("long").alias("vector_rank"))
 
 
 def hybrid_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    stored, sizes = _index(spark, sf)
-    got = fusion.search(stored, sizes[stats.ALL], vectors(spark, sf), QUERY, _query_vector(spark, sf))
+    index, sizes = _index(spark, sf)
+    got = fusion.search(index, sizes[stats.ALL], vectors(spark, sf), QUERY, _query_vector(spark, sf))
     return got.select("source", "doc_id", F.col("index").cast("long").alias("index"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def source_filtered_search(spark: SparkSession, sf: str) -> DataFrame:
-    stored, sizes = _index(spark, sf)
-    got = fusion.search(stored, sizes.get("src3", (0, 0)), None, QUERY, None, mode="lexical", source="src3")
+    index, sizes = _index(spark, sf)
+    got = fusion.search(index, sizes.get("src3", (0, 0)), None, QUERY, None, mode="lexical", source="src3")
     return got.select("doc_id", F.col("index").cast("long").alias("index"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("place").cast("long").alias("place"))
 
 
@@ -133,9 +164,10 @@ def passage_search(spark: SparkSession, sf: str) -> DataFrame:
     docs = corpus(spark, sf)
     pieces = chunk.chunks(docs)
     scratch = Scratch(spark, "passages")
-    stored = scratch.keep(lexical.postings(digest.passages(docs, pieces)), "postings")
-    sizes = (pieces.count(), stored.agg(F.sum("tf").alias("n")).first().n or 0)
-    got = fusion.search(stored, sizes, None, QUERY, None, mode="lexical", hits=50)
+    made = lexical.build_index(digest.passages(docs, pieces), scratch)
+    index = lexical.Index(scratch.keep(made.blocks.repartitionByRange("term", "slot"), "blocks"), scratch.keep(made.terms, "terms"))
+    sizes = (pieces.count(), index.terms.agg(F.sum("cf").alias("n")).first().n or 0)
+    got = fusion.search(index, sizes, None, QUERY, None, mode="lexical", hits=50)
     return got.select("doc_id", "index", F.round("score", 6).alias("score"), "lexical_rank", "place")
 
 
@@ -359,7 +391,7 @@ def viewer_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = [
-    normalise_text, document_identity, documents_build, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, vector_top, vector_normalise, hybrid_rrf,
+    normalise_text, document_identity, documents_build, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, query_table, query_table_hybrid, vector_table, vector_top, vector_normalise, hybrid_rrf,
     hybrid_rollup, source_filtered_search, passage_search, reuse_plan, shingle_sets, near_duplicate_pairs, duplicate_members, duplicate_groups, dupes_summary, timeline_entries, timeline_sources, timeline_months,
     timeline_order, event_months, stats_by_source, stats_spread, stats_years, stats_vocabulary, order_spread, link_domains, link_dedupe, link_hosts, post_link_summary, page_text, page_meta, post_records, sidecar_join,
     review_titles, site_dates, slug_titles, mojibake_repair, path_matcher, snippets, viewer_filter,

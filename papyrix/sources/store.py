@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .. import durable
 from . import manifests
 
-TABLES = ("documents", "chunks", "vectors", "postings")
+TABLES = ("documents", "chunks", "vectors", "postings", "terms")
 #: How rows are ordered within files, so that a reader of few keys passes over row groups.
-ORDER = {"documents": ["id"], "chunks": ["doc_id", "index"], "vectors": ["chunk_id"], "postings": ["term", "doc_id", "index"]}
+ORDER = {"documents": ["id"], "chunks": ["doc_id", "index"], "vectors": ["chunk_id"], "postings": ["term", "slot"], "terms": ["term"]}
 #: Fixed value: how a vector file begins.
 MAGIC = b"CORVEC1\0"
 WIDEST = 65536
@@ -30,12 +30,12 @@ def path(base: str, name: str, source: str, version: int) -> str:
 def write(spark: SparkSession, base: str, source: str, version: int, **tables: DataFrame) -> dict[str, DataFrame]:
     """Write ``version`` of a source's tables, and return them as read back. They count once the manifest names the version.
 
-    Postings are dealt out by ranges of terms, so that the terms of a query are in few files.
+    Blocks of postings are dealt out by ranges of (term, slot): a query's terms are in few files, a frequent term in several.
     """
     out = {}
     for name in TABLES:
         rows = tables[name].drop("source")
-        rows = rows.repartitionByRange("term") if name == "postings" else rows
+        rows = rows.repartitionByRange(*ORDER[name]) if name == "postings" else rows
         rows.sortWithinPartitions(*ORDER[name]).write.mode("overwrite").parquet(path(base, name, source, version))
         out[name] = spark.read.schema(rows.schema).parquet(path(base, name, source, version)).withColumn("source", F.lit(source))
     return out

@@ -1,10 +1,12 @@
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from papyrix import durable
 from papyrix.functions import chunk, html, quote, text
-from papyrix.operators import digest, dupes, fusion, lexical, stats
+from papyrix.operators import digest, dupes, fusion, lexical, stats, vector
 from papyrix.sources import parsers, store
 from papyrix.sources.matcher import NOISE, Matcher
 
@@ -155,7 +157,9 @@ def test_bm25_and_roll_up_by_hand(spark):
     table = spark.createDataFrame(docs, "id string, source string, text string, title string")
     rows = digest.passages(table, chunk.chunks(table))
     held = [(r.source, r.doc_id, r["index"], r.indexed.lower().split()) for r in rows.collect()]
-    stored = lexical.postings(rows)
+    scratch = durable.Scratch(spark, "test")
+    made = lexical.build_index(rows, scratch, slot=2)
+    stored = lexical.Index(scratch.keep(made.blocks, "blocks"), scratch.keep(made.terms, "terms"))
     for source in (None, "s1"):
         some = [h for h in held if source in (None, h[0])]
         mean, terms = sum(len(h[3]) for h in some) / len(some), ["w1", "w3", "w7"]
@@ -176,4 +180,126 @@ def test_bm25_and_roll_up_by_hand(spark):
         got = fusion.search(stored, sizes, None, "w7 W3, w1 w1", None, "lexical", 10, source=source)
         assert [(r.doc_id, r["index"], r.lexical_rank) for r in got.orderBy("place").collect()] == want[:10]
     assert len({h[1] for h in held}) < len(held) and lexical.sizes_of(stored) == (len(held), sum(len(h[3]) for h in held))
-    assert lexical.bm25(stored, (5, 50), "nothing here").count() == 0
+    assert lexical.bm25(stored, (5, 50), "nothing here").count() == 0 == lexical.bm25(stored, (5, 50), "nothing here", 3).count()
+
+
+@pytest.fixture(scope="module")
+def lines(spark):
+    """Passages of two sources: a rare term, one in every passage, copies, an empty one, very unlike lengths."""
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for n in range(900):
+        words = ["the", *(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.choice([1, 3, 20, 150])))]
+        rows.append((f"s{n % 2}", n // 3, n % 3, " ".join(words + ["rare"] * (n in (7, 500)) * 2)))
+    rows += [("s1", 1000 + n, 0, "the w1 w2") for n in range(40)] + [("s0", 2000, 0, "")]
+    return spark.createDataFrame(rows, "source string, doc_id long, index int, indexed string").repartition(5)
+
+
+@pytest.fixture(scope="module")
+def index(spark, lines):
+    scratch = durable.Scratch(spark, "test")
+    made = lexical.build_index(lines, scratch, slot=16)
+    return lexical.Index(scratch.keep(made.blocks, "blocks"), scratch.keep(made.terms, "terms"))
+
+
+QUERIES = {1: "the", 2: "rare the", 3: "w1 w2 w7 the the", 4: "w250 w99 rare", 5: "unheard of", 6: "", 7: "w3"}
+
+
+def test_blocks_hold_all_postings(index, lines):
+    rows = {tuple(r) for r in lexical.postings(lines).select("source", "doc_id", "index", "term", "tf", "length").collect()}
+    blocks = index.blocks.collect()
+    held = [(b.source, e.doc_id, e["index"], b.term, e.tf, e.length) for b in blocks for e in b.entries]
+    assert set(held) == rows and len(held) == len(rows)
+    assert all(b.best_tf == max(e.tf for e in b.entries) and b.least_length == min(e.length for e in b.entries) for b in blocks)
+    hot = [len(b.entries) for b in blocks if b.term == "the"]
+    assert len(hot) > 40 and max(hot) < 50  # a term in every passage is many blocks
+    assert lexical.sizes_of(index) == (940, sum(r[4] for r in rows))
+
+
+def test_pruned_search_finds_what_a_full_scan_finds(index):
+    sizes = lexical.sizes_of(index)
+    for query in QUERIES.values():
+        every = lexical.top(lexical.bm25(index, sizes, query), 25).collect()
+        assert lexical.bm25(index, sizes, query, 25).collect() == every
+        assert lexical.bm25(index.of("s1"), sizes, query, 5).select("doc_id", "index").collect() == lexical.top(lexical.bm25(index.of("s1"), sizes, query), 5).select("doc_id", "index").collect()
+
+
+def test_a_rare_term_spares_the_common_ones_blocks(index, monkeypatch):
+    """Few of the blocks of a term that is everywhere are scored beside a rare term."""
+    seen, scores = [], lexical._scores
+
+    def counted(blocks, mean, *by):
+        seen.append(blocks.filter("term = 'the'").count())
+        return scores(blocks, mean, *by)
+
+    monkeypatch.setattr(lexical, "_scores", counted)
+    monkeypatch.setattr(lexical, "FIRST", 4)
+    assert lexical.bm25(index, lexical.sizes_of(index), "rare the", 2).count() == 2
+    assert max(seen) <= 4 < index.blocks.filter("term = 'the'").count() / 10
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_a_table_of_queries_finds_what_each_finds(spark, index, monkeypatch, sent):
+    monkeypatch.setattr(lexical, "SENT", sent)
+    sizes, scratch = lexical.sizes_of(index), durable.Scratch(spark, "test")
+    asking = spark.createDataFrame([*QUERIES.items(), (None, "the")], "query_id long, text string")
+    got = {}
+    for r in lexical.bm25_many(index, sizes, asking, 25, scratch).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.source, r.doc_id, r["index"], pytest.approx(r.score), r["rank"]))
+    for q, query in QUERIES.items():
+        assert [(r.source, r.doc_id, r["index"], r.score, r["rank"]) for r in lexical.bm25(index, sizes, query, 25).orderBy("rank").collect()] == got.get(q, [])
+    assert set(got) <= set(QUERIES)
+
+
+def test_many_vectors_find_what_each_finds(spark, index):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"s{n % 2}", n, 0, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for n in range(400)]
+    rows += [("s0", 900, 0, None), ("s0", 901, 0, [1.0]), ("s0", 902, 0, [None, 1.0, 1.0, 1.0]), ("s0", 903, 0, [float("nan"), 1.0, 1.0, 1.0])]
+    table = spark.createDataFrame(rows, "source string, doc_id long, index int, embedding array<float>").repartition(7)
+    asking = table.filter("source = 's1'").select(F.col("doc_id").alias("query_id"), "embedding").union(spark.createDataFrame([(5000, None)], "query_id long, embedding array<float>"))
+    got = {}
+    for r in vector.cosine_many(table, asking, 9, round_bytes=16 * 60).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.source, r.doc_id, r["rank"], r.score))
+    assert set(got) == {r[1] for r in rows[:400] if r[0] == "s1"}
+    for q in sorted(got)[::40]:
+        unit = vector.unit_list(rows[q][3])
+        by_hand = sorted((-float(vector.dots(np.array([v], np.float32), np.array([unit], np.float32))[0, 0]), s, i) for s, i, _, v in rows[:400])[:9]
+        assert [(s, i) for s, i, _, _ in got[q]] == [(s, i) for _, s, i in by_hand]
+        assert [(r.source, r.doc_id) for r in vector.cosine_top(table, rows[q][3], 9).orderBy("rank").collect()] == [(s, i) for s, i, _, _ in got[q]]
+    with pytest.raises(ValueError, match="widths"):
+        vector.cosine_many(table, spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "query_id long, embedding array<float>"), 3)
+
+
+def test_hybrid_table_finds_what_each_query_finds(spark, index):
+    sizes, scratch = lexical.sizes_of(index), durable.Scratch(spark, "test")
+    table = spark.createDataFrame([(f"s{n % 2}", n // 3, n % 3, [float(n % 7), float(n % 5), 1.0]) for n in range(900)], "source string, doc_id long, index int, embedding array<float>")
+    asking = [(1, "rare the", [1.0, 0.0, 0.0]), (2, "", [0.0, 1.0, 0.0]), (3, "w1 w7", None), (4, "nothing known", None)]
+    got = fusion.search_many(index, sizes, table, spark.createDataFrame(asking, "query_id long, text string, embedding array<float>"), scratch, hits=6, depth=30).orderBy("query_id", "place").collect()
+    for q, words, asked in asking:
+        mine = [(r.source, r.doc_id, r["index"], r.place) for r in got if r.query_id == q]
+        if not words:
+            want = fusion.search(None, sizes, table, "x", asked, "vector", 6, 30)
+        else:
+            want = fusion.search(index, sizes, table, words, asked, "hybrid", 6, 30)
+        assert mine == [(r.source, r.doc_id, r["index"], r.place) for r in want.orderBy("place").collect()]
+
+
+def test_least_overlap_is_the_least(spark):
+    """For sizes up to 120 and thresholds in hundredths: the smallest count whose share passes, as shares are compared."""
+    sizes = spark.range(1, 121).select(F.col("id").cast("int").alias("size"))
+    for percent in range(1, 101):
+        t = percent / 100
+        for r in sizes.select("size", dupes.least_overlap(F.col("size"), t).alias("n")).collect():
+            assert r.n == next(n for n in range(1, r.size + 1) if n / r.size >= t), (r, t)
+
+
+@pytest.mark.parametrize(("size", "both"), [(25, 14), (50, 29), (100, 57)])
+def test_pairs_at_the_very_threshold(spark, size, both):
+    words = [f"w{n}" for n in range(size + 4)]
+    rows = [("a", "s0", " ".join(words)), ("b", "s1", " ".join(words[: both + 4]))]
+    docs = spark.createDataFrame(rows, "id string, source string, text string").withColumn("published", F.timestamp_seconds(F.lit(0)))
+    assert [r.score for r in dupes.pairs(docs, 2, both / size).collect()] == [both / size]
