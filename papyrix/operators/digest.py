@@ -22,6 +22,10 @@ from . import documents, lexical, vector
 LOG = logging.getLogger("papyrix")
 #: Texts handed to an embedder at a time.
 BATCH = 16
+#: Errors of a source that a report names; all are counted.
+NAMED_ERRORS = 1000
+#: Tasks that read a source's files at least, unless the configuration says otherwise.
+WORKERS = 8
 #: A source is quiet when this share of its records (or files) held no text.
 QUIET = 0.8
 
@@ -114,15 +118,15 @@ def passages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(titles, "doc_id", "left").select("source", "doc_id", "index", text.indexed_text(F.coalesce("title", F.lit("")), F.col("text")).alias("indexed"))
 
 
-def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedder | None = None, force: bool = False) -> dict:
-    """Digest one source folder into the store at ``base`` and return its report."""
+def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedder | None = None, force: bool = False, workers: int = 0, keep: bool = False) -> dict:
+    """Digest one source folder into the store at ``base`` and return its report. With ``keep`` the versions before stay readable."""
     embedder = embedder or HashEmbedder()
     manifest = manifests.load_source(folder, parsers.types())
     held = manifests.load_store_manifest(base)
     held.check_chunking(chunk.TARGET, chunk.LONGEST, chunk.SHORTEST)
     held.check_embed(embedder.name, embedder.dimensions, embedder.digest)
-    scratch, version = durable.Scratch(spark, "digest"), held.version_after(manifest.name)
-    raw, files = parsers.parse_source(spark, folder, manifest)
+    scratch, version = durable.Scratch(spark, "digest"), store.claim(spark, base, manifest.name, held.version_of(manifest.name))
+    raw, files = parsers.parse_source(spark, folder, manifest, workers or WORKERS)
     raw = scratch.keep(raw, "raw")
     built = scratch.keep(documents.build(raw.filter("error is null"), manifest.name, manifest.type, manifest.author), "built")
     docs = scratch.keep(documents.unique_ids(built), "documents")
@@ -134,28 +138,31 @@ def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedde
     store.check(kept["chunks"], kept["vectors"])
     n = files.agg(F.count("*").alias("walked"), F.count_if("too_large").alias("large")).first()
     parsed = raw.agg(F.countDistinct("file").alias("parsed"), F.count_if(F.col("error").isNull()).alias("seen"), F.count_if(F.col("error").isNull() & (text.tidy(F.coalesce("text", F.lit(""))) == "")).alias("blank")).first()
-    errors = [r.error for r in raw.filter("error is not null").select("error").distinct().orderBy("error").limit(1000).collect()]
+    failed = raw.filter("error is not null").select("error").distinct()
+    n_errors, errors = failed.count(), [r.error for r in failed.orderBy("error").limit(NAMED_ERRORS).collect()]
     stored, total = kept["documents"].count(), kept["chunks"].count()
     keys = kept["vectors"].select("embed_key").distinct()
     reused = 0 if old is None else keys.join(old.select("embed_key").distinct(), "embed_key", "left_semi").count()
-    report = {"source": manifest.name, "walked": n.walked, "parsed": parsed.parsed, "too_large": n.large, "documents": stored, "chunks": total, "texts": keys.count(), "reused": reused, "duplicates": built.count() - stored, "records_seen": parsed.seen, "records_empty": parsed.blank, "errors": errors}
+    report = {"source": manifest.name, "walked": n.walked, "parsed": parsed.parsed, "too_large": n.large, "documents": stored, "chunks": total, "texts": keys.count(), "reused": reused, "duplicates": built.count() - stored, "records_seen": parsed.seen, "records_empty": parsed.blank, "errors": errors, "n_errors": n_errors}
     report["embedded"] = report["texts"] - reused
     report["quiet"] = is_quiet(parsed.seen, parsed.blank)
     if report["quiet"]:
         LOG.warning("%s: %d of %d records held no text; is its type right?", manifest.name, parsed.blank, parsed.seen)
     for error in errors:
         LOG.warning("%s: %s", manifest.name, error)
+    if n_errors > len(errors):
+        LOG.warning("%s: and %d more errors", manifest.name, n_errors - len(errors))
     tokens = kept["terms"].agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n")).first().n
-    held.set_source(manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder, datetime.now(UTC).isoformat(timespec="seconds"), version, tokens))
-    manifests.save_store_manifest(base, held)
-    store.remove_older(spark, base, manifest.name, version)
+    manifests.commit_source(base, held, manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder, datetime.now(UTC).isoformat(timespec="seconds"), version, tokens))
+    if not keep:
+        store.remove_older(spark, base, manifest.name, version)
     return report
 
 
 def totals(reports: list[dict]) -> dict:
     """The sums of several sources' reports, and how many of their files or records failed."""
     out = {k: sum(r[k] for r in reports) for k in ("walked", "parsed", "too_large", "documents", "chunks", "texts", "embedded", "reused", "duplicates", "records_seen", "records_empty")}
-    return {"sources": len(reports)} | out | {"errors": sum(len(r["errors"]) for r in reports), "quiet": [r["source"] for r in reports if r["quiet"]]}
+    return {"sources": len(reports)} | out | {"errors": sum(r["n_errors"] for r in reports), "quiet": [r["source"] for r in reports if r["quiet"]]}
 
 
 def is_quiet(seen: int, empty: int) -> bool:

@@ -116,7 +116,7 @@ def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterabl
     spark = spark or SparkSession.builder.appName("papyrix").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.command == "digest":
         embedder = digest.embedder_of(config.embed)
-        reports = [digest.digest_source(spark, folder, base, embedder, args.force) for folder in manifests.discover(args.source or config.defaults.source)]
+        reports = [digest.digest_source(spark, folder, base, embedder, args.force, config.defaults.workers) for folder in manifests.discover(args.source or config.defaults.source)]
         return "\n".join(json.dumps(r) for r in [*reports, digest.totals(reports)])
     if args.command == "search":
         return _search(spark, base, args, config)
@@ -129,7 +129,7 @@ def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterabl
         found, held = dupes.groups(members), dupes.summary(docs, members).first()
         if args.json:
             return "".join(render.groups_json(held, found))
-        return f"{render.comma(held.compared)} documents compared, {render.comma(held.duplicated)} in {render.plural(held.groups, 'group', 'groups')}\n{render.table(found.limit(TABLE_ROWS))}"
+        return f"{render.comma(held.compared)} documents compared, {render.comma(held.duplicated)} in {render.plural(held.groups, 'group', 'groups')}\n{render.table(found.limit(TABLE_ROWS))}" + (f"\nand {render.comma(held.groups - TABLE_ROWS)} more; --json lists all" if held.groups > TABLE_ROWS else "")
     if args.command == "stats":
         docs, chunks = _tables(spark, base, args.source)
         if args.sample:
@@ -140,7 +140,7 @@ def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterabl
         kind = parsers.parser_of(manifest.type)
         if kind.links is None:
             raise ValueError(f"sources of type {manifest.type} list no links")
-        shared = durable.Scratch(spark, "links").keep(kind.links(parsers.enumerate_files(spark, args.source, manifest, kind.include)[0]), "links")
+        shared = durable.Scratch(spark, "links").keep(kind.links(parsers.enumerate_files(spark, args.source, manifest, kind.include, config.defaults.workers).filter("error is null")), "links")
         return "".join(render.links_json(shared)) if args.json else "\n".join(render.links_markdown(shared))
     docs, members = _members(spark, base)
     entries = durable.Scratch(spark, "timeline").keep(timeline.entries(docs, members), "entries")

@@ -9,9 +9,10 @@ from typing import Any
 
 import yaml
 
+from . import log
 from .matcher import NOISE, Matcher
 
-SOURCE_FILE, CONFIG_FILE, STORE_FILE = "corpus.yaml", "papyrix.yaml", "manifest.yaml"
+SOURCE_FILE, CONFIG_FILE = "corpus.yaml", "papyrix.yaml"
 
 
 def _strict(cls, data: Any, where: str):
@@ -144,9 +145,9 @@ class StoreManifest:
         kept = [s for s in self.sources if s["name"] != source.name]
         self.sources = sorted([*kept, asdict(source)], key=lambda s: s["name"])
 
-    def version_after(self, name: str) -> int:
-        """The version that a new digest of a source writes."""
-        return 1 + max((s.get("version", 0) for s in self.sources if s["name"] == name), default=0)
+    def version_of(self, name: str) -> int:
+        """The version of a source that counts, or 0."""
+        return max((s.get("version", 0) for s in self.sources if s["name"] == name), default=0)
 
     def sizes(self, source: str | None = None) -> tuple[int, int]:
         """Passages and their tokens, of one source or all: what ranking needs to know of a corpus."""
@@ -170,14 +171,37 @@ class StoreManifest:
         return {s["name"]: s.get("priority", 0) for s in self.sources}
 
 
-def load_store_manifest(base: str) -> StoreManifest:
-    path = os.path.join(base, STORE_FILE)
-    return _strict(StoreManifest, _read(path), path) if os.path.exists(path) else StoreManifest()
-
-
-def save_store_manifest(base: str, manifest: StoreManifest) -> None:
-    os.makedirs(base, exist_ok=True)
-    path = os.path.join(base, STORE_FILE)
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        yaml.safe_dump(asdict(manifest), f, sort_keys=False)
-    os.replace(path + ".tmp", path)
+class Conflict(ValueError):
+    """Another digest of the same source was committed meanwhile."""
+
+
+def load_store_manifest(base: str, at: int | None = None) -> StoreManifest:
+    """The store's last state, or the one numbered ``at``; an empty one if there is none."""
+    held = log.states(base)
+    if at is not None and at not in held:
+        raise ValueError(f"{base} has no state {at}")
+    if not held:
+        return StoreManifest()
+    number = held[-1] if at is None else at
+    return _strict(StoreManifest, yaml.safe_load(log.read(base, number)), f"{base} at {number}")
+
+
+def commit_source(base: str, began: StoreManifest, source: StoredSource) -> StoreManifest:
+    """Put ``source`` into the store's last state, in place of what ``began`` has of it, and return the state written.
+
+    What other digests have committed since ``began`` stays, as the state is read anew until no one else is first. If the same
+    source is among it, or vectors or passages of another kind, nothing is written and this is a Conflict.
+    """
+    entry = lambda m: next((s for s in m.sources if s["name"] == source.name), None)
+    while True:
+        held = log.states(base)
+        now = load_store_manifest(base, held[-1]) if held else StoreManifest()
+        if entry(now) != entry(began):
+            raise Conflict(f"{source.name} was digested by someone else meanwhile")
+        for kind in ("embed", "chunking"):
+            if now.sources and getattr(now, kind) != getattr(began, kind):
+                raise Conflict(f"the store was begun with other settings meanwhile: {kind} {getattr(now, kind)}")
+            setattr(now, kind, getattr(began, kind))
+        now.set_source(source)
+        if log.create(base, (held[-1] if held else 0) + 1, yaml.safe_dump(asdict(now), sort_keys=False)):
+            return now

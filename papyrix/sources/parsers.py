@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..durable import Scratch
 from ..functions import html, text
+from . import files as exports
 from .manifests import SourceManifest
-from .matcher import Matcher
+from .matcher import NOISE, Matcher
 
 #: Larger files are an error of their own, found before their bytes are read.
 LARGEST_FILE = 64 << 20
-#: File names (some hundred bytes each) that are broadcast to the files.
-BROADCAST_NAMES = 100_000
 #: Columns of raw documents.
 RAW = ["file", "native_key", "title", "author", "url", "published", "text"]
 
@@ -33,34 +33,35 @@ class Parser:
     links: Callable[[DataFrame], DataFrame] | None = None
 
 
-FILES = "file string, length long, content binary"
+def enumerate_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...], workers: int = 1) -> DataFrame:
+    """Rows (file, length, content, error) of the files a source holds: included, not excluded, in no excluded folder.
 
-
-def list_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...]) -> DataFrame:
-    """Rows (path, file, length) of the files a source holds: included, not excluded, in no excluded folder. No file is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    root = os.path.abspath(folder) if "://" not in folder else folder
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*(?=/)", ""), "^\\Q" + re.sub("^[a-z]+:/*(?=/)", "", root).rstrip("/") + "\\E/", "")
-    out, wanted = manifest.matcher(), Matcher(manifest.include or list(include))
-    path = F.col("file")
-    files = files.select("path", rel.alias("file"), "length")
-    return files.filter(wanted.file_column(path) & ~out.file_column(path) & ~out.inside_excluded(path) & (text.base_name(path) != "corpus.yaml"))
-
-
-def enumerate_files(spark: SparkSession, folder: str, manifest: SourceManifest, include: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(files, large): rows (file, length, content) of a source's files, and (file, length) of those above the ceiling.
-
-    Paths are listed and filtered first, as the driver holds them for any scan, and only the files that are left are read. A
-    file that vanishes or cannot be read is passed over.
+    Files are listed and read on the executors, once: contents go to the shared folder, so that parsers and reports see the same
+    bytes. A file above LARGEST_FILE is not read, and one that cannot be read costs no other: either has an error instead. A store
+    that only Spark reaches is left to Spark's own reader, whose driver holds the paths.
     """
-    listed = list_files(spark, folder, manifest, include)
-    wanted = {r.path: r.file for r in listed.filter(F.col("length") <= LARGEST_FILE).select("path", "file").toLocalIterator()}
-    large = listed.filter(F.col("length") > LARGEST_FILE).select("file", "length")
-    if not wanted:
-        return spark.createDataFrame([], FILES), large
-    read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in sorted(wanted)])
-    names = listed.select("path", "file")
-    return read.join(F.broadcast(names) if len(wanted) <= BROADCAST_NAMES else names, "path").select("file", "length", "content"), large
+    scratch, wanted = Scratch(spark, "files"), list(manifest.include or include)
+    if not exports.reachable(folder):
+        return scratch.keep(_through_spark(spark, folder, manifest, wanted), "contents")
+    listed = scratch.keep(exports.listing(spark, folder, [*manifest.exclude, *NOISE], wanted), "listing")
+    return scratch.keep(exports.contents(listed, folder, LARGEST_FILE, workers), "contents")
+
+
+def _through_spark(spark: SparkSession, folder: str, manifest: SourceManifest, wanted: list[str]) -> DataFrame:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    bare = lambda p: F.regexp_replace(p, "^[a-z0-9]+:/*(?=/)", "")
+    root = re.sub("^[a-z0-9]+:/*(?=/)", "", folder).rstrip("/")
+    rel = F.regexp_replace(bare(F.col("path")), "^\\Q" + root + "\\E/", "")
+    out, some, path = manifest.matcher(), Matcher(wanted), F.col("file")
+    listed = listed.select("path", rel.alias("file"), "length").filter(some.file_column(path) & ~out.file_column(path) & ~out.inside_excluded(path) & (path != exports.SETTINGS))
+    paths = [r.path for r in listed.filter(F.col("length") <= LARGEST_FILE).select("path").toLocalIterator()]
+    if not paths:
+        read = spark.createDataFrame([], "path string, content binary")
+    else:
+        escaped = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in sorted(paths)]
+        read = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(escaped).select("path", "content")
+    why = F.when(F.col("length") > LARGEST_FILE, F.concat("file", F.lit(" is too large"))).when(F.col("content").isNull(), F.concat("file", F.lit(" cannot be read")))
+    return listed.join(read, "path", "left").select("file", "length", "content", why.alias("error"))
 
 
 def _utf8(content: Column) -> Column:
@@ -183,7 +184,10 @@ def parse_newsletter(spark, folder, files: DataFrame, manifest) -> DataFrame:
     return got.select("file", F.col("post_id").alias("native_key"), F.coalesce(F.nullif(F.col("m.title"), F.lit("")), slug).alias("title"), none.alias("author"), none.alias("url"), text.strict_timestamp(F.col("m.post_date")).alias("published"), whole.alias("text"), error.alias("error"))
 
 
+#: Columns of a book library's table.
 REVIEW_COLUMNS = ["Book Id", "Title", "Author", "My Rating", "My Review", "Date Read"]
+#: Fixed value: the date of a review without one.
+UNDATED_REVIEW = "2012-01-01"
 _REVIEWS = "file string, book string, title string, author string, rating string, review string, read string, error string"
 
 
@@ -211,11 +215,11 @@ def parse_reviews(spark, folder, files: DataFrame, manifest) -> DataFrame:
     own; undated reviews count as 2012-01-01."""
     rows = files.select("file", "content").mapInPandas(_reviews, _REVIEWS)
     page, none = page_struct(F.col("review")), F.lit(None).cast("string")
-    read = F.coalesce(text.strict_timestamp(F.col("read")), F.lit("2012-01-01").cast("timestamp"))
+    read = F.coalesce(text.strict_timestamp(F.col("read")), F.lit(UNDATED_REVIEW).cast("timestamp"))
     return rows.select("file", F.col("book").alias("native_key"), text.review_title(F.col("title"), F.col("author"), F.col("rating")).alias("title"), none.alias("author"), none.alias("url"), read.alias("published"), page["text"].alias("text"), "error")
 
 
-#: Source types by name.
+#: Source types by name, and the files that each reads.
 PARSERS: dict[str, Parser] = {
     "text": Parser(("*.txt", "*.md", "*.markdown"), parse_text),
     "html": Parser(("*.html", "*.htm", "*.xhtml"), parse_html),
@@ -236,12 +240,12 @@ def parser_of(kind: str) -> Parser:
     return PARSERS[kind]
 
 
-def parse_source(spark: SparkSession, folder: str, manifest: SourceManifest) -> tuple[DataFrame, DataFrame]:
-    """Raw documents (RAW columns and error) of a source, and its files (file, length, too_large). A file above the ceiling is
-    not read and gives an error of its own."""
+def parse_source(spark: SparkSession, folder: str, manifest: SourceManifest, workers: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Raw documents (RAW columns and error) of a source, and its files (file, length, too_large). A file that was not read, being
+    above the ceiling or unreadable, gives an error of its own."""
     parser = parser_of(manifest.type)
-    found, large = enumerate_files(spark, folder, manifest, parser.include)
-    files = found.select("file", "length", F.lit(False).alias("too_large")).unionByName(large.withColumn("too_large", F.lit(True)))
+    found = enumerate_files(spark, folder, manifest, parser.include, workers)
     none = F.lit(None).cast("string")
-    lost = large.select("file", none.alias("native_key"), none.alias("title"), none.alias("author"), none.alias("url"), F.lit(None).cast("timestamp").alias("published"), none.alias("text"), F.concat(F.lit(f"{manifest.type}: "), "file", F.lit(" is too large")).alias("error"))
-    return parser.parse(spark, folder, found, manifest).unionByName(lost), files
+    lost = found.filter("error is not null").select("file", none.alias("native_key"), none.alias("title"), none.alias("author"), none.alias("url"), F.lit(None).cast("timestamp").alias("published"), none.alias("text"), F.concat(F.lit(f"{manifest.type}: "), "error").alias("error"))
+    read = found.filter("error is null").select("file", "length", "content")
+    return parser.parse(spark, folder, read, manifest).unionByName(lost), found.select("file", "length", (F.col("length") > LARGEST_FILE).alias("too_large"))

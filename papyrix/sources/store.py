@@ -1,7 +1,7 @@
 """The digested store: Parquet tables by source and version, and the vector file for interchange.
 
-A digest writes a new version of a source's tables, and the store's manifest, which is replaced in one step, says which version
-counts. So a reader never sees half a source, and a digest that dies leaves the one before.
+A digest claims a new version of a source, writes its tables, and commits a state of the store's log that names the version. So a
+reader never sees half a source, a digest that dies leaves the one before, and digests at once do not write to one place.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import durable
-from . import manifests
+from . import log, manifests
 
 TABLES = ("documents", "chunks", "vectors", "postings", "terms")
 #: How rows are ordered within files, so that a reader of few keys passes over row groups.
@@ -41,10 +41,20 @@ def write(spark: SparkSession, base: str, source: str, version: int, **tables: D
     return out
 
 
-def read(spark: SparkSession, base: str, name: str, source: str | None = None) -> DataFrame | None:
-    """A table of the store, of one source (its files alone are read) or all; None if there is none. Tables that the manifest
-    names and that cannot be read are an error."""
-    held = manifests.load_store_manifest(base).sources
+def claim(spark: SparkSession, base: str, source: str, after: int) -> int:
+    """A version of ``source`` above ``after`` that no other digest has claimed: its folder is made by one of them only."""
+    fs, folder = durable.file_system(spark, f"{base.rstrip('/')}/documents/source={source}")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    version = max([after, *(int(n.split("=")[1]) for n in names if n.startswith("version="))]) + 1
+    while not log.create(f"{base.rstrip('/')}/{log.FOLDER}/claims/{source}", version, ""):
+        version += 1
+    return version
+
+
+def read(spark: SparkSession, base: str, name: str, source: str | None = None, at: int | None = None) -> DataFrame | None:
+    """A table of the store, of one source (its files alone are read) or all, in its last state or the one numbered ``at``; None if
+    there is none. Tables that the state names and that cannot be read are an error."""
+    held = manifests.load_store_manifest(base, at).sources
     paths = [path(base, name, s["name"], s["version"]) for s in held if source is None or s["name"] == source]
     if not paths:
         return None
@@ -52,12 +62,13 @@ def read(spark: SparkSession, base: str, name: str, source: str | None = None) -
 
 
 def remove_older(spark: SparkSession, base: str, source: str, version: int) -> None:
-    """Delete the versions of a source that no longer count."""
+    """Delete the versions of a source before ``version``; later ones may be being written. States that name them cannot be read then."""
     for name in TABLES:
         fs, folder = durable.file_system(spark, f"{base.rstrip('/')}/{name}/source={source}")
         if fs.exists(folder):
             for status in fs.listStatus(folder):
-                if status.getPath().getName() != f"version={version}":
+                folder_name = status.getPath().getName()
+                if folder_name.startswith("version=") and int(folder_name.split("=")[1]) < version:
                     fs.delete(status.getPath(), True)
 
 

@@ -9,6 +9,7 @@ import pytest
 
 from papyrix.operators import digest
 from papyrix.plans import cli, serve
+from papyrix.sources import files as exports
 from papyrix.sources import manifests, parsers, store
 from papyrix.streaming import incremental
 
@@ -87,6 +88,106 @@ def test_one_bad_file_costs_no_other(spark, tmp_path, monkeypatch):
     assert files.count() == 5 and files.filter("too_large").count() == 1
 
 
+def test_an_unreadable_file_is_reported_and_excluded_folders_are_not_listed(spark, tmp_path, monkeypatch):
+    root = tmp_path / "notes"
+    for d in ("a/b/c", "drafts/deep", ".git/x", "a/drafts"):
+        os.makedirs(root / d)
+    manifests.write_source_starter(str(root), "notes", "text")
+    for n in ("top.md", "a/one.txt", "a/b/c/deep.md", "drafts/deep/no.md", ".git/x/no.md", "a/drafts/no.md", "a/no.png", "a/corpus.yaml.txt"):
+        (root / n).write_text(f"text of {n}")
+    os.symlink(root / "nowhere", root / "a/gone.md")
+    os.symlink(root / "a", root / "a/b/loop.md")  # a folder's link is a file that cannot be read
+    (root / "big.md").write_text("x" * 500)
+    monkeypatch.setattr(parsers, "LARGEST_FILE", 200)
+    manifest = manifests.load_source(str(root), parsers.types())
+    manifest.exclude = ["drafts/"]
+    want = {"top.md", "a/one.txt", "a/b/c/deep.md", "a/corpus.yaml.txt", "a/gone.md", "a/b/loop.md", "big.md"}
+    for planned in (1, 2, 256):  # folders that the driver plans, the rest walked by tasks
+        monkeypatch.setattr(exports, "PLANNED", planned)
+        reader = exports.FolderReader({"path": str(root), "exclude": json.dumps([*manifest.exclude, *manifests.NOISE]), "include": '["*.md", "*.txt"]'})
+        parts = reader.partitions()
+        listed = []
+        monkeypatch.setattr(exports.FolderReader, "_list", (lambda f: lambda self, fs, base, rel: (listed.append(rel), f(self, fs, base, rel))[1])(exports.FolderReader._list))
+        assert {name for p in parts for name, _ in reader.read(p)} == want and len(parts) == {1: 2, 2: 3, 256: 4}[planned]
+        assert sorted(listed) == ["", "a", "a/b", "a/b/c"]
+        monkeypatch.undo()
+        monkeypatch.setattr(parsers, "LARGEST_FILE", 200)
+    raw, files = parsers.parse_source(spark, f"file://{root}", manifest, workers=3)
+    got = raw.collect()
+    assert {r.file for r in got if r.error is None} == want - {"a/gone.md", "a/b/loop.md", "big.md"}
+    assert sorted(r.error for r in got if r.error) == ["text: a/b/loop.md cannot be read: OSError", "text: a/gone.md cannot be read: No such file or directory", "text: big.md is too large"]
+    assert {r.file for r in files.collect()} == want
+    plain = tmp_path / "plain"  # without links, which Spark's own reader follows without end
+    os.makedirs(plain / "drafts")
+    for n in ("x [1].md", "drafts/y.md", "corpus.yaml", "z.txt"):
+        (plain / n).write_text("text")
+    (plain / "big.md").write_text("x" * 500)
+    through_spark = parsers._through_spark(spark, f"file://{plain}", manifest, ["*.md"]).collect()
+    assert {(r.file, r.error) for r in through_spark} == {("x [1].md", None), ("big.md", "big.md is too large")}
+    report = digest.digest_source(spark, str(root), str(tmp_path / "store"))
+    assert (report["n_errors"], report["walked"], report["too_large"]) == (3, 9, 1)  # the folder's own rules: drafts are read
+
+
+def test_digests_at_once_do_not_lose_each_other(spark, sources):
+    """Two sources committed from one state both stay, one source twice is a conflict, and states before can be read."""
+    base = f"file://{sources}/digested"
+    claimed = [store.claim(spark, base, "notes", 0) for _ in range(3)]
+    assert claimed == [1, 2, 3]
+    failures = []
+
+    def one(name):
+        try:
+            digest.digest_source(spark, str(sources / name), base, keep=True)
+        except Exception as e:  # noqa: BLE001
+            failures.append(e)
+
+    threads = [threading.Thread(target=one, args=(n,)) for n in ("notes", "posts")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    held = manifests.load_store_manifest(base)
+    assert not failures and {s["name"]: s["version"] for s in held.sources} == {"notes": 4, "posts": 1}
+    before = manifests.log.states(base)
+    (sources / "notes/b.md").write_text("another note")
+    digest.digest_source(spark, str(sources / "notes"), base, keep=True)
+    assert store.read(spark, base, "documents").count() == 3 and store.read(spark, base, "documents", at=before[-1]).count() == 2
+    mine = manifests.StoredSource("notes", "text", version=9)
+    with pytest.raises(manifests.Conflict, match="meanwhile"):
+        manifests.commit_source(base, held, mine)  # from a state that another digest of it has replaced
+    now = manifests.load_store_manifest(base)
+    with pytest.raises(manifests.Conflict, match="settings"):
+        manifests.commit_source(base, manifests.StoreManifest(embed={"model": "other"}, chunking=now.chunking), manifests.StoredSource("new", "text"))
+    assert manifests.load_store_manifest(base) == now and manifests.log.states(base) == [1, 2, 3]
+    with pytest.raises(ValueError, match="no state 7"):
+        manifests.load_store_manifest(base, 7)
+
+
+@pytest.mark.parametrize("through_hadoop", [False, True])
+def test_a_state_is_created_once(spark, tmp_path, monkeypatch, through_hadoop):
+    if through_hadoop:
+        monkeypatch.setattr(manifests.log, "_local", lambda base: None)
+    base = f"file://{tmp_path}/store"
+    assert manifests.log.states(base) == [] and manifests.load_store_manifest(base).sources == []
+    assert manifests.log.create(base, 1, "first ü") and not manifests.log.create(base, 1, "second")
+    assert manifests.log.read(base, 1) == "first ü" and manifests.log.states(base) == [1]
+    assert [n for n in os.listdir(tmp_path / "store/_log") if not n.endswith(".crc")] == ["00000000000000000001.yaml"]
+    tries = []
+    create = manifests.log.create
+
+    def beaten(at, number, content):
+        """Someone else is first at the first try."""
+        tries.append(number)
+        if len(tries) == 1:
+            create(at, number, "sources: [{name: other, version: 1}]")
+        return create(at, number, content)
+
+    monkeypatch.setattr(manifests.log, "create", beaten)
+    other = f"file://{tmp_path}/beaten"
+    manifests.commit_source(other, manifests.StoreManifest(), manifests.StoredSource("mine", "text", version=1))
+    assert tries == [1, 2] and [s["name"] for s in manifests.load_store_manifest(other).sources] == ["mine", "other"]
+
+
 def test_a_failed_digest_leaves_the_store(spark, sources, monkeypatch):
     base = str(sources / "digested")
     digest.digest_source(spark, str(sources / "notes"), base)
