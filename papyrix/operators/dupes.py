@@ -44,7 +44,8 @@ def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = T
     """``pairs`` of a stored ``shingle_table``. Exact.
 
     A pair must share one of the first n - least_overlap(n) + 1 shingles of either side in any fixed order. They are taken rarest first, by how many documents hold them, so common phrases come last, and those of one document alone take
-    up places and join with nothing. A document is met in its bucket of ``window`` days and waits in that and the next one.
+    up places and join with nothing. A document is met in its bucket of ``window`` days and waits in that and the next one. Pairs
+    that by the places of what they share cannot reach the threshold are passed over before their sets are compared.
     """
     sets = stored.filter("day is not null and size > 0")
     held = sets.select("id", "size", F.explode("h").alias("k"))
@@ -55,17 +56,21 @@ def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = T
     all_of = Window.partitionBy("id")
     place = F.col("size") - F.count("*").over(all_of) + F.row_number().over(by)
     prefix = F.col("size") - least_overlap(F.col("size"), threshold) + 1
-    keys = common.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "k")
+    keys = common.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "k", "place")
     keys = keys.join(sets.select("id", "source", "day", "size"), "id")
     width = max(window, 1)
     bucket = F.floor(F.col("day") / width)
-    late = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), F.col("day").alias("db"), "k", bucket.alias("bucket"))
+    late = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), F.col("day").alias("db"), F.col("place").alias("pb"), "k", bucket.alias("bucket"))
     waits = F.array(bucket, bucket + 1) if window else F.array(bucket)
-    early = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), F.col("day").alias("da"), "k", F.explode(waits).alias("bucket"))
+    early = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), F.col("day").alias("da"), F.col("place").alias("pa"), "k", F.explode(waits).alias("bucket"))
     near = early.join(late, ["bucket", "k"]).filter((F.col("sa") != F.col("sb")) & (F.col("db") - F.col("da")).between(0, window) & (F.least("na", "nb") / F.greatest("na", "nb") >= threshold))
     first = F.col("sa") < F.col("sb")
-    met = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-    return similarity(met, sets).filter(F.col("score") >= threshold)
+    turned = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    met = near.select(turned("a", "b").alias("a"), turned("b", "a").alias("b"), turned("na", "nb").alias("na"), turned("nb", "na").alias("nb"), turned("pa", "pb").alias("pa"), turned("pb", "pa").alias("pb"))
+    # Of what two sets share, the met part stands up to its last places, and no more than what is left on either side can follow.
+    met = met.groupBy("a", "b", "na", "nb").agg((F.countDistinct("pa") + F.least(F.col("na") - F.max("pa"), F.col("nb") - F.max("pb"))).alias("most"))
+    met = met.filter(F.col("most") / (F.col("na") + F.col("nb") - F.col("most")) >= threshold)
+    return similarity(met.select("a", "b"), sets).filter(F.col("score") >= threshold)
 
 
 def similarity(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,28 +102,50 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = after.select("id", "root")
 
 
+def _roots(stored: DataFrame, window: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(id, root) of every document of a stored ``shingle_table`` that has a partner; the root is its component's smallest id.
+
+    Documents of one source, day and set have the same partners, so one of them stands for all: copies in any number are as
+    many rows as they have sources and days.
+    """
+    alike = ["source", "day", "one", "two"]
+    keyed = stored.filter("day is not null and size > 0").select("id", "source", "day", F.xxhash64("h").alias("one"), F.xxhash64(F.lit(1), F.col("h")).alias("two"))
+    keyed = keyed.join(keyed.groupBy(*alike).agg(F.min("id").alias("stands")), alike).select("id", "stands")
+    keyed = scratch.keep(keyed, "alike")
+    standing = stored.join(keyed.filter("id = stands").select("id"), "id", "left_semi")
+    roots = components(set_pairs(standing, window, threshold), scratch)
+    return keyed.join(roots.withColumnRenamed("id", "stands"), "stands").select("id", "root")
+
+
 def members(documents: DataFrame, priorities: DataFrame | None = None, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """Members of all duplicate groups: group_id, id, source, priority, winner, score, published, words, title.
+    """Members of all duplicate groups, stored: group_id, id, source, priority, winner, score, published, words, title, winner_id.
 
     The winner has the highest priority, then the least source, then the least id. A member's score is its similarity to
-    the winner, also where only a third document linked them.
+    the winner, also where only a third document linked them. Winners are found by partial aggregates and joined to their
+    groups, so a group of any size is dealt over tasks.
     """
     check_options(window, threshold)
     scratch = Scratch(documents.sparkSession, "dupes")
     stored = scratch.keep(shingle_table(documents), "sets")
-    roots = components(set_pairs(stored, window, threshold), scratch)
+    roots = scratch.keep(_roots(stored, window, threshold, scratch), "roots")
     rows = documents.select("id", "source", "published", "words", "title").join(roots, "id")
     if priorities is not None:
         rows = rows.join(priorities.select("source", "priority"), "source", "left")
     else:
         rows = rows.withColumn("priority", F.lit(0))
-    rows = rows.withColumn("priority", F.coalesce("priority", F.lit(0)))
-    first = Window.partitionBy("root").orderBy(F.col("priority").desc(), "source", "id")
-    rows = rows.withColumn("winner_id", F.first("id").over(first))
+    rows = scratch.keep(rows.withColumn("priority", F.coalesce("priority", F.lit(0))), "rows")
+    rows = with_winners(rows)
     sets = stored.select("id", "h").join(roots.select("id"), "id", "left_semi")
     scores = similarity(rows.filter("id <> winner_id").select(F.col("winner_id").alias("a"), F.col("id").alias("b")), sets).select(F.col("b").alias("id"), "score")
     rows = rows.join(scores, "id", "left")
-    return rows.select(F.col("root").alias("group_id"), "id", "source", "priority", (F.col("id") == F.col("winner_id")).alias("winner"), F.when(F.col("id") == F.col("winner_id"), 1.0).otherwise(F.col("score")).alias("score"), "published", "words", "title", "winner_id")
+    made = rows.select(F.col("root").alias("group_id"), "id", "source", "priority", (F.col("id") == F.col("winner_id")).alias("winner"), F.when(F.col("id") == F.col("winner_id"), 1.0).otherwise(F.col("score")).alias("score"), "published", "words", "title", "winner_id")
+    return scratch.keep(made, "members")
+
+
+def with_winners(rows: DataFrame) -> DataFrame:
+    """``rows`` (root, id, source, priority) with the winner_id of their root."""
+    best = rows.groupBy("root").agg(F.min_by("id", F.struct(-F.col("priority"), "source", "id")).alias("winner_id"))
+    return rows.join(best, "root")
 
 
 def groups(member_rows: DataFrame) -> DataFrame:

@@ -9,14 +9,32 @@ from ..functions import text
 
 
 def entries(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """Documents that are no folded copy, each with its copies (best score first, then source and id)."""
-    copies = members.filter("not winner").select(F.col("id").alias("copy_id"), "winner_id", "source", "score", "title", "published")
-    url = documents.select(F.col("id").alias("copy_id"), "url")
-    folded = copies.join(url, "copy_id").groupBy("winner_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "source", F.col("copy_id").alias("id"), "title", "url", "published"))).alias("c"))
-    folded = folded.select(F.col("winner_id").alias("id"), F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["source"].alias("source"), x["title"].alias("title"), x["url"].alias("url"), x["published"].alias("published"), (-x["order"]).alias("score"))).alias("copies"))
-    kept = documents.join(copies.select(F.col("copy_id").alias("id")), "id", "left_anti").join(folded, "id", "left")
-    none = F.array().cast(folded.schema["copies"].dataType)
-    return kept.select("id", "source", F.col("source_type").alias("type"), "title", "url", "published", "words", "text", text.length_class(F.col("words")).alias("length"), "quote", F.coalesce("copies", none).alias("copies"))
+    """Documents that are no folded copy, each with the number of its copies. ``members`` is a stored table."""
+    lost = members.filter("not winner")
+    folded = lost.groupBy(F.col("winner_id").alias("id")).agg(F.count("*").alias("copies"))
+    kept = documents.join(lost.select("id"), "id", "left_anti").join(folded, "id", "left")
+    return kept.select("id", "source", F.col("source_type").alias("type"), "title", "url", "published", "words", "text", text.length_class(F.col("words")).alias("length"), "quote", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
+def copies(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """The folded copies, a row each: winner_id, id, source, title, url, published, score."""
+    lost = members.filter("not winner").select("id", "winner_id", "score")
+    return lost.join(documents.select("id", "source", "title", "url", "published"), "id").select("winner_id", "id", "source", "title", "url", "published", "score")
+
+
+def lines(rows: DataFrame, folded: DataFrame, entry, copy, undated_last: bool = True) -> DataFrame:
+    """Entries and their copies in the order of a timeline, each copy below its entry, best score first, then by source and id:
+    (kind, published, body), kind being ``entry`` or ``copy``, published the entry's, and body the column given for either.
+
+    One sort of all rows: an entry with any number of copies is spread over ranges like the rest.
+    """
+    head = [F.col("published").alias("at"), F.col("source").alias("of"), F.col("id").alias("entry_id")]
+    none = F.lit(None).cast("double")
+    mine = rows.select(*head, F.lit("entry").alias("kind"), none.alias("less"), F.lit("").alias("source"), F.lit("").alias("id"), entry.alias("body"))
+    theirs = folded.select(F.col("winner_id").alias("entry_id"), (-F.col("score")).alias("less"), "source", "id", copy.alias("body")).join(rows.select(*head), "entry_id")
+    every = mine.unionByName(theirs.withColumn("kind", F.lit("copy")).select(*mine.columns))
+    when = F.col("at").desc_nulls_last() if undated_last else F.col("at").desc_nulls_first()
+    return every.orderBy(when, "of", "entry_id", F.col("kind").desc(), "less", "source", "id").select("kind", F.col("at").alias("published"), "body")
 
 
 def newest_first(rows: DataFrame) -> DataFrame:
@@ -30,7 +48,7 @@ def counts_by_source(rows: DataFrame) -> DataFrame:
 
 def counts(rows: DataFrame) -> DataFrame:
     """Entries by length and quote, and copies folded away, in one row."""
-    return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.size("copies")), F.lit(0)).alias("folded"), *[F.count_if(F.col("length") == n).alias(n) for n in ("short", "medium", "long")], F.count_if("quote").alias("quotes"))
+    return rows.agg(F.count("*").alias("entries"), F.coalesce(F.sum("copies"), F.lit(0)).alias("folded"), *[F.count_if(F.col("length") == n).alias(n) for n in ("short", "medium", "long")], F.count_if("quote").alias("quotes"))
 
 
 def months(rows: DataFrame) -> DataFrame:

@@ -125,7 +125,6 @@ def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterabl
         docs, members = _members(spark, base, args.window, args.threshold)
         if docs.select("source").distinct().count() < 2:
             raise ValueError("duplicates are looked for between two sources or more")
-        members = durable.Scratch(spark, "members").keep(members, "members")
         found, held = dupes.groups(members), dupes.summary(docs, members).first()
         if args.json:
             return "".join(render.groups_json(held, found))
@@ -143,13 +142,14 @@ def command(argv: list[str], spark: SparkSession | None = None) -> str | Iterabl
         shared = durable.Scratch(spark, "links").keep(kind.links(parsers.enumerate_files(spark, args.source, manifest, kind.include, config.defaults.workers).filter("error is null")), "links")
         return "".join(render.links_json(shared)) if args.json else "\n".join(render.links_markdown(shared))
     docs, members = _members(spark, base)
-    entries = durable.Scratch(spark, "timeline").keep(timeline.entries(docs, members), "entries")
+    scratch = durable.Scratch(spark, "timeline")
+    entries, copies = scratch.keep(timeline.entries(docs, members), "entries"), scratch.keep(timeline.copies(docs, members), "copies")
     if args.command == "serve":
-        for name, lines in (("json", render.timeline_json(entries)), ("html", render.timeline_html(entries))):
+        for name, lines in (("json", render.timeline_json(entries, copies)), ("html", render.timeline_html(entries, copies))):
             with open(f"{base}/timeline.{name}", "w", encoding="utf-8") as f:
                 f.writelines(lines)
         serve.server(f"{base}/timeline.json", f"{base}/timeline.html", args.port).serve_forever()
-    lines = render.timeline_json(entries) if args.format == "json" else render.timeline_html(entries)
+    lines = render.timeline_json(entries, copies) if args.format == "json" else render.timeline_html(entries, copies)
     if args.out:
         with open(args.out, "w", encoding="utf-8") as f:
             f.writelines(lines)

@@ -231,7 +231,7 @@ def _entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def timeline_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return _entries(spark, sf).select("id", "source", F.col("words").cast("long").alias("words"), "length", F.size("copies").cast("long").alias("copies"))
+    return _entries(spark, sf).select("id", "source", F.col("words").cast("long").alias("words"), "length", F.col("copies").cast("long").alias("copies"))
 
 
 def timeline_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -386,7 +386,7 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def viewer_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus(spark, sf).withColumn("length", text.length_class(F.col("words"))).withColumn("copies", F.array())
+    rows = corpus(spark, sf).withColumn("length", text.length_class(F.col("words"))).withColumn("copies", F.lit(0))
     return timeline.filtered(rows, sources=["src1", "src2", "src3"], lengths=["short", "medium"], query="THE ").select("id", "source", "length")
 
 

@@ -6,6 +6,7 @@ import html
 import json
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +51,55 @@ def search_table(rows: DataFrame) -> str:
     return "\n".join(f"{r.place:>3} {bar(r.score, top)} [{r.source}] {r.title or r.file}\n      {r.snippet}" for r in got)
 
 
-def timeline_json(entries: DataFrame) -> Iterable[str]:
-    """The timeline as JSON, an entry a line, without gathering it: counts, sources, then entries newest first."""
+#: Characters of output that one row carries to the driver, about.
+CHUNK = 1 << 20
+_CHUNKS = "first_kind string, first_at timestamp, last_kind string, last_at timestamp, text string"
+
+
+def _stitch(seam):
+    """Rows (kind, published, body) in order to chunks of text, with ``seam`` between two rows; ends are left to who joins chunks."""
+
+    def run(frames):
+        for frame in frames:
+            first, last, held, size = None, None, [], 0
+            for kind, at, body in zip(frame["kind"], frame["published"], frame["body"]):
+                now = (kind, None if pd.isna(at) else at)
+                held += [seam(last, now), body] if last else [body]
+                first, last, size = first or now, now, size + len(body)
+                if size >= CHUNK:
+                    yield pd.DataFrame([[*first, *last, "".join(held)]], columns=["first_kind", "first_at", "last_kind", "last_at", "text"])
+                    first, last, held, size = None, None, [], 0
+            if held:
+                yield pd.DataFrame([[*first, *last, "".join(held)]], columns=["first_kind", "first_at", "last_kind", "last_at", "text"])
+
+    return run
+
+
+def _stitched(lines: DataFrame, seam) -> Iterable[str]:
+    """The text of ordered ``lines``. Tasks render and join their ranges; the driver passes on chunks of text, one range at a time, and
+    puts the seams between them."""
+    last = None
+    for r in lines.mapInPandas(_stitch(seam), _CHUNKS).toLocalIterator():
+        yield seam(last, (r.first_kind, r.first_at)) + r.text
+        last = (r.last_kind, r.last_at)
+    yield seam(last, None)
+
+
+def _json_seam(last, now) -> str:
+    if last is None:
+        return ""
+    if now is None:
+        return "]}"
+    return "]},\n" if now[0] == "entry" else ", " if last[0] == "copy" else ""
+
+
+def timeline_json(entries: DataFrame, copies: DataFrame) -> Iterable[str]:
+    """The timeline as JSON, an entry a line, without gathering it: counts, sources, then entries newest first, each with its copies."""
     counts = line_ops.counts(entries).first().asDict()
     sources = [r.asDict() for r in line_ops.counts_by_source(entries).collect()]  # a row a source
     yield json.dumps({"counts": counts | {"documents": counts["entries"] + counts["folded"]}, "sources": sources}, ensure_ascii=False)[:-1] + ', "entries": ['
-    first = True
-    for r in line_ops.newest_first(entries).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
-        yield ("\n" if first else ",\n") + r.j
-        first = False
+    open_entry = F.concat(F.regexp_replace(F.to_json(F.struct(*[c for c in entries.columns if c != "copies"])), r"\}$", ""), F.lit(', "copies": ['))
+    yield from _stitched(line_ops.lines(entries, copies, open_entry, F.to_json(F.struct(*[c for c in copies.columns if c != "winner_id"]))), _json_seam)
     yield "]}"
 
 
@@ -69,26 +110,39 @@ def _filters(sources: list[dict]) -> str:
     return f"<style>{style}</style>" + "".join(f"<input type=checkbox checked id={box}><label for={box}>{html.escape(name)}</label>" for box, name, _ in boxes)
 
 
-def timeline_html(entries: DataFrame, title: str = "Writing") -> Iterable[str]:
+def _html_seam(last, now) -> str:
+    """Ends of the row before, and the year and month where they change; undated entries come first."""
+    out = "" if last is None else "</p></article>" if last[0] == "copy" else "</article>"
+    if now is None:
+        return out
+    if now[0] == "copy":
+        return ", " if last and last[0] == "copy" else "<p class=copies>also in "
+    month = lambda at: (at.year, at.month) if at is not None else ("Undated", None)
+    (y, m), (last_y, last_m) = month(now[1]), month(last[1]) if last else (None, None)
+    if y != last_y:
+        out += f"<h2>{y}</h2>"
+    return out + (f"<h3>{now[1]:%B}</h3>" if m and (y, m) != (last_y, last_m) else "")
+
+
+def _escaped(column) -> F.Column:
+    """Text for HTML: the five characters that markup uses."""
+    out = F.coalesce(column, F.lit(""))
+    for raw, sign in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(raw), F.lit(sign))
+    return out
+
+
+def timeline_html(entries: DataFrame, copies: DataFrame, title: str = "Writing") -> Iterable[str]:
     """A page on its own: undated entries first, then years and months, newest first; sources, lengths and quotations are
     filtered by style alone."""
     sources = [r.asDict() for r in line_ops.counts_by_source(entries).collect()]  # a row a source
     counts = line_ops.counts(entries).first()
-    place = {r["source"]: f"s{i}" for i, r in enumerate(sources)}
-    rows = entries.withColumn("preview", text.preview(F.col("text"))).orderBy(F.col("published").desc_nulls_first(), "source", "id")
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(sources) for x in (r["source"], f"s{i}")]) if sources else F.create_map(F.lit(""), F.lit(""))
     yield f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><style>body{{font:16px serif;max-width:40em;margin:auto}}.copies{{color:#666}}</style><h1>{html.escape(title)}</h1>"
     yield f"<p>{plural(counts.entries, 'entry', 'entries')}, {plural(counts.folded, 'copy', 'copies')} folded away</p>{_filters(sources)}<main>"
-    year = month = None
-    for r in rows.toLocalIterator():
-        y, m = (r.published.year, r.published.month) if r.published else ("Undated", None)
-        if y != year:
-            yield f"<h2>{y}</h2>"
-            year, month = y, None
-        if m != month and m:
-            yield f"<h3>{r.published:%B}</h3>"
-        month = m
-        copies = ", ".join(html.escape(c.source) for c in r.copies)
-        yield f"<article class='{place[r.source]} {html.escape(r.length)} {'quote' if r.quote else 'plain'}'><h4>{html.escape(r.title or '')}</h4><p>{html.escape(r.preview)}</p>" + (f"<p class=copies>also in {copies}</p>" if copies else "") + "</article>"
+    classes = F.concat_ws(" ", place[F.col("source")], "length", F.when(F.col("quote"), "quote").otherwise("plain"))
+    entry = F.concat(F.lit("<article class='"), classes, F.lit("'><h4>"), _escaped(F.col("title")), F.lit("</h4><p>"), _escaped(text.preview(F.col("text"))), F.lit("</p>"))
+    yield from _stitched(line_ops.lines(entries, copies, entry, _escaped(F.col("source")), undated_last=False), _html_seam)
     yield "</main>"
 
 

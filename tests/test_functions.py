@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 
 from papyrix import durable
 from papyrix.functions import chunk, html, quote, text
-from papyrix.operators import digest, dupes, fusion, lexical, stats, vector
+from papyrix.operators import digest, dupes, fusion, lexical, stats, timeline, vector
+from papyrix.plans import render
 from papyrix.sources import parsers, store
 from papyrix.sources.matcher import NOISE, Matcher
 
@@ -303,3 +306,56 @@ def test_pairs_at_the_very_threshold(spark, size, both):
     rows = [("a", "s0", " ".join(words)), ("b", "s1", " ".join(words[: both + 4]))]
     docs = spark.createDataFrame(rows, "id string, source string, text string").withColumn("published", F.timestamp_seconds(F.lit(0)))
     assert [r.score for r in dupes.pairs(docs, 2, both / size).collect()] == [both / size]
+
+
+def test_a_group_of_many_copies(spark):
+    """One group of 100,000: winner by priority, source and id; copies as ordered rows, no row or task with all of them."""
+    n = 100_000
+    docs = spark.range(n).select(F.format_string("d%06d", "id").alias("id"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.lit("text").alias("source_type"), F.lit("t <b>").alias("title"), F.lit("").alias("url"), F.timestamp_seconds(F.col("id") * 0).alias("published"), F.lit(3).alias("words"), F.lit("a b c").alias("text"), F.lit(False).alias("quote"))
+    rows = docs.select(F.lit("d000000").alias("root"), "id", "source", "published", "words", "title", F.when(F.col("source") == "s2", 5).otherwise(1).alias("priority"))
+    held = dupes.with_winners(rows)
+    assert {r.winner_id for r in held.select("winner_id").distinct().collect()} == {"d000002"}
+    members = held.select("id", "winner_id", "source", "title", "published", (F.col("id") == F.col("winner_id")).alias("winner"), ((F.hash("id") % 7) / 7).alias("score"))
+    members = durable.Scratch(spark, "test").keep(members, "members")
+    entries, copies = timeline.entries(docs, members), timeline.copies(docs, members)
+    assert [(r.id, r.copies) for r in entries.collect()] == [("d000002", n - 1)]
+    page = json.loads("".join(render.timeline_json(entries, copies)))
+    assert page["counts"]["folded"] == n - 1 and len(page["entries"]) == 1
+    told = [(-c["score"], c["source"], c["id"]) for c in page["entries"][0]["copies"]]
+    assert len(told) == n - 1 and told == sorted(told)
+
+
+def test_exports_join_ranges(spark, monkeypatch):
+    """Entries and copies over many small chunks: the same text as by hand, JSON and HTML."""
+    monkeypatch.setattr(render, "CHUNK", 40)
+    rows = [(f"d{i:02d}", f"s{i % 3}", "text", f"T{i} & <x>", "", None if i % 5 == 0 else f"20{10 + i % 4}-0{1 + i % 3}-02 03:04:05", 300 * (i % 4), f"body '{i}'", i % 2 == 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id string, source string, source_type string, title string, url string, published string, words int, text string, quote boolean").withColumn("published", F.col("published").cast("timestamp")).repartition(6)
+    members = spark.createDataFrame([(f"d{i:02d}", "d03" if i < 9 else "d20", i in (3, 20), i / 40) for i in (3, 4, 7, 8, 20, 21, 22)], "id string, winner_id string, winner boolean, score double")
+    entries, copies = timeline.entries(docs, members), timeline.copies(docs, members)
+    page = json.loads("".join(render.timeline_json(entries, copies)))
+    by_hand = sorted((r for r in rows if r[0] not in ("d04", "d07", "d08", "d21", "d22")), key=lambda r: (r[5] is None, [-ord(c) for c in r[5] or ""], r[1], r[0]))
+    assert [e["id"] for e in page["entries"]] == [r[0] for r in by_hand]
+    assert {e["id"]: [c["id"] for c in e["copies"]] for e in page["entries"] if e["copies"]} == {"d03": ["d08", "d07", "d04"], "d20": ["d22", "d21"]}
+    got = "".join(render.timeline_html(entries, copies))
+    assert got.count("<article") == got.count("</article>") == 35 and got.index("<h2>Undated</h2>") < got.index("<h2>2013</h2>") < got.index("<h2>2010</h2>") and got.count("<h2>") == 5
+    assert "also in s2, s1, s1</p></article>" in got and "T1 &amp; &lt;x&gt;" in got and "body &#x27;1&#x27;" in got and "T8 " not in got
+    none = docs.limit(0)
+    assert json.loads("".join(render.timeline_json(timeline.entries(none, members.limit(0)), timeline.copies(none, members.limit(0)))))["entries"] == []
+
+
+def test_components_of_hubs_and_chains(spark):
+    """Two stars joined by a long chain, a triangle and a pair: each id under the least of its component."""
+    edges = [("h000", f"l{i:03d}") for i in range(150)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(130)] + [("c130", "h000"), ("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("y1", "y0")]
+    got = {r.id: r.root for r in dupes.components(spark.createDataFrame(edges, "a string, b string").repartition(4), durable.Scratch(spark, "test")).collect()}
+    big = {f"l{i:03d}" for i in range(150)} | {f"c{i:03d}" for i in range(131)} | {"h000"}
+    assert got == {k: "c000" for k in big} | {"z1": "z1", "z2": "z1", "z3": "z1", "y0": "y0", "y1": "y0"}
+
+
+def test_members_of_exact_copies_stand_for_each_other(spark):
+    """Copies of one source and day are one class; those whose class has no partner elsewhere are no duplicates."""
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(f"a{i}", "s0", 0, words) for i in range(6)] + [("b0", "s1", 1, words), ("b1", "s1", 1, words), ("c0", "s2", 3, words + " more"), ("d0", "s0", 0, "alone " * 9), ("d1", "s0", 0, "alone " * 9), ("e", "s1", None, words), ("f", "s1", 9, words)]
+    docs = spark.createDataFrame(rows, "id string, source string, day int, text string").withColumn("published", F.timestamp_seconds(F.col("day") * 86400)).withColumn("words", F.lit(1)).withColumn("title", F.lit(""))
+    got = dupes.members(docs).collect()
+    assert {(r.id, r.group_id, r.winner_id) for r in got} == {(i, "a0", "a0") for i in ("a0", "a1", "a2", "a3", "a4", "a5", "b0", "b1", "c0")}
+    assert {r.id: round(r.score, 3) for r in got}["c0"] == round(26 / 27, 3) and all(r.score == 1 for r in got if r.id != "c0")
