@@ -140,6 +140,9 @@ ORACLES: dict[str, str] = {
         o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id, index) AS place FROM best)
         SELECT query_id, source, doc_id, index, round(score, 9) AS score, lexical_rank, vector_rank, place FROM o WHERE place <= 10""",
     "vector_table": f"WITH {_VECS.format(where='true')} SELECT query_id, doc_id, round(CAST(score AS DOUBLE), 4) AS score, rank FROM vec WHERE rank <= 5",
+    "vector_file": """
+        SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding) AS width, CAST(embedding[1] AS DOUBLE) AS head, CAST(embedding[-1] AS DOUBLE) AS tail,
+               round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS squares FROM embeddings""",
     "vector_top": f"WITH {_VEC} SELECT doc_id, round(CAST(score AS DOUBLE), 4) AS score, CAST(rank AS INTEGER) AS rank FROM vec WHERE rank <= 50",
     "vector_normalise": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)

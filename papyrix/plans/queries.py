@@ -10,6 +10,7 @@ from ..durable import Scratch
 from ..functions import chunk, quote, text
 from ..operators import digest, documents, dupes, fusion, lexical, links, stats, timeline, vector
 from ..sources import parsers
+from ..sources import vectors as vector_files
 from ..sources.matcher import NOISE, Matcher
 from ..sources.tables import corpus, events, passages, table, vectors
 
@@ -136,6 +137,15 @@ def vector_top(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.round(F.col("score").cast("double"), 4).alias("score"), "rank")
 
 
+def vector_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector written to vector files in the order of ids, and read back by place."""
+    path = f"{Scratch(spark, 'vectors').root}/file"
+    vector_files.write_vectors(table(spark, sf, "embeddings"), ["vec_id"], path)
+    got = vector_files.read_vectors(spark, path)
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return got.select("row", F.size("embedding").cast("long").alias("width"), F.element_at("embedding", 1).cast("double").alias("head"), F.element_at("embedding", -1).cast("double").alias("tail"), F.round(squares, 6).alias("squares"))
+
+
 def vector_normalise(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select("vec_id", vector.unit(F.transform("embedding", lambda x: (x * 3).cast("float"))).alias("u"))
     return rows.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("norm"), F.round(F.element_at("u", 1).cast("double"), 4).alias("head"))
@@ -391,7 +401,7 @@ def viewer_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NAMES = [
-    normalise_text, document_identity, documents_build, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, query_table, query_table_hybrid, vector_table, vector_top, vector_normalise, hybrid_rrf,
+    normalise_text, document_identity, documents_build, length_buckets, even_sample, quote_flags, chunk_paragraphs, chunk_invariants, token_frequencies, postings, bm25_top, query_table, query_table_hybrid, vector_table, vector_file, vector_top, vector_normalise, hybrid_rrf,
     hybrid_rollup, source_filtered_search, passage_search, reuse_plan, shingle_sets, near_duplicate_pairs, duplicate_members, duplicate_groups, dupes_summary, timeline_entries, timeline_sources, timeline_months,
     timeline_order, event_months, stats_by_source, stats_spread, stats_years, stats_vocabulary, order_spread, link_domains, link_dedupe, link_hosts, post_link_summary, page_text, page_meta, post_records, sidecar_join,
     review_titles, site_dates, slug_titles, mojibake_repair, path_matcher, snippets, viewer_filter,

@@ -10,7 +10,7 @@ from papyrix import durable
 from papyrix.functions import chunk, html, quote, text
 from papyrix.operators import digest, dupes, fusion, lexical, stats, timeline, vector
 from papyrix.plans import render
-from papyrix.sources import parsers, store
+from papyrix.sources import parsers, store, vectors
 from papyrix.sources.matcher import NOISE, Matcher
 
 
@@ -359,3 +359,34 @@ def test_members_of_exact_copies_stand_for_each_other(spark):
     got = dupes.members(docs).collect()
     assert {(r.id, r.group_id, r.winner_id) for r in got} == {(i, "a0", "a0") for i in ("a0", "a1", "a2", "a3", "a4", "a5", "b0", "b1", "c0")}
     assert {r.id: round(r.score, 3) for r in got}["c0"] == round(26 / 27, 3) and all(r.score == 1 for r in got if r.id != "c0")
+
+
+def test_vector_files_by_parts(spark, tmp_path, monkeypatch):
+    """Ordered rows over several files and ranges come back in order; what has no one width is refused and leaves what was there."""
+    path = f"file://{tmp_path}/vectors"
+    rows = spark.range(1000).select(F.col("id"), F.array(F.col("id").cast("float"), (F.col("id") / 7).cast("float"), F.lit(-1.0).cast("float")).alias("embedding")).repartition(9)
+    vectors.write_vectors(rows, ["id"], path, 5)
+    names = sorted(p.name for p in (tmp_path / "vectors").iterdir())
+    assert names == [f"part-{i:06d}.vec" for i in range(len(names))] and len(names) > 1
+    assert np.vstack([store.unpack_vectors((tmp_path / "vectors" / n).read_bytes()) for n in names])[:, 0].tolist() == list(range(1000))
+    monkeypatch.setattr(vectors, "SPLIT_BYTES", 12 * 70)
+    monkeypatch.setattr(vectors, "BATCH_BYTES", 12 * 32)
+    reader = vectors.VectorReader(path)
+    parts = reader.partitions()
+    got = [(r["row"], r["embedding"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    want = [(i, [np.float32(i), np.float32(i / 7), -1.0]) for i in range(1000)]
+    assert len(parts) > 14 and got == want
+    assert [(r.row, r.embedding) for r in vectors.read_vectors(spark, path).orderBy("row").collect()] == want
+    for bad in ([1.0], None, [1.0, None, 2.0]):
+        odd = rows.union(spark.createDataFrame([(5000, bad)], "id long, embedding array<float>"))
+        with pytest.raises(Exception, match="one width"):
+            vectors.write_vectors(odd, ["id"], path)
+    assert vectors.read_vectors(spark, path).count() == 1000 and sorted(p.name for p in (tmp_path / "vectors").iterdir()) == names
+    vectors.write_vectors(rows.limit(0), ["id"], path)
+    assert vectors.read_vectors(spark, path).count() == 0
+    one = tmp_path / "one.vec"
+    one.write_bytes(store.pack_vectors(np.ones((3, 2))))
+    assert vectors.read_vectors(spark, str(one)).count() == 3
+    one.write_bytes(one.read_bytes()[:-1])
+    with pytest.raises(Exception, match="wrong length"):
+        vectors.read_vectors(spark, str(one)).count()
