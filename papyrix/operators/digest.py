@@ -7,6 +7,7 @@ import json
 import logging
 import urllib.request
 from collections.abc import Iterator
+from dataclasses import replace
 from datetime import UTC, datetime
 from typing import Protocol
 
@@ -118,6 +119,55 @@ def passages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.join(titles, "doc_id", "left").select("source", "doc_id", "index", text.indexed_text(F.coalesce("title", F.lit("")), F.col("text")).alias("indexed"))
 
 
+def write_version(spark: SparkSession, base: str, source: str, version: int, docs: DataFrame, old: DataFrame | None, embedder: Embedder, scratch: durable.Scratch) -> dict[str, DataFrame]:
+    """Write all tables that follow from stored ``docs`` as a version of ``source``; vectors of texts in ``old`` are reused."""
+    pieces = scratch.keep(chunk.chunks(docs), "chunks")
+    vectors = embed_chunks(docs, pieces, old, embedder)
+    index = lexical.build_index(passages(docs, pieces), scratch)
+    kept = store.write(spark, base, source, version, documents=docs, chunks=pieces, vectors=vectors, postings=index.blocks, terms=index.terms)
+    store.check(kept["chunks"], kept["vectors"])
+    return kept
+
+
+def counts_of(kept: dict[str, DataFrame]) -> tuple[int, int, int]:
+    """Documents, passages and tokens of a version."""
+    return kept["documents"].count(), kept["chunks"].count(), kept["terms"].agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n")).first().n
+
+
+def append_batch(spark: SparkSession, base: str, source: str, made: DataFrame, stream: str, number: int, embedder: Embedder | None = None) -> bool:
+    """Add the documents of a micro-batch to ``source`` as a version beside those that count: documents, passages, vectors, postings.
+
+    A batch that is committed already, as after a restart, changes nothing and gives False; so does one without documents. Either
+    way all of it is read, for the stream's own state is written as its rows are.
+    """
+    embedder, scratch = embedder or HashEmbedder(), durable.Scratch(spark, "stream")
+    made = scratch.keep(made, "batch")
+    held = manifests.load_store_manifest(base)
+    before = next(iter(held.entries(source)), manifests.StoredSource(source, "text"))
+    if before.stream == stream and before.batch >= number or made.isEmpty():
+        return False
+    held.check_chunking(chunk.TARGET, chunk.LONGEST, chunk.SHORTEST)
+    held.check_embed(embedder.name, embedder.dimensions, embedder.digest)
+    version = store.claim(spark, base, source, held.version_of(source))
+    docs = scratch.keep(documents.unique_ids(made), "documents")
+    n, chunks, tokens = counts_of(write_version(spark, base, source, version, docs, store.read(spark, base, "vectors", source), embedder, scratch))
+    added = dict(documents=before.documents + n, chunks=before.chunks + chunks, tokens=before.tokens + tokens, digested_at=datetime.now(UTC).isoformat(timespec="seconds"), stream=stream, batch=number)
+    added |= dict(segments=[*before.segments, version]) if before.version else dict(version=version)
+    manifests.commit_source(base, held, replace(before, **added))
+    return True
+
+
+def compact(spark: SparkSession, base: str, source: str, embedder: Embedder | None = None) -> None:
+    """Write the versions that make up ``source`` as one, embedding nothing anew; of an id in several of them one document stays."""
+    held = manifests.load_store_manifest(base)
+    (before,) = held.entries(source)
+    scratch, version = durable.Scratch(spark, "compact"), store.claim(spark, base, source, held.version_of(source))
+    docs = scratch.keep(documents.unique_ids(store.read(spark, base, "documents", source)), "documents")
+    n, chunks, tokens = counts_of(write_version(spark, base, source, version, docs, store.read(spark, base, "vectors", source), embedder or HashEmbedder(), scratch))
+    manifests.commit_source(base, held, replace(before, documents=n, chunks=chunks, tokens=tokens, version=version, segments=[]))
+    store.remove_older(spark, base, source, version)
+
+
 def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedder | None = None, force: bool = False, workers: int = 0, keep: bool = False) -> dict:
     """Digest one source folder into the store at ``base`` and return its report. With ``keep`` the versions before stay readable."""
     embedder = embedder or HashEmbedder()
@@ -130,17 +180,13 @@ def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedde
     raw = scratch.keep(raw, "raw")
     built = scratch.keep(documents.build(raw.filter("error is null"), manifest.name, manifest.type, manifest.author), "built")
     docs = scratch.keep(documents.unique_ids(built), "documents")
-    pieces = scratch.keep(chunk.chunks(docs), "chunks")
     old = None if force else store.read(spark, base, "vectors", manifest.name)
-    vectors = embed_chunks(docs, pieces, old, embedder)
-    index = lexical.build_index(passages(docs, pieces), scratch)
-    kept = store.write(spark, base, manifest.name, version, documents=docs, chunks=pieces, vectors=vectors, postings=index.blocks, terms=index.terms)
-    store.check(kept["chunks"], kept["vectors"])
+    kept = write_version(spark, base, manifest.name, version, docs, old, embedder, scratch)
     n = files.agg(F.count("*").alias("walked"), F.count_if("too_large").alias("large")).first()
     parsed = raw.agg(F.countDistinct("file").alias("parsed"), F.count_if(F.col("error").isNull()).alias("seen"), F.count_if(F.col("error").isNull() & (text.tidy(F.coalesce("text", F.lit(""))) == "")).alias("blank")).first()
     failed = raw.filter("error is not null").select("error").distinct()
     n_errors, errors = failed.count(), [r.error for r in failed.orderBy("error").limit(NAMED_ERRORS).collect()]
-    stored, total = kept["documents"].count(), kept["chunks"].count()
+    stored, total, tokens = counts_of(kept)
     keys = kept["vectors"].select("embed_key").distinct()
     reused = 0 if old is None else keys.join(old.select("embed_key").distinct(), "embed_key", "left_semi").count()
     report = {"source": manifest.name, "walked": n.walked, "parsed": parsed.parsed, "too_large": n.large, "documents": stored, "chunks": total, "texts": keys.count(), "reused": reused, "duplicates": built.count() - stored, "records_seen": parsed.seen, "records_empty": parsed.blank, "errors": errors, "n_errors": n_errors}
@@ -152,7 +198,6 @@ def digest_source(spark: SparkSession, folder: str, base: str, embedder: Embedde
         LOG.warning("%s: %s", manifest.name, error)
     if n_errors > len(errors):
         LOG.warning("%s: and %d more errors", manifest.name, n_errors - len(errors))
-    tokens = kept["terms"].agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("n")).first().n
     manifests.commit_source(base, held, manifests.StoredSource(manifest.name, manifest.type, manifest.priority, stored, total, folder, datetime.now(UTC).isoformat(timespec="seconds"), version, tokens))
     if not keep:
         store.remove_older(spark, base, manifest.name, version)

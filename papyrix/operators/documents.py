@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import quote, text
 
 
-def build(raw: DataFrame, source: str | None = None, source_type: str = "", author: str = "") -> DataFrame:
+def build(raw: DataFrame, source: str | None = None, source_type: str = "", author: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """The documents table of ``raw`` (native_key, file, title, author, url, published, text; source if not given).
 
-    Missing keys, titles and authors are empty strings; texts that are empty after normalisation are left out.
+    ``keep`` names further columns that stay as they are. Missing keys, titles and authors are empty strings; texts that are empty after normalisation are left out.
     """
     name = F.lit(source) if source is not None else F.col("source")
     blank = F.lit("")
     rows = raw.select(
         name.alias("source"), F.lit(source_type).alias("source_type"), F.coalesce("native_key", blank).alias("native_key"), F.coalesce("file", blank).alias("file"),
         text.normalise(F.coalesce("title", blank)).alias("title"), F.trim(F.coalesce(F.nullif(F.col("author"), blank), F.lit(author))).alias("author"), F.coalesce("url", blank).alias("url"),
-        F.col("published").cast("timestamp").alias("published"), text.normalise(F.coalesce("text", blank)).alias("text"),
+        F.col("published").cast("timestamp").alias("published"), text.normalise(F.coalesce("text", blank)).alias("text"), *keep,
     ).filter("text <> ''")
     rows = rows.withColumn("content_hash", text.content_hash(F.col("text"))).withColumn("words", text.word_count(F.col("text")))
     rows = rows.withColumn("id", text.document_id(F.col("source"), F.col("native_key"), F.col("text"))).withColumn("quote", quote.quote_flag(F.col("text"), F.col("words")))
-    return rows.select("id", "source", "source_type", "native_key", "file", "title", "author", "url", "published", "text", "content_hash", "words", "quote")
+    return rows.select("id", "source", "source_type", "native_key", "file", "title", "author", "url", "published", "text", "content_hash", "words", "quote", *keep)
 
 
 def unique_ids(documents: DataFrame) -> DataFrame:

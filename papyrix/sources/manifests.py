@@ -132,6 +132,14 @@ class StoredSource:
     digested_at: str = ""
     version: int = 0
     tokens: int = 0
+    #: Versions that count beside ``version``: what a stream has added. ``stream`` and ``batch`` tell how far it has come.
+    segments: list = field(default_factory=list)
+    stream: str = ""
+    batch: int = -1
+
+    @property
+    def versions(self) -> list[int]:
+        return [self.version, *self.segments]
 
 
 @dataclass
@@ -146,8 +154,12 @@ class StoreManifest:
         self.sources = sorted([*kept, asdict(source)], key=lambda s: s["name"])
 
     def version_of(self, name: str) -> int:
-        """The version of a source that counts, or 0."""
-        return max((s.get("version", 0) for s in self.sources if s["name"] == name), default=0)
+        """The last version of a source that counts, or 0."""
+        return max((v for s in self.entries(name) for v in s.versions), default=0)
+
+    def entries(self, name: str | None = None) -> list[StoredSource]:
+        """Sources as stored, all or the one named."""
+        return [StoredSource(**s) for s in self.sources if name in (None, s["name"])]
 
     def sizes(self, source: str | None = None) -> tuple[int, int]:
         """Passages and their tokens, of one source or all: what ranking needs to know of a corpus."""

@@ -54,8 +54,8 @@ def claim(spark: SparkSession, base: str, source: str, after: int) -> int:
 def read(spark: SparkSession, base: str, name: str, source: str | None = None, at: int | None = None) -> DataFrame | None:
     """A table of the store, of one source (its files alone are read) or all, in its last state or the one numbered ``at``; None if
     there is none. Tables that the state names and that cannot be read are an error."""
-    held = manifests.load_store_manifest(base, at).sources
-    paths = [path(base, name, s["name"], s["version"]) for s in held if source is None or s["name"] == source]
+    held = manifests.load_store_manifest(base, at).entries(source)
+    paths = [path(base, name, s.name, v) for s in held for v in s.versions]
     if not paths:
         return None
     return spark.read.option("basePath", f"{base.rstrip('/')}/{name}").parquet(*paths).drop("version")

@@ -272,9 +272,61 @@ def test_manifest_rules(tmp_path):
         store.check_embed("b", 2, "")
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, tmp_path, monkeypatch):
+    """Batches are found by a search, a failed one is run again, a committed one is not, and many become one version."""
     os.makedirs(tmp_path / "in")
-    for part in ("first", "second"):
-        (tmp_path / f"in/{part}.txt").write_text(f"the {part} text")
-        incremental.digest_stream(spark, str(tmp_path / "in"), "s", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["the first text", "the second text"]
+    base, args = f"file://{tmp_path}/store", (str(tmp_path / "in"), "s", f"file://{tmp_path}/store", str(tmp_path / "cp"))
+
+    def arrive(name, body):
+        (tmp_path / f"in/{name}.txt").write_text(body)
+
+    arrive("first", "the first text of a harbour")
+    incremental.digest_stream(spark, *args).awaitTermination(120)
+    arrive("second", "the second text of a lighthouse")
+    commit = manifests.commit_source
+    monkeypatch.setattr(manifests, "commit_source", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(Exception, match="lost"):
+        incremental.digest_stream(spark, *args).awaitTermination(120)
+    assert store.read(spark, base, "documents").count() == 1
+
+    def committed_then_lost(*a):
+        commit(*a)
+        raise OSError("late")
+
+    monkeypatch.setattr(manifests, "commit_source", committed_then_lost)
+    with pytest.raises(Exception, match="late"):
+        incremental.digest_stream(spark, *args).awaitTermination(120)
+    monkeypatch.setattr(manifests, "commit_source", commit)
+    incremental.digest_stream(spark, *args).awaitTermination(120)  # the same batch again: passed over
+    (held,) = manifests.load_store_manifest(base).entries()
+    assert sorted(r.text for r in store.read(spark, base, "documents").collect()) == ["the first text of a harbour", "the second text of a lighthouse"]
+    assert (held.documents, held.chunks, len(held.segments)) == (2, 2, 1) and held.batch >= 1
+    for word, n in (("harbour", 1), ("lighthouse", 1), ("text", 2)):
+        assert len(json.loads(cli.run(["search", "--digested", base, "--json", word], spark))["results"]) == n
+    digest.compact(spark, base, "s")
+    (after,) = manifests.load_store_manifest(base).entries()
+    assert (after.documents, after.tokens, after.segments) == (2, held.tokens, []) and after.version > max(held.versions)
+    assert len(json.loads(cli.run(["search", "--digested", base, "--json", "text"], spark))["results"]) == 2
+    arrive("third", "a third text")
+    incremental.digest_stream(spark, *args).awaitTermination(120)
+    assert store.read(spark, base, "documents").count() == 3
+
+
+def test_the_streams_state_expires(spark, tmp_path):
+    """Ids come once while they are remembered, and what is older than the expiry is dropped from the state."""
+    os.makedirs(tmp_path / "in")
+    seen = []
+
+    def batch(name, *rows):
+        with open(tmp_path / f"in/{name}.json", "w") as f:
+            f.writelines(json.dumps({"id": i, "arrived": t}) + "\n" for i, t in rows)
+        stream = spark.readStream.schema("id string, arrived timestamp").json(str(tmp_path / "in"))
+        query = incremental.once(stream, "1 day").writeStream.foreachBatch(lambda b, n: seen.extend(r.id for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return max((s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]), default=0), query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    batch("a", ("x", "2024-01-01T00:00:00Z"), ("x", "2024-01-01T00:00:00Z"), ("y", "2024-01-01T01:00:00Z"))
+    batch("b", ("x", "2024-01-01T02:00:00Z"), ("z", "2024-01-10T00:00:00Z"))
+    assert sorted(seen) == ["x", "y", "z"]
+    _, left = batch("c", ("w", "2024-01-20T00:00:00Z"))
+    assert left < 4 and sorted(seen) == ["w", "x", "y", "z"]
