@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import logging
+import time
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import replace
@@ -21,8 +22,10 @@ from ..sources import manifests, parsers, store
 from . import documents, lexical, vector
 
 LOG = logging.getLogger("papyrix")
-#: Texts handed to an embedder at a time.
-BATCH = 16
+#: Texts handed to an embedder at a time, batches that are out at once, and texts after which vectors are put in safety.
+BATCH, AT_ONCE, WAVE = 16, 8, 20_000
+#: How often a batch is tried, and seconds before the second try; later pauses double.
+TRIES, PAUSE = 5, 0.5
 #: Errors of a source that a report names; all are counted.
 NAMED_ERRORS = 1000
 #: Tasks that read a source's files at least, unless the configuration says otherwise.
@@ -85,12 +88,24 @@ def embedder_of(config: manifests.EmbedConfig) -> Embedder:
     return HttpEmbedder(config.base_url, config.model) if config.base_url else HashEmbedder()
 
 
+def _tried(embedder: Embedder, texts: list[str]) -> list[list[float]]:
+    """The vectors of a batch, asked for again after growing pauses where the embedder cannot be reached."""
+    for n in range(TRIES):
+        try:
+            return embedder.embed(texts)
+        except OSError:
+            if n + 1 == TRIES:
+                raise
+            time.sleep(PAUSE * 2**n)
+    return []
+
+
 def _embed(embedder: Embedder):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts, rows = frame["indexed"].tolist(), []
             for at in range(0, len(texts), BATCH):
-                got = embedder.embed(texts[at : at + BATCH])
+                got = _tried(embedder, texts[at : at + BATCH])
                 if len(got) != len(texts[at : at + BATCH]) or any(len(v) != embedder.dimensions for v in got):
                     raise ValueError("the embedder gave vectors of the wrong number or width")
                 rows += got
@@ -99,17 +114,50 @@ def _embed(embedder: Embedder):
     return run
 
 
-def embed_chunks(docs: DataFrame, chunks: DataFrame, stored: DataFrame | None, embedder: Embedder) -> DataFrame:
-    """Vectors of ``chunks``: those stored under the same indexed text are reused, each other text is embedded once."""
+def _held(spark: SparkSession, safe: str | None) -> DataFrame | None:
+    """The vectors of a folder of waves, if any wave was written whole."""
+    if safe is None:
+        return None
+    fs, folder = durable.file_system(spark, safe)
+    return spark.read.schema("embed_key string, embedding array<float>").parquet(safe) if fs.exists(folder) and any(f.getPath().getName().startswith("part-") for f in fs.listStatus(folder)) else None
+
+
+def embed_chunks(docs: DataFrame, chunks: DataFrame, stored: DataFrame | None, embedder: Embedder, safe: str | None = None) -> DataFrame:
+    """Vectors of ``chunks``: those stored under the same indexed text are reused, each other text is embedded once.
+
+    Texts are embedded in the order of passages, BATCH at a time, by AT_ONCE tasks. With ``safe``, a folder, they go in waves whose
+    vectors are written there as they come, so that one who tries again after a failure embeds only what is left.
+    """
     titles = docs.select(F.col("id").alias("doc_id"), "title")
     rows = chunks.join(titles, "doc_id", "left").select(F.col("id").alias("chunk_id"), text.indexed_text(F.coalesce("title", F.lit("")), F.col("text")).alias("indexed"))
     rows = rows.withColumn("embed_key", text.content_hash(F.col("indexed")))
-    known = None if stored is None else stored.select("embed_key", "embedding").dropDuplicates(["embed_key"])
-    todo = rows.select("embed_key", "indexed").dropDuplicates(["embed_key"])
+    parts = [t.select("embed_key", "embedding") for t in (stored, _held(chunks.sparkSession, safe)) if t is not None]
+    known = parts[0] if parts else None
+    for more in parts[1:]:
+        known = known.unionByName(more)
+    known = None if known is None else known.dropDuplicates(["embed_key"])
+    todo = rows.groupBy("embed_key").agg(F.min("chunk_id").alias("first"), F.min("indexed").alias("indexed"))  # alike under one key
     todo = todo if known is None else todo.join(known.select("embed_key"), "embed_key", "left_anti")
-    made = todo.mapInPandas(_embed(embedder), "embed_key string, embedding array<double>")
-    made = made.select("embed_key", vector.unit(F.col("embedding").cast("array<float>")).alias("embedding"))
-    every = made if known is None else made.unionByName(known)
+
+    def vectors(some: DataFrame) -> DataFrame:
+        ordered = some.repartitionByRange(AT_ONCE, "first").sortWithinPartitions("first").select("embed_key", "indexed")
+        made = ordered.mapInPandas(_embed(embedder), "embed_key string, embedding array<double>")
+        return made.select("embed_key", vector.unit(F.col("embedding").cast("array<float>")).alias("embedding"))
+
+    if safe is None:
+        made = vectors(todo)
+    else:
+        todo = durable.Scratch(chunks.sparkSession, "todo").keep(todo, "texts")
+        waves = -(-todo.count() // WAVE)
+        for wave in range(waves):
+            vectors(todo.filter(F.pmod(F.xxhash64("embed_key"), F.lit(waves)) == wave)).write.mode("append").parquet(safe)
+        made = _held(chunks.sparkSession, safe)
+        made = None if made is None else made.dropDuplicates(["embed_key"])
+        made = made if made is None or stored is None else made.join(stored.select("embed_key").distinct(), "embed_key", "left_anti")
+        known = None if stored is None else stored.select("embed_key", "embedding").dropDuplicates(["embed_key"])
+    every = known if made is None else made if known is None else made.unionByName(known)
+    if every is None:  # no passage at all
+        return rows.select("chunk_id", "embed_key", F.lit(None).cast("array<float>").alias("embedding"))
     return rows.select("chunk_id", "embed_key").join(every, "embed_key").select("chunk_id", "embed_key", "embedding")
 
 
@@ -122,10 +170,12 @@ def passages(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 def write_version(spark: SparkSession, base: str, source: str, version: int, docs: DataFrame, old: DataFrame | None, embedder: Embedder, scratch: durable.Scratch) -> dict[str, DataFrame]:
     """Write all tables that follow from stored ``docs`` as a version of ``source``; vectors of texts in ``old`` are reused."""
     pieces = scratch.keep(chunk.chunks(docs), "chunks")
-    vectors = embed_chunks(docs, pieces, old, embedder)
+    safe = f"{base.rstrip('/')}/_embedding/{source}-{hashlib.sha256(f'{embedder.name} {embedder.digest} {embedder.dimensions}'.encode()).hexdigest()[:12]}"
+    vectors = embed_chunks(docs, pieces, old, embedder, safe)
     index = lexical.build_index(passages(docs, pieces), scratch)
     kept = store.write(spark, base, source, version, documents=docs, chunks=pieces, vectors=vectors, postings=index.blocks, terms=index.terms)
     store.check(kept["chunks"], kept["vectors"])
+    durable.delete(spark, safe)
     return kept
 
 

@@ -203,6 +203,44 @@ def test_a_failed_digest_leaves_the_store(spark, sources, monkeypatch):
     assert store.read(spark, base, "documents", "site") is None
 
 
+def test_embedding_goes_on_after_failures(spark, tmp_path, monkeypatch):
+    """Batches in passage order, tried again; after a digest that gave up, the next one embeds only what is left."""
+
+    class Flaky(digest.HashEmbedder):
+        """Keeps a file of the batches it was asked for; every third call fails, and with ``last`` all after so many texts."""
+
+        def __init__(self, log, last=None):
+            digest.HashEmbedder.__init__(self, 8)
+            self.log, self.last = log, last
+
+        def embed(self, texts):
+            with open(self.log, "a") as f:
+                f.write(json.dumps(texts) + "\n")
+            with open(self.log) as f:
+                calls = [json.loads(x) for x in f]
+            if len(calls) % 3 == 0 or self.last is not None and sum(map(len, calls)) > self.last:
+                raise ConnectionError("unreachable")
+            return digest.HashEmbedder.embed(self, texts)
+
+    monkeypatch.setattr(digest, "PAUSE", 0.01)
+    monkeypatch.setattr(digest, "WAVE", 40)
+    monkeypatch.setattr(digest, "AT_ONCE", 1)
+    docs = spark.createDataFrame([(f"d{i:03d}", "") for i in range(200)], "id string, title string")
+    chunks = spark.createDataFrame([(f"d{i:03d}#0", f"d{i:03d}", f"text {i % 180}") for i in range(200)], "id string, doc_id string, text string").repartition(3)
+    log, safe = str(tmp_path / "calls"), f"file://{tmp_path}/safe"
+    one = digest.embed_chunks(docs, chunks, None, Flaky(log)).orderBy("chunk_id").collect()
+    calls = [json.loads(x) for x in open(log)]
+    asked = [t for n, c in enumerate(calls) if (n + 1) % 3 for t in c]
+    assert asked == [f"text {i}" for i in range(180)] and {len(c) for c in calls} == {16, 4} and len(one) == 200
+    with pytest.raises(Exception, match="unreachable"):
+        digest.embed_chunks(docs, chunks, None, Flaky(str(tmp_path / "more"), 100), safe)
+    saved = digest._held(spark, safe).count()
+    assert 30 <= saved < 110
+    again = digest.embed_chunks(docs, chunks, None, Flaky(str(tmp_path / "last")), safe).orderBy("chunk_id").collect()
+    calls = [json.loads(x) for x in open(tmp_path / "last")]
+    assert sum(len(c) for n, c in enumerate(calls) if (n + 1) % 3) == 180 - saved and again == one
+
+
 class _Server(BaseHTTPRequestHandler):
     def do_GET(self):
         self._send({"models": [{"name": "tiny:latest", "digest": "abc"}]})
