@@ -36,10 +36,10 @@ _LINES = "SELECT * FROM (SELECT source, doc_id, unnest(string_split(text, chr(10
 _QUERY = ["and", "reason", "stable", "the", "thing"]
 
 
-def _bm25(where: str = "true") -> str:
+def _bm25(where: str = "true", passages: str = _LINES) -> str:
     terms = ", ".join(f"'{t}'" for t in _QUERY)
     return f"""
-    ps AS ({_LINES.format(where=where)}),
+    ps AS ({passages.format(where=where)}),
     pt AS (SELECT source, doc_id, index, {_TOKENS} AS tk FROM ps),
     st AS (SELECT count(*) AS n, avg(len(tk)) AS mean FROM pt),
     tf AS (SELECT source, doc_id, index, len(tk) AS ln, q.term, len(list_filter(tk, lambda x: x = q.term)) AS f FROM pt, (SELECT unnest([{terms}]) AS term) q),
@@ -49,6 +49,20 @@ def _bm25(where: str = "true") -> str:
     lex AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, doc_id, index) AS rank FROM sc0)"""
 
 
+_FEED = "chr(10)||chr(10)"
+_CHUNKS = f"""
+    cd AS (SELECT doc_id, source, regexp_replace(replace(text, chr(10), {_FEED}), '([^\\n]{{400}})', '\\1'||{_FEED}, 'g') AS t FROM documents),
+    cs AS (SELECT doc_id, source, string_split(t, {_FEED}) AS p FROM cd WHERE regexp_matches(t, '\\S')),
+    cu AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM cs),
+    cb AS (SELECT doc_id, i, octet_length(encode(x)) AS n, sum(octet_length(encode(x)) + 2) OVER (PARTITION BY doc_id ORDER BY i) - octet_length(encode(x)) - 2 AS b FROM cu),
+    cq AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, i, b AS s, b + n AS e FROM cb WHERE n > 0),
+    cr AS (SELECT doc_id, k, i, s, e, 0 AS c FROM cq WHERE k = 1
+           UNION ALL SELECT q.doc_id, q.k, q.i, CASE WHEN q.e - r.s > 1200 THEN q.s ELSE r.s END, q.e, r.c + CASE WHEN q.e - r.s > 1200 THEN 1 ELSE 0 END FROM cr r JOIN cq q ON q.doc_id = r.doc_id AND q.k = r.k + 1),
+    cg AS (SELECT doc_id, c, min(s) AS s, max(e) AS e, min(i) AS lo, max(i) AS hi FROM cr GROUP BY 1, 2),
+    cm AS (SELECT g.*, CASE WHEN c > 0 AND c = max(c) OVER (PARTITION BY doc_id) AND octet_length(encode(trim(array_to_string(p[lo:hi], {_FEED}), chr(10)||' '))) < 200 THEN c - 1 ELSE c END AS k FROM cg g JOIN cs USING (doc_id)),
+    chunks AS (SELECT doc_id, source, k AS index, s, e, trim(array_to_string(p[lo:hi], {_FEED}), chr(10)||' ') AS text
+               FROM (SELECT doc_id, k, min(s) AS s, max(e) AS e, min(lo) AS lo, max(hi) AS hi FROM cm GROUP BY 1, 2) JOIN cs USING (doc_id))"""
+_TITLED = f"SELECT source, CAST(doc_id AS VARCHAR) AS doc_id, index, CASE WHEN doc_id % 2 = 0 THEN 'The reason of '||source||{_FEED}||text ELSE text END AS text FROM chunks"
 _MANY = f"""
     ps AS ({_LINES.format(where='true')}),
     pt AS (SELECT source, doc_id, index, {_TOKENS} AS tk FROM ps),
@@ -124,6 +138,10 @@ ORACLES: dict[str, str] = {
     "post_link_summary": """
         WITH p AS (SELECT url, 1577836800 + page_id % 40 AS second, page_id % 5 = 0 AS bad FROM pages WHERE page_id % 5 = 0 OR page_id % 7 <> 0), s AS (SELECT DISTINCT url, second FROM p WHERE NOT bad)
         SELECT (SELECT count(*) FROM s) AS links, (SELECT count(DISTINCT url) FROM s) AS unique, (SELECT min(second) FROM s) AS earliest, (SELECT max(second) FROM s) AS latest, (SELECT 2 * count(*) FROM p WHERE bad) AS dropped""",
+    "chunk_paragraphs": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, CAST(index AS INTEGER) AS chunk, CAST(s AS INTEGER) AS first, CAST(e AS INTEGER) AS last, sha256(text) AS hash FROM chunks",
+    "passage_search": f"""
+        WITH RECURSIVE {_CHUNKS}, {_bm25(passages=_TITLED)}, fused AS (SELECT source, doc_id, index, 1.0 / (60 + rank) AS score, rank AS lexical_rank FROM lex WHERE rank <= 200), {_ROLLED}
+        SELECT doc_id, CAST(index AS INTEGER) AS index, round(score, 9) AS score, lexical_rank, place FROM o WHERE place <= 50""",
     "chunk_invariants": f"""
         WITH a AS (SELECT doc_id, {_TIDY} AS t FROM documents)
         SELECT doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS covered, true AS bounded, CAST(0 AS BIGINT) AS first, CAST(octet_length(encode(t)) AS BIGINT) AS last FROM a WHERE t <> ''""",

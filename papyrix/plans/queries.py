@@ -52,10 +52,16 @@ def quote_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", *[quote.quote_flag(F.concat("t", F.lit(end)), F.col("words")).alias(name) for name, end in ENDINGS.items()])
 
 
+def _paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose lines are paragraphs, cut into ones of 400 characters, every other document with a title."""
+    text_ = F.regexp_replace(F.regexp_replace("text", "\n", "\n\n"), "([^\n]{400})", "$1\n\n")
+    title = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("The reason of "), "source")).otherwise("")
+    return table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", title.alias("title"), text_.alias("text"))
+
+
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraph packing of documents whose paragraphs are all short: counts and total of spans of each."""
-    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.regexp_replace("text", "\n", "\n\n").alias("text"))
-    got = chunk.chunks(rows)
+    """Paragraph packing: every passage with its bytes and the hash of its text."""
+    got = chunk.chunks(_paragraphs(spark, sf))
     return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("index").alias("chunk"), F.col("start").alias("first"), F.col("end").alias("last"), "hash")
 
 
@@ -170,15 +176,14 @@ def source_filtered_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def passage_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Search over passages as a digest cuts them, several of a document rolled up."""
-    docs = corpus(spark, sf)
-    pieces = chunk.chunks(docs)
-    scratch = Scratch(spark, "passages")
+    """Search over passages as a digest packs them, under their documents' titles, several of a document rolled up."""
+    docs, scratch = _paragraphs(spark, sf), Scratch(spark, "passages")
+    pieces = scratch.keep(chunk.chunks(docs), "pieces")
     made = lexical.build_index(digest.passages(docs, pieces), scratch)
     index = lexical.Index(scratch.keep(made.blocks.repartitionByRange("term", "slot"), "blocks"), scratch.keep(made.terms, "terms"))
     sizes = (pieces.count(), index.terms.agg(F.sum("cf").alias("n")).first().n or 0)
     got = fusion.search(index, sizes, None, QUERY, None, mode="lexical", hits=50)
-    return got.select("doc_id", "index", F.round("score", 6).alias("score"), "lexical_rank", "place")
+    return got.select("doc_id", "index", F.round("score", 9).alias("score"), F.col("lexical_rank").cast("long").alias("lexical_rank"), F.col("place").cast("long").alias("place"))
 
 
 class _Marked(digest.HashEmbedder):
