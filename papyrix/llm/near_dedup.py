@@ -189,7 +189,7 @@ def near_dup_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets; component_id is the least
     doc_id reachable over links and kept marks the document that bears it. Null texts and texts without words have empty
     sets and are linked with nothing. Repeated rows share their document's component; a null doc_id is a component of
-    its own with a null id, and not kept. Rows that share a doc_id are one document, linked by any of its texts. An empty table gives no rows.
+    its own with a null id, and not kept. Texts of any length are shingled whole. Rows that share a doc_id are one document, linked by any of its texts. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")

@@ -337,7 +337,8 @@ def encode_documents(docs: DataFrame, vocab: str | None = None, scores: str = "z
     """Per row of ``docs`` (doc_id, text; other columns are not read): the ids (little-endian unsigned 32-bit), their
     number, those of the byte fallback, the sum of the scores of the other pieces, a CRC-32 of the ids, and whether they
     decode to the text (a U+2581 in the text itself comes back as a space, as in the format). Null and empty texts have
-    no ids. Repeated rows give repeated results; an empty table gives no rows."""
+    no ids. Texts of any length are encoded whole. Of paths of one score the one stays whose last piece begins first, and so on from
+    the end. Repeated rows give repeated results; an empty table gives no rows."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_coder(vocab or vocabulary("piece_bpe_32k.model"), scores, with_ids), ENCODED)

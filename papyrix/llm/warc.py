@@ -423,7 +423,7 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back. An empty table gives no rows; columns other
-    than page_id, url and html are not read; rows that repeat a page_id are records of their own."""
+    than page_id, url and html are not read; rows that repeat a page_id are records of their own. Pages of any length are one record."""
     scratch = Scratch(pages.sparkSession, "warc")
     write_warc(pages, scratch.path("archive"))
     return read_pages(pages.sparkSession, scratch.path("archive"))
