@@ -26,12 +26,6 @@ def passages(spark: SparkSession, base: str) -> DataFrame:
     return rows.withColumn("indexed", text.indexed_text(F.lit(""), F.col("text")))
 
 
-def whole_passages(spark: SparkSession, base: str) -> DataFrame:
-    """One passage a document."""
-    rows = table(spark, base, "documents").select("source", "doc_id", F.lit(0).alias("index"), "text")
-    return rows.withColumn("indexed", text.indexed_text(F.lit(""), F.col("text")))
-
-
 def vectors(spark: SparkSession, base: str) -> DataFrame:
     """Vectors of first passages, by vec_id = doc_id; documents without one are absent."""
     rows = table(spark, base, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
