@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import quality_rules, tokens
 from .bytetable import concat, mix, span_hashes, word_spans
 from .candidates import compared_lists, mixed_lists, promising, small_pairs
 from .common import Scratch, prepare
@@ -109,6 +110,9 @@ SKETCHED = "doc_id long, n_shingles long, digest string, singles array<long>, ba
 
 
 def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # A worker that has served tokenising stages before still holds their tables, a hundred megabytes and more.
+    quality_rules._pieces.cache_clear()
+    tokens.encoder.cache_clear()
     for batch in batches:
         sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()])
         yield pa.RecordBatch.from_pydict({
