@@ -91,9 +91,11 @@ def _page(markup: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "author", "url", "dates", "text"])
 
 
-def page_struct(markup: Column) -> Column:
-    """Metadata and raw content text of a page; its date is the first that a known layout fits."""
-    page = F.pandas_udf(_page, _PAGE)(markup)
+def page_struct(markup: Column, ended: bool = False) -> Column:
+    """Metadata and raw content text of a page; its date is the first that a known layout fits.
+
+    HTML reads some references also without the semicolon at their end; with ``ended`` those stay as they are written."""
+    page = F.pandas_udf(_page, _PAGE)(F.regexp_replace(markup, r"&(?!#?\w+;)", "&amp;") if ended else markup)
     dates = F.filter(F.transform(page["dates"], text.strict_timestamp), lambda d: d.isNotNull())
     return F.struct(page["title"].alias("title"), page["author"].alias("author"), page["url"].alias("url"), F.get(dates, F.lit(0)).alias("published"), page["text"].alias("text"))
 
