@@ -9,6 +9,6 @@ def test_pages_agree_with_their_sql_on_references_without_an_end(spark, tmp_path
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
-    for f in (queries.page_meta,):
+    for f in (queries.page_meta, queries.page_text):
         want = con.execute(oracles.ORACLES[f.__name__]).fetchall()
         assert sorted(map(tuple, f(spark, str(tmp_path)).collect())) == sorted(want), f.__name__
