@@ -75,6 +75,17 @@ def shingles(words: Column, size: int = 5) -> Column:
     return let(words, of)
 
 
+def shingle_hashes(words: Column, size: int = 5) -> Column:
+    """``shingles`` as 64-bit hashes, made from those of the words."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
+        return F.when(n == 0, F.array().cast("array<bigint>")).when(n < size, F.array(F.xxhash64(w))).otherwise(F.array_distinct(runs))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), of)
+
+
 def indexed_text(title: Column, text: Column) -> Column:
     """What retrievers see of a passage: the title before it, where there is one."""
     return F.when(F.coalesce(title, F.lit("")) == "", text).otherwise(F.concat(title, F.lit("\n\n"), text))

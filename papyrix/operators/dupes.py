@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import Scratch
@@ -10,6 +12,8 @@ from ..functions import text
 
 #: Days on either side, least similarity, words of a shingle.
 WINDOW_DAYS, THRESHOLD, SHINGLE_WORDS = 2, 0.5, 5
+#: Shingles of a part, about, each document counting as ROW more; shingles that are looked up at a time.
+CELL, ROW, STEP = 1 << 20, 64, 1 << 20
 
 
 def check_options(window: int, threshold: float) -> None:
@@ -29,8 +33,7 @@ def least_overlap(size, threshold: float) -> F.Column:
 
 def shingle_table(documents: DataFrame) -> DataFrame:
     """Documents as (id, source, day, size, h): their shingles as sorted 64-bit hashes of runs of words, day null if undated."""
-    hashes = F.transform(text.shingles(text.shingle_words(F.col("text"))), lambda x: F.xxhash64(x))
-    rows = documents.select("id", "source", text.day_number(F.col("published")).alias("day"), F.array_sort(hashes).alias("h"))
+    rows = documents.select("id", "source", text.day_number(F.col("published")).alias("day"), F.array_sort(text.shingle_hashes(text.shingle_words(F.col("text")))).alias("h"))
     return rows.select("id", "source", "day", F.size("h").alias("size"), "h")
 
 
@@ -41,36 +44,92 @@ def pairs(documents: DataFrame, window: int = WINDOW_DAYS, threshold: float = TH
 
 
 def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """``pairs`` of a stored ``shingle_table``. Exact.
-
-    A pair must share one of the first n - least_overlap(n) + 1 shingles of either side in any fixed order. They are taken rarest first, by how many documents hold them, so common phrases come last, and those of one document alone take
-    up places and join with nothing. A document is met in its bucket of ``window`` days and waits in that and the next one. Pairs
-    that by the places of what they share cannot reach the threshold are passed over before their sets are compared.
-    """
-    sets = stored.filter("day is not null and size > 0")
-    held = sets.select("id", "size", F.explode("h").alias("k"))
-    often = held.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1")
-    common = held.join(often, "k")
-    # Places in the whole order: shingles of one document come before all others.
-    by = Window.partitionBy("id").orderBy("m", "k")
-    all_of = Window.partitionBy("id")
-    place = F.col("size") - F.count("*").over(all_of) + F.row_number().over(by)
-    prefix = F.col("size") - least_overlap(F.col("size"), threshold) + 1
-    keys = common.withColumn("place", place).filter(F.col("place") <= prefix).select("id", "k", "place")
-    keys = keys.join(sets.select("id", "source", "day", "size"), "id")
-    width = max(window, 1)
-    bucket = F.floor(F.col("day") / width)
-    late = keys.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("size").alias("nb"), F.col("day").alias("db"), F.col("place").alias("pb"), "k", bucket.alias("bucket"))
-    waits = F.array(bucket, bucket + 1) if window else F.array(bucket)
-    early = keys.select(F.col("id").alias("a"), F.col("source").alias("sa"), F.col("size").alias("na"), F.col("day").alias("da"), F.col("place").alias("pa"), "k", F.explode(waits).alias("bucket"))
-    near = early.join(late, ["bucket", "k"]).filter((F.col("sa") != F.col("sb")) & (F.col("db") - F.col("da")).between(0, window) & (F.least("na", "nb") / F.greatest("na", "nb") >= threshold))
-    first = F.col("sa") < F.col("sb")
-    turned = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    met = near.select(turned("a", "b").alias("a"), turned("b", "a").alias("b"), turned("na", "nb").alias("na"), turned("nb", "na").alias("nb"), turned("pa", "pb").alias("pa"), turned("pb", "pa").alias("pb"))
-    # Of what two sets share, the met part stands up to its last places, and no more than what is left on either side can follow.
-    met = met.groupBy("a", "b", "na", "nb").agg((F.countDistinct("pa") + F.least(F.col("na") - F.max("pa"), F.col("nb") - F.max("pb"))).alias("most"))
-    met = met.filter(F.col("most") / (F.col("na") + F.col("nb") - F.col("most")) >= threshold)
-    return similarity(met.select("a", "b"), sets).filter(F.col("score") >= threshold)
+    """``pairs`` of a stored ``shingle_table``. Exact."""
+    return _met(stored, window, threshold, False)
+
+
+def set_links(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) that connect whatever ``set_pairs`` connects: of what a task has linked already, no more pairs are tried."""
+    return _met(stored, window, threshold, True).select("a", "b")
+
+
+def _met(stored: DataFrame, window: int, threshold: float, forest: bool) -> DataFrame:
+    """Documents meet in slabs of some days, those near the end of a slab also in the next; a slab of more than CELL shingles is
+    dealt into parts, each met with each. So a set is moved about once however many partners it has, and no task holds more than
+    two parts."""
+    fields = {f.name: f.dataType.simpleString() for f in stored.schema}
+    span = max(4 * window, 1)
+    home = F.floor(F.col("day") / span)
+    slabs = F.when(F.floor((F.col("day") + window) / span) > home, F.array(home, home + 1)).otherwise(F.array(home))
+    rows = stored.filter("day is not null and size > 0 and source is not null").withColumn("home", home).withColumn("slab", F.explode(slabs))
+    parts = rows.groupBy("slab").agg(F.ceil(F.sum(F.col("size") + ROW) / CELL).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = rows.join(F.broadcast(parts), "slab").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("slab", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "source", "day", (F.col("slab") == F.col("home")).alias("home"), "h")
+    return rows.groupBy("slab", "lo", "hi").applyInArrow(_cell(window, threshold, forest), f"a {fields['id']}, b {fields['id']}, score double")
+
+
+def _cell(window: int, threshold: float, forest: bool):
+    """Compares the sets of one cell, of which a pair must share one of the first n - least_overlap(n) + 1 shingles of either side
+    in any fixed order: rarest first, so that common phrases come last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda name: table.column(name).combine_chunks()
+        sets, n = column("h"), table.num_rows
+        size = np.diff(sets.offsets.to_numpy())
+        code = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1].astype(np.int32)
+        at = np.concatenate([[0], np.cumsum(size)])
+        often = np.bincount(code)
+        doc = np.repeat(np.arange(n, dtype=np.int32), size)
+        order = np.lexsort((code, often[code], doc))
+        code, place = code[order], np.arange(len(code)) - at[doc]
+        near = np.ceil(size * threshold)
+        least = np.maximum(1, np.where((near - 1) / size >= threshold, near - 1, near)).astype(np.int64)
+        early = np.flatnonzero((place < (size - least + 1)[doc]) & (often[code] > 1))
+        early = early[np.argsort(code[early], kind="stable")]  # by shingle, then by document
+        held, end = doc[early], np.searchsorted(code[early], code[early], "right")
+        mine = np.argsort(held, kind="stable")  # the entries of each document
+        first = np.searchsorted(held[mine], np.arange(n + 1))
+        kinds = np.unique(np.array(column("source").to_pylist(), object), return_inverse=True)[1]
+        day, home, part = (column(c).to_numpy(zero_copy_only=False) for c in ("day", "home", "part"))
+        apart = int(table.column("lo")[0].as_py() != table.column("hi")[0].as_py()) if n else 0
+        mark, hit, root = np.zeros(len(often), bool), np.zeros(n, bool), np.arange(n)
+        lefts, rights, scores = [], [], []
+        for a in range(n):
+            own = mine[first[a] : first[a + 1]]
+            hit[:] = False
+            for x in own[end[own] > own + 1].tolist():
+                hit[held[x + 1 : end[x]]] = True
+            b = np.flatnonzero(hit)
+            if not len(b):
+                continue
+            good = (kinds[b] != kinds[a]) & (np.abs(day[b] - day[a]) <= window) & (home[b] | home[a]) & (np.minimum(size[b], size[a]) / np.maximum(size[b], size[a]) >= threshold)
+            good &= (part[b] != part[a]) if apart else True
+            good &= (root[b] != root[a]) if forest else True
+            b = b[good]
+            mark[code[at[a] : at[a + 1]]] = True
+            for some in np.array_split(b, -(-int(size[b].sum()) // STEP)) if len(b) else []:
+                ends = np.cumsum(size[some])
+                places = np.arange(ends[-1]) + np.repeat(at[some] - (ends - size[some]), size[some])
+                both = np.add.reduceat(mark[code[places]].astype(np.int64), ends - size[some])
+                score = both / (size[a] + size[some] - both)
+                found = score >= threshold
+                for c in (some[found] if forest else ()):
+                    if root[c] != root[a]:
+                        lefts.append([a])
+                        rights.append([c])
+                        scores.append([score[some == c][0]])
+                        root[root == root[c]] = root[a]
+                if not forest:
+                    turned = kinds[some[found]] < kinds[a]
+                    lefts.append(np.where(turned, some[found], a))
+                    rights.append(np.where(turned, a, some[found]))
+                    scores.append(score[found])
+            mark[code[at[a] : at[a + 1]]] = False
+        ids, joined = column("id"), lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
+        return pa.table({"a": ids.take(pa.array(joined(lefts, np.int64))), "b": ids.take(pa.array(joined(rights, np.int64))), "score": pa.array(joined(scores, np.float64))})
+
+    return run
 
 
 def similarity(met: DataFrame, sets: DataFrame) -> DataFrame:
@@ -113,7 +172,7 @@ def _roots(stored: DataFrame, window: int, threshold: float, scratch: Scratch) -
     keyed = keyed.join(keyed.groupBy(*alike).agg(F.min("id").alias("stands")), alike).select("id", "stands")
     keyed = scratch.keep(keyed, "alike")
     standing = stored.join(keyed.filter("id = stands").select("id"), "id", "left_semi")
-    roots = components(set_pairs(standing, window, threshold), scratch)
+    roots = components(set_links(standing, window, threshold), scratch)
     return keyed.join(roots.withColumnRenamed("id", "stands"), "stands").select("id", "root")
 
 

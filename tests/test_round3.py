@@ -1,5 +1,9 @@
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from papyrix import durable
+from papyrix.operators import dupes
 from papyrix.plans import oracles, queries
 
 
@@ -12,3 +16,20 @@ def test_pages_agree_with_their_sql_on_references_without_an_end(spark, tmp_path
     for f in (queries.page_meta, queries.page_text):
         want = con.execute(oracles.ORACLES[f.__name__]).fetchall()
         assert sorted(map(tuple, f(spark, str(tmp_path)).collect())) == sorted(want), f.__name__
+
+
+@pytest.mark.parametrize("cell", [3000, 1 << 20])
+def test_near_copies_link_in_as_many_rows_as_documents(spark, monkeypatch, cell):
+    """60 near copies of three days: each set goes to its cells and no set to a pair; links are fewer than documents of a cell."""
+    monkeypatch.setattr(dupes, "CELL", cell)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"d{i:02d}", f"s{i % 4}", i % 3, " ".join([*words[: 40 - i % 7], f"x{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id string, source string, day int, text string").withColumn("published", F.timestamp_seconds(F.col("day") * 86400))
+    sets = durable.Scratch(spark, "test").keep(dupes.shingle_table(docs), "sets")
+    w = {r[0]: r[3].split() for r in rows}
+    held = {i: {tuple(x[j : j + 5]) for j in range(len(x) - 4)} for i, x in w.items()}
+    want = {(a[0], b[0]): round(len(held[a[0]] & held[b[0]]) / len(held[a[0]] | held[b[0]]), 9) for a in rows for b in rows if a[1] < b[1]}
+    assert {(r.a, r.b): round(r.score, 9) for r in dupes.set_pairs(sets).collect()} == {k: v for k, v in want.items() if v >= 0.5} and len(want) == 1350
+    links = dupes.set_links(sets).collect()
+    assert len(links) < (60 if cell > 3000 else 180) and {(min(r), max(r)) for r in links} <= {(min(k), max(k)) for k, v in want.items() if v >= 0.5}
+    assert {r.root for r in dupes.components(dupes.set_links(sets), durable.Scratch(spark, "test")).collect()} == {"d00"}
