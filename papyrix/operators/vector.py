@@ -17,6 +17,8 @@ from .lexical import ORDER, top, top_each
 ROUND_BYTES = 1 << 23
 #: Scores that a task holds at a time.
 SCORES = 1 << 22
+#: Queries that are scored together, so that their sums stay near the processor.
+TILE = 1 << 10
 
 
 def unit(vector: Column) -> Column:
@@ -34,9 +36,14 @@ def unit_list(vector: list[float]) -> list[float]:
 
 def dots(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Single-precision dot products of all rows with all queries, each summed from the first entry to the last."""
-    out = np.zeros((len(rows), len(queries)), np.float32)
-    for d in range(rows.shape[1]):
-        out += rows[:, d, None] * queries[None, :, d]
+    out, columns = np.zeros((len(rows), len(queries)), np.float32), np.ascontiguousarray(queries.T)
+    part = np.empty((len(rows), min(TILE, len(queries))), np.float32)
+    for at in range(0, len(queries), TILE):
+        some = out[:, at : at + TILE]
+        here = part[:, : some.shape[1]]
+        for d in range(rows.shape[1]):
+            np.multiply(rows[:, d, None], columns[None, d, at : at + TILE], out=here)
+            some += here
     return out
 
 
@@ -111,11 +118,13 @@ def cosine_many(vectors: DataFrame, queries: DataFrame, limit: int, round_bytes:
     if widths.least != widths.most:
         raise ValueError("query vectors of several widths")
     none = vectors.select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *ORDER, F.lit(0.0).cast("float").alias("score")).limit(0)
+    # Each vector costs as many products as there are queries, so few bytes are much work: every core gets its share of them.
+    dealt = vectors.repartition(vectors.sparkSession.sparkContext.defaultParallelism)
     found, rounds = None, -(-widths.n * 4 * (widths.most or 0) // round_bytes)
     for number in range(rounds):
         here = asking.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number).collect()  # a round's bytes, about
         if here:
             names = vectors.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(here)], f"query long, query_id {queries.schema['query_id'].dataType.simpleString()}")
-            got = _scanned(vectors, np.array([r.embedding for r in here], np.float32), limit).join(F.broadcast(names), "query").select("query_id", *ORDER, "score")
+            got = _scanned(dealt, np.array([r.embedding for r in here], np.float32), limit).join(F.broadcast(names), "query").select("query_id", *ORDER, "score")
             found = got if found is None else found.union(got)
     return top_each(none if found is None else found, limit)

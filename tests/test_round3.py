@@ -2,11 +2,12 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from papyrix import durable
-from papyrix.operators import dupes, lexical
+from papyrix.operators import dupes, lexical, vector
 from papyrix.plans import oracles, queries
 
 
@@ -53,3 +54,21 @@ def test_a_table_of_queries_is_scored_where_slots_are(spark, monkeypatch, tmp_pa
         want = [(r.source, r.doc_id, r["index"], r["rank"]) for r in lexical.bm25(index, sizes, words, 9).orderBy("rank").collect()]
         assert [(r.source, r.doc_id, r["index"], r["rank"]) for r in got if r.query_id == q] == want
     assert os.listdir(mine.root.removeprefix("file://")) == ["asked"]
+
+
+def test_vectors_of_one_file_are_scanned_by_every_core(spark, monkeypatch):
+    seen, scanned = [], vector._scanned
+    monkeypatch.setattr(vector, "_scanned", lambda vectors, *x: seen.append(vectors.rdd.getNumPartitions()) or scanned(vectors, *x))
+    rows = spark.createDataFrame([("s", n, 0, [float(n % 5), 1.0]) for n in range(50)], "source string, doc_id long, index int, embedding array<float>").coalesce(1)
+    assert vector.cosine_many(rows, rows.select(F.col("doc_id").alias("query_id"), "embedding"), 3).count() == 150
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_products_by_tiles_have_the_bits_of_one_sum(monkeypatch):
+    monkeypatch.setattr(vector, "TILE", 3)
+    rng = np.random.default_rng(1)
+    rows, queries = rng.standard_normal((5, 9), np.float32), rng.standard_normal((8, 9), np.float32)
+    want = np.zeros((5, 8), np.float32)
+    for d in range(9):
+        want += rows[:, d, None] * queries[None, :, d]
+    assert vector.dots(rows, queries).tobytes() == want.tobytes()
