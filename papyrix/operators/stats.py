@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import Scratch
 from ..functions import text
 
 ALL = "all"
@@ -33,7 +34,8 @@ def spread(values: DataFrame, column: str) -> DataFrame:
     Exact: values are counted first, and the p-th percentile is the value at the 0-based place n * p div 100 of the sorted
     values, the least one with more values up to it.
     """
-    kinds = values.groupBy("source", F.col(column).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    # Stored, as everything below starts from it and would read the values anew.
+    kinds = Scratch(values.sparkSession, "spread").keep(values.groupBy("source", F.col(column).cast("long").alias("v")).agg(F.count("*").alias("n")), "kinds")
     kinds = kinds.unionByName(kinds.withColumn("source", F.lit(ALL)).groupBy("source", "v").agg(F.sum("n").alias("n")))
     # A source's distinct values are dealt into ranges; only ranges are walked, each from the count of those before it.
     total = kinds.groupBy("source").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("sum"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrix import durable
-from papyrix.operators import dupes, lexical, vector
+from papyrix.operators import dupes, lexical, stats, vector
 from papyrix.plans import oracles, queries
 
 
@@ -83,3 +83,10 @@ def test_an_index_moves_passages_and_no_posting(spark):
     assert ["slot" in x for x in moved] == [True, False] and plan.count("REPARTITION_BY_COL") == 1, plan
     assert sorted((r.term, r.df, r.cf) for r in made.terms.collect()) == [("a", 50, 100), ("b", 50, 50), ("c", 17, 17), ("cc", 17, 17), ("ccc", 16, 16)]
     assert sum(len(r.entries) for r in made.blocks.collect()) == 150
+
+
+def test_a_spread_reads_its_values_once(spark, tmp_path):
+    spark.range(50).select(F.lit("s").alias("source"), (F.col("id") % 7).alias("v")).write.parquet(f"{tmp_path}/values")
+    got = stats.spread(spark.read.parquet(f"{tmp_path}/values"), "v")
+    assert {tuple(r) for r in got.collect()} == {(name, 0, 3, 6, 6, 6, 2) for name in ("s", "all")}
+    assert str(tmp_path) not in got._jdf.queryExecution().optimizedPlan().toString() and got.inputFiles() and not any(str(tmp_path) in f for f in got.inputFiles())
