@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ from ..functions import text
 WINDOW_DAYS, THRESHOLD, SHINGLE_WORDS = 2, 0.5, 5
 #: Shingles of a part, about, each document counting as ROW more; shingles that are looked up at a time.
 CELL, ROW, STEP = 1 << 20, 64, 1 << 20
+#: Documents that may have partners up to which their ids are broadcast to fetch their sets; more are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def check_options(window: int, threshold: float) -> None:
@@ -45,28 +49,84 @@ def pairs(documents: DataFrame, window: int = WINDOW_DAYS, threshold: float = TH
 
 def set_pairs(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` of a stored ``shingle_table``. Exact."""
-    return _met(stored, window, threshold, False)
+    return _met(close_sets(stored, window, threshold), window, threshold, False)
 
 
 def set_links(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs (a, b) that connect whatever ``set_pairs`` connects: of what a task has linked already, no more pairs are tried."""
-    return _met(stored, window, threshold, True).select("a", "b")
+    return _met(close_sets(stored, window, threshold), window, threshold, True).select("a", "b")
+
+
+def _slabbed(stored: DataFrame, window: int) -> DataFrame:
+    """The dated sets of ``stored`` by slabs of some days, those near the end of a slab also in the next."""
+    home = F.floor(F.col("day") / _span(window))
+    slabs = F.when(F.floor((F.col("day") + window) / _span(window)) > home, F.array(home, home + 1)).otherwise(F.array(home))
+    return stored.filter("day is not null and size > 0 and source is not null").withColumn("slab", F.explode(slabs))
+
+
+def _span(window: int) -> int:
+    return max(4 * window, 1)
 
 
-def _met(stored: DataFrame, window: int, threshold: float, forest: bool) -> DataFrame:
-    """Documents meet in slabs of some days, those near the end of a slab also in the next; a slab of more than CELL shingles is
-    dealt into parts, each met with each. So a set is moved about once however many partners it has, and no task holds more than
-    two parts."""
+def close_sets(stored: DataFrame, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``stored`` that may have a partner, stored, with the ``family`` that they share with any partner.
+
+    The hashes of a slab are dealt into classes, by ranges, of about CELL each. Of two sets at the threshold, the parts that one
+    class holds are at it too, for the whole's share is no more than the best of its parts'. So a task that compares the parts in
+    one class finds the links that may be, and each hash is moved once however many sets a slab has.
+    """
     fields = {f.name: f.dataType.simpleString() for f in stored.schema}
-    span = max(4 * window, 1)
-    home = F.floor(F.col("day") / span)
-    slabs = F.when(F.floor((F.col("day") + window) / span) > home, F.array(home, home + 1)).otherwise(F.array(home))
-    rows = stored.filter("day is not null and size > 0 and source is not null").withColumn("home", home).withColumn("slab", F.explode(slabs))
-    parts = rows.groupBy("slab").agg(F.ceil(F.sum(F.col("size") + ROW) / CELL).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = rows.join(F.broadcast(parts), "slab").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("slab", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "source", "day", (F.col("slab") == F.col("home")).alias("home"), "h")
-    return rows.groupBy("slab", "lo", "hi").applyInArrow(_cell(window, threshold, forest), f"a {fields['id']}, b {fields['id']}, score double")
+    scratch = Scratch(stored.sparkSession, "close")
+    rows = _slabbed(stored, window)
+    classes = rows.groupBy("slab").agg(F.ceil(F.sum(F.col("size") + ROW) / CELL).alias("classes"))
+    dealt = rows.join(F.broadcast(classes), "slab").select("slab", "classes", "id", "source", "day", "h")
+    dealt = dealt.mapInArrow(_dealt, f"slab long, class long, id {fields['id']}, source string, day {fields['day']}, h array<bigint>")
+    links = dealt.groupBy("slab", "class").applyInArrow(_cell(window, threshold, True), f"a {fields['id']}, b {fields['id']}, score double")
+    found = scratch.keep(components(links, scratch).withColumnRenamed("root", "family"), "families")
+    found = F.broadcast(found) if found.count() <= BROADCAST else found
+    return scratch.keep(stored.join(found, "id"), "sets")
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's runs of hashes of one class, as rows of their own."""
+    for batch in batches:
+        sets, classes = batch.column("h"), batch.column("classes").to_numpy()
+        flat = sets.flatten().to_numpy()
+        row = np.repeat(np.arange(len(sets)), np.diff(sets.offsets.to_numpy()))
+        kind = (((flat >> 32) + (1 << 31)) * classes[row]) >> 32
+        at = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (kind[1:] != kind[:-1]))[: len(flat)])
+        runs = pa.ListArray.from_arrays(pa.array(np.append(at, len(flat)), pa.int32()), pa.array(flat))
+        of = pa.array(row[at])
+        yield pa.RecordBatch.from_pydict({"slab": batch.column("slab").take(of), "class": pa.array(kind[at]), **{c: batch.column(c).take(of) for c in ("id", "source", "day")}, "h": runs})
+
+
+def _met(close: DataFrame, window: int, threshold: float, forest: bool) -> DataFrame:
+    """Pairs of ``close_sets``. Families of a slab meet in bins of about CELL shingles, so a set is moved once however many partners
+    it has; only a family that is larger by itself is dealt into parts, each met with each. No task holds more than two parts."""
+    fields = {f.name: f.dataType.simpleString() for f in close.schema}
+    rows = _slabbed(close, window)
+    sizes = rows.groupBy("slab", "family").agg(F.sum(F.col("size") + ROW).alias("n"))
+    bins = sizes.filter(F.col("n") <= CELL).groupBy("slab").agg(F.ceil(F.sum("n") / CELL).alias("bins"))
+    large = sizes.filter(F.col("n") > CELL).select("slab", "family", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    rows = rows.join(F.broadcast(bins), "slab", "left").join(F.broadcast(large), ["slab", "family"], "left")
+    rows = rows.withColumn("bin", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("family"), F.col("bins"))).otherwise(F.xxhash64("family"))).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("slab", "bin", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "source", "day", "h")
+    return rows.groupBy("slab", "bin", "lo", "hi").applyInArrow(_cell(window, threshold, forest), f"a {fields['id']}, b {fields['id']}, score double")
+
+
+def _alike(code: np.ndarray, at: np.ndarray, kinds: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """Per set (its codes begin at ``at``) the first one of its source, day and codes, told by two sums of 64 bits: it has the same
+    partners."""
+    if not len(at):
+        return at
+    x, sums = code.astype(np.uint64) + np.uint64(1), []
+    for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        h = x * np.uint64(k)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        sums.append(np.add.reduceat(h ^ (h >> np.uint64(32)), at).view(np.int64))
+    _, first, group = np.unique(np.column_stack([*sums, kinds, day]), axis=0, return_index=True, return_inverse=True)
+    return first[group.ravel()]
 
 
 def _cell(window: int, threshold: float, forest: bool):
@@ -81,28 +141,33 @@ def _cell(window: int, threshold: float, forest: bool):
         at = np.concatenate([[0], np.cumsum(size)])
         often = np.bincount(code)
         doc = np.repeat(np.arange(n, dtype=np.int32), size)
+        kinds = np.unique(np.array(column("source").to_pylist(), object), return_inverse=True)[1]
+        day, slab = column("day").to_numpy(zero_copy_only=False), column("slab").to_numpy(zero_copy_only=False)
+        home, dealt = day // _span(window) == slab, "part" in table.column_names
+        part = column("part").to_numpy() if dealt else None
+        apart = dealt and n and column("lo")[0].as_py() != column("hi")[0].as_py()
+        stands = _alike(code, at[:-1], kinds, day) if forest and not apart else np.arange(n)
         order = np.lexsort((code, often[code], doc))
         code, place = code[order], np.arange(len(code)) - at[doc]
         near = np.ceil(size * threshold)
         least = np.maximum(1, np.where((near - 1) / size >= threshold, near - 1, near)).astype(np.int64)
-        early = np.flatnonzero((place < (size - least + 1)[doc]) & (often[code] > 1))
+        early = np.flatnonzero((place < (size - least + 1)[doc]) & (often[code] > 1) & (stands[doc] == doc))
         early = early[np.argsort(code[early], kind="stable")]  # by shingle, then by document
         held, end = doc[early], np.searchsorted(code[early], code[early], "right")
         mine = np.argsort(held, kind="stable")  # the entries of each document
         first = np.searchsorted(held[mine], np.arange(n + 1))
-        kinds = np.unique(np.array(column("source").to_pylist(), object), return_inverse=True)[1]
-        day, home, part = (column(c).to_numpy(zero_copy_only=False) for c in ("day", "home", "part"))
-        apart = int(table.column("lo")[0].as_py() != table.column("hi")[0].as_py()) if n else 0
         mark, hit, root = np.zeros(len(often), bool), np.zeros(n, bool), np.arange(n)
         lefts, rights, scores = [], [], []
-        for a in range(n):
+        for a in np.unique(held[end > np.arange(len(end)) + 1]).tolist():
             own = mine[first[a] : first[a + 1]]
-            hit[:] = False
-            for x in own[end[own] > own + 1].tolist():
-                hit[held[x + 1 : end[x]]] = True
-            b = np.flatnonzero(hit)
-            if not len(b):
-                continue
+            later = [held[x + 1 : end[x]] for x in own[end[own] > own + 1].tolist()]
+            if sum(map(len, later)) < n:
+                b = np.unique(np.concatenate(later))
+            else:
+                hit[:] = False
+                for x in later:
+                    hit[x] = True
+                b = np.flatnonzero(hit)
             good = (kinds[b] != kinds[a]) & (np.abs(day[b] - day[a]) <= window) & (home[b] | home[a]) & (np.minimum(size[b], size[a]) / np.maximum(size[b], size[a]) >= threshold)
             good &= (part[b] != part[a]) if apart else True
             good &= (root[b] != root[a]) if forest else True
@@ -126,6 +191,11 @@ def _cell(window: int, threshold: float, forest: bool):
                     rights.append(np.where(turned, a, some[found]))
                     scores.append(score[found])
             mark[code[at[a] : at[a + 1]]] = False
+        if forest and lefts:
+            met = np.zeros(n, bool)
+            met[np.array(lefts + rights).ravel()] = True
+            more = np.flatnonzero(met[stands] & (stands != np.arange(n)))
+            lefts, rights, scores = [*lefts, stands[more]], [*rights, more], [*scores, np.ones(len(more))]
         ids, joined = column("id"), lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
         return pa.table({"a": ids.take(pa.array(joined(lefts, np.int64))), "b": ids.take(pa.array(joined(rights, np.int64))), "score": pa.array(joined(scores, np.float64))})
 
@@ -147,7 +217,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Labels move to the least of their neighbours and then to their label's label, so rounds grow with the logarithm of a
     component's length. Each round is a table in the cluster's shared folder.
     """
-    both = scratch.keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    either = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))  # ``edges`` are made once
+    both = scratch.keep(edges.select(either.alias("e")).select("e.a", "e.b").distinct(), "edges")
     labels = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).select(F.col("a").alias("id"), "root"), "labels0")
     step = 0
     while True:
@@ -161,18 +232,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         labels = after.select("id", "root")
 
 
-def _roots(stored: DataFrame, window: int, threshold: float, scratch: Scratch) -> DataFrame:
-    """(id, root) of every document of a stored ``shingle_table`` that has a partner; the root is its component's smallest id.
+def _roots(close: DataFrame, window: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """(id, root) of every document of ``close_sets`` that has a partner; the root is its component's smallest id.
 
     Documents of one source, day and set have the same partners, so one of them stands for all: copies in any number are as
     many rows as they have sources and days.
     """
     alike = ["source", "day", "one", "two"]
-    keyed = stored.filter("day is not null and size > 0").select("id", "source", "day", F.xxhash64("h").alias("one"), F.xxhash64(F.lit(1), F.col("h")).alias("two"))
+    keyed = close.select("id", "source", "day", F.xxhash64("h").alias("one"), F.xxhash64(F.lit(1), F.col("h")).alias("two"))
     keyed = keyed.join(keyed.groupBy(*alike).agg(F.min("id").alias("stands")), alike).select("id", "stands")
     keyed = scratch.keep(keyed, "alike")
-    standing = stored.join(keyed.filter("id = stands").select("id"), "id", "left_semi")
-    roots = components(set_links(standing, window, threshold), scratch)
+    standing = close.join(keyed.filter("id = stands").select("id"), "id", "left_semi")
+    roots = components(_met(standing, window, threshold, True), scratch)
     return keyed.join(roots.withColumnRenamed("id", "stands"), "stands").select("id", "root")
 
 
@@ -185,8 +256,9 @@ def members(documents: DataFrame, priorities: DataFrame | None = None, window: i
     """
     check_options(window, threshold)
     scratch = Scratch(documents.sparkSession, "dupes")
-    stored = scratch.keep(shingle_table(documents), "sets")
-    roots = scratch.keep(_roots(stored, window, threshold, scratch), "roots")
+    close = close_sets(scratch.keep(shingle_table(documents), "sets"), window, threshold)
+    scratch.drop("sets")
+    roots = scratch.keep(_roots(close, window, threshold, scratch), "roots")
     rows = documents.select("id", "source", "published", "words", "title").join(roots, "id")
     if priorities is not None:
         rows = rows.join(priorities.select("source", "priority"), "source", "left")
@@ -194,7 +266,7 @@ def members(documents: DataFrame, priorities: DataFrame | None = None, window: i
         rows = rows.withColumn("priority", F.lit(0))
     rows = scratch.keep(rows.withColumn("priority", F.coalesce("priority", F.lit(0))), "rows")
     rows = with_winners(rows)
-    sets = stored.select("id", "h").join(roots.select("id"), "id", "left_semi")
+    sets = close.select("id", "h").join(roots.select("id"), "id", "left_semi")
     scores = similarity(rows.filter("id <> winner_id").select(F.col("winner_id").alias("a"), F.col("id").alias("b")), sets).select(F.col("b").alias("id"), "score")
     rows = rows.join(scores, "id", "left")
     made = rows.select(F.col("root").alias("group_id"), "id", "source", "priority", (F.col("id") == F.col("winner_id")).alias("winner"), F.when(F.col("id") == F.col("winner_id"), 1.0).otherwise(F.col("score")).alias("score"), "published", "words", "title", "winner_id")

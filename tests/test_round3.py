@@ -39,6 +39,31 @@ def test_near_copies_link_in_as_many_rows_as_documents(spark, monkeypatch, cell)
     assert {r.root for r in dupes.components(dupes.set_links(sets), durable.Scratch(spark, "test")).collect()} == {"d00"}
 
 
+def test_a_crowded_slab_moves_each_hash_about_once(spark, monkeypatch):
+    """300 documents of one day, of which 40 are near copies, in cells of a 50th of them: no set goes to all cells of its slab."""
+    monkeypatch.setattr(dupes, "CELL", 1000)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[: 100 - i % 9], f"x{i}"]) if i < 40 else " ".join(f"y{i}-{j}" for j in range(90)) for i in range(300)]
+    docs = spark.createDataFrame([(f"d{i:03d}", f"s{i % 4}", t) for i, t in enumerate(texts)], "id string, source string, text string").withColumn("published", F.timestamp_seconds(F.lit(864000)))
+    sets = durable.Scratch(spark, "test").keep(dupes.shingle_table(docs), "sets")
+    moved, made = spark.sparkContext.accumulator(0), dupes._cell
+
+    def counting(*args):
+        run = made(*args)
+
+        def both(table):
+            moved.add(sum(map(len, table.column("h").to_pylist())))
+            return run(table)
+
+        return both
+
+    monkeypatch.setattr(dupes, "_cell", counting)
+    found = {(r.a, r.b) for r in dupes.set_pairs(sets).collect()}
+    assert found == {(f"d{i:03d}", f"d{j:03d}") for i in range(40) for j in range(40) if i % 4 < j % 4}
+    total = sets.agg(F.sum("size")).first()[0]
+    assert total > 20 * dupes.CELL and moved.value < 2 * total
+
+
 def test_a_table_of_queries_is_scored_where_slots_are(spark, monkeypatch, tmp_path):
     """In rounds of two queries and a few passages and hits at a time: what each query finds, and no table of slots or hits beside the terms."""
     for name, value in (("ROUND", 2), ("CELLS", 64), ("HELD", 10)):
