@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Fixed values, in bytes: what packing aims at, the longest paragraph left whole, the shortest last passage.
 TARGET, LONGEST, SHORTEST = 1200, 2000, 200
 SPANS = "array<struct<start:int,end:int>>"
@@ -76,11 +78,14 @@ def passage_spans(text: Column) -> Column:
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """Passages of ``documents`` (id, source, text): one row each, with offsets before trimming and the trimmed text."""
-    rows = documents.select(F.col("id").alias("doc_id"), "source", F.col("text").alias("whole"), F.posexplode(passage_spans(F.col("text"))).alias("index", "span"))
+    """Passages of ``documents`` (id, source, text): one row each, with offsets before trimming and the trimmed text.
+
+    Texts are sliced before passages become rows, so that no passage's row carries the whole text."""
+    rows = documents.select(F.col("id").alias("doc_id"), "source", F.col("text").cast("binary").alias("whole"), passage_spans(F.col("text")).alias("spans"))
+    slices = let(F.col("whole"), lambda raw: F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(raw, s["start"] + 1, s["end"] - s["start"]).alias("raw"))))
+    rows = rows.select("doc_id", "source", F.posexplode(slices).alias("index", "span"))
     # A cut within a character leaves the replacement character on either side.
-    raw = F.substring(F.col("whole").cast("binary"), F.col("span.start") + 1, F.col("span.end") - F.col("span.start"))
-    text = F.regexp_replace(F.make_valid_utf8(raw.cast("string")), r"\A[\n ]+|[\n ]+\z", "")
+    text = F.btrim(F.make_valid_utf8(F.col("span.raw").cast("string")), F.lit("\n "))
     return rows.select(
         F.concat("doc_id", F.lit("#"), F.col("index").cast("string")).alias("id"), "doc_id", "source", "index", F.col("span.start").alias("start"), F.col("span.end").alias("end"), text.alias("text"),
     ).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))

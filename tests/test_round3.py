@@ -1,5 +1,6 @@
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrix import durable
+from papyrix.functions import chunk
 from papyrix.operators import dupes, lexical, stats, vector
 from papyrix.plans import oracles, queries
 
@@ -115,3 +117,15 @@ def test_a_spread_reads_its_values_once(spark, tmp_path):
     got = stats.spread(spark.read.parquet(f"{tmp_path}/values"), "v")
     assert {tuple(r) for r in got.collect()} == {(name, 0, 3, 6, 6, 6, 2) for name in ("s", "all")}
     assert str(tmp_path) not in got._jdf.queryExecution().optimizedPlan().toString() and got.inputFiles() and not any(str(tmp_path) in f for f in got.inputFiles())
+
+
+def test_passages_are_cut_before_they_are_rows(spark, tmp_path):
+    """Rows of passages carry no whole text, and paragraphs are cut at every 400 characters of a line, wherever a line ends."""
+    docs = spark.createDataFrame([("d", "s", " one\n\n" * 900)], "id string, source string, text string")
+    plan = chunk.chunks(docs)._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate posexplode\(.*\), \[([^\]]*)\], false", plan)
+    assert [re.sub(r"#\d+", "", c) for c in carried] == ["doc_id, source"]
+    texts = ["x" * n + "\n" + "\U0001f600b" * n + "\n\nend" for n in (0, 1, 199, 200, 399, 400, 401, 800, 1000, 1201)]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.text for r in queries._paragraphs(spark, str(tmp_path)).collect()}
+    assert got == {str(i): re.sub("([^\n]{400})", "\\1\n\n", t.replace("\n", "\n\n")) for i, t in enumerate(texts)}
