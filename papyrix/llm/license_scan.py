@@ -53,12 +53,14 @@ TEMPLATES = {
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; to split there costs a fraction of extracting them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def words(text) -> F.Column:
     """Null as no words; A-Z in lower case; words are runs of ASCII letters, digits and non-ASCII characters."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _UPPER.lower()), BETWEEN), "")
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]] = TEMPLATES, k: int = K) -> DataFrame:
@@ -113,12 +115,15 @@ def license_spans(docs: DataFrame, k: int = K, templates: dict[str, list[str]] =
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     rows = rows.select("row", "doc_id", "w", F.size("w").cast("long").alias("n_words"), _base_starts(F.col("w")).alias("base"))
-    count = F.greatest(F.size("w") - k + 1, F.lit(0))
-    hashes = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, k))))
-    # Position -1 stands for the document itself, so that a document without any match keeps its row.
-    grams = rows.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), F.coalesce(hashes, F.array().cast("array<bigint>"))))
-    grams = grams.select("row", "doc_id", "w", "n_words", "base", F.posexplode("hashes").alias("p", "h")).withColumn("p", F.col("p") - 1)
     known = template_grams(spark, templates, k)  # as large as the templates given, whatever the corpus
+    hashes = [r.gram_hash for r in known.select("gram_hash").distinct().collect()]
+    count = F.greatest(F.size("w") - k + 1, F.lit(0))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.struct((i - 1).alias("p"), F.xxhash64(F.slice("w", i, k)).alias("h")))
+    # Only k-grams whose hash a template has become rows. Position -1 stands for the document itself, so that one without any keeps its row.
+    hits = F.when(count > 0, F.filter(every, lambda g: g["h"].isin(hashes)))
+    itself = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h")))
+    grams = rows.withColumn("gram_at", F.explode(F.concat(itself, F.coalesce(hits, F.slice(itself, 1, 0)))))
+    grams = grams.select("row", "doc_id", "w", "n_words", "base", "gram_at.p", "gram_at.h")
     met = grams.join(F.broadcast(known), F.col("h") == F.col("gram_hash"), "left")
     sure = (F.col("p") >= 0) & (F.slice("w", F.col("p") + 1, k) == F.col("gram"))
     met = met.filter(sure | (F.col("p") == -1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from papyrix import durable
 from papyrix.functions import chunk
+from papyrix.llm import license_scan
 from papyrix.operators import dupes, lexical, stats, vector
 from papyrix.plans import oracles, queries
 
@@ -129,3 +130,15 @@ def test_passages_are_cut_before_they_are_rows(spark, tmp_path):
     spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.id: r.text for r in queries._paragraphs(spark, str(tmp_path)).collect()}
     assert got == {str(i): re.sub("([^\n]{400})", "\\1\n\n", t.replace("\n", "\n\n")) for i, t in enumerate(texts)}
+
+
+def test_only_grams_of_templates_become_rows(spark):
+    """The license scan filters k-grams within a row; words are the runs between other characters, at either end too."""
+    texts = ["", None, " a", "MIT License.", "..x-y é ", "\U0001f600 0z", " ".join(f"w{i}" for i in range(3000)) + " licensed under the MIT license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in docs.select("text", license_scan.words(F.col("text")).alias("w")).collect():
+        assert r.w == re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m.group().lower(), r.text or ""))
+    plan = license_scan.license_spans(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(.*filter\(", plan)
+    got = {r.doc_id: (r.n_words, [(s.label, s["first"], s["last"]) for s in r.spans]) for r in license_scan.license_spans(docs).collect()}
+    assert got[6] == (3005, [("mit", 3000, 3004)]) and got[0] == got[1] == (0, []) and got[3] == (2, [])
