@@ -1,7 +1,8 @@
 """Pairs of sets that share an inverted list, found by bottom-k sketches without meeting all pairs of a list.
 
 A row is a member of a list: (key, rep, comp, n, sketch), ``sketch`` being the least hashes of a set of ``n`` as bytes. Only
-members of different components are compared, block by block, and only pairs whose estimate may pass come out.
+members of different components are compared, block by block, and only pairs whose estimate may pass come out; of pairs known to
+be linked only those that connect components.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 ERRORS = 4.0
 #: Members of one list that a task compares with another such block.
 BLOCK = 512
+#: Values that a membership matrix has as columns at once.
+COLUMNS = 4096
 
 _TOP = np.iinfo(np.uint64).max
 
@@ -43,32 +46,66 @@ def promising(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int, k: i
     return both >= len(union) * least_estimate(percent, len(union), whole)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many values each set on the left has in common with each on the right (on the left, if there is no other side):
+    products of their membership matrices, some columns at a time."""
+    names, times = np.unique(np.concatenate(left if right is None else [np.unique(np.concatenate(x)) for x in (left, right)]), return_counts=True)
+    names = names[times > 1]
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
+    for at in range(0, len(names), COLUMNS):
+        mine = _membership(left, names[at : at + COLUMNS])
+        out += mine @ (mine if right is None else _membership(right, names[at : at + COLUMNS])).T
+    return out.astype(np.int64)
+
+
+def _membership(sets: list[np.ndarray], names: np.ndarray) -> np.ndarray:
+    values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    column = np.minimum(np.searchsorted(names, values), len(names) - 1)
+    held = names[column] == values
+    out = np.zeros((len(sets), len(names)), np.float32)
+    out[row[held], column[held]] = 1
+    return out
+
+
 def list_pairs(reps, comps, side, sizes, sketches: list[bytes], apart: bool, percent: int, k: int) -> list[tuple[int, int]]:
-    """Of one list (or two blocks of one, on either ``side``): pairs of different components whose estimate may pass."""
-    values = np.full((len(reps), k), _TOP, np.uint64)
-    for i, raw in enumerate(sketches):
-        values[i, : min(len(raw) // 8, k)] = np.frombuffer(raw, np.uint64)[:k]
-    kept = np.minimum(sizes, k)
-    known = np.arange(k) < kept[:, None]
-    names, number = np.unique(values, return_inverse=True)
-    number = number.reshape(values.shape)
+    """Of one list (or two blocks of one, on either ``side``): pairs of different components whose estimate may pass. Sets of at
+    most ``k`` hashes are known whole, so of these only linked pairs come out, and no more than connect their components;
+    pairs of other sets come out where those do not connect their components already."""
+    values = [np.frombuffer(raw, np.uint64)[:k] for raw in sketches]
     # A sketch tells of all values up to its last one, or of all there are if it holds the whole set.
-    reach = np.where(sizes > k, values[np.arange(len(reps)), kept - 1], _TOP)
+    reach = np.array([x[-1] if n > k else _TOP for x, n in zip(values, sizes)], np.uint64)
+    every = np.arange(len(reps))
+    left, right = (np.flatnonzero(side == side.min()), np.flatnonzero(side != side.min())) if apart else (every, every)
+    if not len(left) or not len(right):
+        return []
+    n, m = sizes[left][:, None], sizes[right][None, :]
+    good = (comps[left][:, None] != comps[right]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    good &= apart | (left[:, None] < right)
+    if not good.any():
+        return []
+    both = _shared([values[i] for i in left], [values[j] for j in right] if apart else None)
+    mine = np.stack([np.searchsorted(values[i], reach[right], side="right") for i in left])
+    theirs = np.stack([np.searchsorted(values[j], reach[left], side="right") for j in right]).T
+    either = mine + theirs - both
+    known = np.minimum(reach[left][:, None], reach[right]) == _TOP
+    whole = np.where(known, either, (n + m) / (1 + percent / 100))
+    good &= both >= either * least_estimate(percent, either, whole)
+    names, number = np.unique(comps, return_inverse=True)
+    root = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
     found = []
-    for i in range(len(reps) - 1):
-        js = i + 1 + np.flatnonzero((comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (not apart)))
-        js = js[100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])]
-        if not len(js):
-            continue
-        end = np.minimum(reach[js], reach[i])[:, None]
-        mine = np.zeros(len(names), bool)
-        mine[number[i, : kept[i]]] = True
-        theirs = known[js] & (values[js] <= end)
-        both = (mine[number[js]] & theirs).sum(1)
-        either = theirs.sum(1) + (known[i] & (values[i] <= end)).sum(1) - both
-        whole = np.where(end[:, 0] == _TOP, either, (sizes[js] + sizes[i]) / (1 + percent / 100))
-        good = both >= either * least_estimate(percent, either, whole)
-        found += [(min(a, b), max(a, b)) for a, b in zip([int(reps[i])] * int(good.sum()), reps[js[good]].tolist())]
+    for some, linked in ((good & known, True), (good & ~known, False)):
+        for i, j in zip(*(x.tolist() for x in np.nonzero(some))):
+            i, j = left[i], right[j]
+            if (x := top(number[i])) != (y := top(number[j])):
+                found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+                if linked:
+                    root[x] = y
     return found
 
 
@@ -133,7 +170,8 @@ def list_blocks(members: DataFrame, *columns: str) -> DataFrame:
 
 
 def compared_lists(members: DataFrame, percent: int, k: int) -> DataFrame:
-    """The distinct pairs (a, b), a < b, of different components in the lists of ``members`` whose estimate may pass; rows are
-    those of ``mixed_lists`` with n and sketch."""
+    """Distinct pairs (a, b), a < b, of different components in the lists of ``members`` whose estimate may pass, as of
+    ``list_pairs``: all links between them connect what all links in the lists connect. Rows are those of ``mixed_lists`` with n
+    and sketch."""
     rows = list_blocks(members, "sketch", "n").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
     return rows.mapInArrow(_comparer(percent, k), "a long, b long").distinct()

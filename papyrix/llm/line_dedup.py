@@ -3,7 +3,7 @@
 Equal lines are one class. A class is signed by the minima of its character shingles' hashes: short lines under permutations of
 their own, long ones by one permutation whose hashes are dealt into bins. The minima of a band together open a list. Each
 class is first compared with the hubs that it shares most lists with, a list having two; what that links is contracted into
-components, and then the classes of different components that share a list are compared. Linked means a Jaccard similarity of
+components, and then the classes of different components that share a hub are compared. Linked means a Jaccard similarity of
 all character shingles at the threshold, which is always computed exactly.
 
 Signing and comparing run in Arrow batches. A form of DataFrame functions alone was tried and measured (see the README): it took
@@ -36,9 +36,9 @@ BANDS, ROWS = 8, 3
 OWN, BINNED = 127, 101
 #: Hubs that a class is compared with at first.
 HUBS = 3
-#: Members up to which all pairs of a list are compared exactly; those of longer lists are estimated by their least SKETCH
-#: hashes first.
-SMALL, SKETCH = 4, 64
+#: Members up to which all pairs of a hub's classes are compared exactly; those of more are estimated by their least SKETCH
+#: hashes first, which tell a pair of lines of no more shingles exactly, and a similarity of 0.73 from the threshold otherwise.
+SMALL, SKETCH = 4, 512
 #: Hashes that a bin holds on average when the least of a long line's are looked at first.
 LEAST = 8
 #: Classes whose digests (16 bytes each) are broadcast to fetch their lines; more are joined by a shuffle.
@@ -312,8 +312,11 @@ def line_links(signed: DataFrame, scratch: Scratch, percent: int = PERCENT) -> t
     first = scratch.keep(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "first")
     links = scratch.keep(verified(first, texts, percent), "links0")
     comps = connected_components(links, scratch, "cc").select("node", "component")
-    rows = bands.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+    # Classes that share a list share its first hub, and near copies share it in most of their lists: one list of it stands for all.
+    rows = bands.select("node", F.col("n0").alias("key")).distinct().join(comps, "node", "left")
+    rows = rows.select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
     mixed = scratch.keep(mixed_lists(rows), "mixed")
+    scratch.drop("bands")
     long = mixed.filter(F.col("m") > SMALL)
     sketches = texts.join(long.select(F.col("rep").alias("node")).distinct(), "node").select("node", "line").mapInArrow(_sketcher, "rep long, n long, sketch binary")
     pairs = small_pairs(mixed, SMALL).select("a", "b").union(compared_lists(long.join(sketches, "rep"), percent, SKETCH)).distinct()

@@ -360,6 +360,32 @@ def test_long_lists_of_lines(spark, monkeypatch):
     assert got == lines_by_hand(rows)
 
 
+def test_a_large_family_of_lines_makes_few_pairs():
+    """Near copies that mostly are not linked with each other, or mostly are: what is compared further does not grow with all pairs."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
+    shared, some = [word() for _ in range(60)], [word() for _ in range(3)]
+    for rate in (0.05, 0.01):
+        lines = [" ".join(w if rng.random() > rate else some[rng.integers(0, 3)] for w in shared) for _ in range(150)]
+        sets = list(line_dedup._sets(lines))
+        sketches = [x[: line_dedup.SKETCH].tobytes() for x in sets]
+        reps = np.arange(len(lines))
+        sizes = np.array([len(x) for x in sets])
+        links = [(a, b) for a in reps for b in reps if a < b and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+        for apart, pairs in ((False, links), (True, [(a, b) for a, b in links if (a + b) % 2])):
+            got = candidates.list_pairs(reps, reps, reps % 2, sizes, sketches, apart, line_dedup.PERCENT, line_dedup.SKETCH)
+            assert len(got) < len(reps) and {*got} <= {*pairs} and joined(got, len(reps)) == joined(pairs, len(reps))
+
+
+def joined(pairs, n):
+    root = list(range(n))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return [find(i) for i in range(n)]
+
+
 def test_lines_of_rows_that_share_an_id(spark):
     line = "a line that is long enough to be a line of its own"
     rows = [(13, "only here, in the first row"), (13, f"{line}\nand only here, in the second"), (13, f"{line}\nlast"), (None, f"{line}!\nwithout an id"), (None, None), (14, ""), (15, "x" * 200_000 + "\n" + line)]
