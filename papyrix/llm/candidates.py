@@ -153,14 +153,14 @@ def small_pairs(mixed: DataFrame, most: int) -> DataFrame:
     return left.join(right, "key").filter("a < b and ca <> cb").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def list_blocks(members: DataFrame, *columns: str) -> DataFrame:
+def list_blocks(members: DataFrame, *columns: str, times: int = 1) -> DataFrame:
     """The rows of ``mixed_lists`` (with ``columns``) dealt into groups (key, low, high), rows of two sides in a group being
     apart where low <> high. Rows (key, low, high, side, rep, comp, ``columns``).
 
     A list is dealt into blocks, those of its largest component apart from the rest, and each pair of blocks is one group but
     for pairs of blocks of the largest component. So a huge group with a fringe is copied as often as the fringe has blocks.
     """
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    blocks = lambda n: F.ceil(n / (BLOCK * times)).cast("int")
     rows = members.withColumn("fringe", blocks(F.col("m") - F.col("m_major"))).withColumn("core", blocks(F.col("m_major")))
     inside = F.col("comp") == F.col("major")
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -169,9 +169,9 @@ def list_blocks(members: DataFrame, *columns: str) -> DataFrame:
     return rows.select("key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep", "comp", *columns)
 
 
-def compared_lists(members: DataFrame, percent: int, k: int) -> DataFrame:
+def compared_lists(members: DataFrame, percent: int, k: int, times: int = 1) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different components in the lists of ``members`` whose estimate may pass, as of
     ``list_pairs``: all links between them connect what all links in the lists connect. Rows are those of ``mixed_lists`` with n
-    and sketch."""
-    rows = list_blocks(members, "sketch", "n").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
+    and sketch; a block has BLOCK members ``times`` over, and the links passed on are as many as its members for each other block."""
+    rows = list_blocks(members, "sketch", "n", times=times).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "rep")
     return rows.mapInArrow(_comparer(percent, k), "a long, b long").distinct()

@@ -39,6 +39,8 @@ HUBS = 3
 #: Members up to which all pairs of a hub's classes are compared exactly; those of more are estimated by their least SKETCH
 #: hashes first, which tell a pair of lines of no more shingles exactly, and a similarity of 0.73 from the threshold otherwise.
 SMALL, SKETCH = 4, 512
+#: Blocks of so many times the usual members are compared, so that fewer links are found more than once.
+TIMES = 2
 #: Hashes that a bin holds on average when the least of a long line's are looked at first.
 LEAST = 8
 #: Classes whose digests (16 bytes each) are broadcast to fetch their lines; more are joined by a shuffle.
@@ -319,7 +321,7 @@ def line_links(signed: DataFrame, scratch: Scratch, percent: int = PERCENT) -> t
     scratch.drop("bands")
     long = mixed.filter(F.col("m") > SMALL)
     sketches = texts.join(long.select(F.col("rep").alias("node")).distinct(), "node").select("node", "line").mapInArrow(_sketcher, "rep long, n long, sketch binary")
-    pairs = small_pairs(mixed, SMALL).select("a", "b").union(compared_lists(long.join(sketches, "rep"), percent, SKETCH)).distinct()
+    pairs = small_pairs(mixed, SMALL).select("a", "b").union(compared_lists(long.join(sketches, "rep"), percent, SKETCH, TIMES)).distinct()
     rest = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"), "rest")
     links = scratch.keep(links.union(verified(rest, texts, percent)), "links1")
     return classes, connected_components(links, scratch, "lines")
