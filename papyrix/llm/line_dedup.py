@@ -1,29 +1,28 @@
 """Operator 8: fuzzy line deduplication by MinHash.
 
-Equal lines are one class. A class is signed by the minima of its character shingles' hashes: short lines under permutations of
-their own, long ones by one permutation whose hashes are dealt into bins. The minima of a band together open a list. Each
-class is first compared with the hubs that it shares most lists with, a list having two; what that links is contracted into
-components, and then the classes of different components that share a hub are compared. Linked means a Jaccard similarity of
-all character shingles at the threshold, which is always computed exactly.
-
-Signing and comparing run in Arrow batches. A form of DataFrame functions alone was tried and measured (see the README): it took
-well over twice the budget, and did not end where one group of near copies is large. Lists, counts and union-find are DataFrame
-operations.
+Equal lines are one class. A class is signed by the minima of its character shingles' hashes under permutations; the minima of a
+band together open a list. Each class is first compared with the hubs that it shares most lists with, a list having two; what
+that links is contracted into components, and then the classes of different components that share a hub are compared: with few
+hubs of a long list a round while rounds join components, and then with each other. Of all these pairs, bitmaps of the shingles
+rule out most that cannot be linked, and none that can. Linked means a Jaccard similarity of all character shingles at the
+threshold, which is always computed exactly.
+
+All of it is DataFrame functions: shingles are rows of a few positions that are folded into minima where they are made, and the
+sets of a pair are arrays (rows for very long lines).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetable import mix, sums
-from .candidates import compared_lists, mixed_lists, small_pairs
-from .common import Scratch, prepare
+from .bytetable import mix
+from .candidates import list_blocks, mixed_lists, small_pairs
+from .common import Scratch
 from .components import connected_components
 
 #: Characters of a shingle, and the least Jaccard similarity in percent.
@@ -31,312 +30,209 @@ SHINGLE, PERCENT = 8, 80
 #: Bands and minima of a band. Two lines share no band with a chance of (1 - 0.8 ** 3) ** 8 = 0.003 at a similarity of 0.8, and
 #: of 0.00003 at 0.9.
 BANDS, ROWS = 8, 3
-#: Lines of at most OWN shingles are signed by permutations of their own, those of at least BINNED by bins of one; lines of either
-#: kind that may be linked share one, for 100 * BINNED is no more than 80 * OWN.
-OWN, BINNED = 127, 101
-#: Hubs that a class is compared with at first.
+#: Hubs that a class is compared with at first, and hubs of a long list in each round.
 HUBS = 3
-#: Members up to which all pairs of a hub's classes are compared exactly; those of more are estimated by their least SKETCH
-#: hashes first, which tell a pair of lines of no more shingles exactly, and a similarity of 0.73 from the threshold otherwise.
-SMALL, SKETCH = 4, 512
-#: Blocks of so many times the usual members are compared, so that fewer links are found more than once.
-TIMES = 2
-#: Hashes that a bin holds on average when the least of a long line's are looked at first.
-LEAST = 8
-#: Classes whose digests (16 bytes each) are broadcast to fetch their lines; more are joined by a shuffle.
+#: Members up to which all pairs of a hub's classes are compared without rounds.
+SMALL = 4
+#: Members that each member of the long lists meets on average up to which no round of hubs is made before all meet.
+MET = 64
+#: Longs of a bitmap of shingles.
+WORDS = 16
+#: Hashes of a sketch, where lists are compared by those (``candidates.list_pairs``).
+SKETCH = 512
+#: Classes whose ids are broadcast to fetch their lines; more are joined by a shuffle.
 BROADCAST = 1_000_000
-#: Characters that a worker signs or compares at once, and lines it remembers having signed.
-CHUNK, KNOWN = 1 << 18, 200_000
+#: Positions that a row of shingles stands for, and shingles of a part of a very long line.
+AT_ONCE, CHUNK = 4, 1 << 16
 
-_SPACES = b" \t\n\x0b\x0c\r"
-_MINIMA = BANDS * ROWS
-_TOP = np.iinfo(np.uint64).max
+_SPACES = " \t\n\x0b\x0c\r"
 _NO_DOC = (1 << 63) - 1
-_K = mix(np.arange(1, 4 + _MINIMA, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
-def _of_eight(wide: np.ndarray) -> np.ndarray:
-    """The hash of the eight characters from each place on: pairs and fours are made once, and three steps lead to eight."""
-    two = (wide[..., :-1] << np.uint64(21)) | wide[..., 1:]
-    four = two[..., :-2] * _K[0] + two[..., 2:]
-    left = (four ^ (four >> np.uint64(29))) * _K[1]
-    return mix(left[..., :-4] + four[..., 4:] * _K[2])
-
-
-def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all character shingles of lines (without line feeds) end to end, and how many each has; a line that is
-    shorter than a shingle is one of its own."""
-    wide = np.frombuffer(("\n".join(lines) + "\n" * SHINGLE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    lens = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.cumsum(lens + 1) - lens - 1
-    count = np.maximum(lens - SHINGLE + 1, 1)
-    first = np.cumsum(count) - count
-    flat = _of_eight(wide)[np.repeat(starts - first, count) + np.arange(int(count.sum()))]
-    short = np.flatnonzero(lens < SHINGLE)
-    if len(short):
-        window = np.arange(SHINGLE)
-        held = np.where(window < lens[short, None], wide[starts[short, None] + window], np.uint64(0))
-        flat[first[short]] = mix(_of_eight(held)[:, 0] + lens[short].astype(np.uint64) * _K[2])
-    return flat, count
-
-
-def _pieces(line: str) -> list[str]:
-    """A very long line as overlapping parts that have its shingles together."""
-    return [line[i : i + CHUNK + SHINGLE - 1] for i in range(0, max(len(line) - SHINGLE + 1, 1), CHUNK)]
-
-
-def _keys(minima: np.ndarray, kind: int) -> np.ndarray:
-    """One key a band from rows of minima."""
-    bands = minima.reshape(len(minima), BANDS, ROWS)
-    out = np.full((len(minima), BANDS), np.uint64(kind * BANDS)) + np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        out = mix(out * _K[0] + bands[:, :, j])
-    return out.view(np.int64)
-
-
-def _filled(minima: np.ndarray) -> np.ndarray:
-    """Empty bins take the minimum of the next one that has any, mixed with how far away it is."""
-    out, empty, step = minima, minima == _TOP, 0
-    while empty.any() and step < _MINIMA:
-        step += 1
-        near = np.roll(minima, -step, axis=1)
-        take = empty & (near != _TOP)
-        out = np.where(take, mix(near + np.uint64(step)), out)
-        empty &= ~take
-    return out
-
-
-def _least(place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-    """The least value at each place. What is written last stays, so only lesser values are written again, until none is left."""
-    out = np.full(size, _TOP)
-    while len(place):
-        out[place] = value
-        lower = value < out[place]
-        place, value = place[lower], value[lower]
-    return out
-
-
-def _binned(flat: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Per line the least hash of each bin: found among the least hashes of a line, or among all where these leave a bin empty."""
-    share = _MINIMA * LEAST / count
-    limit = np.where(share < 1, share * (1 << 32), (1 << 32) - 1).astype(np.uint32)
-    # Hashes are compared by their lower half first, which does not tell the bin.
-    low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    few = np.flatnonzero(low <= np.repeat(limit, count))
-    line, some = np.repeat(np.arange(len(count)), count)[few], flat[few]
-    bins = ((some >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
-    out = _least(line * _MINIMA + bins, (some << np.uint64(32)) | (some >> np.uint64(32)), len(count) * _MINIMA).reshape(-1, _MINIMA)
-    again = (share < 1) & (out == _TOP).any(1)
-    if again.any():
-        n, every = count[again], flat[np.repeat(again, count)]
-        bins = ((every >> np.uint64(32)) * np.uint64(_MINIMA) >> np.uint64(32)).astype(np.int64)
-        place = np.repeat(np.arange(len(n)) * _MINIMA, n) + bins
-        out[again] = _least(place, (every << np.uint64(32)) | (every >> np.uint64(32)), len(n) * _MINIMA).reshape(-1, _MINIMA)
-    return out
-
-
-def band_keys(lines: list[str]) -> list[np.ndarray]:
-    """The keys of each line's bands: BANDS of them, or twice as many for lines signed both ways. Memory is bounded by CHUNK."""
-    out: list[list[np.ndarray]] = [[] for _ in lines]
-    at = 0
-    while at < len(lines):
-        if len(lines[at]) > CHUNK:
-            total = np.full((1, _MINIMA), _TOP)
-            for piece in _pieces(lines[at]):
-                total = np.minimum(total, _binned(*shingle_hashes([piece])))
-            out[at].append(_keys(_filled(total), 1)[0])
-            at += 1
-            continue
-        end, held = at, 0
-        while end < len(lines) and held + len(lines[end]) <= CHUNK:
-            held += len(lines[end]) + 1
-            end += 1
-        flat, count = shingle_hashes(lines[at:end])
-        for kind, chosen in ((0, count <= OWN), (1, count >= BINNED)):
-            which = np.flatnonzero(chosen)
-            if not len(which):
-                continue
-            n, some = count[which], flat[np.repeat(chosen, count)]
-            minima = _filled(_binned(some, n)) if kind else np.column_stack([np.minimum.reduceat(some * _K[3 + j], np.cumsum(n) - n) for j in range(_MINIMA)])
-            for i, row in zip(which.tolist(), _keys(minima, kind)):
-                out[at + i].append(row)
-        at = end
-    return [np.concatenate(x) for x in out]
-
-
-SIGNED = "row long, doc_id long, line_no long, digest binary, line string, keys array<long>"
-
-
-def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: set[bytes] = set()
-
-    def made(rows, docs, numbers, digests, lines):
-        new = [i for i, x in enumerate(lines) if x is not None]
-        keys: list = [None] * len(lines)
-        for i, k in zip(new, band_keys([lines[i] for i in new])):
-            keys[i] = k
-        return pa.RecordBatch.from_pydict({
-            "row": pa.array(rows, pa.int64()), "doc_id": pa.array(docs, pa.int64()), "line_no": pa.array(numbers, pa.int64()), "digest": pa.array(digests, pa.binary()),
-            "line": pa.array(lines, pa.string()), "keys": pa.array(keys, pa.list_(pa.int64())),
-        })
-
-    held: tuple = ([], [], [], [], [])
-    size = 0
-    for batch in batches:
-        for row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for number, line in enumerate((text or "").encode().split(b"\n")):
-                if not line.strip(_SPACES):
-                    continue
-                digest = hashlib.blake2b(line, digest_size=16).digest()
-                new = digest not in known
-                for column, value in zip(held, (row, doc, number, digest, line.decode() if new else None)):
-                    column.append(value)
-                if new:
-                    known.add(digest)
-                    size += len(line)
-                if size >= 4 * CHUNK or len(held[0]) >= 20_000:
-                    yield made(*held)
-                    held, size = ([], [], [], [], []), 0
-                    if len(known) > KNOWN:
-                        known.clear()
-    if held[0]:
-        yield made(*held)
-
-
-def signed_lines(rows: DataFrame) -> DataFrame:
-    """The lines of ``rows`` (row, doc_id, text) that hold more than white space: row, doc_id, line_no, digest; and text and
-    keys where a task meets a line first."""
-    prepare(rows.sparkSession)
-    return rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signer, SIGNED)
-
-
-def distinct_parts(line: str, parts: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of a line, in ``parts`` ranges of hashes one after the other."""
-    pieces = _pieces(line)
-    for p in range(parts):
-        some = []
-        for piece in pieces:
-            h, _ = shingle_hashes([piece])
-            some.append(np.unique(h if parts == 1 else h[((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) == p]))
-        yield some[0] if len(some) == 1 else np.unique(np.concatenate(some))
-
-
-def _parts(*lines: str) -> int:
-    return 1 + max(map(len, lines)) // (8 * CHUNK)
-
-
-def _enough(na: int, nb: int, both: int, percent: int) -> bool:
-    return 100 * both >= percent * (na + nb - both)
-
-
-def linked(a: str, b: str, percent: int = PERCENT) -> bool:
-    """The exact rule on all shingles of two lines of any length."""
-    na = nb = both = 0
-    for x, y in zip(*(distinct_parts(line, _parts(a, b)) for line in (a, b))):
-        na, nb, both = na + len(x), nb + len(y), both + np.intersect1d(x, y, assume_unique=True).size
-    return _enough(na, nb, both, percent)
+#: Hashes of 31 bits times odd numbers of 32 bits, modulo 2 ** 32, are permutations that do not overflow.
+_TIMES = [int(x) >> 32 | 1 for x in mix(np.arange(1, 1 + BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+#: The last start of a shingle in text as UTF-32 (four bytes a character), and the hash of the shingle at a start.
+_LAST = f"greatest(shiftright(octet_length(wide), 2) - {SHINGLE}, 0)"
+_HASH = f"xxhash64(substring(wide, 4 * {{}} + 1, {4 * SHINGLE}))"
 
 
 def _sets(lines: list[str]) -> list[np.ndarray]:
-    """The sorted sets of lines that are not very long."""
-    flat, count = shingle_hashes(lines)
-    ends = np.cumsum(count)
-    for e, n in zip(ends.tolist(), count.tolist()):
-        flat[e - n : e].sort()
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[1:] != flat[:-1]
-    new[ends - count] = True
-    return np.split(flat[new], np.cumsum(sums(new.astype(np.int64), count))[:-1])
-
-
-def _verifier(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right, keep = batch.column("la").to_pylist(), batch.column("lb").to_pylist(), []
-            while len(keep) < len(left):
-                # Pairs come sorted by one side, so a line of many pairs is hashed once for those that are looked at together.
-                at = end = len(keep)
-                lines: dict[str, None] = {}
-                size = 0
-                while end < len(left) and size < CHUNK:
-                    new = {x: None for x in (left[end], right[end]) if x not in lines}
-                    size, end = size + sum(map(len, new)), end + 1
-                    lines |= new
-                if max(map(len, lines)) > CHUNK:
-                    keep += [linked(x, y, percent) for x, y in zip(left[at:end], right[at:end])]
-                    continue
-                sets = dict(zip(lines, _sets(list(lines))))
-                for x, y in ((sets[x], sets[y]) for x, y in zip(left[at:end], right[at:end])):
-                    near = min(len(x), len(y)) * 100 >= percent * max(len(x), len(y))
-                    keep.append(near and _enough(len(x), len(y), np.intersect1d(x, y, assume_unique=True).size, percent))
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(chosen) for n in ("a", "b")})
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose lines in ``texts`` (node, line) are linked."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb").mapInArrow(_verifier(percent), "a long, b long")
-
-
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, sketches = [], []
-        for line in batch.column(1).to_pylist():
-            n, least = 0, np.zeros(0, np.uint64)
-            for part in distinct_parts(line, _parts(line)):
-                n, least = n + len(part), np.concatenate([least, part[: SKETCH - len(least)]])
-            sizes.append(n)
-            sketches.append(least.tobytes())
-        yield pa.RecordBatch.from_pydict({"rep": batch.column(0), "n": pa.array(sizes, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
-
-
-def line_links(signed: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(classes, components) of stored ``signed_lines``: classes (node, digest, first, repeated), ``first`` being the document,
-    line, digest and row where it is met first; components (node, component) of the linked ones."""
+    """The sorted sets of shingle hashes of a few lines, without Spark."""
+    one = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest())
+    return [np.unique(np.array([one(x[i : i + SHINGLE]) for i in range(max(len(x) - SHINGLE + 1, 1))], np.uint64)) for x in lines]
+
+
+def visible_lines(rows: DataFrame) -> DataFrame:
+    """The lines of ``rows`` (row, doc_id, text) that hold more than white space: row, doc_id, line_no, digest, line."""
+    lines = rows.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.filter(F.ltrim("line", F.lit(_SPACES)) != "")
+    return lines.select("row", "doc_id", F.col("line_no").cast("long").alias("line_no"), F.unhex(F.substring(F.sha2("line", 256), 1, 32)).alias("digest"), "line")
+
+
+def _wide_parts(texts: DataFrame) -> DataFrame:
+    """The lines of ``texts`` (node, line) as UTF-32, very long ones as overlapping parts that have their shingles together."""
+    n = F.length("line")
+    parts = texts.select("node", "line", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(n - SHINGLE, F.lit(0)) / CHUNK).cast("int"))).alias("part"))
+    part = F.when(n <= CHUNK, F.col("line")).otherwise(F.substring("line", F.col("part") * CHUNK + 1, F.lit(CHUNK + SHINGLE - 1)))
+    return parts.select("node", F.encode(part, "UTF-32").alias("wide"))
+
+
+def _hashes(texts: DataFrame) -> DataFrame:
+    """The shingles of the lines of ``texts`` (node, line), AT_ONCE positions a row, so that few rows are grouped: node, h0, h1
+    and so on (31 bits; the last one over again beyond the end). A line that is shorter than a shingle is one of its own."""
+    rows = _wide_parts(texts).select("node", "wide", F.expr(_LAST).alias("last"))
+    rows = rows.select("node", "wide", "last", F.explode(F.expr(f"sequence(0, last, {AT_ONCE})")).alias("i"))
+    hashes = [F.expr(_HASH.format(f"least(i + {k}, last)") + f" & {(1 << 31) - 1}L").alias(f"h{k}") for k in range(AT_ONCE)]
+    return rows.select("node", *hashes)
+
+
+def band_keys(texts: DataFrame) -> DataFrame:
+    """The keys of the bands of each line of ``texts`` (node, line): node, keys."""
+    permuted = lambda k, times: (F.col(f"h{k}") * F.lit(times)).bitwiseAND(F.lit((1 << 32) - 1))
+    minima = _hashes(texts).groupBy("node").agg(*[F.min(F.least(*[permuted(k, times) for k in range(AT_ONCE)])).alias(f"m{j}") for j, times in enumerate(_TIMES)])
+    return minima.select("node", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]).alias("keys"))
+
+
+def _set(line: str) -> Column:
+    """The distinct shingle hashes of a line that is not very long, its wide form being made once."""
+    return F.array_distinct(F.expr(f"transform(array(encode({line}, 'UTF-32')), wide -> transform(sequence(0, {_LAST}), i -> {_HASH.format('i')}))[0]"))
+
+
+def _enough(na: str, nb: str, both: str, percent: int) -> Column:
+    return 100 * F.col(both) >= percent * (F.col(na) + F.col(nb) - F.col(both))
+
+
+def texts_of(classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lines of the classes ``nodes``: node, line, and whether it is a very long one."""
+    return classes.select("node", "line").join(nodes, "node").select("node", "line", (F.length("line") > CHUNK).alias("long"))
+
+
+def _verified_by_rows(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """``verified`` for lines of any length: a shingle is a row, so no set is held by a task."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = _wide_parts(texts.join(nodes, "node").select("node", "line"))
+    starts = parts.select("node", "wide", F.explode(F.expr(f"sequence(0, {_LAST})")).alias("i"))
+    sets = scratch.keep(starts.select("node", F.expr(_HASH.format("i")).alias("h")).distinct(), f"{name}-sets")
+    left, right = sets.select(F.col("node").alias("a"), "h"), sets.select(F.col("node").alias("b"), "h")
+    both = pairs.join(left, "a").join(right, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("both"))
+    sizes = sets.groupBy("node").agg(F.count("*").alias("n"))
+    both = both.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    return both.filter(_enough("na", "nb", "both", percent)).select("a", "b")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose lines in ``texts`` (node, line, long) are linked, stored as ``name``."""
+    left, right = (texts.select(F.col("node").alias(x), F.col("line").alias(f"l{x}"), F.col("long").alias(f"long_{x}")) for x in "ab")
+    whole = pairs.join(left.filter("not long_a"), "a").join(right.filter("not long_b"), "b").select("a", "b", _set("la").alias("sa"), _set("lb").alias("sb"))
+    # The sizes are a generated row, so that the filter on them is not evaluated with the sets made anew for each.
+    sizes = whole.select("a", "b", F.inline(F.array(F.struct(F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))))
+    links = sizes.filter(_enough("na", "nb", "both", percent)).select("a", "b")
+    if not texts.filter("long").isEmpty():
+        some = pairs.join(left.drop("la"), "a").join(right.drop("lb"), "b").filter("long_a or long_b").select("a", "b")
+        links = links.union(_verified_by_rows(scratch.keep(some, f"{name}-long"), texts, percent, scratch, name))
+    return scratch.keep(links, name)
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """Per line of ``texts`` (node, line, long): rep, n (the size of its set), and WORDS longs, in which the bit is set of each
+    place that an odd number of its set falls on; zeros for very long lines."""
+    rows = texts.select(F.col("node").alias("rep"), F.explode_outer(F.when(~F.col("long"), _set("line"))).alias("h"))
+    rows = rows.select("rep", "h", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.expr(f"shiftrightunsigned(h, 6) % {WORDS}").alias("word"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("word") == j, F.col("bit"))), F.lit(0).cast("long")).alias(f"w{j}") for j in range(WORDS)]
+    return rows.groupBy("rep").agg(F.count("h").alias("n"), *words)
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """Whether lines with ``bitmaps`` may be linked: always if one is very long. Two sets differ in no fewer shingles than their
+    bitmaps differ in bits, and linked ones in at most (1 - t) / (1 + t) of the sum of their sizes."""
+    a, b = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.w{j}").bitwiseXOR(F.col(f"{y}.w{j}"))) for j in range(WORDS)])
+    close = (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * apart <= (100 - percent) * (a + b))
+    return (a == 0) | (b == 0) | close
+
+
+def near_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that ``bitmaps`` do not rule out."""
+    met = pairs.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep"))
+    return met.filter(_near("x", "y", percent)).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
+def _hub_pairs(long: DataFrame, percent: int, step: int) -> DataFrame:
+    """Pairs of the members of each list of ``long`` (key, rep, comp, bitmaps) with a few of them, of other components."""
+    masks = [int(x) >> 2 for x in mix(np.arange(1 + step * HUBS, 1 + (step + 1) * HUBS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+    chosen = long.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in masks])).alias("reps"))
+    hubs = long.join(chosen.select("key", F.explode("reps").alias("rep")), ["key", "rep"])
+    met = long.alias("x").join(hubs.alias("y"), F.col("x.key") == F.col("y.key"))
+    return _ordered(met.filter((F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)))
+
+
+def _all_pairs(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of different components of each list of ``long`` (as of ``mixed_lists``, with bitmaps), which may be
+    linked. Members are dealt into blocks, and those of a pair of blocks meet."""
+    rows = list_blocks(long, "n", *[f"w{j}" for j in range(WORDS)])
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "low", "high")]
+    once = F.when(F.col("x.low") == F.col("x.high"), F.col("x.rep") < F.col("y.rep")).otherwise(F.col("y.side") == 1)
+    met = rows.filter("side = 0").alias("x").join(rows.alias("y"), same[0] & same[1] & same[2])
+    return _ordered(met.filter((F.col("x.comp") != F.col("y.comp")) & once & _near("x", "y", percent)))
+
+
+def line_links(lines: DataFrame, scratch: Scratch, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(classes, components) of stored ``visible_lines``: classes (node, digest, first, repeated, line), ``first`` being the
+    document, line, digest and row where it is met first; components (node, component) of the linked ones."""
     place = F.struct(F.coalesce("doc_id", F.lit(_NO_DOC)).alias("doc"), "line_no", "row")
-    classes = signed.groupBy("digest").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("repeated"), F.any_value("keys", True).alias("keys"))
+    classes = lines.groupBy("digest").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("repeated"), F.any_value("line").alias("line"))
     first = F.struct("first.doc", "first.line_no", "digest", "first.row").alias("first")
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "keys"), "classes")
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "digest", first, "repeated", "line"), "classes")
+    keys = scratch.keep(band_keys(classes.select("node", "line")), "keys")
     # Most lists hold one class, so their keys are counted first, by partial sums, and only members of shared ones go on.
-    members = classes.select("node", F.explode("keys").alias("key"))
+    members = keys.select("node", F.explode("keys").alias("key"))
     lists = members.groupBy("key").agg(F.min("node").alias("n0"), F.max("node").alias("n1")).filter("n0 < n1")
     bands = scratch.keep(members.join(lists, "key"), "bands")
-    met = scratch.keep(classes.select("node", "digest").join(bands.select("node").distinct(), "node"), "met")
-    met = F.broadcast(met) if met.count() <= BROADCAST else met
-    texts = signed.filter("line is not null").select("digest", "line").join(met, "digest").groupBy("node").agg(F.any_value("line").alias("line"))
-    texts = scratch.keep(texts, "texts")
+    scratch.drop("keys")
+    met = scratch.keep(bands.select("node").distinct(), "met")
+    texts = scratch.keep(texts_of(classes, F.broadcast(met) if met.count() <= BROADCAST else met), "texts")
+    bits = scratch.keep(bitmaps(texts), "bits")
     # Of the hubs of its lists, those with which a class shares most of them.
     hubs = bands.select("node", F.explode(F.array("n0", "n1")).alias("hub")).filter("hub <> node").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = hubs.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "hub"))).filter(F.col("place") <= HUBS)
-    first = scratch.keep(best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "first")
-    links = scratch.keep(verified(first, texts, percent), "links0")
-    comps = connected_components(links, scratch, "cc").select("node", "component")
+    first = best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    tried = scratch.keep(near_pairs(first, bits, percent), "first")
+    links = verified(tried, texts, percent, scratch, "links0")
     # Classes that share a list share its first hub, and near copies share it in most of their lists: one list of it stands for all.
-    rows = bands.select("node", F.col("n0").alias("key")).distinct().join(comps, "node", "left")
-    rows = rows.select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
-    mixed = scratch.keep(mixed_lists(rows), "mixed")
+    rows = scratch.keep(bands.select("node", F.col("n0").alias("key")).distinct(), "rows")
     scratch.drop("bands")
-    long = mixed.filter(F.col("m") > SMALL)
-    sketches = texts.join(long.select(F.col("rep").alias("node")).distinct(), "node").select("node", "line").mapInArrow(_sketcher, "rep long, n long, sketch binary")
-    pairs = small_pairs(mixed, SMALL).select("a", "b").union(compared_lists(long.join(sketches, "rep"), percent, SKETCH, TIMES)).distinct()
-    rest = scratch.keep(pairs.join(first, ["a", "b"], "left_anti"), "rest")
-    links = scratch.keep(links.union(verified(rest, texts, percent)), "links1")
+    step, before = 0, None
+    while True:
+        comps = connected_components(links, scratch, f"cc{step}-").select("node", "component")
+        mine = rows.join(comps, "node", "left").select("key", F.col("node").alias("rep"), F.coalesce("component", "node").alias("comp"))
+        mixed = scratch.keep(mixed_lists(mine), f"mixed{step}")
+        long = mixed.filter(F.col("m") > SMALL)
+        members, meetings = long.agg(F.count("*"), F.coalesce(F.sum(F.col("m") - F.col("m_major")), F.lit(0))).first()
+        long = long.join(bits, "rep")
+        if meetings <= MET * members or before is not None and 4 * meetings > 3 * before:
+            break
+        # Rounds go on while each spares a quarter of the meetings.
+        fresh = scratch.keep(_hub_pairs(long, percent, step).join(tried, ["a", "b"], "left_anti"), f"fresh{step}")
+        links, tried = links.union(verified(fresh, texts, percent, scratch, f"links{step + 1}")), tried.union(fresh)
+        step, before = step + 1, meetings
+    pairs = near_pairs(small_pairs(mixed, SMALL).select("a", "b"), bits, percent).union(_all_pairs(long, percent)).distinct()
+    rest = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.union(verified(rest, texts, percent, scratch, "links"))
     return classes, connected_components(links, scratch, "lines")
 
 
 def _decided(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Per visible line of ``docs`` (row, doc_id, text): row, doc_id, line_no, digest, kept (a struct as ``first``, null for a
     line without company) and whether it is that line."""
-    signed = scratch.keep(signed_lines(docs), "signed")
-    classes, found = line_links(signed, scratch, percent)
+    lines = scratch.keep(visible_lines(docs), "visible")
+    classes, found = line_links(lines, scratch, percent)
     mine = classes.select("node", "digest", "first", "repeated").join(found, "node", "left").select("digest", "first", "repeated", "component")
     together = mine.filter("component is not null")
     best = together.groupBy("component").agg(F.min("first").alias("kept"))
     company = together.join(best, "component").select("digest", "kept").unionByName(mine.filter("component is null and repeated").select("digest", F.col("first").alias("kept")))
-    rows = signed.select("row", "doc_id", "line_no", "digest").join(scratch.keep(company, "company"), "digest", "left")
+    rows = lines.select("row", "doc_id", "line_no", "digest").join(scratch.keep(company, "company"), "digest", "left")
     here = F.col("kept").isNull() | ((F.col("kept.row") == F.col("row")) & (F.col("kept.line_no") == F.col("line_no")))
     return rows.select("row", "doc_id", "line_no", "digest", "kept", here.alias("stays"))
 
@@ -349,8 +245,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeat a doc_id are told apart, so still one line stays. Lines without visible characters are no lines here, and null
     texts have none. Lines of any length are compared whole. An empty table gives no rows; other columns are not read.
     """
-    spark = prepare(docs.sparkSession)
-    rows = _decided(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), percent, Scratch(spark, "line-dedup"))
+    rows = _decided(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), percent, Scratch(docs.sparkSession, "line-dedup"))
     doc = F.when(F.col("kept").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("kept.doc"), F.lit(_NO_DOC)))
     return rows.select("doc_id", "line_no", doc.alias("keep_doc_id"), F.coalesce("kept.line_no", "line_no").alias("keep_line_no"), F.lower(F.hex(F.coalesce("kept.digest", "digest"))).alias("keep_digest"), F.col("stays").alias("kept"))
 
@@ -359,8 +254,7 @@ def drop_repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the lines that do not stay taken out of their texts; blank lines, null texts and other columns are as
     before. Rows are told apart by their place in the table, which is written to the shared folder first, so rows that share
     a doc_id, or repeat a text, or have no id lose their own lines alone."""
-    spark = prepare(docs.sparkSession)
-    scratch = Scratch(spark, "line-dedup")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
     stored = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
     gone = _decided(stored.select(F.col("__row").alias("row"), "doc_id", "text"), percent, scratch).filter("not stays")
     gone = gone.groupBy(F.col("row").alias("__row")).agg(F.collect_list("line_no").alias("__gone"))  # a text's lines

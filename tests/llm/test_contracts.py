@@ -530,3 +530,19 @@ def test_pipeline_by_hand(spark, tmp_path, library):
     docs.limit(0).write.parquet(str(empty / "documents.parquet"))
     labels.write.parquet(str(empty / "labels.parquet"))
     assert p.run(spark, str(empty)).count() == 0
+
+
+def test_lines_are_compared_without_python(spark, tmp_path):
+    """The steps of op8 are DataFrame functions, very long lines among them, whose sets are rows."""
+    rng = np.random.default_rng(3)
+    made = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    long, other = made(70_000), made(70_000)
+    lines = [long, "x" + long[1:], other, "ü" * 9 + "abcdefgh", "ü" * 10 + "abcdefgh", "tiny", "tinx", long[:40_000] + other[:30_000]]
+    texts = spark.createDataFrame([(i, x, len(x) > line_dedup.CHUNK) for i, x in enumerate(lines)], "node long, line string, long boolean")
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)], "a long, b long")
+    scratch = common.Scratch(spark, "lines")
+    near = line_dedup.near_pairs(pairs, line_dedup.bitmaps(texts), 80)
+    links = line_dedup.verified(near, texts, 80, scratch, "links")
+    assert sorted((r.a, r.b) for r in links.collect()) == [(0, 1), (3, 4)]
+    for made in (line_dedup.visible_lines(texts.selectExpr("node as row", "node as doc_id", "line as text")), line_dedup.band_keys(texts), near):
+        assert not any(x in made._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
