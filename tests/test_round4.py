@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyrix import durable
-from papyrix.operators import lexical
+from papyrix.operators import lexical, vector
 
 
 def _passages(spark):
@@ -62,3 +62,29 @@ def test_sums_and_hits_of_a_task_are_bounded(monkeypatch):
             want = sorted(np.flatnonzero(scores[q]).tolist(), key=lambda i: (-scores[q, i], f"s{i % 2}", i))[:limit]
             assert [(r["doc_id"], r["score"]) for r in got if r["q"] == q] == [(i, scores[q, i] / lexical.STEPS) for i in want]
     assert max(cells) <= 1 << 10 and max(held) <= (1 << 9) + n * limit
+
+
+def test_vectors_are_scored_bit_by_bit_only_where_it_matters(monkeypatch):
+    """Products of matrices choose the candidates; what comes out has the bits and ties of ``dots`` over all pairs."""
+    exact, of = [], vector._dots_of
+    monkeypatch.setattr(vector, "_dots_of", lambda rows, queries, p, q: exact.append(len(p)) or of(rows, queries, p, q))
+    rng = np.random.default_rng(3)
+    for ties in (False, True):
+        rows = rng.standard_normal((3000, 9)).astype(np.float32)
+        rows = np.round(rows) if ties else rows
+        rows[5], rows[7], rows[9, 0], rows[11] = 1e25, 3e38, np.inf, 0
+        queries = rng.standard_normal((200, 9)).astype(np.float32)
+        queries = np.round(queries) if ties else queries
+        batches = [
+            pa.RecordBatch.from_pydict({"source": [f"s{i % 3}" for i in range(at, at + 500)], "doc_id": list(range(at, at + 500)), "index": [0] * 500, "e": pa.array(list(rows[at : at + 500]), pa.list_(pa.float32()))})
+            for at in range(0, 3000, 500)
+        ]
+        schema = pa.schema([("query", pa.int64()), ("source", pa.string()), ("doc_id", pa.int64()), ("index", pa.int64()), ("score", pa.float32())])
+        got = pa.Table.from_batches(list(vector._scan(queries, 4, schema)(iter(batches)))).to_pylist()
+        with np.errstate(all="ignore"):
+            every = vector.dots(rows, queries)
+        for q in range(200):
+            met = np.flatnonzero(~np.isnan(every[:, q])).tolist()
+            want = sorted(met, key=lambda i: (-every[i, q], f"s{i % 3}", i))[:4]
+            assert [(r["doc_id"], np.float32(r["score"])) for r in got if r["query"] == q] == [(i, every[i, q]) for i in want]
+    assert sum(exact) < 2 * 200 * 3000 / 10
