@@ -59,8 +59,9 @@ def search_tokens(text: Column) -> Column:
 
 
 def shingle_words(text: Column) -> Column:
-    """Words of duplicate detection: typographic quotes, dashes and no-break spaces folded, apostrophes kept."""
-    folded = F.translate(text, "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- ")
+    """Words of duplicate detection: typographic quotes, dashes and no-break spaces folded, apostrophes kept. Zero-width characters
+    are dropped, so a text has the same words before ``tidy`` as after it, which changes white space besides."""
+    folded = F.translate(text, "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0\u200b\u200c\u200d\ufeff", "''\"\"-- ")
     return F.regexp_extract_all(lowered(folded), F.lit(r"[\p{L}\p{Nd}']+"), F.lit(0))
 
 

@@ -37,7 +37,7 @@ def least_overlap(size, threshold: float) -> F.Column:
 
 def shingle_table(documents: DataFrame) -> DataFrame:
     """Documents as (id, source, day, size, h): their shingles as sorted 64-bit hashes of runs of words, day null if undated."""
-    rows = documents.select("id", "source", text.day_number(F.col("published")).alias("day"), F.array_sort(text.shingle_hashes(text.shingle_words(F.col("text")))).alias("h"))
+    rows = documents.select("id", "source", text.day_number(F.col("published")).alias("day"), F.sort_array(text.shingle_hashes(text.shingle_words(F.col("text")))).alias("h"))
     return rows.select("id", "source", "day", F.size("h").alias("size"), "h")
 
 
@@ -247,25 +247,38 @@ def _roots(close: DataFrame, window: int, threshold: float, scratch: Scratch) ->
     return keyed.join(roots.withColumnRenamed("id", "stands"), "stands").select("id", "root")
 
 
-def members(documents: DataFrame, priorities: DataFrame | None = None, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
-    """Members of all duplicate groups, stored: group_id, id, source, priority, winner, score, published, words, title, winner_id.
-
-    The winner has the highest priority, then the least source, then the least id. A member's score is its similarity to
-    the winner, also where only a third document linked them. Winners are found by partial aggregates and joined to their
-    groups, so a group of any size is dealt over tasks.
-    """
+def _grouped(documents: DataFrame, priorities: DataFrame | None, window: int, threshold: float, scratch: Scratch, *more: str) -> tuple[DataFrame, ...]:
+    """The ``close_sets`` of ``documents``, their ``_roots``, and these with source, priority, winner_id and the columns ``more``."""
     check_options(window, threshold)
-    scratch = Scratch(documents.sparkSession, "dupes")
     close = close_sets(scratch.keep(shingle_table(documents), "sets"), window, threshold)
     scratch.drop("sets")
     roots = scratch.keep(_roots(close, window, threshold, scratch), "roots")
-    rows = documents.select("id", "source", "published", "words", "title").join(roots, "id")
+    rows = documents.select("id", "source", *more).join(roots, "id")
     if priorities is not None:
         rows = rows.join(priorities.select("source", "priority"), "source", "left")
     else:
         rows = rows.withColumn("priority", F.lit(0))
     rows = scratch.keep(rows.withColumn("priority", F.coalesce("priority", F.lit(0))), "rows")
-    rows = with_winners(rows)
+    return close, roots, with_winners(rows)
+
+
+def folded(documents: DataFrame, priorities: DataFrame | None = None, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """``members`` for those who fold or count them, stored: group_id, id, winner, winner_id. Texts are read for their sets alone, and
+    no set is compared with its winner's."""
+    scratch = Scratch(documents.sparkSession, "dupes")
+    rows = _grouped(documents, priorities, window, threshold, scratch)[2]
+    return scratch.keep(rows.select(F.col("root").alias("group_id"), "id", (F.col("id") == F.col("winner_id")).alias("winner"), "winner_id"), "folded")
+
+
+def members(documents: DataFrame, priorities: DataFrame | None = None, window: int = WINDOW_DAYS, threshold: float = THRESHOLD) -> DataFrame:
+    """Members of all duplicate groups, stored: group_id, id, source, priority, winner, score, published, words, title, winner_id.
+
+    The winner has the highest priority, then the least source, then the least id. A member's score is its similarity to
+    the winner, also where only a third document linked them. Winners are found by partial aggregates and joined to their
+    groups, so a group of any size is dealt over tasks.
+    """
+    scratch = Scratch(documents.sparkSession, "dupes")
+    close, roots, rows = _grouped(documents, priorities, window, threshold, scratch, "published", "words", "title")
     sets = close.select("id", "h").join(roots.select("id"), "id", "left_semi")
     scores = similarity(rows.filter("id <> winner_id").select(F.col("winner_id").alias("a"), F.col("id").alias("b")), sets).select(F.col("b").alias("id"), "score")
     rows = rows.join(scores, "id", "left")

@@ -12,12 +12,14 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, base: str) -> DataFrame:
-    """``documents`` as documents: the id is doc_id as text, dates run ten characters a day from 2020 on."""
+def corpus(spark: SparkSession, base: str, tidied: bool = True) -> DataFrame:
+    """``documents`` as documents: the id is doc_id as text, dates run ten characters a day from 2020 on. Duplicate detection finds the
+    same words in texts that are not ``tidied``."""
     day = F.expr("timestamp_seconds(1577836800 + (n_chars div 10) * 86400)")
     body = text.tidy(F.col("text"))
-    rows = table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("table").alias("source_type"), F.lit("").alias("title"), F.lit("").alias("url"), day.alias("published"), body.alias("text"))
-    return rows.withColumn("words", text.word_count(F.col("text"))).withColumn("quote", F.lit(False))
+    rows = table(spark, base, "documents").select(F.col("doc_id").cast("string").alias("id"), "source", F.lit("table").alias("source_type"), F.lit("").alias("title"), F.lit("").alias("url"), day.alias("published"), (body if tidied else F.col("text")).alias("text"))
+    words = text.word_count(F.col("text") if tidied else text.tidy(F.col("text")))
+    return rows.withColumn("words", words).withColumn("quote", F.lit(False))
 
 
 def passages(spark: SparkSession, base: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyrix import durable
-from papyrix.operators import lexical, vector
+from papyrix.functions import text
+from papyrix.operators import dupes, lexical, vector
 
 
 def _passages(spark):
@@ -88,3 +89,24 @@ def test_vectors_are_scored_bit_by_bit_only_where_it_matters(monkeypatch):
             want = sorted(met, key=lambda i: (-every[i, q], f"s{i % 3}", i))[:4]
             assert [(r["doc_id"], np.float32(r["score"])) for r in got if r["query"] == q] == [(i, every[i, q]) for i in want]
     assert sum(exact) < 2 * 200 * 3000 / 10
+
+
+def test_folding_reads_texts_for_their_sets_alone(spark):
+    """Who is folded under whom is what ``members`` says, without words, titles or scores; texts need not be tidy."""
+    rng = random.Random(6)
+    words = [f"w{n}" for n in range(30)]
+    rows = []
+    for n in range(60):
+        x = list(words) if n % 3 else rng.sample(words, 30)
+        x[rng.randrange(30)] = f"x{n}"
+        rows.append((f"d{n:02d}", f"s{n % 4}", 1577836800 + n % 5 * 86400, " ".join(x)))
+    docs = spark.createDataFrame(rows, "id string, source string, at long, text string").withColumn("published", F.timestamp_seconds("at"))
+    first = spark.createDataFrame([("s2", 5), ("s3", 7)], "source string, priority int")
+    whole = dupes.members(docs.withColumn("words", F.lit(30)).withColumn("title", F.lit("")), first)
+    untidy = docs.withColumn("text", F.concat(F.lit("\r\n\t"), F.regexp_replace("text", "w2", "w​﻿2"), F.lit(" \n\n\n")))
+    got = dupes.folded(untidy, first)
+    columns = ["group_id", "id", "winner", "winner_id"]
+    assert got.columns == columns and got.count() > 20
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in whole.select(*columns).collect()}
+    one, other = (docs.limit(0).union(t).select("id", text.shingle_words(text.tidy(F.col("text")) if k else F.col("text")).alias("w")).collect() for k, t in enumerate((untidy, untidy)))
+    assert one == other
